@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import secrets
+from pagemill.llm import near_dup, secrets
 from pagemill.llm.common import table
 
 
@@ -10,8 +10,12 @@ def op1_secrets(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets}
+    return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict:
