@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pagemill.llm import near_dup, secrets
-from pagemill.llm.common import table
+from pyspark.sql import functions as F
+
+from pagemill.llm import language, near_dup, packing, secrets
+from pagemill.llm.common import remainder, table
 
 
 def op1_secrets(spark, sf_dir):
@@ -14,6 +16,18 @@ def op2_simhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op10_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(True))
+    model = language.fit_language(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.language_of(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
