@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import language, near_dup, packing, secrets
+from pagemill.llm import decontaminate, language, near_dup, packing, secrets
 from pagemill.llm.common import remainder, table
 
 
@@ -20,6 +20,12 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(True))
@@ -32,5 +38,26 @@ def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_FOLD.format("text")}, '{_WORD}'), []) AS w FROM documents),
+i AS (SELECT item_id, coalesce(regexp_extract_all({_FOLD.format("text")}, '{_WORD}'), []) AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s:s + 12], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN iw USING (g, n)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_decontaminate": OP7_SQL}
