@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language, near_dup, packing, secrets
+from pagemill.llm import decontaminate, language, near_dup, packing, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -16,6 +16,10 @@ def op2_simhash(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_word_repeats(spark, sf_dir):
+    return word_repeats.word_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -38,6 +42,17 @@ def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x{20}\x{09}-\x{0D}]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, s, hash(array_to_string(w[s:s + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM g JOIN f USING (g) WHERE first < doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
 _WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -60,4 +75,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op7_decontaminate": OP7_SQL}
+    return {"op3_word_repeats": OP3_SQL, "op7_decontaminate": OP7_SQL}
