@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language, near_dup, packing, secrets, word_repeats
+from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -30,6 +30,10 @@ def op7_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op9_byte_repeats(spark, sf_dir):
+    return byte_repeats.byte_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(True))

@@ -94,6 +94,30 @@ class Shared:
         return name[back], key[back]
 
 
+class Asked:
+    """Keys for which some text asks (its order is 1)."""
+
+    value_type = np.uint8
+
+    def fold(self, bucket, key, name, order):
+        at = np.lexsort((key, bucket))
+        bucket, key, name, order = bucket[at], key[at], name[at], order[at]
+        first = _groups(bucket, key)
+        asked = np.maximum.reduceat(order, first) > 0
+        size = np.diff(np.append(first, len(key)))
+        known = np.repeat(asked, size)
+        sent = np.union1d(first, np.flatnonzero(~known))
+        return bucket[sent], key[sent], name[sent], known[sent].astype(np.uint8), name[known], key[known]
+
+    def reduce(self, name, key, value):
+        at = np.argsort(key, kind="stable")
+        name, key, value = name[at], key[at], value[at]
+        first = _groups(key)
+        asked = np.repeat(np.maximum.reduceat(value, first) > 0, np.diff(np.append(first, len(key)))) if len(first) else np.empty(0, bool)
+        back = asked & (value == 0)
+        return name[back], key[back]
+
+
 class Later:
     """Keys that also occur in a text of smaller id. The value of a key is the id."""
 
@@ -120,7 +144,8 @@ def shared_keys(texts: DataFrame, keys_of: Callable, rule, buckets: int, *, key_
     """(name, keys array<binary>): for each text those of its keys that rule reports.
 
     texts has name, id, text and the extra columns. keys_of(data, offsets, batch, first row,
-    after last row) gives the row, placing hash and key of each window of a run of texts.
+    after last row) gives the row, placing hash and key of each window of a run of texts, and
+    what the rule goes by if that is not the text's id.
     """
 
     def fold(batches):
@@ -144,9 +169,9 @@ def shared_keys(texts: DataFrame, keys_of: Callable, rule, buckets: int, *, key_
             data, offsets = text_bytes(batch.column("text"))
             names, ids = batch.column("name").to_numpy(), batch.column("id").fill_null(LAST).to_numpy(zero_copy_only=False)
             for a, b in runs(offsets):
-                row, place, key = keys_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch, a, b)
+                row, place, key, *order = keys_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch, a, b)
                 if len(row):
-                    held.append((bucket_of(place, buckets), key, names[a + row], ids[a + row]))
+                    held.append((bucket_of(place, buckets), key, names[a + row], order[0] if order else ids[a + row]))
                     size += len(row)
                 if size >= FOLD:
                     yield flush()
