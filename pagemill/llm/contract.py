@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, secrets, word_repeats
+from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, scoring, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -30,6 +30,12 @@ def op7_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op8_scoring(spark, sf_dir):
+    docs, left_out = table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2
+    scored = scoring.score_documents(docs, ~left_out)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_byte_repeats(spark, sf_dir):
     return byte_repeats.byte_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
