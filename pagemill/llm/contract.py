@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, scoring, secrets, word_repeats
+from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, scoring, search, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -20,6 +20,10 @@ def op3_word_repeats(spark, sf_dir):
     return word_repeats.word_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_topk(spark, sf_dir):
+    return search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -63,6 +67,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN r USING (doc_id)
 """
 
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+      FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 _WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -85,4 +98,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def oracle_sql() -> dict:
-    return {"op3_word_repeats": OP3_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op3_word_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op7_decontaminate": OP7_SQL}
