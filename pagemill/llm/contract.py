@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, scoring, search, secrets, word_repeats
+from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, quality, scoring, search, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -20,6 +20,12 @@ def op3_word_repeats(spark, sf_dir):
     return word_repeats.word_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality(spark, sf_dir):
+    learn = remainder("doc_id", 4) != 2
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_topk(spark, sf_dir):
     return search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
