@@ -1,13 +1,63 @@
-"""Corpus pipeline: language, near-duplicates, decontamination, secrets, packing."""
+"""Corpus pipeline over `documents`: language, near-duplicates, benchmark passages, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. A document that a stage rejects is gone for the stages after it, and
+text that a stage rewrites is what they read.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.llm import decontaminate, language, near_dup, packing, secrets
+from pagemill.llm.common import remainder, stored, table
+
+#: Least posterior probability of a document's language.
+CERTAIN = 0.5
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those whose language stays in doubt."""
+    model = language.fit_language(docs.filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))))
+    found = language.language_of(F.col("text"), model, spark)
+    return docs.withColumn("_found", found).filter((F.col("_found.lang") != language.UNKNOWN) & (F.col("_found.score") >= CERTAIN)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each class of near-duplicates."""
+    return near_dup.keep_one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the text; documents stay."""
+    return secrets.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places the pieces of every document in training sequences."""
+    return packing.pack(docs, keep_ids=False)
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
