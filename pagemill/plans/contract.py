@@ -20,9 +20,16 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """Import every module of queries once."""
+    from pagemill.plans import q_ordered  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(_ORACLES)
