@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import every module of queries once."""
-    from pagemill.plans import q_ordered, q_text  # noqa: F401
+    from pagemill.plans import q_merge, q_ordered, q_text  # noqa: F401
 
 
 def queries() -> dict:
