@@ -1,0 +1,37 @@
+import os
+
+import pytest
+
+import corpus_pipeline
+from pagemill.llm import contract
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_each_operator_is_registered_once():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in contract.queries())
+    assert numbers == list(range(1, 11))
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="tables are not there")
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, docs, SMALL), name)
+        assert out.dtypes == docs.dtypes and 0 < out.count() <= n
+        docs, n = out, out.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert packed.select("doc_id").distinct().count() == n
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    rows = [(1, "the house and the garden stand alone", "en", "s", 1), (1, "the house and the garden stand alone", "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "das Haus und der Garten", "de", "s", 3), (5, "das Haus token = abcdefgh12", "de", "s", 3)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {1, 5, None}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
