@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents of one Arrow batch are worked on in runs of about this many bytes.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 #: ASCII white space that splits words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -102,41 +102,50 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on all input bits."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
     return x
 
 
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as far as needed so far."""
+
+    base = 0x9E3779B97F4A7C15
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def reach(cls, n: int) -> None:
+        if len(cls.up) <= n:
+            size = max(n + 1, len(cls.up) * 5 // 4)
+            for name, factor in (("up", cls.base), ("down", pow(cls.base, -1, 2**64))):
+                powers = np.full(size, factor, np.uint64)
+                powers[0] = 1
+                setattr(cls, name, np.multiply.accumulate(powers, out=powers))
+
+
 class Polynomial:
     """Hash of any span of a sequence from prefix sums: sum of code(x_j) * base**j modulo 2**64.
 
-    Each byte has a random 64-bit code; sequences of 64-bit symbols are taken as they are.
+    Bytes have a table of random 64-bit codes, 64-bit symbols are mixed with a random one; hashes
+    of different seeds have different codes and are independent.
     """
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.codes = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        base = int(rng.integers(0, 2**61)) * 8 + 5
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(size, factor, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data))
+        Powers.reach(len(data))
+        values = self.codes[data] if data.dtype == np.uint8 else mix(data ^ self.codes[0])
+        values *= Powers.up[: len(data)]
         sums = np.zeros(len(data) + 1, np.uint64)
-        values = self.codes[data] if data.dtype == np.uint8 else data
-        np.cumsum(values * self.up[: len(data)], out=sums[1:])
+        np.cumsum(values, out=sums[1:])
         return sums
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self.down[starts])
+        out = sums[ends]
+        out -= sums[starts]
+        out *= Powers.down[starts]
+        return mix(out)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import runs, text_bytes
 
 #: Windows folded at once.
-FOLD = 3_000_000
+FOLD = 1_000_000
 #: Order of a text without id: after all others.
 LAST = np.iinfo(np.int64).max
 _PACKED = "bucket int, names binary, counts binary, keys binary, values binary"
