@@ -43,7 +43,7 @@ def op7_decontaminate(spark, sf_dir):
 def op8_scoring(spark, sf_dir):
     docs, left_out = table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2
     scored = scoring.score_documents(docs, ~left_out)
-    return scored.select("doc_id", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op9_byte_repeats(spark, sf_dir):
