@@ -61,7 +61,7 @@ def reading_positions(spark, d):
 
 @register(
     "progress_lines",
-    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS cur, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE 50 END AS total, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE round((2 + CAST(l_quantity AS BIGINT) / 50) / 7 * 100, 1) END AS percent FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS cur, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(50 AS BIGINT) END AS total, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE round((2 + CAST(l_quantity AS BIGINT) / 50) / 7 * 100, 1) END AS percent FROM lineitem",
 )
 def progress_lines(spark, d):
     done, n = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("/50")), F.col("l_linenumber") % 4
