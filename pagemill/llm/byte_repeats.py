@@ -40,87 +40,89 @@ SEED, PREFIX, SPARSE, DENSE = 16, 64, 16, 8
 _PICK, _NAME, _PLACE, _KEY = Polynomial(21), Polynomial(22), Polynomial(23), Polynomial(24)
 
 
-def _ends(offsets: np.ndarray, n: int) -> np.ndarray:
-    """For each byte, where its row ends."""
-    return np.repeat(offsets[1:], np.diff(offsets))
-
-
-def sample(data: np.ndarray, ends: np.ndarray, one_in: int) -> np.ndarray:
-    """Positions chosen by their SEED bytes."""
-    at = np.arange(max(len(data) - SEED + 1, 0))
-    at = at[at + SEED <= ends[at]]
-    picked = _PICK.spans(_PICK.prefix(data), at, at + SEED)
-    return at[picked % np.uint64(one_in) == 0]
+def _rows(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(offsets, at, "right") - 1
 
 
-def prefixes(data: np.ndarray, ends: np.ndarray):
-    """Sampled positions that PREFIX bytes follow, with the name of those."""
-    at = sample(data, ends, SPARSE)
-    at = at[at + PREFIX <= ends[at]]
-    return at, _NAME.spans(_NAME.prefix(data), at, at + PREFIX)
+def _inside(offsets: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The positions that width bytes of their row follow."""
+    return at[at + width <= offsets[_rows(offsets, at) + 1]]
 
 
-def window_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    at = np.arange(max(len(data) - WINDOW + 1, 0))
-    return at[at + WINDOW <= ends[at]]
+def picks(data: np.ndarray) -> np.ndarray:
+    """Hash of the SEED bytes at each position."""
+    return _PICK.windows(_PICK.prefix(data), SEED)
 
 
-def window_keys(data: np.ndarray, starts: np.ndarray):
-    return _PLACE.spans(_PLACE.prefix(data), starts, starts + WINDOW), _KEY.spans(_KEY.prefix(data), starts, starts + WINDOW)
+def chosen(picked: np.ndarray, one_in: int) -> np.ndarray:
+    return np.flatnonzero((picked & np.uint64(one_in - 1)) == 0)
 
 
-def _count(flags: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(flags)])
-    return sums[starts + width] - sums[starts]
+def prefixes(data: np.ndarray, offsets: np.ndarray, picked: np.ndarray):
+    """Sampled positions that PREFIX bytes of their row follow, with the name of those."""
+    at = _inside(offsets, chosen(picked, SPARSE), PREFIX)
+    return at, _NAME.spans(_NAME.prefix(data), at, at + PREFIX)
 
 
-def _rows(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.searchsorted(offsets, at, "right") - 1
+def window_keys(data: np.ndarray, starts: np.ndarray):
+    """Placing hash and key of the windows from starts on."""
+    return _PLACE.spans(_PLACE.prefix(data), starts, starts + WINDOW), _KEY.spans(_KEY.prefix(data), starts, starts + WINDOW)
 
 
-def candidates(data, offsets, ends, lists: KeyLists) -> np.ndarray:
-    """Starts of windows all of whose sampled prefixes are shared (or that have none)."""
-    at, name = prefixes(data, ends)
+def free_starts(flagged: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of windows inside a row none of whose prefix positions are flagged."""
+    n = len(flagged) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(flagged, dtype=np.int32)])
+    width = WINDOW - PREFIX + 1
+    free = sums[width : width + n] == sums[:n]
+    for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        free[max(first, last - WINDOW + 1) : last] = False
+    return np.flatnonzero(free)
+
+
+def candidates(data, offsets, batch, a, b):
+    """Starts of windows all of whose sampled prefixes are shared (or that have none), which of
+    them are of the dense sample, and the sampled prefixes."""
+    picked = picks(data)
+    at, name = prefixes(data, offsets, picked)
     unshared = np.zeros(len(data), bool)
-    unshared[at[~lists.has(_rows(offsets, at), name, 0)]] = True
-    starts = window_starts(data, ends)
-    return starts[_count(unshared, starts, WINDOW - PREFIX + 1) == 0]
+    unshared[at[~KeyLists(batch.column("keys").slice(a, b - a), np.uint32).has(_rows(offsets, at), name)]] = True
+    starts = free_starts(unshared, offsets)
+    return starts, (picked[starts] & np.uint64(DENSE - 1)) == 0, at, name
 
 
 def _prefix_keys(data, offsets, batch, a, b):
-    at, name = prefixes(data, _ends(offsets, len(data)))
+    at, name = prefixes(data, offsets, picks(data))
     return _rows(offsets, at), name, name
 
 
 def _sampled_windows(data, offsets, batch, a, b):
-    ends = _ends(offsets, len(data))
-    starts = candidates(data, offsets, ends, KeyLists(batch.column("keys").slice(a, b - a), np.uint32))
-    starts = np.intersect1d(starts, sample(data, ends, DENSE), assume_unique=True)
+    starts, sampled, _, _ = candidates(data, offsets, batch, a, b)
+    starts = starts[sampled]
     return _rows(offsets, starts), *window_keys(data, starts)
 
 
-def _others(data, offsets, batch, a, b):
-    """Candidate starts that are not sampled, whether their windows still need comparing, and
-    the index of the first sampled prefix in each window (beyond the last: none); the prefixes."""
-    ends = _ends(offsets, len(data))
-    starts = candidates(data, offsets, ends, KeyLists(batch.column("keys").slice(a, b - a), np.uint32))
-    sampled = np.isin(starts, sample(data, ends, DENSE), assume_unique=True)
-    row = _rows(offsets, starts)
-    known = starts[sampled]
-    known = known[KeyLists(batch.column("found").slice(a, b - a)).has(row[sampled], window_keys(data, known)[1], 0)]
-    starts, row, needed = starts[~sampled], row[~sampled], np.ones(int((~sampled).sum()), bool)
-    if len(known):
-        after = np.searchsorted(known, starts)
-        low, high = known[np.maximum(after - 1, 0)], known[np.minimum(after, len(known) - 1)]
-        needed = ~((after > 0) & (after < len(known)) & (high - low <= WINDOW) & (_rows(offsets, low) == row) & (_rows(offsets, high) == row))
-    at, name = prefixes(data, ends)
+def _first_prefix(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Index of the first sampled prefix in the window of each start; len(at) if there is none."""
     first = np.searchsorted(at, starts)
-    near = np.append(at, np.iinfo(np.int64).max)[first] - starts <= WINDOW - PREFIX
-    return starts, row, needed, np.where(near, first, len(at)), at, name
+    return np.where(np.append(at, np.iinfo(np.int64).max)[first] - starts <= WINDOW - PREFIX, first, len(at))
 
 
 def _asked_prefixes(data, offsets, batch, a, b):
-    _, _, needed, first, at, name = _others(data, offsets, batch, a, b)
+    """The first prefixes of windows that are not of the sample, and whether a window there still needs comparing."""
+    starts, sampled, at, name = candidates(data, offsets, batch, a, b)
+    known, starts = starts[sampled], starts[~sampled]
+    keys = _KEY.spans(_KEY.prefix(data), known, known + WINDOW)
+    known = known[KeyLists(batch.column("found").slice(a, b - a)).has(_rows(offsets, known), keys)]
+    needed = np.ones(len(starts), bool)
+    if len(known):
+        row, after = _rows(offsets, known), np.searchsorted(known, starts)
+        ends = (after > 0) & (after < len(known))
+        low, high = np.maximum(after - 1, 0), np.minimum(after, len(known) - 1)
+        needed = ~(ends & (known[high] - known[low] <= WINDOW) & (row[low] == row[high]))
+    first = _first_prefix(at, starts)
     asked, there = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, bool)
     asked[first[needed]], there[first] = 1, True
     there = np.flatnonzero(there[:-1])
@@ -128,11 +130,13 @@ def _asked_prefixes(data, offsets, batch, a, b):
 
 
 def _other_windows(data, offsets, batch, a, b):
-    starts, row, _, first, at, name = _others(data, offsets, batch, a, b)
+    """Windows that are not of the sample, at prefixes that some text asks about (or without one)."""
+    starts, sampled, at, name = candidates(data, offsets, batch, a, b)
+    starts = starts[~sampled]
     asked = np.ones(len(at) + 1, bool)
-    asked[:-1] = KeyLists(batch.column("asked").slice(a, b - a), np.uint32).has(_rows(offsets, at), name, 0)
-    sent = asked[first]
-    return row[sent], *window_keys(data, starts[sent])
+    asked[:-1] = KeyLists(batch.column("asked").slice(a, b - a), np.uint32).has(_rows(offsets, at), name)
+    starts = starts[asked[_first_prefix(at, starts)]]
+    return _rows(offsets, starts), *window_keys(data, starts)
 
 
 _WHOLE = "struct<n_bytes:long,kept_sha256:string,open:boolean>"
@@ -145,11 +149,9 @@ def _whole(texts: pa.Array) -> pa.Array:
     some = [np.empty(0, bool)]
     for a, b in runs(offsets):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        ends = _ends(at, len(part))
         sampled = np.zeros(len(part), bool)
-        sampled[prefixes(part, ends)[0]] = True
-        starts = window_starts(part, ends)
-        bare = starts[_count(sampled, starts, WINDOW - PREFIX + 1) == 0]
+        sampled[_inside(at, chosen(picks(part), SPARSE), PREFIX)] = True
+        bare = free_starts(sampled, at)
         some.append(np.bincount(_rows(at, bare), minlength=b - a) > 0)
     digests = [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.array(digests, pa.string()), pa.array(np.concatenate(some))], ["n_bytes", "kept_sha256", "open"])
@@ -162,8 +164,9 @@ def _remove(batches):
         names, out = batch.column("name").to_pylist(), []
         for a, b in runs(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts = window_starts(part, _ends(at, len(part)))
-            gone = starts[KeyLists(batch.column("keys").slice(a, b - a)).has(_rows(at, starts), window_keys(part, starts)[1], 0)]
+            starts = free_starts(np.zeros(len(part), bool), at)
+            keys = _KEY.windows(_KEY.prefix(part), WINDOW)[starts]
+            gone = starts[KeyLists(batch.column("keys").slice(a, b - a)).has(_rows(at, starts), keys)]
             step = np.zeros(len(part) + 1, np.int64)
             step[gone] += 1
             step[gone + WINDOW] -= 1
@@ -189,9 +192,10 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = stored(shared_keys(some, _sampled_windows, Shared(), sampled, extra=("keys",)), "sampled")
     both = some.join(found.withColumnRenamed("keys", "found"), "name", "left")
     asked = stored(shared_keys(both, _asked_prefixes, Asked(), sampled, key_type=np.uint32, extra=("keys", "found")), "asked")
-    both = both.join(asked.withColumnRenamed("keys", "asked"), "name", "left")
-    rest = stored(shared_keys(both, _other_windows, Shared(), sampled, extra=("keys", "found", "asked")), "starts")
-    repeats = found.union(rest).groupBy("name").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    both = some.join(asked.withColumnRenamed("keys", "asked"), "name", "left")
+    rest = stored(shared_keys(both, _other_windows, Shared(), sampled, extra=("keys", "asked")), "starts")
+    repeats = found.join(rest.withColumnRenamed("keys", "more"), "name", "full_outer")
+    repeats = repeats.select("name", F.concat(F.coalesce("keys", F.lit(b"")), F.coalesce("more", F.lit(b""))).alias("keys"))
     removed = some.select("name", "text").join(repeats, "name").dropDuplicates(["name"]).mapInArrow(_remove, _REMOVED)
     return every.drop("open"), removed
 

@@ -149,3 +149,11 @@ class Polynomial:
         out -= sums[starts]
         out *= Powers.down[starts]
         return mix(out)
+
+    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all spans of one width, by start; spans() gives the same ones."""
+        if len(sums) <= width:
+            return np.empty(0, np.uint64)
+        out = sums[width:] - sums[:-width]
+        out *= Powers.down[: len(out)]
+        return mix(out)

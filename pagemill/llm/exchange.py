@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import runs, text_bytes
+from pagemill.llm.common import mix, runs, text_bytes
 
 #: Windows folded at once.
 FOLD = 1_000_000
 #: Order of a text without id: after all others.
 LAST = np.iinfo(np.int64).max
 _PACKED = "bucket int, names binary, counts binary, keys binary, values binary"
+_REPORTED = "home int, names binary, counts binary, keys binary"
 _SHARED = "name long, keys binary"
 
 
@@ -141,7 +142,7 @@ class Later:
 
 
 def shared_keys(texts: DataFrame, keys_of: Callable, rule, buckets: int, *, key_type=np.uint64, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(name, keys array<binary>): for each text those of its keys that rule reports.
+    """(name, keys binary): for each text with any those of its keys that rule reports, packed.
 
     texts has name, id, text and the extra columns. keys_of(data, offsets, batch, first row,
     after last row) gives the row, placing hash and key of each window of a run of texts, and
@@ -179,21 +180,31 @@ def shared_keys(texts: DataFrame, keys_of: Callable, rule, buckets: int, *, key_
         if size:
             yield flush()
 
-    def give(name, key):
-        at = np.argsort(name, kind="stable")
+    def compare(rows: pa.Table) -> pa.Table:
+        """Reported keys of a bucket, in one row for each home (hash bucket of names)."""
+        if rows["bucket"][0].as_py() < 0:  # known in the fold already
+            name, key = _names_keys(rows, key_type)
+        else:
+            name, key = rule.reduce(*_unpack(rows, key_type, rule.value_type))
+        home = bucket_of(mix(name), buckets)
+        return pa.Table.from_pylist([{"home": r["bucket"]} | {c: r[c] for c in ("names", "counts", "keys")} for r in _pack(home, key, name, np.zeros(len(key), np.uint8))], _REPORTED_ARROW)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        """All reported keys of the names of a home, each key once."""
+        name, key = _names_keys(rows, key_type)
+        at = np.lexsort((key, name))
         name, key = name[at], key[at]
+        once = _groups(name, key)
+        name, key = name[once], key[once]
         edges = np.append(_groups(name), len(name))
         return pa.Table.from_pydict({"name": name[edges[:-1]], "keys": pa.array([key[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())})
 
-    def compare(rows: pa.Table) -> pa.Table:
-        if rows["bucket"][0].as_py() < 0:  # known in the fold already
-            return give(*_names_keys(rows, key_type))
-        return give(*rule.reduce(*_unpack(rows, key_type, rule.value_type)))
-
     folded = texts.select("name", "id", "text", *extra).mapInArrow(fold, _PACKED)
     spread = folded.withColumn("part", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("names"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    found = spread.groupBy("part").applyInArrow(compare, _SHARED)
-    return found.groupBy("name").agg(F.collect_list("keys").alias("keys"))
+    return spread.groupBy("part").applyInArrow(compare, _REPORTED).groupBy("home").applyInArrow(gather, _SHARED)
+
+
+_REPORTED_ARROW = pa.schema([("home", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 
 
 def _names_keys(rows: pa.Table, key_type):
@@ -202,20 +213,33 @@ def _names_keys(rows: pa.Table, key_type):
 
 
 class KeyLists:
-    """The reported keys of the texts of a batch, to ask which windows have them."""
+    """The reported keys of the texts of a run, to ask which windows have them.
+
+    A key is asked for together with its row, as one code: exactly for 32-bit keys, and by a
+    mixture of both for 64-bit ones."""
+
+    def __init__(self, column: pa.Array, key_type=np.uint64):
+        lists = [np.frombuffer(k or b"", key_type) for k in column.to_pylist()]
+        row = np.repeat(np.arange(len(lists)), [len(k) for k in lists])
+        self.exact = key_type is not np.uint64
+        self.codes = np.sort(self._code(row, np.concatenate([np.empty(0, key_type), *lists])))
+        self.maybe = np.zeros(1 << 21, bool)
+        self.maybe[self._slot(self.codes)] = True
+
+    def _code(self, row, key):
+        if self.exact:
+            return row.astype(np.uint64) << np.uint64(32) | key.astype(np.uint32)
+        return key ^ mix(row + 1)
 
-    def __init__(self, column: pa.ListArray, key_type=np.uint64):
-        lists = column.to_pylist()
-        self.type = key_type
-        self.of = [np.frombuffer(b"".join(blobs), key_type) if blobs else None for blobs in lists]
+    def _slot(self, code):
+        return ((code ^ code >> np.uint64(32)) & np.uint64((1 << 21) - 1)).astype(np.int64)
 
-    def has(self, row: np.ndarray, key: np.ndarray, first: int) -> np.ndarray:
-        """Which windows (row from first on, in rising order; key) are reported for their row."""
+    def has(self, row: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Which windows (row, key) are reported for their row."""
         found = np.zeros(len(row), bool)
-        key = key.astype(self.type)
-        edges = np.append(_groups(row), len(row)) if len(row) else np.zeros(1, int)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            keys = self.of[first + int(row[a])]
-            if keys is not None and len(keys):
-                found[a:b] = np.isin(key[a:b], keys)
+        if len(self.codes) and len(row):
+            code = self._code(row, key)
+            near = np.flatnonzero(self.maybe[self._slot(code)])
+            code = code[near]
+            found[near] = self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
         return found

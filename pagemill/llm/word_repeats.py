@@ -103,7 +103,7 @@ def _candidate_keys(data, offsets, batch, a, b):
     at, key = cuts(symbol, row)
     lists = KeyLists(batch.column("keys").slice(a, b - a), np.uint32)
     unshared = np.zeros(len(symbol), bool)
-    unshared[at[~lists.has(row[at], key, 0)]] = True
+    unshared[at[~lists.has(row[at], key)]] = True
     starts = window_starts(row)
     possible = (_within(unshared, starts, MARGIN, WINDOW - MARGIN) == 0) | (_within(inner_runs(symbol, row), starts, 1, WINDOW - 1) > 0)
     starts = starts[possible]
@@ -137,7 +137,7 @@ def _remove(batches):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             symbol, row = symbols(part, at)
             starts = window_starts(row)
-            gone = starts[KeyLists(batch.column("keys").slice(a, b - a)).has(row[starts], window_keys(symbol, starts)[1], 0)]
+            gone = starts[KeyLists(batch.column("keys").slice(a, b - a)).has(row[starts], _KEY.spans(_KEY.prefix(symbol), starts, starts + WINDOW))]
             step = np.zeros(len(symbol) + 1, np.int64)
             np.add.at(step, gone, 1)
             np.add.at(step, gone + WINDOW, -1)
