@@ -42,17 +42,26 @@ def fold(word: Column) -> Column:
     return F.translate(word, _UPPER, _LOWER)
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Whether a table's counted size allows broadcasting it."""
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcasting if its counted size allows."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    return F.broadcast(df) if _is_small(df) else df
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
     """Hash of size words from index at (from 0). F.lower is coarser than fold and faster: equal
-    words stay equal, and candidates are compared exactly afterwards."""
+    words stay equal, and the words themselves are compared afterwards."""
     return F.xxhash64(*(F.lower(words[at + k]) for k in range(size)))
 
 
+def _gram(words: Column, at: Column, size: int) -> Column:
+    """Size folded words from index at on, as one text."""
+    return fold(F.concat_ws(" ", *(words[at + k] for k in range(size))))
+
+
 def item_windows(items: DataFrame, *, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(item_id, words): the windows of each item, words lower-cased."""
     listed = items.select(F.col(key).alias("item_id"), F.transform(words_of(F.col(text)), fold).alias("w")).filter(F.size("w") > 0)
@@ -62,23 +71,28 @@ def item_windows(items: DataFrame, *, key: str = "item_id", text: str = "text",
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
-    """(words, n, size, offset, h): every shingle of every distinct window."""
-    sized = windows.select("words").distinct().withColumn("n", F.size("words")).withColumn("size", F.least(F.lit(SHINGLE), F.col("n")))
+    """(wid, words, n, size, offset, h, gram): every shingle of every distinct window; wid numbers them."""
+    sized = windows.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()).withColumn("n", F.size("words")).withColumn("size", F.least(F.lit(SHINGLE), F.col("n")))
     parts = sized.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
-    of_size = (F.when(F.col("size") == k, _shingle(F.col("words"), F.col("offset"), k)) for k in range(1, SHINGLE + 1))
-    return parts.withColumn("h", F.coalesce(*of_size))
+    of_size = lambda make: F.coalesce(*(F.when(F.col("size") == k, make(F.col("words"), F.col("offset"), k)) for k in range(1, SHINGLE + 1)))
+    return parts.withColumn("h", of_size(_shingle)).withColumn("gram", of_size(_gram))
 
 
 def shingle_occurrences(docs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(doc, at, h): where the shingles (h, size) occur in documents (doc, w)."""
+    """(doc_id, doc, at, gram): where the shingles (size, h, gram) occur in documents (doc_id, doc, w)."""
     sizes = [r[0] for r in shingles.select("size").distinct().collect()]  # at most SHINGLE values
     found = []
     for size in sizes or [SHINGLE]:
-        last = F.size("w") - size
+        last, wanted = F.size("w") - size, shingles.filter(F.col("size") == size)
         starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-        hashes = F.when(last >= 0, F.transform(starts, lambda at: _shingle(F.col("w"), at, size)))  # noqa: B023
-        wanted = _small(shingles.filter(F.col("size") == size).select("h"))
-        found.append(docs.select("doc", F.posexplode(hashes).alias("at", "h")).join(wanted, "h", "left_semi").select("doc", "at", "h"))
+        spread = lambda make, name: docs.select("doc_id", "doc", "w", F.posexplode(F.when(last >= 0, F.transform(starts, lambda at: make(F.col("w"), at, size)))).alias("at", name))  # noqa: B023, E731
+        grams = wanted.select("gram").distinct()
+        if _is_small(grams):  # hashes first: the words of a place are only read if its hash is wanted
+            near = spread(_shingle, "h").join(F.broadcast(wanted.select("h").distinct()), "h", "left_semi")
+            near = near.select("doc_id", "doc", "at", _gram(F.col("w"), F.col("at"), size).alias("gram"))
+            found.append(near.join(F.broadcast(grams), "gram", "left_semi").select("doc_id", "doc", "at", "gram"))
+        else:
+            found.append(spread(_gram, "gram").drop("w").join(grams, "gram", "left_semi").select("doc_id", "doc", "at", "gram"))
     whole = found[0]
     for one in found[1:]:
         whole = whole.union(one)
@@ -86,33 +100,43 @@ def shingle_occurrences(docs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def rarest_shingles(parts: DataFrame, found: DataFrame) -> DataFrame:
-    """(h, offset, n, words): the prefix of each window all of whose shingles occur somewhere."""
-    often = found.groupBy("h").agg(F.count("*").alias("often"))
-    need = parts.groupBy("words", "n").agg(F.countDistinct("h").alias("need"))
-    have = parts.join(often, "h").groupBy("words").agg(F.countDistinct("h").alias("have"), F.min_by(F.struct("h", "offset"), F.struct("often", "offset")).alias("p"))
-    return need.join(have, "words").filter("have = need").select("p.h", "p.offset", "n", "words")
+    """(gram, offset, n, wid, need): the prefix of each window all of whose shingles occur somewhere."""
+    often = found.groupBy("gram").agg(F.count("*").alias("often"))
+    need = parts.groupBy("wid", "n").agg(F.countDistinct("gram").alias("kinds"), F.count("*").alias("need"))
+    have = parts.join(often, "gram").groupBy("wid").agg(F.countDistinct("gram").alias("have"), F.min_by(F.struct("gram", "offset"), F.struct("often", "offset")).alias("p"))
+    return need.join(have, "wid").filter("have = kinds").select("p.gram", "p.offset", "n", "wid", "need")
+
+
+def window_hits(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, doc, start, n, wid): each place of a document at which a window occurs."""
+    prefix = stored(rarest_shingles(parts, found), "prefixes")
+    start = (F.col("at") - F.col("offset")).alias("start")
+    near = found.join(_small(prefix), "gram").select("doc_id", "doc", start, "n", "wid", "need").filter("start >= 0")
+    # a window of one shingle is found with it; of others, every shingle has to be at its place
+    alone, long = near.filter("need = 1"), near.filter("need > 1")
+    places = long.join(_small(parts.select(F.col("wid").alias("_w"), "offset", "gram")), F.col("wid") == F.col("_w")).select("doc_id", "doc", "start", "n", "wid", "need", (F.col("start") + F.col("offset")).alias("at"), "gram")
+    same = ["doc", "at", "gram"]
+    there = found.select(F.col("doc_id").alias("_id"), *same)
+    met = places.join(there, same).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("doc_id", "doc", "start", "n", "wid", "need").agg(F.countDistinct("at").alias("met"))
+    return alone.drop("need").union(met.filter("met = need").drop("need", "met"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated."""
     owners = stored(item_windows(items, key=item_key, text=item_text, window=window), "windows")
     parts = stored(window_shingles(owners), "shingles")
-    # A row's name is a hash of its id and text: never null, and a collision only adds candidates.
-    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("doc"), F.col(text).alias("text"))
-    found = stored(shingle_occurrences(named.select("doc", words_of(F.col("text")).alias("w")), parts.select("h", "size").distinct()), "occurrences")
-    prefix = stored(rarest_shingles(parts, found), "prefixes")
-    near = found.join(_small(prefix), "h").select("doc", (F.col("at") - F.col("offset")).alias("start"), "n", "words").filter("start >= 0")
-    wanted = near.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "words")).alias("near"))
-    read = named.join(wanted, "doc", "left").select("doc_id", words_of(F.col("text")).alias("w"), "near")
-    true = F.filter("near", lambda c: F.transform(F.slice(F.col("w"), c["start"] + 1, c["n"]), fold) == c["words"])
-    judged = read.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array()).alias("hit"))
-    judged = stored(judged.withColumn("row", F.monotonically_increasing_id()), "hits")
-    covered = F.array_distinct(F.flatten(F.transform("hit", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
-    held = judged.filter(F.size("hit") > 0).select("row", F.explode("hit.words").alias("words")).distinct().join(owners, "words")
-    held = held.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    n_hit, items_held = F.size(covered).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    # A row is named by its id and a hash of both: never wholly null, and equal only for equal rows.
+    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("doc"), words_of(F.col(text)).alias("w"))
+    found = stored(shingle_occurrences(named, parts.select("size", "h", "gram").distinct()).distinct(), "occurrences")
+    hits = stored(window_hits(parts, found).distinct(), "hits")
+    covered = hits.select("doc_id", "doc", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("doc_id", "doc").agg(F.count("*").alias("n_hit"))
+    named_windows = owners.join(parts.select("words", "wid").distinct(), "words").select("wid", "item_id")
+    held = hits.select("doc_id", "doc", "wid").distinct().join(named_windows, "wid").groupBy("doc_id", "doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    both = covered.join(held.withColumnRenamed("doc_id", "_id"), "doc").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "n_hit", "items")
+    counted = named.select("doc_id", "doc", F.size("w").cast("long").alias("n_words"))
+    n_hit, items_held = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return (
-        judged.join(held, "row", "left")
+        counted.join(both, (F.col("doc") == F.col("_doc")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_held).cast("long").alias("n_items"), items_held.alias("items"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
     )
