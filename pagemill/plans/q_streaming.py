@@ -44,10 +44,10 @@ def stream_limiter(spark, d):
 
 @register("stream_windows")
 def stream_windows(spark, d):
-    return _local(logs.drain(logs.windowed_counts(_events(spark, d), ts="ts", by="event_type"), shared_folder(spark, "windows")))
+    return _local(logs.drain(logs.windowed_counts(_events(spark, d), ts="ts", by="event_type", late=None), shared_folder(spark, "windows"), mode="complete"))
 
 
 @register("stream_lost_jobs")
 def stream_lost_jobs(spark, d):
     beats = _events(spark, d).select("ts", F.floor(F.col("event_id") / 6).alias("job"))
-    return _local(logs.drain(logs.silent_spans(beats, ts="ts", by="job"), shared_folder(spark, "lost")))
+    return _local(logs.drain(logs.silent_spans(beats, ts="ts", by="job", late=None), shared_folder(spark, "lost"), mode="complete"))

@@ -31,15 +31,21 @@ def heartbeats(pings: DataFrame, *, keys: list[str], ts: str, platform: str) ->
     return worker_rollup(pings, keys=keys, ts=ts, platform=platform)
 
 
-def windowed_counts(events: DataFrame, *, ts: str, by: str, width: str = "1 day") -> DataFrame:
-    """Events of each kind in tumbling windows (append once the watermark has passed a window)."""
-    return events.withWatermark(ts, LATE).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+def _marked(events: DataFrame, ts: str, late: str | None) -> DataFrame:
+    return events if late is None else events.withWatermark(ts, late)
 
 
-def silent_spans(beats: DataFrame, *, ts: str, by: str, after: int = LOST_AFTER) -> DataFrame:
+def windowed_counts(events: DataFrame, *, ts: str, by: str, width: str = "1 day", late: str | None = LATE) -> DataFrame:
+    """Events of each kind in tumbling windows (append once the watermark has passed a window; with late
+    None no row is late and all windows are there in output mode complete)."""
+    return _marked(events, ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+def silent_spans(beats: DataFrame, *, ts: str, by: str, after: int = LOST_AFTER, late: str | None = LATE) -> DataFrame:
     """Sessions of heartbeats of each job; a session ends when none comes for `after` seconds, which is
-    when the job counts as lost (append once the watermark has passed)."""
-    return beats.withWatermark(ts, LATE).groupBy(F.session_window(ts, f"{after} seconds"), by).agg(F.count("*").alias("beats"), F.max(ts).alias("last_beat")).select(by, "beats", "last_beat", F.col("session_window.end").alias("lost_at"))
+    when the job counts as lost (append once the watermark has passed; with late None all sessions, in
+    output mode complete)."""
+    return _marked(beats, ts, late).groupBy(F.session_window(ts, f"{after} seconds"), by).agg(F.count("*").alias("beats"), F.max(ts).alias("last_beat")).select(by, "beats", "last_beat", F.col("session_window.end").alias("lost_at"))
 
 
 def beacons(events: DataFrame, *, agent: Column, forwarded: Column, real: Column, peer: Column) -> DataFrame:
