@@ -140,7 +140,7 @@ def _other_windows(data, offsets, batch, a, b):
 
 
 _WHOLE = "struct<n_bytes:long,kept_sha256:string,open:boolean>"
-_REMOVED = "name long, spans array<struct<start:long,n:long>>, n_removed long, kept binary"
+_REMOVED = "name long, mark long, spans array<struct<start:long,n:long>>, n_removed long, kept binary"
 
 
 def _whole(texts: pa.Array) -> pa.Array:
@@ -161,7 +161,7 @@ def _remove(batches):
     span = pa.struct([("start", pa.int64()), ("n", pa.int64())])
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        names, out = batch.column("name").to_pylist(), []
+        names, marks, out = batch.column("name").to_pylist(), batch.column("mark").to_pylist(), []
         for a, b in runs(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts = free_starts(np.zeros(len(part), bool), at)
@@ -175,15 +175,15 @@ def _remove(batches):
                 mask = removed[at[r] : at[r + 1]]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
                 spans = [{"start": s, "n": e - s} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-                out.append({"name": names[a + r], "spans": spans, "n_removed": int(mask.sum()), "kept": part[at[r] : at[r + 1]][~mask].tobytes()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.int64()), ("spans", pa.list_(span)), ("n_removed", pa.int64()), ("kept", pa.binary())]))
+                out.append({"name": names[a + r], "mark": marks[a + r], "spans": spans, "n_removed": int(mask.sum()), "kept": part[at[r] : at[r + 1]][~mask].tobytes()})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.int64()), ("mark", pa.int64()), ("spans", pa.list_(span)), ("n_removed", pa.int64()), ("kept", pa.binary())]))
 
 
 def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Of every row (name, id, n_bytes, kept_sha256 of all bytes); and of each name that loses
     bytes, the removed spans, their total and the kept bytes."""
     spark, texts = docs.sparkSession, named(docs, key, text)
-    every = stored(texts.select("name", "id", F.arrow_udf(_whole, _WHOLE)("text").alias("w")).select("name", "id", "w.n_bytes", "w.kept_sha256", "w.open"), "bytes")
+    every = stored(texts.select("name", "mark", "id", F.arrow_udf(_whole, _WHOLE)("text").alias("w")).select("name", "mark", "id", "w.n_bytes", "w.kept_sha256", "w.open"), "bytes")
     size = every.agg(F.sum("n_bytes")).first()[0] or 0
     sampled = buckets_for(spark, size / SPARSE)
     shared = shared_keys(texts, _prefix_keys, Shared(), sampled, key_type=np.uint32)
@@ -196,16 +196,16 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     rest = stored(shared_keys(both, _other_windows, Shared(), sampled, extra=("keys", "asked")), "starts")
     repeats = found.join(rest.withColumnRenamed("keys", "more"), "name", "full_outer")
     repeats = repeats.select("name", F.concat(F.coalesce("keys", F.lit(b"")), F.coalesce("more", F.lit(b""))).alias("keys"))
-    removed = some.select("name", "text").join(repeats, "name").dropDuplicates(["name"]).mapInArrow(_remove, _REMOVED)
+    removed = some.select("name", "mark", "text").join(repeats, "name").dropDuplicates(["name", "mark"]).mapInArrow(_remove, _REMOVED)
     return every.drop("open"), removed
 
 
 def byte_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans."""
     every, removed = repeated_bytes(docs, key=key, text=text)
-    gone = removed.select("name", "n_removed", F.sha2("kept", 256).alias("sha"), "spans")
+    gone = removed.select("name", "mark", "n_removed", F.sha2("kept", 256).alias("sha"), "spans")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:long,n:long>>"))
-    return every.join(gone, "name", "left").select(
+    return every.join(gone, ["name", "mark"], "left").select(
         F.col("id").alias("doc_id"),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),

@@ -6,7 +6,7 @@ windows and rolling hashes are numpy passes and no Python loop runs per word.
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 
 import numpy as np
@@ -31,22 +31,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names in spark.checkpoint.dir."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    jvm_dir = spark.sparkContext.getCheckpointDir()
-    if jvm_dir:
-        return jvm_dir
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
-    return spark.sparkContext.getCheckpointDir()
+    """Shared folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
+    Without one, executors of a cluster would each write to a folder of their own: an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named
+
+
+#: Spark's setting by which the shuffle files of a query go when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{workspace(df.sparkSession).rstrip('/')}/pagemill-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+    The shuffle files of the write are not read again and go with its end."""
+    spark = df.sparkSession
+    path = f"{workspace(spark).rstrip('/')}/pagemill-{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def buckets_for(spark: SparkSession, items: float, per_bucket: int = 2_000_000) -> int:
@@ -109,6 +134,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Spans of more bytes are hashed one by one.
+LONG = 256
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of each span of bytes: eight bytes at a time through mix, long spans by BLAKE2.
+    Spans of one length and at most eight bytes never collide."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
+    eights = np.ndarray(len(data) + 1, np.uint64, np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        eight = eights[starts[left] + at]
+        short = rest < 8
+        eight[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+        out[left] = mix(out[left] ^ eight)
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(2, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, as far as needed so far."""
 
@@ -129,7 +179,9 @@ class Polynomial:
     """Hash of any span of a sequence from prefix sums: sum of code(x_j) * base**j modulo 2**64.
 
     Bytes have a table of random 64-bit codes, 64-bit symbols are mixed with a random one; hashes
-    of different seeds have different codes and are independent.
+    of different seeds have different codes and are independent. Sums of this kind collide for
+    some sequences of two symbols from 1024 symbols on, whatever the codes; so they are only
+    taken of windows of a fixed width far below, and words go through word_hash.
     """
 
     def __init__(self, seed: int):

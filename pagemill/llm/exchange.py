@@ -33,8 +33,9 @@ _SHARED = "name long, keys binary"
 
 
 def named(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(name, id, text): a row's name is a hash of its id and text, so equal rows share it."""
-    return docs.select(F.xxhash64(key, text).alias("name"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """(name, mark, id, text): name and mark are hashes of a row's id and text, so equal rows share
+    them. Keys are gathered by name; name and mark together tell rows apart by 128 bits."""
+    return docs.select(F.xxhash64(key, text).alias("name"), F.xxhash64(text, F.lit("mark"), key).alias("mark"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

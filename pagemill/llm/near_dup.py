@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import dropped, free_name, stored
 from pagemill.llm.components import components
 
 #: Words in a shingle, hash seed, most bits in which linked fingerprints differ.
@@ -196,8 +196,6 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     keepers = near_duplicates(docs, key=key, text=text, shingle=shingle).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keepers.withColumnRenamed("doc_id", key), key, "left_semi")
     first = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text)))
-    place = "_place"
-    while place in docs.columns:
-        place += "_"
+    place = free_name(docs, "_place")
     once = kept.withColumn(place, first).filter(F.col(place) == 1).drop(place)
     return once.unionByName(docs.filter(F.col(key).isNull())).select(docs.columns)

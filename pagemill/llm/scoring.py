@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, Polynomial, buckets_for, mix, runs, stored, text_bytes, word_spans
+from pagemill.llm.common import LOWER, buckets_for, mix, runs, stored, text_bytes, word_hash, word_spans
 from pagemill.llm.exchange import _groups, bucket_of
 
 #: Bytes of the longest context, and of the longest one that is weighed at the driver.
@@ -37,7 +37,7 @@ DEEP, DEPTH = 6, 2
 #: Bytes of text folded at once, and of those sorted at once; contexts of a bucket weighed at once.
 FOLD_BYTES, SORT_BYTES, WEIGH = 8 << 20, 2 << 20, 1 << 17
 END, GAP = 0x0A, 0x20
-_PLACE, _KEY = Polynomial(31), Polynomial(32)
+_PLACE, _KEY = 31, 32
 
 
 def stream(data: np.ndarray, offsets: np.ndarray):
@@ -337,7 +337,7 @@ def _words_of(out: np.ndarray, at: np.ndarray):
     for a, b in runs(at):
         data = out[at[a] : at[b]]
         starts, ends, row = word_spans(data, at[a : b + 1] - at[a])
-        yield _PLACE.spans(_PLACE.prefix(data), starts, ends), _KEY.spans(_KEY.prefix(data), starts, ends), a + row
+        yield word_hash(data, starts, ends, _PLACE), word_hash(data, starts, ends, _KEY), a + row
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int):

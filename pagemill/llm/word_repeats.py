@@ -24,20 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Polynomial, buckets_for, mix, runs, stored, text_bytes, word_spans
+from pagemill.llm.common import Polynomial, buckets_for, dropped, mix, runs, stored, text_bytes, word_hash, word_spans
 from pagemill.llm.exchange import LAST, KeyLists, Later, Shared, named, shared_keys
 
 #: Fixed value: words of a window.
 WINDOW = 13
 #: Pair rounds; words on either side of a cut that its key has (a cut is certain from MARGIN words inside on).
 LEVELS, MARGIN = 2, 4
-_WORD, _CUT, _PLACE, _KEY = Polynomial(1), Polynomial(2), Polynomial(3), Polynomial(4)
+_WORD, _CUT, _PLACE, _KEY = 1, Polynomial(2), Polynomial(3), Polynomial(4)
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray):
     """Hash of each word and its row."""
     starts, ends, row = word_spans(data, offsets)
-    return _WORD.spans(_WORD.prefix(data), starts, ends), row
+    return word_hash(data, starts, ends, _WORD), row
 
 
 def recompress(symbol: np.ndarray, row: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -124,15 +124,14 @@ def _whole(texts: pa.Array) -> pa.Array:
 
 
 _WHOLE = "struct<n_words:long,kept_sha256:string,runs:boolean>"
-_REMOVED = "name long, spans array<struct<start:int,n:int>>, n_removed long, kept string"
+_REMOVED = "name long, mark long, spans array<struct<start:int,n:int>>, n_removed long, kept string"
 
 
 def _remove(batches):
     """Spans of words to remove, their number and the kept words, of texts that lose some."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        names = batch.column("name").to_pylist()
-        out = []
+        names, marks, out = batch.column("name").to_pylist(), batch.column("mark").to_pylist(), []
         for a, b in runs(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             symbol, row = symbols(part, at)
@@ -148,30 +147,30 @@ def _remove(batches):
                 words = part[at[r] : at[r + 1]].tobytes().split()
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
                 spans = [{"start": s, "n": e - s} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-                out.append({"name": names[a + r], "spans": spans, "n_removed": int(mask.sum()), "kept": b" ".join(w for w, x in zip(words, mask.tolist(), strict=True) if not x).decode()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))), ("n_removed", pa.int64()), ("kept", pa.string())]))
+                out.append({"name": names[a + r], "mark": marks[a + r], "spans": spans, "n_removed": int(mask.sum()), "kept": b" ".join(w for w, x in zip(words, mask.tolist(), strict=True) if not x).decode()})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.int64()), ("mark", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
 
 def repeated_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Of every row (name, id, n_words, kept_sha256 of all words); and of each name that loses
     words, the spans of removed words, their number and the kept text."""
     spark, texts = docs.sparkSession, named(docs, key, text)
-    every = stored(texts.select("name", "id", F.arrow_udf(_whole, _WHOLE)("text").alias("w")).select("name", "id", "w.n_words", "w.kept_sha256", "w.runs"), "words")
+    every = stored(texts.select("name", "mark", "id", F.arrow_udf(_whole, _WHOLE)("text").alias("w")).select("name", "mark", "id", "w.n_words", "w.kept_sha256", "w.runs"), "words")
     words = every.agg(F.sum("n_words")).first()[0] or 0
     buckets = buckets_for(spark, words)
     shared = shared_keys(texts, _cut_keys, Shared(by_id=True), buckets, key_type=np.uint32)
     wanted = shared.join(every.filter(f"runs and n_words >= {WINDOW}").select("name").distinct(), "name", "full_outer")
     some = stored(texts.filter("id is not null").join(wanted, "name"), "candidates")
     later = stored(shared_keys(some, _candidate_keys, Later(), buckets, extra=("keys",)), "repeats")
-    removed = some.select("name", "text").join(later, "name").dropDuplicates(["name"]).mapInArrow(_remove, _REMOVED)
+    removed = some.select("name", "mark", "text").join(later, "name").dropDuplicates(["name", "mark"]).mapInArrow(_remove, _REMOVED)
     return every.drop("runs"), removed
 
 
 def word_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, and the spans of removed words."""
     every, removed = repeated_words(docs, key=key, text=text)
-    gone = removed.select("name", "n_removed", F.sha2("kept", 256).alias("sha"), "spans")
-    return every.join(gone, "name", "left").select(
+    gone = removed.select("name", "mark", "n_removed", F.sha2("kept", 256).alias("sha"), "spans")
+    return every.join(gone, ["name", "mark"], "left").select(
         F.col("id").alias("doc_id"),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
