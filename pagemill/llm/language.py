@@ -3,9 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary; the
 probability of a text is the sum over all ways to cut it into pieces, computed by the
 forward algorithm. Pieces do not cross white space, so a text's probability is a product
-over its words and a worker scores a distinct word once. Words are lower-cased (A-Z),
-led by a space, and cut into parts of PART bytes if longer. Probabilities come from
-expectation maximisation over a bounded sample of labelled rows, PER_LANG a language.
+over its words and a worker scores a distinct word once. Words are lower-cased (A-Z) and led
+by a space; words of any length are walked whole, and pieces of any length take part.
+
+Probabilities come from expectation maximisation over a bounded sample of labelled rows,
+PER_LANG a language. The words of the sample stay in Spark: each round sends the
+probabilities to the executors, which add up the expected counts of pieces, and the driver
+holds one number for each piece and language that occur together.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is
 every text if there was nothing to learn from; ties go to the language first in
@@ -18,30 +22,46 @@ import base64
 from dataclasses import dataclass, field
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, SPACE, Polynomial, runs, text_bytes, word_spans
-from pagemill.llm.packing import vocabulary_path
+from pagemill.llm.common import LOWER, SPACE, dropped, mix, runs, stored, text_bytes, word_hash, word_spans
 
 #: Labelled rows to learn from, a language at most: the documented bound of the sample.
 PER_LANG = 400
-#: Longest piece and word part in bytes (a piece fits a 64-bit key), rounds of learning, least expected count.
-PIECE, PART, ROUNDS, FLOOR = 8, 24, 3, 1e-3
+#: Rounds of learning, least expected count of a piece.
+ROUNDS, FLOOR = 3, 1e-3
 UNKNOWN = "und"
-#: Words a worker remembers, and bytes of forward tables at once.
-REMEMBER, TABLE_BYTES = 1 << 20, 1 << 26
+#: Bytes of a piece that are its key; longer ones are told apart by their bytes. Bytes of words up to
+#: which probabilities fit a float; beyond, logarithms are added.
+KEY, PLAIN = 8, 24
+#: Words a worker remembers, bytes of words walked at once, and parts of one in which expected counts are summed.
+REMEMBER, WALK_BYTES, UNIT = 1 << 20, 1 << 18, 1 << 20
+
+
+def vocabulary_path() -> str:
+    """Pieces of the public 50k byte-level BPE vocabulary."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, np.uint64, np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 @dataclass
 class Pieces:
-    """The vocabulary's pieces of at most PIECE bytes, lower-cased: for each length the sorted
-    keys (bytes packed little-endian) and the number of each."""
-
-    keys: list = field(default_factory=list)
-    first: list = field(default_factory=list)
+    """The vocabulary's pieces, lower-cased: for each length the sorted keys and the number of the
+    first. The key of a piece is its bytes packed little-endian, or a mixture of its first
+    KEY bytes and its last if it is longer; then its bytes are kept for comparing."""
+
+    keys: dict = field(default_factory=dict)
+    first: dict = field(default_factory=dict)
+    raw: dict = field(default_factory=dict)
+    leads: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # first KEY bytes of longer pieces
     n: int = 0
 
     @classmethod
@@ -50,108 +70,158 @@ class Pieces:
             found = {base64.b64decode(line.split()[0]).lower() for line in lines}
         found |= {bytes([b]) for b in range(256)}
         space = bytes(np.flatnonzero(SPACE).tolist())
-        made = cls()
-        for length in range(1, PIECE + 1):
-            keys = sorted(int.from_bytes(p, "little") for p in found if len(p) == length and not any(c in space for c in p[1:]))
-            made.keys.append(np.array(keys, np.uint64))
-            made.first.append(made.n)
-            made.n += len(keys)
+        by_size: dict[int, list] = {}
+        for piece in found:
+            if not any(c in space for c in piece[1:]):
+                by_size.setdefault(len(piece), []).append(piece)
+        made, leads = cls(), []
+        for length, some in sorted(by_size.items()):
+            table = np.frombuffer(b"".join(sorted(some)), np.uint8).reshape(len(some), length)
+            flat = table.ravel()
+            key = cls.key(_eights(flat), np.arange(0, len(flat), length), length)
+            order = np.argsort(key, kind="stable")
+            made.keys[length], made.first[length], made.raw[length] = key[order], made.n, table[order]
+            if length > KEY:
+                leads.append(_eights(flat)[np.arange(0, len(flat), length)])
+            made.n += len(some)
+        made.leads = np.unique(np.concatenate([made.leads, *leads]))
         return made
 
-    def at(self, key: np.ndarray, length: int) -> np.ndarray:
-        """Number of the piece with this key, n if there is none."""
-        keys = self.keys[length - 1]
-        if not len(keys):
-            return np.full(len(key), self.n)
-        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[i] == key, i + self.first[length - 1], self.n)
+    @staticmethod
+    def key(eights: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        if length < KEY:
+            return eights[at] & np.uint64((1 << 8 * length) - 1)
+        return eights[at] if length == KEY else mix(eights[at]) + eights[at + length - KEY]
+
+    def find(self, data: np.ndarray, eights: np.ndarray, at: np.ndarray, length: int):
+        """Which of the places hold a piece of this length, and its number."""
+        keys = self.keys[length]
+        key = self.key(eights, at, length)
+        i = np.searchsorted(keys, key)
+        i[i == len(keys)] = 0
+        there = np.flatnonzero(keys[i] == key)
+        if length > KEY and len(there):  # several pieces may have one key only by chance; then the first counts
+            same = (data[at[there][:, None] + np.arange(length)] == self.raw[length][i[there]]).all(axis=1)
+            there = there[same]
+        return there, i[there] + self.first[length]
 
 
 class Lattice:
-    """Pieces at every place of some word parts, led by a space, longest part first."""
+    """All pieces at all places of some words, each led by a space."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         size = ends - starts + 1
-        self.order = np.argsort(-size, kind="stable")
-        size, starts = size[self.order], starts[self.order]
-        self.size, self.width = size, int(size[0]) if len(size) else 0
-        text = np.zeros((len(size), self.width + PIECE), np.uint64)
-        text[:, 0] = 0x20
-        inside = np.arange(1, self.width)[None, :] < size[:, None]
-        if self.width > 1:
-            take = np.minimum(starts[:, None] + np.arange(self.width - 1)[None, :], max(len(data) - 1, 0))
-            text[:, 1 : self.width] = np.where(inside, data[take], 0)
-        self.arcs = []  # (place, length, how many parts reach there, piece of each)
-        key = np.zeros((len(size), self.width), np.uint64)
-        for length in range(1, PIECE + 1):
-            key = key | (text[:, length - 1 : length - 1 + self.width] << np.uint64(8 * (length - 1)))
-            for place in range(self.width - length + 1):
-                reach = int(np.searchsorted(-size, -(place + length), "right"))
-                self.arcs.append((place, length, reach, pieces.at(key[:reach, place], length)))
-        self.arcs.sort(key=lambda arc: arc[:2])
-
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """alpha[place]: probability of all segmentations of each part up to place, a column a language."""
-        alpha = np.zeros((self.width + 1, len(self.size), prob.shape[1]))
-        alpha[0] = 1
-        for place, length, reach, piece in self.arcs:
-            alpha[place + length, :reach] += alpha[place, :reach] * prob[piece]
+        self.base = np.cumsum(size) - size  # of each word in the flat text; node base + word number + place
+        flat = np.full(int(size.sum()), 0x20, np.uint8)
+        word = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(flat)) - self.base[word]
+        inside = place > 0
+        flat[inside] = data[(starts[word] + place - 1)[inside]]
+        left = size[word] - place
+        eights = _eights(flat)
+        parts = [(np.empty(0, np.int64),) * 3]
+        some = np.arange(len(flat))
+        for length in pieces.keys:
+            if length == KEY + 1 and len(pieces.leads):
+                i = np.searchsorted(pieces.leads, eights[some])
+                some = some[pieces.leads[np.minimum(i, len(pieces.leads) - 1)] == eights[some]]
+            some = some[left[some] >= length]
+            there, piece = pieces.find(flat, eights, some, length)
+            at = some[there]
+            parts.append((at + word[at], np.full(len(at), length), piece))
+        begin, length, self.piece = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.begin, self.end = begin, begin + length
+        self.first, self.last = self.base + np.arange(len(size)), self.base + np.arange(len(size)) + size
+        self.nodes = len(flat) + len(size)
+        self.size, self.length = size, length
+
+    def _steps(self, ends: bool):
+        """Arcs of one step (all that end, or begin, at one place of their word), and where groups by node start."""
+        first_of = np.repeat(self.first, self.size + 1)
+        node = self.end if ends else self.begin
+        place = node - first_of[node]
+        order = np.lexsort((node, place))
+        edges = np.flatnonzero(np.diff(place[order], prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+            arcs = order[a:b]
+            yield arcs, np.flatnonzero(np.diff(node[arcs], prepend=-1))
+
+    def forward(self, prob: np.ndarray, logs: bool = False) -> np.ndarray:
+        """Probability (or its logarithm) of all segmentations of each word up to each node, a column a language."""
+        alpha = np.full((self.nodes, prob.shape[1]), -np.inf if logs else 0.0)
+        alpha[self.first] = 0 if logs else 1
+        for arcs, group in self._steps(ends=True):
+            self._add(alpha, self.end[arcs][group], alpha[self.begin[arcs]], prob[self.piece[arcs]], group, logs)
         return alpha
 
-    def total(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[self.size, np.arange(len(self.size))]
-
-    def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected count of each piece, given how often each part occurs in each language."""
-        alpha = self.forward(prob)
-        total = self.total(alpha)
-        beta = np.zeros_like(alpha)
-        beta[self.size, np.arange(len(self.size))] = weight[self.order] / np.maximum(total, 1e-300)
-        counts = np.zeros_like(prob)
-        for place, length, reach, piece in reversed(self.arcs):
-            onward = beta[place + length, :reach] * prob[piece]
-            beta[place, :reach] += onward
-            share = onward * alpha[place, :reach]
-            for lang in range(prob.shape[1]):
-                counts[:, lang] += np.bincount(piece, share[:, lang], len(prob))
-        return counts
-
-
-def word_parts(data: np.ndarray, offsets: np.ndarray):
-    """Start, end and row of each word, words over PART - 1 bytes in parts."""
-    starts, ends, rows = word_spans(data, offsets)
-    n = -(-(ends - starts) // (PART - 1))
-    if len(n) and n.max() > 1:
-        part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(starts, n) + part * (PART - 1)
-        ends, rows = np.minimum(np.repeat(ends, n), starts + PART - 1), np.repeat(rows, n)
-    return starts, ends, rows
+    def backward(self, prob: np.ndarray, logs: bool = False) -> np.ndarray:
+        """The same from each node to the end of its word."""
+        beta = np.full((self.nodes, prob.shape[1]), -np.inf if logs else 0.0)
+        beta[self.last] = 0 if logs else 1
+        for arcs, group in reversed(list(self._steps(ends=False))):
+            self._add(beta, self.begin[arcs][group], beta[self.end[arcs]], prob[self.piece[arcs]], group, logs)
+        return beta
+
+    @staticmethod
+    def _add(table, nodes, before, prob, group, logs):
+        if logs:
+            each = before + prob
+            most = np.maximum.reduceat(each, group)
+            size = np.diff(np.append(group, len(each)))
+            table[nodes] = most + np.log(np.add.reduceat(np.exp(each - np.repeat(most, size, axis=0)), group))
+        else:
+            table[nodes] = np.add.reduceat(before * prob, group)
+
+    def totals(self, prob: np.ndarray, logs: bool) -> np.ndarray:
+        """Log probability of each word."""
+        alpha = self.forward(np.log(prob) if logs else prob, logs)[self.last]
+        return alpha if logs else np.log(alpha)
+
+    def expected(self, prob: np.ndarray, weight: np.ndarray, logs: bool) -> np.ndarray:
+        """Expected count of each piece, given how often each word occurs in each language."""
+        p = np.log(prob) if logs else prob
+        alpha, beta = self.forward(p, logs), self.backward(p, logs)
+        word = np.repeat(np.arange(len(self.size)), self.size + 1)[self.begin]
+        total = alpha[self.last][word]
+        share = np.exp(alpha[self.begin] + p[self.piece] + beta[self.end] - total) if logs else alpha[self.begin] * p[self.piece] * beta[self.end] / total
+        share *= weight[word]
+        return np.stack([np.bincount(self.piece, share[:, lang], len(prob)) for lang in range(prob.shape[1])], axis=1)
+
+
+def lattices(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(indices of words, their lattice, whether to add logarithms): words of like size, some at once."""
+    order = np.argsort(ends - starts, kind="stable")
+    size = (ends - starts)[order] + 1
+    sums, long, a = np.cumsum(size), int(np.searchsorted(size, PLAIN, "right")), 0
+    while a < len(order):
+        b = max(int(np.searchsorted(sums, (sums[a - 1] if a else 0) + WALK_BYTES, "right")), a + 1)
+        if a < long < b:
+            b = long
+        some = order[a:b]
+        yield some, Lattice(pieces, data, starts[some], ends[some]), a >= long
+        a = b
 
 
 class Scorer:
     """Log probabilities of words in each language; remembers the words it has scored."""
 
     def __init__(self, pieces: Pieces, prob: np.ndarray):
-        self.pieces, self.prob, self.hash = pieces, prob, Polynomial(11)
+        self.pieces, self.prob = pieces, prob
         self.forget()
 
     def forget(self) -> None:
         self.known, self.logs = np.empty(0, np.uint64), np.empty((0, self.prob.shape[1]))
 
     def fresh(self, data, starts, ends) -> np.ndarray:
-        step = max(1, TABLE_BYTES // (8 * (PART + 1) * self.prob.shape[1]))
         logs = np.empty((len(starts), self.prob.shape[1]))
-        by_size = np.argsort(ends - starts, kind="stable")
-        for i in range(0, len(starts), step):
-            some = by_size[i : i + step]
-            lattice = Lattice(self.pieces, data, starts[some], ends[some])
-            logs[some[lattice.order]] = np.log(np.maximum(lattice.total(lattice.forward(self.prob)), 1e-300))
+        for some, lattice, long in lattices(self.pieces, data, starts, ends):
+            logs[some] = lattice.totals(self.prob, long)
         return logs
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Sum over the words of each row."""
-        starts, ends, rows = word_parts(data, offsets)
-        words, first, which = np.unique(self.hash.spans(self.hash.prefix(data), starts, ends), return_index=True, return_inverse=True)
+        starts, ends, rows = word_spans(data, offsets)
+        words, first, which = np.unique(word_hash(data, starts, ends, 11), return_index=True, return_inverse=True)
         new = ~np.isin(words, self.known, assume_unique=True)
         if new.any():
             logs = self.fresh(data, starts[first[new]], ends[first[new]])
@@ -170,44 +240,68 @@ class Scorer:
 class LanguageModel:
     langs: list[str]
     pieces: Pieces
-    prob: np.ndarray  # piece (and a last row of zeros) x language
+    prob: np.ndarray  # piece x language
+
 
+def chosen_rows(labelled: DataFrame, *, key: str, text: str, lang: str, per_lang: int) -> DataFrame:
+    """(text, lang) of at most per_lang rows of each language, those of least hashed id."""
+    usable = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and id is not null").withColumn("place", F.xxhash64("id"))
+    # a hash bound leaves a few times per_lang rows of a language, however many it has
+    bounds = usable.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.expr(f"least(1.0D, {4 * per_lang}D / n)").alias("part"))
+    near = usable.join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).filter(f"part >= 1 or place / {2.0**64} + 0.5 <= part")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "id", F.xxhash64("text")))
+    return near.withColumn("nth", nth).filter(F.col("nth") <= per_lang).select("text", "lang")
 
-def word_counts(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, word, n): lower-cased word parts of each language with their counts."""
+
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, word, n) of (text, lang): lower-cased words of each language with their counts."""
 
     def count(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             data = LOWER[data]
-            starts, ends, rows = word_parts(data, offsets)
+            starts, ends, rows = word_spans(data, offsets)
             raw = data.tobytes()
             yield pa.RecordBatch.from_pydict({"lang": batch.column(1).take(pa.array(rows)), "word": pa.array([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
-    return labelled.select(text, lang).mapInArrow(count, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return labelled.select("text", "lang").mapInArrow(count, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
+def expected_counts(words: DataFrame, model) -> DataFrame:
+    """(lang, piece, n): expected counts in UNITs under the broadcast (pieces, probabilities, languages)."""
+
+    def count(batches):
+        pieces, prob, langs = model.value
+        sums = np.zeros_like(prob)
+        for batch in batches:
+            if batch.num_rows:
+                data, offsets = text_bytes(batch.column("word"))
+                weight = np.zeros((batch.num_rows, len(langs)))
+                weight[np.arange(batch.num_rows), np.searchsorted(np.array(langs, object), np.array(batch.column("lang").to_pylist(), object))] = batch.column("n").to_numpy()
+                for some, lattice, long in lattices(pieces, data, offsets[:-1], offsets[1:]):
+                    sums += np.rint(lattice.expected(prob, weight[some], long) * UNIT)
+        piece, lang = np.nonzero(sums)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "piece": pa.array(piece, pa.int32()), "n": pa.array(sums[piece, lang].astype(np.int64))})
+
+    return words.mapInArrow(count, "lang int, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 def fit_language(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, path: str | None = None) -> LanguageModel:
-    """Learn piece probabilities from at most per_lang rows of each language, those of least hashed id."""
-    place = F.row_number().over(W.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    chosen = usable.select(key, lang).withColumn("_place", place).filter(F.col("_place") <= per_lang).select(key, lang)
-    words = word_counts(usable.join(F.broadcast(chosen), [key, lang], "left_semi"), text=text, lang=lang).toPandas()
-    pieces, langs = Pieces.of(path or vocabulary_path()), sorted(words["lang"].unique())
-    distinct, which = np.unique(words["word"].to_numpy(dtype=object), return_inverse=True) if len(words) else (np.empty(0, object), np.empty(0, int))
-    weight = np.zeros((len(distinct), len(langs)))
-    np.add.at(weight, (which, np.searchsorted(np.array(langs, dtype=object), words["lang"].to_numpy(dtype=object)) if len(words) else which), words["n"].to_numpy())
-    ends = np.cumsum([len(w) for w in distinct], dtype=np.int64)
-    data, starts = np.frombuffer(b"".join(distinct), np.uint8), ends - np.array([len(w) for w in distinct], np.int64)
-    prob = np.full((pieces.n + 1, len(langs)), 1e-3)
-    prob[-1] = 0
-    step = max(1, TABLE_BYTES // (8 * (PART + 1) * max(len(langs), 1)))
-    for _ in range(ROUNDS if len(distinct) else 0):
+    """Learn piece probabilities from at most per_lang rows of each language, those of least hashed id.
+    The driver holds a number for each piece of the vocabulary and language, whatever the corpus."""
+    spark = labelled.sparkSession
+    words = stored(word_counts(chosen_rows(labelled, key=key, text=text, lang=lang, per_lang=per_lang)).repartition("word").sortWithinPartitions("word", "lang"), "words")
+    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
+    pieces = Pieces.of(path or vocabulary_path())
+    prob = np.full((pieces.n, len(langs)), 1e-3)
+    for _ in range(ROUNDS if langs else 0):
+        shared = spark.sparkContext.broadcast((pieces, prob, langs))
+        found = expected_counts(words, shared).toArrow()
         counts = np.full_like(prob, FLOOR)
-        for i in range(0, len(distinct), step):
-            counts += Lattice(pieces, data, starts[i : i + step], ends[i : i + step]).expected(prob, weight[i : i + step])
-        counts[-1] = 0
+        counts[found["piece"].to_numpy(), found["lang"].to_numpy()] += found["n"].to_numpy() / UNIT
         prob = counts / counts.sum(axis=0)
+        shared.destroy()
+    dropped(words)
     return LanguageModel(langs, pieces, prob)
 
 

@@ -53,7 +53,6 @@ def test_pieces_round_trip(spark):
     rows += [(100, None), (101, ""), (3, rows[3][1]), (3, rows[3][1]), (None, "x")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, piece int")
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs).collect()
     want = []
     for i, t in rows:
