@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import free_name, stored
 
 #: Words of a window; share of hit words (one in SHARE) from which a document counts as contaminated.
 WINDOW, SHARE = 13, 20
@@ -85,14 +85,14 @@ def shingle_occurrences(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     for size in sizes or [SHINGLE]:
         last, wanted = F.size("w") - size, shingles.filter(F.col("size") == size)
         starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-        spread = lambda make, name: docs.select("doc_id", "doc", "w", F.posexplode(F.when(last >= 0, F.transform(starts, lambda at: make(F.col("w"), at, size)))).alias("at", name))  # noqa: B023, E731
-        grams = wanted.select("gram").distinct()
-        if _is_small(grams):  # hashes first: the words of a place are only read if its hash is wanted
-            near = spread(_shingle, "h").join(F.broadcast(wanted.select("h").distinct()), "h", "left_semi")
-            near = near.select("doc_id", "doc", "at", _gram(F.col("w"), F.col("at"), size).alias("gram"))
-            found.append(near.join(F.broadcast(grams), "gram", "left_semi").select("doc_id", "doc", "at", "gram"))
-        else:
-            found.append(spread(_gram, "gram").drop("w").join(grams, "gram", "left_semi").select("doc_id", "doc", "at", "gram"))
+        # a row a place has the words of its shingle alone: a document's words are not copied along
+        here = lambda at: F.struct(_shingle(F.col("w"), at, size).alias("h"), F.array(*(F.col("w")[at + k] for k in range(size))).alias("words"))  # noqa: B023, E731
+        spread = docs.select("doc_id", "doc", F.posexplode(F.when(last >= 0, F.transform(starts, here))).alias("at", "s"))
+        near, grams = spread.select("doc_id", "doc", "at", F.col("s.h").alias("h"), F.col("s.words").alias("words")), wanted.select("gram").distinct()
+        if _is_small(grams):  # hashes first: the words of a place are only joined if its hash is wanted
+            near = near.join(F.broadcast(wanted.select("h").distinct()), "h", "left_semi")
+        near = near.select("doc_id", "doc", "at", fold(F.array_join("words", " ")).alias("gram"))
+        found.append(near.join(_small(grams), "gram", "left_semi").select("doc_id", "doc", "at", "gram"))
     whole = found[0]
     for one in found[1:]:
         whole = whole.union(one)
@@ -121,8 +121,14 @@ def window_hits(parts: DataFrame, found: DataFrame) -> DataFrame:
     return alone.drop("need").union(met.filter("met = need").drop("need", "met"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated.
+    names are those of judged."""
+    return judged(docs, items, **names).drop("doc")
+
+
+def judged(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """contamination with the hash of each row as doc."""
     owners = stored(item_windows(items, key=item_key, text=item_text, window=window), "windows")
     parts = stored(window_shingles(owners), "shingles")
     # A row is named by its id and a hash of both: never wholly null, and equal only for equal rows.
@@ -137,12 +143,16 @@ def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", tex
     n_hit, items_held = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return (
         counted.join(both, (F.col("doc") == F.col("_doc")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_held).cast("long").alias("n_items"), items_held.alias("items"))
+        .select("doc_id", "doc", "n_words", n_hit.alias("n_hit"), F.size(items_held).cast("long").alias("n_items"), items_held.alias("items"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
     )
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """docs without the rows whose id is contaminated; rows without id stay."""
-    bad = contamination(docs, items, key=key, text=text, item_key=item_key).filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, key, "left_anti").select(docs.columns)
+    """docs without the rows that are contaminated, each judged by its own text: a clean row stays
+    whatever other rows have its id, and a contaminated one goes with or without id."""
+    bad = stored(judged(docs, items, key=key, text=text, item_key=item_key).filter("contaminated").select("doc_id", "doc").distinct(), "contaminated")
+    doc = free_name(docs, "_doc")
+    bad = _small(bad.select(F.col("doc_id").alias(f"{doc}id"), F.col("doc").alias(f"{doc}hash")))
+    marked = docs.withColumn(doc, F.xxhash64(key, text))
+    return marked.join(bad, (F.col(doc) == F.col(f"{doc}hash")) & F.col(key).eqNullSafe(F.col(f"{doc}id")), "left_anti").drop(doc)
