@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import stored
@@ -121,7 +120,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     ahead, momentum = weight, 1.0
     for _ in range(STEPS):
         error = 1 / (1 + np.exp(-(c @ ahead + bias))) - y
-        bias -= 4 * error.mean() / 4
+        bias -= error.mean()
         moved = ahead - step * (c.T @ error) / len(y)
         fresh = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
@@ -166,12 +165,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str
     rows = stored(rows, "statistics")
     marked = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
     # the sample is chosen among the labels alone, by hash buckets that hold a few times `sample` rows in all
-    order = W.partitionBy(F.lit(0)).orderBy("place", "doc_id")
     known = rows.filter("learnt").join(marked, "doc_id").withColumn("place", F.xxhash64("doc_id"))
     n = known.count()
     if n > sample:
         bound = -(2**63) + int(2**64 * min(1.0, 1.2 * sample / n))
-        known = known.filter(F.col("place") <= bound).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample)
+        known = known.filter(F.col("place") <= bound).orderBy("place", "doc_id", *names).limit(sample)
     data = known.select("doc_id", *names, "label").orderBy("doc_id", *names).toPandas()
     model = fit_rules(data[names].to_numpy(float), data["label"].to_numpy(float), names)
     return rows.select("doc_id", "learnt", model.score().alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

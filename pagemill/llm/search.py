@@ -8,9 +8,11 @@ score found there goes along with it), then all others, where whole trees mostly
 that score. Queries travel in blocks, so a task holds one tree and one block.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and
-rows without id, take no part; rows of one id count once (the least vector); vectors of
-another dimension are not compared; fewer than k others give as many; ties go to the
-smaller id; an empty table gives an empty result.
+rows without id, take no part; rows of one id are rows of their own, as queries and as
+candidates, also of each other; vectors of another dimension are not compared; fewer than k
+others give as many; ties go to the smaller id; components and products beyond 64 bits are
+worked out exactly, and a score that no long holds is an error; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +42,9 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 class KDTree:
     """Nodes in arrays: children of node i (-1: leaf), rows from first to last, and its box."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.points = ids[order], points[order]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.points = ids[order], rows[order], points[order]
         self.nodes, self.low, self.high = [], [], []
         at = np.arange(len(ids))
         todo = [(0, len(ids), -1, 0)]
@@ -61,13 +63,13 @@ class KDTree:
                 half = (first + last) // 2
                 at[first:last] = at[first:last][np.argpartition(rows[:, axis], half - first)]
                 todo += [(first, half, me, 0), (half, last, me, 1)]
-        self.ids, self.points = self.ids[at], self.points[at]
+        self.ids, self.rows, self.points = self.ids[at], self.rows[at], self.points[at]
         self.low, self.high = np.array(self.low), np.array(self.high)
 
-    def search(self, query: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
-        """The k best (score, -id) with a score of at least `least`, but for the query's own id."""
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int, int]]:
+        """The k best (score, -id, -row) with a score of at least `least`, but for the query's own row."""
         bounds = np.maximum(query * self.low, query * self.high).sum(axis=1)
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
         open_nodes = [(-int(bounds[0]), 0)]
         while open_nodes:
             bound, node = heapq.heappop(open_nodes)
@@ -82,8 +84,8 @@ class KDTree:
             scores = self.points[first:last] @ query
             good = np.arange(len(scores)) if floor is None else np.flatnonzero(scores >= floor)
             for i in good.tolist():
-                hit = (int(scores[i]), -int(self.ids[first + i]))
-                if -hit[1] == own or least is not None and hit[0] < least:
+                hit = (int(scores[i]), -int(self.ids[first + i]), -int(self.rows[first + i]))
+                if -hit[2] == own or least is not None and hit[0] < least:
                     continue
                 if len(found) < k:
                     heapq.heappush(found, hit)
@@ -92,7 +94,7 @@ class KDTree:
         return found
 
 
-_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_HITS = pa.schema([(c, pa.int64()) for c in ("query", "vec_id", "row", "score")])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -104,12 +106,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _search_shard(k: int):
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = ([], [], [], [])
         if points.num_rows and queries.num_rows:
-            tree = KDTree(points["vec_id"].to_numpy(), _matrix(points["v"]))
-            for own, query, least in zip(queries["query_id"].to_pylist(), _matrix(queries["v"]), queries["least"].to_pylist(), strict=True):
-                for score, other in tree.search(query, own, k, least):
-                    for column, value in zip(out, (own, -other, score), strict=True):
+            vectors, asked = _matrix(points["v"]), _matrix(queries["v"])
+            if np.abs(vectors.astype(float)).max() * np.abs(asked.astype(float)).max() * vectors.shape[1] >= 2.0**62:
+                vectors, asked = vectors.astype(object), asked.astype(object)  # whole numbers of any size
+            tree = KDTree(points["vec_id"].to_numpy(), points["row"].to_numpy(), vectors)
+            for own, query, least in zip(queries["query"].to_pylist(), asked, queries["least"].to_pylist(), strict=True):
+                for score, other, row in tree.search(query, own, k, least):
+                    for column, value in zip(out, (own, -other, -row, score), strict=True):
                         column.append(value)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_HITS)
 
@@ -119,22 +124,21 @@ def _search_shard(k: int):
 def top_inner_products(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = TOP, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best others of each query."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), is_query.alias("asks"), quantised(F.col(vector)).alias("v")).filter("v is not null and vec_id is not null")
-    points = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")).withColumn("dim", F.size("v"))
-    points = stored(points, "points")
+    points = stored(rows.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "points")  # stored, so that a row keeps its number
     n, n_queries = points.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     shards, blocks = n // shard + 1, n_queries // block + 1
-    placed = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    queries = stored(points.filter("asks").select(F.col("vec_id").alias("query_id"), "v", "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).alias("block")), "queries")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    placed = points.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    queries = stored(points.filter("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v", "dim", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("row", F.lit(2)), F.lit(blocks)).alias("block")), "queries")
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
 
     def search(asked: DataFrame) -> DataFrame:
-        """asked: (query_id, v, dim, shard, block, least). A shard's rows go to each of its blocks."""
+        """asked: (query, v, dim, shard, block, least). A shard's rows go to each of its blocks."""
         meets = asked.select(F.col("shard").alias("s"), F.col("dim").alias("d"), F.col("block").alias("b")).distinct()
-        dealt = placed.join(meets, (F.col("shard") == F.col("s")) & (F.col("dim") == F.col("d"))).select("s", "d", "b", "vec_id", "v")
-        return dealt.groupBy("s", "d", "b").cogroup(asked.groupBy("shard", "dim", "block")).applyInArrow(_search_shard(k), "query_id long, vec_id long, score long")
+        dealt = placed.join(meets, (F.col("shard") == F.col("s")) & (F.col("dim") == F.col("d"))).select("s", "d", "b", "vec_id", "row", "v")
+        return dealt.groupBy("s", "d", "b").cogroup(asked.groupBy("shard", "dim", "block")).applyInArrow(_search_shard(k), "query long, vec_id long, row long, score long")
 
     at_home = stored(search(queries.withColumn("shard", F.col("home")).withColumn("least", F.lit(None).cast("long"))), "home")
-    least = at_home.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    away = queries.join(least, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).filter("shard <> home")
+    least = at_home.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query", F.col("score").alias("least"))
+    away = queries.join(least, "query", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).filter("shard <> home")
     found = at_home.union(search(away)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return found.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")

@@ -13,18 +13,15 @@ from pagemill.llm import quality, scoring, search
 def test_top_k_matches_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, -0.2, 0.0, 0.1, 0.4]) for _ in range(6)]) for i in range(300)]
-    rows += [(1000, None), (1001, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, [0.3] * 4), (1005, [0.2] * 4), (None, [0.1] * 6), (7, rows[7][1])]
+    rows += [(1000, None), (1001, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, [0.3] * 4), (1005, [0.2] * 4), (None, [0.1] * 6), (7, rows[7][1]), (50, [0.4] * 6), (50, [0.4] * 6), (2000, [1e5, -1e5, 0.0, 0.0, 0.0, 0.0]), (2010, [3e6, 0.0, 0.0, 0.0, 0.0, 0.0])]
     vectors = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, score int")
     got = search.top_inner_products(vectors, F.col("vec_id") % 10 == 0, shard=64, block=7)
-    table = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            table[i] = [math.floor(256 * float(np.float32(x))) for x in v]
-    want = set()
-    for q in (i for i in table if i % 10 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(table[q], v, strict=True)), i) for i, v in table.items() if i != q and len(v) == len(table[q]))
-        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])}
-    assert {tuple(r) for r in got.collect()} == want
+    table = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, (q, asked) in enumerate(table):
+        scored = sorted((-sum(a * b for a, b in zip(asked, v, strict=True)), i) for m, (i, v) in enumerate(table) if m != n and len(v) == len(asked))
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])] if q % 10 == 0 else []
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert search.top_inner_products(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
