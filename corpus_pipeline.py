@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, language, near_dup, packing, secrets
-from pagemill.llm.common import remainder, stored, table
+from pagemill.llm.common import free_name, remainder, stored, table
 
 #: Least posterior probability of a document's language.
 CERTAIN = 0.5
@@ -20,8 +20,9 @@ CERTAIN = 0.5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language stays in doubt."""
     model = language.fit_language(docs.filter(F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))))
-    found = language.language_of(F.col("text"), model, spark)
-    return docs.withColumn("_found", found).filter((F.col("_found.lang") != language.UNKNOWN) & (F.col("_found.score") >= CERTAIN)).select(docs.columns)
+    found = free_name(docs, "_found")
+    told = language.identify_languages(docs, model, out=found)
+    return told.filter((F.col(found)["lang"] != language.UNKNOWN) & (F.col(found)["score"] >= CERTAIN)).drop(found)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
