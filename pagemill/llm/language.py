@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import LOWER, SPACE, dropped, mix, runs, stored, text_bytes, word_hash, word_spans
+from pagemill.llm.common import LOWER, SPACE, bounded_batches, dropped, mix, runs, stored, text_bytes, word_hash, word_spans
 
 #: Labelled rows to learn from, a language at most: the documented bound of the sample.
 PER_LANG = 400
@@ -39,7 +39,7 @@ UNKNOWN = "und"
 #: which probabilities fit a float; beyond, logarithms are added.
 KEY, PLAIN = 8, 24
 #: Words a worker remembers, bytes of words walked at once, and parts of one in which expected counts are summed.
-REMEMBER, WALK_BYTES, UNIT = 1 << 20, 1 << 18, 1 << 20
+REMEMBER, WALK_BYTES, UNIT = 1 << 20, 1 << 16, 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -307,6 +307,7 @@ def fit_language(labelled: DataFrame, *, key: str = "doc_id", text: str = "text"
 
 def language_of(text: Column, model: LanguageModel, spark) -> Column:
     """struct<lang, score> of a text column: the likeliest language and its posterior probability."""
+    bounded_batches(spark)
     shared, workers = spark.sparkContext.broadcast((model.pieces, model.prob, model.langs)), {}
 
     @F.arrow_udf("struct<lang:string,score:double>")
