@@ -21,7 +21,7 @@ def nfc(text: Column) -> Column:
 
 def normal_title(title: Column) -> Column:
     """For comparison: composed, without white space, punctuation and underscore, lower-case."""
-    return F.lower(F.regexp_replace(nfc(F.coalesce(title, F.lit(""))), r"(?U)[\s\W_]+", ""))
+    return F.lower(F.regexp_replace(nfc(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+", ""))
 
 
 def slug(title: Column) -> Column:
@@ -77,6 +77,37 @@ def percent_done(stage: Column, n_stages: Column, cur: Column, total: Column) ->
     return F.round(((stage - 1) + cur / total) / n_stages * 100, 1)
 
 
+#: Fixed value: characters of a progress message.
+MESSAGE_CHARS = 200
+
+
+def progress_record(stage: Column, n_stages: Column, name: Column, cur: Column, total: Column, message: Column) -> Column:
+    """A progress report as a JSON text; its message is cut, and without a total only whole stages count."""
+    done = F.when(total > 0, cur).otherwise(F.lit(0)), F.when(total > 0, total).otherwise(F.lit(1))
+    fields = {"stage": stage, "stage_total": n_stages, "stage_name": name, "current": cur, "total": total, "pct": percent_done(stage, n_stages, *done), "msg": F.left(message, F.lit(MESSAGE_CHARS))}
+    return F.to_json(F.struct(*(value.alias(key) for key, value in fields.items())))
+
+
+def cut_text(text: Column, limit: int) -> Column:
+    """The first characters of a text."""
+    return F.left(text, F.lit(limit))
+
+
+def n_chars(text: Column) -> Column:
+    """Characters of a text; none for null."""
+    return F.length(F.coalesce(text, F.lit(""))).cast("bigint")
+
+
+def message_or(message: Column, default: str) -> Column:
+    """The message, or a default where it is null or empty."""
+    return F.coalesce(F.nullif(message, F.lit("")), F.lit(default))
+
+
+def json_setting(json: Column, name: str, kind: str, default: object) -> Column:
+    """A field of a JSON text; the default where the text is broken or lacks it."""
+    return F.coalesce(F.from_json(json, f"`{name}` {kind}")[name], F.lit(default))
+
+
 def masked_secret(value: Column) -> Column:
     """First seven and last four characters; *** for twelve or fewer."""
     return F.when(F.length(value) > 12, F.concat(F.left(value, F.lit(7)), F.lit("..."), F.right(value, F.lit(4)))).otherwise(F.lit("***"))
@@ -98,7 +129,8 @@ def squeezed(text: Column) -> Column:
 
 
 def safe_tag(text: Column, limit: int = 30) -> Column:
-    return F.left(F.regexp_replace(text, r"[^A-Za-z0-9_-]", ""), F.lit(limit))
+    """Of the first characters of a tag those that are letters or digits of any script, _ or -."""
+    return F.regexp_replace(F.left(F.coalesce(text, F.lit("")), F.lit(limit)), r"[^\p{L}\p{N}_-]", "")
 
 
 def script_ratio(text: Column, script: str = "가-힣") -> Column:

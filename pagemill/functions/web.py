@@ -13,6 +13,7 @@ LOCAL = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.25
 LOCAL_V6 = ("::1", "fc", "fd", "fe8", "fe9", "fea", "feb")
 
 
+#: The tokens of operating_system, in the order in which they are tried.
 def operating_system(agent: Column) -> Column:
     ua = F.coalesce(agent, F.lit(""))
     has = ua.contains
@@ -67,3 +68,13 @@ def is_local(ip: Column) -> Column:
     for test in tests:
         out = out | F.coalesce(test, F.lit(False))
     return out
+
+
+#: Fixed value: characters of a user agent that a record keeps.
+AGENT_CHARS = 300
+
+
+def client_record(*, forwarded: Column, real: Column, peer: Column, agent: Column, language: Column) -> Column:
+    """What is known of a client, as a JSON text with all fields (a hardware address never is)."""
+    fields = {"ip": real_ip(forwarded, real, peer), "peer_ip": peer, "x_forwarded_for": forwarded, "os": operating_system(agent), "browser": browser(agent), "lang": first_language(language), "mac": F.lit(None).cast("string"), "user_agent": F.left(agent, F.lit(AGENT_CHARS))}
+    return F.to_json(F.struct(*(value.alias(key) for key, value in fields.items())), {"ignoreNullFields": "false"})

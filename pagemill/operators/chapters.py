@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import chapter_id, normal_title, without_tags
+from pagemill.operators.folds import walk_in_order
 from pagemill.operators.ordered import keep_first
+from pagemill.sources.storage import stored
 
 #: Labels of the tree, lengths of texts, gates on located chapters, title length.
 OTHER, ALL_PAGES = "기타", "전체 페이지"
@@ -51,7 +53,8 @@ def chapter_rows(pages: DataFrame, *, book: str, page: str, section: str, title:
 
 
 def chapter_tree(rows: DataFrame) -> DataFrame:
-    """Nested chapters of each book: array of struct<title, id, sections of struct<title, pages>>."""
+    """Nested chapters of each book: array of struct<title, id, sections of struct<title, pages>>. A row
+    holds the numbers and labels of all pages of one book, no texts: some ten bytes a page."""
     page = F.struct(F.col("page").alias("num"), "label")
     sections = rows.groupBy("book", "chapter_no", "chapter", "chapter_id", "section_no", "section").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     listed = F.when(F.col("section_no").isNotNull(), F.struct("section_no", F.col("section").alias("title"), "pages"))
@@ -86,43 +89,82 @@ def pages_in_chapters(chapters: DataFrame) -> DataFrame:
     return own.union(front.select("book", F.lit(0).alias("num"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("first") - 1)).alias("page")))
 
 
-def heading_score(raw: Column, normal: Column, num: Column, title: Column) -> Column:
-    """3: chapter heading and title, 2: heading alone, 1: title alone, 0: neither."""
-    top = F.left(raw, F.lit(HEAD_CHARS))
-    heading = lambda pattern: F.rlike(top, F.concat(F.lit(pattern[0]), num.cast("string"), F.lit(pattern[1])))
-    head = (num > 0) & (heading((r"(?mU)^\s*(?:제\s*)?", r"\s*장\b")) | heading((r"(?iU)\bchapter\s*0*", r"\b")) | heading((r"(?mU)^\s*부록\s*", r"\b")))
-    named = (F.length(title) >= TITLE_CHARS) & normal.contains(title)
-    return F.when(head, 2).otherwise(0) + F.when(named, 1).otherwise(0)
+#: How a page head names its chapter: by number, in English, or as an appendix.
+HEADINGS = (r"(?mU)^\s*(?:제\s*)?(\d+)\s*장\b", r"(?iU)\bchapter\s*0*(\d+)\b", r"(?mU)^\s*부록\s*(\d+)\b")
+
+
+def heading_numbers(text: Column) -> Column:
+    """Distinct chapter numbers, as written, in the headings at the top of a page."""
+    top = F.left(F.coalesce(text, F.lit("")), F.lit(HEAD_CHARS))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(top, F.lit(p), F.lit(1)) for p in HEADINGS)))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of TITLE_CHARS characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - TITLE_CHARS + 1), lambda i: F.substring(text, i, F.lit(TITLE_CHARS))))
+
+
+def title_hits(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """(book, pos, page): pages (book, page, text, normalised) that contain a title (book, pos, title,
+    normalised). A title meets pages through the one of its character grams that fewest pages have."""
+    long = titles.filter(F.length("title") >= TITLE_CHARS).select("book", "pos", "title")
+    of_titles = long.select("book", "pos", F.explode(_grams(F.col("title"))).alias("gram"))
+    of_pages = pages.filter(F.length("text") >= TITLE_CHARS).select("book", "page", F.explode(_grams(F.col("text"))).alias("gram"))
+    met = stored(of_pages.join(of_titles.select("book", "gram").distinct(), ["book", "gram"], "left_semi"), "grams")
+    often = met.groupBy("book", "gram").agg(F.count("*").alias("n"))
+    rarest = of_titles.join(often, ["book", "gram"], "left").groupBy("book", "pos").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = met.join(rarest, ["book", "gram"]).join(long, ["book", "pos"]).select("book", "pos", "page", "title")
+    return near.join(pages, ["book", "page"]).filter(F.col("text").contains(F.col("title"))).select("book", "pos", "page")
+
+
+def chapter_hits(pages: DataFrame, contents: DataFrame) -> DataFrame:
+    """(book, pos, page, score) of pages that may start a chapter: 3 for heading and title, 2 for the
+    heading alone, 1 for the title alone. Pages and chapters meet by equal numbers and grams."""
+    heads = pages.select("book", "page", F.explode(heading_numbers(F.col("text"))).alias("num"))
+    numbered = contents.filter("num > 0").select("book", "pos", F.col("num").cast("string").alias("num"))
+    by_head = heads.join(numbered, ["book", "num"]).select("book", "pos", "page", F.lit(2).alias("score"))
+    plain = lambda df, c, *more: df.select("book", *more, normal_title(F.col(c)).alias(c))
+    by_title = title_hits(plain(pages, "text", "page"), plain(contents, "title", "pos")).withColumn("score", F.lit(1))
+    return by_head.unionByName(by_title).groupBy("book", "pos", "page").agg(F.sum("score").cast("int").alias("score"))
 
 
 def locate_chapters(pages: DataFrame, contents: DataFrame, *, after: int = 0) -> DataFrame:
     """Start page of each chapter of contents (book, pos, num, title) in pages (book, page, text):
     the best-scored, then earliest page at or after the page that follows the last chapter found.
-    A chapter that is not found does not move that bound. Only pages with a score are gathered."""
-    titles = contents.withColumn("_title", normal_title(F.col("title")))
-    texts = pages.select("book", "page", "text", normal_title(F.col("text")).alias("_text"))
-    scored = texts.join(titles, "book").withColumn("score", heading_score(F.col("text"), F.col("_text"), F.col("num"), F.col("_title"))).filter("score > 0")
-    hits = scored.groupBy("book", "pos").agg(F.collect_list(F.struct("page", "score")).alias("hits"))
-    listed = titles.join(hits, ["book", "pos"], "left").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "num", "title", "hits"))).alias("chapters"))
-    best = lambda a, c: F.aggregate(
-        F.coalesce(c["hits"], F.array().cast("array<struct<page:bigint,score:int>>")),
-        F.struct(F.lit(None).cast("bigint").alias("page"), F.lit(0).alias("score")),
-        lambda b, h: F.when((h["page"] >= a["from"]) & ((h["score"] > b["score"]) | ((h["score"] == b["score"]) & (h["page"] < b["page"]))), F.struct(h["page"].alias("page"), h["score"].alias("score"))).otherwise(b),
-    )
-    one = lambda c, b: F.struct(c["pos"].alias("pos"), c["num"].alias("num"), c["title"].alias("title"), b["page"].alias("start"), b["score"].alias("score"))
-
-    def step(a, c):
-        b = best(a, c)
-        return F.struct(F.coalesce(b["page"] + 1, a["from"]).alias("from"), F.array_append(a["found"], one(c, b)).alias("found"))
-
-    begin = F.struct(F.lit(after + 1).cast("bigint").alias("from"), F.array().cast("array<struct<pos:int,num:int,title:string,start:bigint,score:int>>").alias("found"))
-    return listed.select("book", F.inline(F.aggregate("chapters", begin, step)["found"])).filter("start is not null")
+    A chapter that is not found does not move that bound. Hits stream by in order of chapters; of a
+    book only the bound and the best page so far are held."""
+
+    def walk(rows):
+        book = pos = best = None
+        bound = after + 1
+        for b, p, page, score in rows:
+            if (b, p) != (book, pos):
+                if best:
+                    yield book, pos, best[1], best[0]
+                    bound = best[1] + 1
+                if b != book:
+                    bound = after + 1
+                book, pos, best = b, p, None
+            if page >= bound and (best is None or score > best[0]):
+                best = (score, page)
+        if best:
+            yield book, pos, best[1], best[0]
+
+    kinds = dict(contents.dtypes) | dict(pages.select("page").dtypes)
+    schema = f"book {kinds['book']}, pos {kinds['pos']}, start {kinds['page']}, score int"
+    found = walk_in_order(chapter_hits(pages, contents), by=["book"], order=["pos", "page"], columns=["book", "pos", "page", "score"], schema=schema, walk=walk)
+    return found.join(contents.select("book", "pos", "num", "title"), ["book", "pos"]).select("book", "pos", "num", "title", "start", "score")
+
+
+def good_title(title: Column) -> Column:
+    """Is it a title: neither blank nor overlong?"""
+    bare = F.trim(F.coalesce(title, F.lit("")))
+    return (bare != "") & (F.length(bare) <= LONG_TITLE)
 
 
 def distinct_contents(contents: DataFrame, *, order: list[str]) -> DataFrame:
     """Contents entries once by number, or by normal title where the number is 0; blank and overlong titles go."""
-    title = F.trim("title")
-    good = contents.withColumn("title", title).filter((title != "") & (F.length(title) <= LONG_TITLE))
+    good = contents.withColumn("title", F.trim("title")).filter(good_title(F.col("title")))
     key = F.when(F.col("num") > 0, F.concat(F.lit("#"), F.col("num").cast("string"))).otherwise(normal_title(F.col("title")))
     return keep_first(good.withColumn("_key", key), ["book", "_key"], order).drop("_key")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed value: price of a million input and output tokens of a model that is not listed.
@@ -31,6 +32,12 @@ def cost_report(rows: DataFrame, *, stage: str, model: str, order: list[str], pa
     return stages.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n)).select(stage, "model", "tokens_in", "tokens_out", F.col("usd").cast("double").alias("usd"), F.col("total_usd").cast("double").alias("total_usd"), per_page.alias("per_page_usd"))
 
 
+def analysis_history(runs: DataFrame, *, by: str, order: list[str], usd: str) -> DataFrame:
+    """runs with the cost rounded to four places and the cost of all runs of the key up to each."""
+    upto = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return runs.withColumn(usd, F.col(usd).cast(USD)).withColumn(f"{usd}_total", F.sum(usd).over(upto).cast("double")).withColumn(usd, F.col(usd).cast("double"))
+
+
 def run_totals(rows: DataFrame, *, status: str) -> DataFrame:
     """Done, failed and skipped items of a run, with its tokens and cost."""
     of = lambda s: F.count_if(F.col(status) == s)

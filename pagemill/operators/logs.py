@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.operators.folds import flag_in_order
+
 #: Fixed values, in seconds or counts: heartbeat of a lost job, of a live worker; failures in a window that block.
 LOST_AFTER, ALIVE_WITHIN, FAIL_MAX, FAIL_WINDOW = 600, 30, 8, 300
 
@@ -48,47 +49,39 @@ def reap_lost(jobs: DataFrame, *, status: str, heartbeat: str, error: str, as_of
 
 def failures_in_window(tries: DataFrame, *, ip: str, ts: str, window: int = FAIL_WINDOW, limit: int = FAIL_MAX) -> DataFrame:
     """Failures of an address in the trailing window before each of its tries, all tries counting."""
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-    before = W.partitionBy(ip).orderBy(seconds).rangeBetween(-window * 1_000_000 + 1, -1)
+    before = W.partitionBy(ip).orderBy(_micros(ts)).rangeBetween(-window * 1_000_000 + 1, -1)
     return tries.withColumn("recent", F.count("*").over(before)).withColumn("blocked", F.col("recent") >= limit)
 
 
-def _limit(limit: int, window: int, ts: str):
-    def limited(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([ts, "_order"])
-        kept: list = []
-        blocked = []
-        for at in group[ts]:
-            kept = [t for t in kept if (at - t).total_seconds() < window]  # at most `limit` of them
-            blocked.append(len(kept) >= limit)
-            if not blocked[-1]:
-                kept.append(at)
-        return group.assign(blocked=blocked).drop(columns="_order")
-
-    return limited
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def rate_limited(tries: DataFrame, *, ip: str, ts: str, order: str, window: int = FAIL_WINDOW, limit: int = FAIL_MAX) -> DataFrame:
-    """Tries with `blocked`; a blocked try does not count as a failure for later ones, so the
-    decision feeds back and each address is folded in order."""
-    rows = tries.withColumn("_order", F.col(order))
-    schema = ", ".join(f"{name} {kind}" for name, kind in tries.dtypes) + ", blocked boolean"
-    return rows.groupBy(ip).applyInPandas(_limit(limit, window, ts), schema)
+    """Tries with `blocked`; a blocked try does not count as a failure for later ones, so the decision
+    feeds back. The tries of an address stream by in order; at most `limit` times of it are held."""
+
+    def decide(kept, at):
+        kept = [t for t in kept or () if at - t < window * 1_000_000]
+        blocked = len(kept) >= limit
+        return blocked, kept if blocked else [*kept, at]
+
+    return flag_in_order(tries, by=[ip], order=[ts, order], values=[_micros(ts)], decide=decide, out="blocked")
 
 
 def throttled(lines: DataFrame, *, by: str, ts: str, order: str, always: Column, gap: float = 0.6) -> DataFrame:
     """Lines that are always sent, and others at least gap seconds after the last line sent."""
-    rows = lines.withColumn("_always", always)
 
-    def thin(group: pd.DataFrame) -> pd.DataFrame:
-        group, last, keep = group.sort_values([ts, order]), None, []
-        for at, sure in zip(group[ts], group["_always"], strict=True):
-            keep.append(bool(sure) or last is None or (at - last).total_seconds() >= gap)
-            if keep[-1]:
-                last = at
-        return group[keep].drop(columns="_always")
+    def decide(last, at, sure):
+        send = bool(sure) or last is None or at - last >= gap * 1_000_000
+        return send, at if send else last
+
+    return flag_in_order(lines, by=[by], order=[ts, order], values=[_micros(ts), always], decide=decide, out="_send").filter("_send").drop("_send")
+
 
-    return rows.groupBy(by).applyInPandas(thin, lines.schema)
+def beats_of_running(beats: DataFrame, jobs: DataFrame, *, job: str, status: str = "status") -> DataFrame:
+    """The heartbeats that count: those of jobs that are running."""
+    return beats.join(jobs.filter(F.col(status) == "running").select(job).distinct(), job, "left_semi")
 
 
 def expired(entries: DataFrame, *, ts: str, lifetime: Column, as_of: Column) -> DataFrame:

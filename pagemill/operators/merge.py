@@ -6,11 +6,16 @@ version (see pagemill.sources.sinks), since plain Parquet has no MERGE.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import normal_title
+from pagemill.operators.folds import walk_in_order
 from pagemill.operators.ordered import keep_first
+from pagemill.sources.storage import stored
 
 
 def clean_feed(feed: DataFrame, *, texts: list[str], ints: list[str], flags: list[str], title: str, status: str, default_status: str) -> DataFrame:
@@ -27,43 +32,102 @@ def clean_feed(feed: DataFrame, *, texts: list[str], ints: list[str], flags: lis
     return out.withColumn(status, F.coalesce(blank_free(status), F.lit(default_status)))
 
 
-def resolve_ids(feed: DataFrame, catalogue: DataFrame, *, id: str, keys: list[list[str]]) -> DataFrame:
-    """feed with `matched`: the catalogue id found by the first list of key columns that matches.
-    Null keys match nothing; of several catalogue rows the least id counts."""
-    out, found = feed, []
-    for n, cols in enumerate(keys):
-        names = [f"_k{n}_{i}" for i in range(len(cols))]
-        side = catalogue.groupBy(*(F.col(c).alias(k) for c, k in zip(cols, names, strict=True))).agg(F.min(id).alias(f"_m{n}"))
-        condition = None
-        for c, k in zip(cols, names, strict=True):
-            one = F.col(c) == F.col(k)
-            condition = one if condition is None else condition & one
-        out = out.join(side, condition, "left").drop(*names)
-        found.append(F.col(f"_m{n}"))
-    return out.withColumn("matched", F.coalesce(*found)).drop(*(f"_m{n}" for n in range(len(keys))))
-
-
-def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: list[list[str]], order: str, keep_old: list[str], never: list[str]) -> tuple[DataFrame, DataFrame]:
+def linked_groups(rows: DataFrame) -> DataFrame:
+    """(node, group) of rows (node, tokens): nodes with a token in common are of one group, which is
+    named by its least node. Rounds of minima over tokens, each shortened by following the names."""
+    links = stored(rows.select("node", F.explode("tokens").alias("token")).distinct(), "tokens")
+    groups = links.groupBy("node").agg(F.min("node").alias("group"))
+    before = None
+    while True:
+        least = links.join(groups, "node").groupBy("token").agg(F.min("group").alias("group"))
+        near = stored(links.join(least, "token").groupBy("node").agg(F.min("group").alias("group")), "groups")
+        far = near.select(F.col("node").alias("_n"), F.col("group").alias("_g"))
+        groups = stored(near.join(far, F.col("group") == F.col("_n")).select("node", F.col("_g").alias("group")), "groups")
+        now = groups.agg(F.sum(F.xxhash64("node", "group").cast("decimal(20,0)"))).first()[0]
+        if now == before:
+            return groups
+        before = now
+
+
+def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: list[list[str]], order: str, keep_old: list[str], never: list[str], blank: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """New catalogue, and one row of counts (inserted, updated).
 
-    Feed rows are matched by the first key that fits a catalogue row, or among themselves by their
-    first key that is not null; of rows of one target the last in order wins, keep_old columns take
-    the last value that is not null, `never` columns are not updated. Chains of feed rows over
-    different kinds of key are not followed.
+    Feed rows go in their order, each to the entry that its first matching key finds as the entries are
+    by then (the least id counts), else to a new one, whose id is the highest one plus the row's order
+    plus one. keep_old columns take a value that is not null, `never` columns are not updated, null
+    equals empty in the key columns `blank`, other null keys match nothing.
+
+    Rows that can meet over any chain of keys form a group; a group's rows stream by in order, and
+    only its entries are held. Entries that no feed row can meet pass by unread.
     """
     values = [c for c in catalogue.columns if c != id]
-    rows = resolve_ids(feed, catalogue, id=id, keys=keys)
-    own = [F.when(F.array_size(F.array_compact(F.array(*cols))) == len(cols), F.concat_ws("\u0001", F.lit(str(n)), *(F.col(c).cast("string") for c in cols))) for n, cols in enumerate(keys)]
-    rows = rows.withColumn("_target", F.coalesce(F.concat(F.lit("id\u0001"), F.col("matched").cast("string")), *own, F.concat(F.lit("row\u0001"), F.col(order).cast("string"))))
-    last = [F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col(order)))[c].alias(c) if c in keep_old else F.max_by(F.struct(c), order)[c].alias(c) for c in values]
-    batch = rows.groupBy("_target").agg(F.first("matched").alias("matched"), F.count("*").alias("_n"), F.min(order).alias("_order"), *last)
-    stats = batch.agg(F.coalesce(F.sum(F.when(F.col("matched").isNull(), 1).otherwise(0)), F.lit(0)).alias("inserted"), F.coalesce(F.sum(F.col("_n") - F.when(F.col("matched").isNull(), 1).otherwise(0)), F.lit(0)).alias("updated"))
-    new = batch.select("matched", *(F.col(c).alias(f"_{c}") for c in values)).filter("matched is not null")
-    pick = [F.col(c) if c in never else (F.coalesce(f"_{c}", c) if c in keep_old else F.when(F.col("matched").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))).alias(c) for c in values]
-    kept = catalogue.join(new, F.col(id) == F.col("matched"), "left").select(id, *pick)
-    highest = catalogue.agg(F.coalesce(F.max(id), F.lit(0)).alias("_high"))
-    fresh = batch.filter("matched is null").crossJoin(F.broadcast(highest)).withColumn(id, F.col("_high") + F.col("_order") + 1).select(id, *values)
-    return kept.unionByName(fresh), stats
+    key = lambda cols: F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in blank else F.col(c).cast("string") for c in cols))
+    given = lambda cols: reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in cols if c not in blank))
+    token = F.array(*(F.when(given(cols), F.concat(F.lit(f"{n}\u0001"), key(cols))) for n, cols in enumerate(keys)))
+    old = catalogue.select(F.concat(F.lit("c"), F.col(id).cast("string")).alias("node"), F.lit(0).alias("side"), F.col(id).cast("bigint").alias("at"), *values, token.alias("keys"))
+    new = feed.select(F.concat(F.lit("f"), F.col(order).cast("string")).alias("node"), F.lit(1).alias("side"), F.col(order).cast("bigint").alias("at"), *values, token.alias("keys"))
+    asked = new.select(F.explode("keys").alias("_t")).filter("_t is not null").distinct()
+    touched = old.select("node", F.explode("keys").alias("_t")).join(asked, "_t", "left_semi").select("node").distinct()
+    rows = old.join(touched, "node").unionByName(new)
+    alone = F.array(F.concat(F.lit("\u0001"), F.col("node")))  # a row without any key is a group of its own
+    groups = linked_groups(rows.select("node", F.array_union(F.array_compact("keys"), alone).alias("tokens")))
+    placed = rows.join(groups, "node").crossJoin(F.broadcast(catalogue.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("high"))))
+    kept = [values.index(c) for c in values if c in keep_old]
+    fixed = [values.index(c) for c in values if c in never]
+    parts = [[(values.index(c), c in blank) for c in cols] for cols in keys]
+
+    def walk(rows):
+        group, entries = None, _Entries(parts)
+        for name, side, at, high, *row in rows:
+            if name != group:
+                yield from entries.rows()
+                group, entries = name, _Entries(parts)
+            entries.take(at, row) if side == 0 else entries.apply(high + at + 1, row, kept, fixed)
+        yield from entries.rows()
+
+    kinds = dict(catalogue.dtypes)
+    schema = f"`{id}` bigint, {', '.join(f'`{c}` {kinds[c]}' for c in values)}, _new boolean, _updates bigint"
+    changed = stored(walk_in_order(placed, by=["group"], order=["side", "at"], columns=["group", "side", "at", "high", *values], schema=schema, walk=walk), "entries")
+    stats = changed.agg(F.count_if("_new").alias("inserted"), F.coalesce(F.sum("_updates"), F.lit(0)).alias("updated"))
+    unread = catalogue.join(touched.select(F.substring("node", 2, 40).cast("bigint").alias(id)), id, "left_anti").withColumn(id, F.col(id).cast("bigint"))
+    return unread.select(id, *values).unionByName(changed.select(id, *values)), stats
+
+
+class _Entries:
+    """The entries of one group, found by their keys as they are now."""
+
+    def __init__(self, parts: list[list[tuple[int, bool]]]):
+        self.parts, self.values, self.found, self.new, self.updates = parts, {}, {}, set(), {}
+
+    def keys(self, row: list) -> list:
+        for n, cols in enumerate(self.parts):
+            if all(blank or row[i] is not None for i, blank in cols):
+                yield n, *("" if row[i] is None else row[i] for i, _ in cols)
+
+    def take(self, at: int, row: list) -> None:
+        self.values[at] = row
+        for key in self.keys(row):
+            self.found.setdefault(key, set()).add(at)
+
+    def apply(self, fresh: int, row: list, kept: list[int], fixed: list[int]) -> None:
+        at = next((min(self.found[key]) for key in self.keys(row) if self.found.get(key)), None)
+        if at is None:
+            self.new.add(fresh)
+            return self.take(fresh, list(row))
+        old = self.values[at]
+        for key in self.keys(old):
+            self.found[key].discard(at)
+        merged = list(row)
+        for i in kept:
+            merged[i] = old[i] if row[i] is None else row[i]
+        for i in fixed:
+            merged[i] = old[i]
+        self.updates[at] = self.updates.get(at, 0) + 1
+        self.take(at, merged)
+
+    def rows(self):
+        for at, row in self.values.items():
+            yield at, *row, at in self.new, self.updates.get(at, 0)
 
 
 def merge_master(old: DataFrame, new: DataFrame, *, key: str, keep_old: list[str]) -> DataFrame:
@@ -122,20 +186,54 @@ def external_ids(slugs: DataFrame, books: DataFrame, *, slug: str, id: str, titl
 
 
 def containing_titles(left: DataFrame, right: DataFrame, *, a: str, b: str, gram: int = 3) -> DataFrame:
-    """Pairs of titles one of which contains the other. Titles meet through the rarest of the shorter
-    one's character grams, not pair by pair; titles under `gram` characters meet through their first one."""
+    """Pairs of titles one of which contains the other when both are normalised; a left title that is empty
+    then meets every right one that is not. Titles meet through the rarest of the shorter one's character
+    grams, not pair by pair; titles under `gram` characters meet through their first one."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(gram))))
     singles = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    x, y = left.select(a).distinct(), right.select(b).distinct()
+    raw_x, raw_y = left.select(a, normal_title(F.col(a)).alias("x")).distinct(), right.select(b, normal_title(F.col(b)).alias("y")).filter("y <> ''").distinct()
+    x, y = raw_x.select("x").filter("x <> ''").distinct(), raw_y.select("y").distinct()
     spread = lambda df, c: df.select(c, F.explode(F.array_union(grams(c), singles(c))).alias("g"))
-    often = spread(x, a).select("g").union(spread(y, b).select("g")).groupBy("g").agg(F.count("*").alias("n"))
+    often = spread(x, "x").select("g").union(spread(y, "y").select("g")).groupBy("g").agg(F.count("*").alias("n"))
 
     def one_way(short, s, long, l):
         own = short.select(s, F.explode(F.when(F.length(s) >= gram, grams(s)).otherwise(singles(s))).alias("g")).join(often, "g")
         rare = own.groupBy(s).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-        return rare.join(spread(long, l), "g").filter(F.col(l).contains(F.col(s))).select(a, b)
+        return rare.join(spread(long, l), "g").filter(F.col(l).contains(F.col(s))).select("x", "y")
+
+    pairs = one_way(x, "x", y, "y").union(one_way(y, "y", x, "x")).union(y.select(F.lit("").alias("x"), "y")).distinct()
+    return raw_x.join(pairs, "x").join(raw_y, "y").select(a, b)
+
+
+def without_page(extras: DataFrame, pages: DataFrame, *, key: str) -> DataFrame:
+    """Extras for which there is no page."""
+    return extras.join(pages.select(key).distinct(), key, "left_anti")
+
+
+def reused(wanted: DataFrame, earlier: DataFrame, *, key: str, body: str, fresh: str) -> DataFrame:
+    """Wanted keys with the body that an earlier run gave them, or `fresh` where that is blank or missing."""
+    return wanted.join(keep_first(earlier.select(key, body), [key], [F.col(body).isNull(), body]), key, "left").withColumn(body, F.coalesce(F.nullif(F.trim(body), F.lit("")), F.lit(fresh)))
+
+
+def current_versions(rows: DataFrame, *, version: str) -> DataFrame:
+    """rows with `current`: is their version the newest one?"""
+    newest = rows.agg(F.max(version).alias("_newest"))
+    return rows.crossJoin(F.broadcast(newest)).withColumn("current", F.col(version) == F.col("_newest")).drop("_newest")
+
+
+def count_in_both(a: DataFrame, b: DataFrame, *, key: str) -> DataFrame:
+    """One row: how many rows of a have a key that b has, too."""
+    return a.join(b.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n"))
+
+
+def all_batches(batches: list[DataFrame]) -> DataFrame:
+    """All rows of all batches, repeated ones included."""
+    return reduce(lambda x, y: x.unionByName(y), batches)
+
 
-    return one_way(x, a, y, b).union(one_way(y, b, x, a)).distinct()
+def sorted_distinct(df: DataFrame, *, by: str, value: str, out: str) -> DataFrame:
+    """Per key the distinct values in order, comma-joined."""
+    return df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias(out))
 
 
 def ring_retention(log: DataFrame, *, id: str, keep: int = 5000) -> DataFrame:

@@ -1,8 +1,7 @@
 """Operators on ordered pages: keep-first, ranges, runs, tails, links and greedy thinning.
 
 Each takes a DataFrame, the columns that name a book (or any other sequence) and the order
-inside it. Window forms stream through a partition; only the two greedy folds gather the
-already thinned-out candidates of a sequence in one array.
+inside it. Window forms and greedy folds stream through sorted partitions.
 """
 
 from __future__ import annotations
@@ -11,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.operators.folds import flag_in_order
+from pagemill.sources.storage import stored
+
 #: Pages two dividers must be apart by more than; bits two kept frames must differ by
 #: more than; most frames kept; mean grey difference under which two pages are the same.
 DIVIDER_GAP, FRAME_BITS, FRAME_CAP, SAME_PAGE = 2, 8, 3000, 4.0
@@ -52,22 +54,43 @@ def renumber(df: DataFrame, by: list, order: list, out: str = "num") -> DataFram
     return df.withColumn(out, F.row_number().over(_over(by, order)))
 
 
+def place_overall(df: DataFrame, order: list, out: str = "place") -> DataFrame:
+    """1..N over the whole table: rows are dealt to ranges of the order, numbered within each, and raised
+    by the rows of the ranges before. order has to be unique for a defined result."""
+    part, first = "_part", "_first"
+    dealt = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")  # stored: sampled ranges differ from run to run
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    firsts = sizes.select(part, before.alias(first))
+    numbered = dealt.withColumn(out, F.row_number().over(_over([part], order)))
+    return numbered.join(F.broadcast(firsts), part).withColumn(out, F.col(out) + F.col(first)).drop(part, first)
+
+
 def number_or_position(df: DataFrame, by: list, order: list, num: str) -> DataFrame:
     """The number, or the position where it is zero or missing."""
     return df.withColumn(num, F.coalesce(F.nullif(num, F.lit(0)), F.row_number().over(_over(by, order))))
 
 
-def greedy_gap(values: Column, gap: int = DIVIDER_GAP) -> Column:
-    """Of a sorted array, the values more than gap above the last value kept."""
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) > gap), F.array_append(kept, x)).otherwise(kept)
-    return F.aggregate(values, F.array().cast("array<bigint>"), step)
+def keep_apart(df: DataFrame, by: list, order: str, gap: int = DIVIDER_GAP) -> DataFrame:
+    """The rows whose order value is more than gap above that of the last row kept."""
+
+    def decide(last, value):
+        keep = last is None or value - last > gap
+        return keep, value if keep else last
+
+    return flag_in_order(df, by=by, order=[order], values=[F.col(order)], decide=decide, out="_keep").filter("_keep").drop("_keep")
+
+
+def distinct_frames(df: DataFrame, by: list, order: str, hash: str, bits: int = FRAME_BITS, cap: int | None = None) -> DataFrame:
+    """The frames whose hash differs by more than bits from that of the last frame kept. cap is the most
+    frames kept of one sequence, None for all; FRAME_CAP is that of a video."""
 
+    def decide(state, value):
+        last, kept = state or (None, 0)
+        keep = (last is None or ((value ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > bits) and (cap is None or kept < cap)
+        return keep, (value, kept + 1) if keep else (last, kept)
 
-def greedy_frames(hashes: Column, bits: int = FRAME_BITS, cap: int = FRAME_CAP) -> Column:
-    """Of an ordered array of struct<seq, h>, the frames that differ by more than bits from the last kept, cap at most."""
-    far = lambda kept, x: F.bit_count(x["h"].bitwiseXOR(F.element_at(kept, -1)["h"])) > bits
-    step = lambda kept, x: F.when((F.size(kept) == 0) | ((F.size(kept) < cap) & far(kept, x)), F.array_append(kept, x)).otherwise(kept)
-    return F.aggregate(hashes, F.array().cast("array<struct<seq:bigint,h:bigint>>"), step)
+    return flag_in_order(df, by=by, order=[order], values=[F.col(hash)], decide=decide, out="_keep").filter("_keep").drop("_keep")
 
 
 def take_until_repeat(df: DataFrame, by: list, order: list, value: str) -> DataFrame:

@@ -30,19 +30,18 @@ def dense_text(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s", "")
 
 
-def is_divider(text: Column, limit: int = DIVIDER_CHARS) -> Column:
+def is_divider(text: Column, limit: int | Column = DIVIDER_CHARS) -> Column:
     return F.length(dense_text(F.coalesce(text, F.lit("")))) < limit
 
 
 def divider_scaffold(pages: DataFrame, *, book: str, page: str, text: str, gap: int = ordered.DIVIDER_GAP) -> DataFrame:
     """Chapter ranges that divider pages lay out: book, num, start, end. A book without divider is one range."""
     marked = pages.select(F.col(book).alias("book"), F.col(page).cast("bigint").alias("page"), is_divider(F.col(text)).alias("divider"))
-    # the smallest pages first: only dividers are gathered, the rest is a minimum and a maximum
-    books = marked.groupBy("book").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.array_sort(F.collect_list(F.when(F.col("divider"), F.col("page")))).alias("dividers"))
-    starts = F.when(F.size("dividers") > 0, ordered.greedy_gap(F.col("dividers"), gap)).otherwise(F.array("first"))
-    laid = books.select("book", "last", F.posexplode(starts).alias("pos", "start"))
-    ended = ordered.range_ends(laid, ["book"], "start", F.col("last"))
-    return ended.select("book", (F.col("pos") + 1).alias("num"), "start", "end")
+    kept = ordered.keep_apart(marked.filter("divider").select("book", "page"), ["book"], "page", gap)
+    books = marked.groupBy("book").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.bool_or("divider").alias("laid"))
+    starts = kept.select("book", F.col("page").alias("start")).union(books.filter(~F.col("laid")).select("book", "first")).join(books.select("book", "last"), "book")
+    ended = ordered.range_ends(starts, ["book"], "start", F.col("last"))
+    return ordered.renumber(ended, ["book"], ["start"]).select("book", "num", "start", "end")
 
 
 def contamination(pages: DataFrame, patterns: DataFrame, *, keys: list, text: str) -> DataFrame:
@@ -67,10 +66,28 @@ def resolution_warnings(width: Column, height: Column, least: int = MIN_WIDTH) -
     return F.array_compact(F.array(F.when(width >= height, F.lit("landscape")), F.when(width < least, F.lit("low resolution"))))
 
 
-def is_blank_image(n_bytes: Column, limit: int = BLANK_KB) -> Column:
+def is_blank_image(n_bytes: Column, limit: int | Column = BLANK_KB) -> Column:
     return F.floor(n_bytes / 1024) < limit
 
 
+def suspect_sizes(images: DataFrame, sizes: DataFrame, *, width: str, height: str) -> DataFrame:
+    """images with `suspect`: the size is one of a small table (width, height) of whole screens."""
+    known = sizes.select(F.col(width).alias("_w"), F.col(height).alias("_h"), F.lit(True).alias("_known")).distinct()
+    out = images.join(F.broadcast(known), (F.col(width) == F.col("_w")) & (F.col(height) == F.col("_h")), "left")
+    return out.withColumn("suspect", F.coalesce("_known", F.lit(False))).drop("_w", "_h", "_known")
+
+
+#: Names of the thresholds that a rules file may set, with the values they have otherwise.
+RULES = {"MIN_PAGE_KB": float(BLANK_KB), "DIVIDER_MAX_OCR_CHARS": float(DIVIDER_CHARS), "OFF_DIM_RATIO": OFF_SHARE, "OFF_DIM_MIN": float(OFF_LEAST), "TAIL_MIN_RUN": 2.0, "DIVIDER_MERGE_GAP": float(ordered.DIVIDER_GAP)}
+
+
+def quality_rules(json: Column) -> Column:
+    """struct of the thresholds in RULES, those that a JSON object names replaced; unknown names and
+    broken JSON change nothing."""
+    given = F.from_json(json, "map<string,string>")
+    return F.struct(*(F.coalesce(F.try_element_at(given, F.lit(name)).try_cast("double"), F.lit(value)).alias(name) for name, value in RULES.items()))
+
+
 def quality_report(images: DataFrame, *, book: str, seq: str, digest: str, dim: str) -> DataFrame:
     """Per book: images, distinct digests, duplicate groups and images in them, dimensions, the main
     dimension (most frequent, first seen on ties), images off it, and whether all is well."""
@@ -99,6 +116,11 @@ def report_text(report: DataFrame, *, book: str) -> DataFrame:
     return report.select(book, lines.alias("report"))
 
 
+def corpus_stats(pages: DataFrame, *, book: str, chars: str) -> DataFrame:
+    """Books, pages and characters of a corpus."""
+    return pages.agg(F.countDistinct(book).alias("books"), F.count("*").alias("pages"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars"))
+
+
 def duplicate_groups(pages: DataFrame, *, book: str, page: str, text: str) -> DataFrame:
     """Groups of pages of a book with one content: digest, pages and first page."""
     return pages.groupBy(F.col(book).alias("book"), F.md5(text).alias("digest")).agg(F.count("*").alias("n_pages"), F.min(page).alias("first_page")).filter("n_pages > 1")

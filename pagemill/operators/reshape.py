@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import first_and_last
-from pagemill.schemas import BLOCKS, OVERVIEW, PAGE, PAGES_DATA, TABLE
+from pagemill.schemas import BLOCKS, OVERVIEW, PAGE, PAGES_DATA, SECTIONS, TABLE
 
 #: Characters of a page in a blob, of a blob, pages at either end of a book.
 PAGE_CHARS, BLOB_CHARS, FRONT, BACK = 1200, 9000, 6, 2
@@ -39,6 +39,32 @@ def block_replies(replies: DataFrame, *, page: str, reply: str) -> DataFrame:
     return replies.select(page, F.posexplode(kept).alias("idx", "b")).select(page, "idx", "b.lang", "b.title", "b.code")
 
 
+def chapter_requests(chapters: DataFrame, texts: DataFrame, *, title: str) -> DataFrame:
+    """(book, num, request): what is asked about each chapter (book, num, title, start, end, summary): its
+    place, its summary and the texts (book, num, text) of its pages."""
+    head = F.concat(F.lit("book: "), F.col(title), F.lit("\nchapter "), F.col("num").cast("string"), F.lit(": "), F.col("title"), F.lit(" (p."), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(")"))
+    request = F.concat_ws("\n", head, F.concat(F.lit("about: "), F.coalesce("summary", F.lit(""))), F.lit("pages:"), F.coalesce("text", F.lit("")))
+    return chapters.join(texts.select("book", "num", "text"), ["book", "num"], "left").select("book", "num", request.alias("request"))
+
+
+def book_requests(chapters: DataFrame, *, title: str) -> DataFrame:
+    """(book, request): what is asked about each book, its title and a line for each chapter in order."""
+    line = F.concat(F.col("num").cast("string"), F.lit(". "), F.col("title"), F.lit(" (p."), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("): "), F.coalesce("summary", F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("start", "num", line.alias("line")))), lambda x: x["line"])
+    return chapters.groupBy("book", title).agg(F.array_join(listed, "\n").alias("lines")).select("book", F.concat(F.lit("book: "), F.col(title), F.lit("\nchapters:\n"), F.col("lines")).alias("request"))
+
+
+def section_items(rows: DataFrame, *, id: str, json: str) -> DataFrame:
+    """(id, section, title, sub, kind, pos, text, core) of a list of sections: points and tags of each and
+    points of its subsections, in order; core marks the tags that are."""
+    sections = rows.select(id, F.posexplode(F.from_json(json, SECTIONS)).alias("section", "s"))
+    none = F.lit(None).cast("string")
+    points = sections.select(id, "section", "s.title", none.alias("sub"), F.lit("point").alias("kind"), F.posexplode("s.points").alias("pos", "text"), F.lit(False).alias("core"))
+    tags = sections.select(id, "section", "s.title", none.alias("sub"), F.lit("tag").alias("kind"), F.posexplode("s.tags").alias("pos", "tag")).select(id, "section", "title", "sub", "kind", "pos", "tag.text", F.coalesce("tag.core", F.lit(False)).alias("core"))
+    subs = sections.select(id, "section", "s.title", F.explode("s.subsections").alias("u")).select(id, "section", "title", F.col("u.heading").alias("sub"), F.lit("point").alias("kind"), F.posexplode("u.points").alias("pos", "text"), F.lit(False).alias("core"))
+    return points.unionByName(tags).unionByName(subs)
+
+
 def book_blob(pages: DataFrame, *, book: str, page: str, text: str) -> DataFrame:
     """Per book, its first and last pages, each cut and headed by its number, joined and cut."""
     ends = first_and_last(pages, [book], [page], FRONT, BACK)

@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import every module of queries once."""
-    from pagemill.plans import q_chapters, q_logs, q_merge, q_ordered, q_signatures, q_streaming, q_text  # noqa: F401
+    from pagemill.plans import q_chapters, q_logs, q_merge, q_ordered, q_signatures, q_sources, q_streaming, q_text  # noqa: F401
 
 
 def queries() -> dict:

@@ -41,11 +41,11 @@ def chapter_tree_flat(spark, d):
     return ch.flat_tree(ch.chapter_tree(chapter_rows(spark, d)))
 
 
-_RANGE_SQL = "r AS (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY start) AS INTEGER) AS num, start, coalesce(lead(start) OVER (PARTITION BY book ORDER BY start) - 1, (SELECT max(doc_id) FROM documents)) AS \"end\" FROM (SELECT source AS book, doc_id AS start FROM documents WHERE doc_id % 7 = 3))"
+_RANGE_SQL = "r AS (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY start) AS INTEGER) AS num, start, coalesce(lead(start) OVER (PARTITION BY book ORDER BY start) - 1, (SELECT max(doc_id) FROM documents)) AS \"end\" FROM (SELECT source AS book, doc_id AS start FROM documents WHERE n_chars > 900))"
 
 
 def _ranges(spark, d):
-    starts = table(spark, d, "documents").filter("doc_id % 7 = 3").select(F.col("source").alias("book"), F.col("doc_id").alias("start"))
+    starts = table(spark, d, "documents").filter("n_chars > 900").select(F.col("source").alias("book"), F.col("doc_id").alias("start"))
     last = table(spark, d, "documents").agg(F.max("doc_id").alias("last"))
     ended = ordered.range_ends(starts.crossJoin(F.broadcast(last)), ["book"], "start", F.col("last")).drop("last")
     return ordered.renumber(ended, ["book"], ["start"])
@@ -64,16 +64,24 @@ def chapter_pages(spark, d):
 
 
 def _contents(spark, d):
-    b = table(spark, d, "documents").filter("doc_id % 31 = 0")
-    return ordered.renumber(b.select(F.col("source").alias("book"), F.col("doc_id"), F.substring("text", 30, 24).alias("title")), ["book"], ["doc_id"], "pos").select("book", "pos", F.when(F.col("pos") % 4 == 0, 0).otherwise(F.col("pos")).alias("num"), "title", "doc_id")
+    titles = table(spark, d, "orders").select(F.col("o_custkey").alias("book"), F.col("o_orderpriority").alias("title")).distinct()
+    return ordered.renumber(titles, ["book"], ["title"], "pos").select("book", "pos", F.when(F.col("pos") % 3 == 0, 0).otherwise(F.col("pos")).alias("num"), "title")
 
 
-@register("located_chapters")
+_LOCATED = """WITH RECURSIVE p AS (SELECT o_custkey AS book, o_orderkey AS page, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 END AS head, lower(regexp_replace('about ' || o_orderpriority, '[^A-Za-z0-9]', '', 'g')) AS norm FROM orders),
+c AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 0 ELSE pos END AS num, lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) AS norm FROM (SELECT book, title, CAST(row_number() OVER (PARTITION BY book ORDER BY title) AS INTEGER) AS pos FROM (SELECT DISTINCT o_custkey AS book, o_orderpriority AS title FROM orders))),
+h AS (SELECT c.book, c.pos, p.page, CASE WHEN c.num > 0 AND p.head = c.num THEN 2 ELSE 0 END + CASE WHEN contains(p.norm, c.norm) THEN 1 ELSE 0 END AS score FROM c JOIN p ON c.book = p.book),
+r AS (SELECT DISTINCT book, 0 AS pos, CAST(1 AS BIGINT) AS bound, CAST(NULL AS BIGINT) AS start, CAST(NULL AS INTEGER) AS score FROM c
+ UNION ALL SELECT book, CAST(pos AS INTEGER), coalesce(b.page + 1, bound), b.page, b.score FROM (SELECT r.book, r.pos + 1 AS pos, r.bound, arg_max({'page': h.page, 'score': CAST(h.score AS INTEGER)}, (h.score, -h.page)) AS b FROM r JOIN c ON c.book = r.book AND c.pos = r.pos + 1 LEFT JOIN h ON h.book = r.book AND h.pos = r.pos + 1 AND h.score > 0 AND h.page >= r.bound GROUP BY 1, 2, 3))
+SELECT r.book, r.pos, CAST(num AS INTEGER) AS num, title, start, score FROM r JOIN c USING (book, pos) WHERE start IS NOT NULL"""
+
+
+@register("located_chapters", _LOCATED)
 def located_chapters(spark, d):
-    docs = table(spark, d, "documents")
-    head = F.when(F.col("doc_id") % 31 == 0, F.concat(F.lit("Chapter "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"))).otherwise("")
-    texts = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.concat(head, F.col("text")).alias("text"))
-    return ch.locate_chapters(texts, _contents(spark, d).drop("doc_id"))
+    n = F.col("o_orderkey")
+    head = F.when(n % 4 == 0, F.concat(F.lit("Chapter 0"), n % 5, F.lit("\n"))).otherwise("")
+    texts = table(spark, d, "orders").select(F.col("o_custkey").alias("book"), n.alias("page"), F.concat(head, F.lit("about "), F.col("o_orderpriority")).alias("text"))
+    return ch.locate_chapters(texts, _contents(spark, d))
 
 
 @register("distinct_contents", "WITH c AS (SELECT o_custkey AS book, o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 5 END AS num, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE o_orderpriority END AS title FROM orders) SELECT book, pos, num, title FROM c WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY book, CASE WHEN num > 0 THEN '#' || num ELSE lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) END ORDER BY pos) = 1")
@@ -85,17 +93,18 @@ def distinct_contents(spark, d):
 
 @register("false_chapter_gates", """WITH c AS (SELECT o_custkey AS book, o_orderkey % 12 AS num, o_orderkey AS start, (SELECT max(o_orderkey) FROM orders) AS last_page FROM orders),
 g AS (SELECT book, min(num) FILTER (WHERE num > 0) AS lo, max(num) FILTER (WHERE num > 0) AS hi, count(*) FILTER (WHERE num > 0) AS k, count(DISTINCT num) FILTER (WHERE num > 0) AS d, count(*) AS n, min(start) AS f, max(start) AS l, max(last_page) AS e FROM c GROUP BY book)
-SELECT book, coalesce(lo <= 2 AND hi - lo + 1 - k <= 2, false) AS dense, ((l - f) / e >= 0.30 AND f / e <= 0.6) OR n < 2 AS spread, k = 0 OR (lo <= 1 AND hi - lo + 1 = k AND k = d) AS complete FROM g""")
+SELECT book, coalesce(lo <= 2 AND hi - lo + 1 - k <= 2, false) AS dense, ((l - f) / e >= 0.30 AND f / e <= 0.6) OR n < 2 AS spread, n = w AND (k = 0 OR (lo <= 1 AND hi - lo + 1 = k AND k = d)) AS complete FROM g JOIN (SELECT o_custkey AS book, count(*) AS w FROM orders WHERE o_orderpriority <> '5-LOW' OR o_totalprice > 1000 GROUP BY 1) USING (book)""")
 def false_chapter_gates(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("book"), (F.col("o_orderkey") % 12).alias("num"), F.col("o_orderkey").alias("start"))
     o = o.crossJoin(F.broadcast(o.agg(F.max("start").alias("last_page"))))
-    return ch.cover_gate(o).join(ch.spread_gate(o), "book").join(ch.completeness_gate(o, o), "book")
+    contents = table(spark, d, "orders").filter("o_orderpriority <> '5-LOW' or o_totalprice > 1000").select(F.col("o_custkey").alias("book"))
+    return ch.cover_gate(o).join(ch.spread_gate(o), "book").join(ch.completeness_gate(o, contents), "book")
 
 
-@register("chapter_strategy", "WITH a AS (SELECT c_nationkey AS book, c_custkey AS page FROM customer WHERE c_custkey % 40 = 0), b AS (SELECT c_nationkey AS book, c_custkey AS page FROM customer WHERE c_custkey % 15 = 1), n AS (SELECT book, (SELECT count(*) FROM a WHERE a.book = x.book) AS na, (SELECT count(*) FROM b WHERE b.book = x.book) AS nb FROM (SELECT DISTINCT c_nationkey AS book FROM customer) x), w AS (SELECT book, CASE WHEN na < 2 AND nb > na THEN 'contents' ELSE 'covers' END AS \"by\" FROM n) SELECT a.book, a.page, \"by\" FROM a JOIN w USING (book) WHERE \"by\" = 'covers' UNION ALL SELECT b.book, b.page, \"by\" FROM b JOIN w USING (book) WHERE \"by\" = 'contents'")
+@register("chapter_strategy", "WITH a AS (SELECT c_nationkey AS book, c_custkey AS page FROM customer WHERE c_acctbal > 9700), b AS (SELECT c_nationkey AS book, c_custkey AS page FROM customer WHERE c_acctbal < -300), n AS (SELECT book, (SELECT count(*) FROM a WHERE a.book = x.book) AS na, (SELECT count(*) FROM b WHERE b.book = x.book) AS nb FROM (SELECT DISTINCT c_nationkey AS book FROM customer) x), w AS (SELECT book, CASE WHEN na < 2 AND nb > na THEN 'contents' ELSE 'covers' END AS \"by\" FROM n) SELECT a.book, a.page, \"by\" FROM a JOIN w USING (book) WHERE \"by\" = 'covers' UNION ALL SELECT b.book, b.page, \"by\" FROM b JOIN w USING (book) WHERE \"by\" = 'contents'")
 def chapter_strategy(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("book"), F.col("c_custkey").alias("page"))
-    return ch.choose_strategy(c.filter("page % 40 = 0"), c.filter("page % 15 = 1")).select("book", "page", "by")
+    c, kept = table(spark, d, "customer"), [F.col("c_nationkey").alias("book"), F.col("c_custkey").alias("page")]
+    return ch.choose_strategy(c.filter("c_acctbal > 9700").select(kept), c.filter("c_acctbal < -300").select(kept)).select("book", "page", "by")
 
 
 _TOC_TEXT = "t AS (SELECT p_brand AS book, page, string_agg(CASE WHEN page % 3 = 0 THEN 'Prose about ' || p_name || '.' ELSE CASE WHEN p_partkey % 5 = 0 THEN 'Chapter ' || (p_partkey % 9) || ' ' ELSE '' END || p_name || ' ..... ' || p_size END, chr(10) ORDER BY p_partkey) AS text FROM (SELECT *, p_partkey // 250 AS page FROM part) GROUP BY 1, 2)"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import costs, logs, ordered, pages
+from pagemill.functions.text import json_setting
+from pagemill.operators import chapters, costs, filters, listing, logs, merge, ordered, pages
 from pagemill.plans.contract import register
 from pagemill.sources.tables import table
 
@@ -36,7 +37,7 @@ def run_totals(spark, d):
 
 @register("corpus_stats", "SELECT count(DISTINCT source) AS books, count(*) AS pages, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars FROM documents")
 def corpus_stats(spark, d):
-    return table(spark, d, "documents").agg(F.countDistinct("source").alias("books"), F.count("*").alias("pages"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
+    return pages.corpus_stats(table(spark, d, "documents"), book="source", chars="n_chars")
 
 
 @register(
@@ -89,9 +90,9 @@ def clean_pages(spark, d):
 @register("resolution_gate", "SELECT p_partkey, list_filter([CASE WHEN w >= h THEN 'landscape' END, CASE WHEN w < 1400 THEN 'low resolution' END], lambda x: x IS NOT NULL) AS warnings, w < h AND w >= 1400 AS ok, (w, h) IN ((1500, 1450), (1200, 1700)) AS suspect FROM (SELECT p_partkey, p_size * 50 AS w, CASE WHEN p_partkey % 2 = 0 THEN 1450 ELSE 1700 END AS h FROM part)")
 def resolution_gate(spark, d):
     sized = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 50).alias("w"), F.when(F.col("p_partkey") % 2 == 0, 1450).otherwise(1700).alias("h"))
-    suspects = table(spark, d, "nation").filter("n_nationkey < 2").select(F.when(F.col("n_nationkey") == 0, 1500).otherwise(1200).alias("w"), F.when(F.col("n_nationkey") == 0, 1450).otherwise(1700).alias("h"), F.lit(True).alias("suspect"))
-    warned = sized.withColumn("warnings", pages.resolution_warnings(F.col("w"), F.col("h")))
-    return warned.join(suspects, ["w", "h"], "left").select("p_partkey", "warnings", (F.size("warnings") == 0).alias("ok"), F.coalesce("suspect", F.lit(False)).alias("suspect"))
+    suspects = table(spark, d, "nation").filter("n_nationkey < 2").select(F.when(F.col("n_nationkey") == 0, 1500).otherwise(1200).alias("w"), F.when(F.col("n_nationkey") == 0, 1450).otherwise(1700).alias("h"))
+    warned = pages.suspect_sizes(sized, suspects, width="w", height="h").withColumn("warnings", pages.resolution_warnings(F.col("w"), F.col("h")))
+    return warned.select("p_partkey", "warnings", (F.size("warnings") == 0).alias("ok"), "suspect")
 
 
 @register("blank_suspects", "SELECT doc_id FROM documents WHERE floor(n_chars * 40 / 1024) < 80")
@@ -101,13 +102,14 @@ def blank_suspects(spark, d):
 
 @register("page_ranges", "SELECT doc_id FROM documents WHERE doc_id BETWEEN 24 AND 333 OR doc_id IN (5, 7, 9)")
 def page_ranges(spark, d):
-    listed = F.split(F.translate(F.lit("5,7-9"), "-", ","), ",")
-    return table(spark, d, "documents").filter(F.col("doc_id").between(24, 333) | F.array_contains(listed.cast("array<bigint>"), F.col("doc_id"))).select("doc_id")
+    page = F.col("doc_id")
+    return table(spark, d, "documents").filter(filters.in_page_range(page, 24, 333) | filters.in_page_list(page, "5,7-9")).select("doc_id")
 
 
-@register("titles_kept", "SELECT p_partkey, p_name FROM part WHERE trim(p_name) <> '' AND length(p_name) <= 12")
+@register("titles_kept", "SELECT p_partkey, title FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE p_name || ' ' || p_type || ' ' || repeat('i', p_size) END AS title FROM part) WHERE trim(title) <> '' AND length(title) <= 40")
 def titles_kept(spark, d):
-    return table(spark, d, "part").filter((F.trim("p_name") != "") & (F.length("p_name") <= 12)).select("p_partkey", "p_name")
+    title = F.when(F.col("p_partkey") % 9 == 0, " ").otherwise(F.concat_ws(" ", "p_name", "p_type", F.expr("repeat('i', p_size)")))
+    return table(spark, d, "part").select("p_partkey", title.alias("title")).filter(chapters.good_title(F.col("title")))
 
 
 @register("end_phrases", "SELECT doc_id FROM documents WHERE contains(regexp_replace(text, '\\s', '', 'g'), 'License,Version') OR contains(regexp_replace(text, '\\s', '', 'g'), 'token=')")
@@ -119,26 +121,24 @@ def end_phrases(spark, d):
 @register("status_filter", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' ORDER BY coalesce(CAST(o_orderdate AS VARCHAR), '') DESC, o_orderkey DESC LIMIT 200")
 def status_filter(spark, d):
     wanted = {"o_orderstatus": "P", "o_orderpriority": "5-LOW", "o_custkey": None}
-    rows = table(spark, d, "orders")
-    for column, value in wanted.items():
-        rows = rows.filter(F.col(column) == value) if value is not None else rows
-    return rows.orderBy(F.coalesce(F.col("o_orderdate").cast("string"), F.lit("")).desc(), F.desc("o_orderkey")).limit(200).select("o_orderkey", "o_orderdate")
+    return filters.newest(filters.matching(table(spark, d, "orders"), wanted), date="o_orderdate", id="o_orderkey", limit=200).select("o_orderkey", "o_orderdate")
 
 
 @register("oldest_pending", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' ORDER BY o_orderdate, o_orderkey LIMIT 1")
 def oldest_pending(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'P' and o_orderpriority <> '1-URGENT'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey")
+    waiting = F.expr("o_orderstatus = 'P' and o_orderpriority <> '1-URGENT'")
+    return filters.oldest(table(spark, d, "orders"), waiting=waiting, date="o_orderdate", id="o_orderkey").select("o_orderkey")
 
 
-@register("catalogue_order", "SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY c_nationkey DESC, lower(c_name), c_custkey) AS INTEGER) AS place FROM customer")
+@register("catalogue_order", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_nationkey DESC, lower(c_name), c_custkey) AS place FROM customer")
 def catalogue_order(spark, d):
-    return ordered.renumber(table(spark, d, "customer").withColumn("_", F.lit(1)), ["_"], [F.desc("c_nationkey"), F.lower("c_name"), "c_custkey"], "place").select("c_custkey", "c_name", "place")
+    view = filters.columns_of(table(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey", "no_such_column"])
+    return ordered.place_overall(view, [F.desc("c_nationkey"), F.lower("c_name"), "c_custkey"]).select("c_custkey", "c_name", "place")
 
 
 @register("log_tail", "SELECT event_id, rpad(event_type, 10, ' ') || ' ' || user_id AS line FROM events ORDER BY event_id DESC LIMIT 500")
 def log_tail(spark, d):
-    n = max(1, min(9_999, 500))
-    return table(spark, d, "events").orderBy(F.desc("event_id")).limit(n).select("event_id", F.concat(F.rpad("event_type", 10, " "), F.lit(" "), F.col("user_id")).alias("line"))
+    return filters.log_tail(table(spark, d, "events"), id="event_id", limit=9_999, most=500).select("event_id", filters.log_line(F.col("event_type"), F.col("user_id")).alias("line"))
 
 
 @register("web_view_split", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS yes, count(*) FILTER (WHERE o_orderstatus <> 'F') AS no FROM orders")
@@ -168,7 +168,7 @@ def workers_alive(spark, d):
 
 @register("recent_workers", f"WITH {_PINGS} SELECT ip, host, last_seen FROM w ORDER BY last_seen DESC LIMIT 20")
 def recent_workers(spark, d):
-    return _workers(spark, d).orderBy(F.desc("last_seen")).limit(20).select("ip", "host", "last_seen")
+    return filters.recently_seen(_workers(spark, d), seen="last_seen").select("ip", "host", "last_seen")
 
 
 @register("worker_of_requester", f"WITH {_PINGS} SELECT c_custkey, host FROM customer LEFT JOIN (SELECT ip, arg_max(host, last_seen) AS host FROM w GROUP BY ip) ON ip = c_nationkey * 2")
@@ -180,7 +180,7 @@ def worker_of_requester(spark, d):
 @register("worker_versions", "SELECT event_id, regexp_extract(props, '(\\d+)', 1) = (SELECT max(regexp_extract(props, '(\\d+)', 1)) FROM events) AS current FROM events")
 def worker_versions(spark, d):
     v = table(spark, d, "events").select("event_id", F.regexp_extract("props", r"(\d+)", 1).alias("version"))
-    return v.crossJoin(F.broadcast(v.agg(F.max("version").alias("newest")))).select("event_id", (F.col("version") == F.col("newest")).alias("current"))
+    return merge.current_versions(v, version="version").select("event_id", "current")
 
 
 _JOBS = "j AS (SELECT event_id // 6 AS job, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'error' THEN 'cancel' ELSE CASE WHEN event_id % 2 = 0 THEN 'finish' ELSE 'fail' END END AS kind FROM events), f AS (SELECT job, max(ts) FILTER (WHERE kind = 'claim') AS cl, max(ts) FILTER (WHERE kind = 'cancel') AS ca, max(ts) FILTER (WHERE kind IN ('finish', 'fail')) AS en, arg_max(kind, ts) FILTER (WHERE kind IN ('finish', 'fail')) AS how, max(ts) AS last_seen FROM j GROUP BY job), s AS (SELECT job, last_seen, CASE WHEN en IS NOT NULL AND cl IS NOT NULL THEN CASE WHEN ca < en THEN 'cancelled' WHEN how = 'finish' THEN 'done' ELSE 'failed' END WHEN ca IS NOT NULL AND cl IS NOT NULL AND cl < ca THEN 'cancelling' WHEN ca IS NOT NULL THEN 'cancelled' WHEN cl IS NOT NULL THEN 'running' ELSE 'pending' END AS status FROM f)"
@@ -210,13 +210,25 @@ def failures_in_window(spark, d):
     return logs.failures_in_window(tries, ip="user_id", ts="ts", window=600_000).select("event_id", "recent", "blocked")
 
 
-@register("rate_limited")
+_LIMITED = """WITH RECURSIVE t AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+r AS (SELECT event_id, user_id, ts, n, false AS blocked, [us] AS kept FROM t WHERE n = 1
+ UNION ALL SELECT event_id, user_id, ts, n, len(k) >= 8, CASE WHEN len(k) >= 8 THEN k ELSE list_append(k, us) END FROM (SELECT t.*, list_filter(r.kept, lambda x: t.us - x < 600000000000) AS k FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1))
+SELECT event_id, user_id, ts, blocked FROM r"""
+
+
+@register("rate_limited", _LIMITED)
 def rate_limited(spark, d):
     tries = table(spark, d, "events").filter("event_type = 'error'").select("event_id", "user_id", "ts")
     return logs.rate_limited(tries, ip="user_id", ts="ts", order="event_id", window=600_000)
 
 
-@register("throttled_progress")
+@register(
+    "throttled_progress",
+    """WITH RECURSIVE t AS (SELECT user_id, event_id, ts, event_type, epoch_us(ts) AS us, event_type IN ('signup', 'purchase') AS sure, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, ts, event_type, n, us AS last, true AS sent FROM t WHERE n = 1
+ UNION ALL SELECT t.user_id, t.event_id, t.ts, t.event_type, t.n, CASE WHEN t.sure OR t.us - r.last >= 86400000000 THEN t.us ELSE r.last END, t.sure OR t.us - r.last >= 86400000000 FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)
+SELECT user_id, event_id, ts, event_type FROM r WHERE sent""",
+)
 def throttled_progress(spark, d):
     lines = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
     return logs.throttled(lines, by="user_id", ts="ts", order="event_id", always=F.col("event_type").isin("signup", "purchase"), gap=86_400.0)
@@ -239,7 +251,7 @@ def valid_sessions(spark, d):
 @register("running_heartbeats", f"WITH {_JOBS} SELECT event_id FROM events JOIN s ON job = event_id // 6 WHERE event_type = 'click' AND status = 'running'")
 def running_heartbeats(spark, d):
     beats = table(spark, d, "events").filter("event_type = 'click'").select("event_id", F.floor(F.col("event_id") / 6).alias("job"))
-    return beats.join(_jobs(spark, d).filter("status = 'running'"), "job", "left_semi").select("event_id")
+    return logs.beats_of_running(beats, _jobs(spark, d), job="job").select("event_id")
 
 
 @register("table_sizes", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'documents', count(*) FROM documents")
@@ -249,24 +261,45 @@ def table_sizes(spark, d):
 
 @register("merge_report", "SELECT source AS book, count(*) AS pages, min(doc_id) AS first, max(doc_id) AS last, count(DISTINCT lang) AS chapters, 'batch_' || lpad(CAST(min(doc_id) AS VARCHAR), 3, '0') AS label FROM documents GROUP BY source")
 def merge_report(spark, d):
-    first = F.min("doc_id")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("book")).agg(F.count("*").alias("pages"), first.alias("first"), F.max("doc_id").alias("last"), F.countDistinct("lang").alias("chapters"), F.format_string("batch_%03d", first).alias("label"))
+    return listing.merge_report(table(spark, d, "documents"), book="source", page="doc_id", chapter="lang")
 
 
 @register("colliding_pages", "SELECT source, doc_id % 40 AS num FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
 def colliding_pages(spark, d):
-    return table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 40).alias("num")).agg(F.count("*").alias("n")).filter("n > 1").select("source", "num")
+    return listing.colliding(table(spark, d, "documents").select("source", (F.col("doc_id") % 40).alias("num")), by=["source", "num"])
 
 
 @register("page_numbers_seen", "SELECT p_brand, max(p_partkey % 1000) AS last, count(DISTINCT p_partkey % 1000) AS n FROM part WHERE p_partkey % 7 <> 0 GROUP BY p_brand")
 def page_numbers_seen(spark, d):
     key = F.col("p_partkey")
     name = F.when(key % 7 == 0, "cover.png").otherwise(F.concat(F.lit("raw_"), F.lpad((key % 1000).cast("string"), 4, "0"), F.lit(".png")))
-    names = table(spark, d, "part").select("p_brand", F.explode(F.regexp_extract_all(name, F.lit(r"_(\d{3,4})(?:_|\.|$)"), F.lit(1))).alias("n"))
-    return names.groupBy("p_brand").agg(F.max(F.col("n").cast("bigint")).alias("last"), F.countDistinct("n").alias("n"))
+    return listing.numbers_seen(table(spark, d, "part").select("p_brand", name.alias("name")), by="p_brand", name="name")
 
 
 @register("settings_json", "SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 4 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS BIGINT), -1) AS k FROM events")
 def settings_json(spark, d):
     raw = F.when(F.col("event_id") % 4 == 0, "{broken").otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json(raw, "k bigint")["k"], F.lit(-1)).alias("k"))
+    return table(spark, d, "events").select("event_id", json_setting(raw, "k", "bigint", -1).alias("k"))
+
+
+_RULE_JSON = "CASE doc_id % 3 WHEN 0 THEN '{\"MIN_PAGE_KB\": 40, \"OTHER\": 1}' WHEN 1 THEN 'broken' ELSE '{\"DIVIDER_MAX_OCR_CHARS\": 700}' END"
+
+
+@register("ruled_pages", f"SELECT doc_id, floor(n_chars * 40 / 1024) < CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 80 END AS blank, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) < CASE WHEN doc_id % 3 = 2 THEN 700 ELSE 40 END AS divider FROM documents")
+def ruled_pages(spark, d):
+    k = F.col("doc_id")
+    json = F.when(k % 3 == 0, '{"MIN_PAGE_KB": 40, "OTHER": 1}').when(k % 3 == 1, "broken").otherwise('{"DIVIDER_MAX_OCR_CHARS": 700}')
+    ruled = table(spark, d, "documents").withColumn("rules", pages.quality_rules(json))
+    return ruled.select(k, pages.is_blank_image(F.col("n_chars") * 40, F.col("rules.MIN_PAGE_KB")).alias("blank"), pages.is_divider(F.col("text"), F.col("rules.DIVIDER_MAX_OCR_CHARS")).alias("divider"))
+
+
+@register(
+    "patched_jobs",
+    f"WITH {_JOBS}, p AS (SELECT job, CASE WHEN job % 2 = 0 THEN 'done' WHEN job % 3 = 0 THEN 'running' END AS st, CASE WHEN job % 5 = 0 THEN TIMESTAMP '2024-01-01' END AS fin FROM s WHERE status <> 'pending'), m AS (SELECT max(ts) AS latest FROM events) SELECT s.job, coalesce(p.st, s.status) AS status, coalesce(p.fin, CASE WHEN p.st = 'done' THEN latest END) AS finished_at, s.last_seen FROM s LEFT JOIN p ON p.job = s.job, m",
+)
+def patched_jobs(spark, d):
+    jobs = _jobs(spark, d).withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))
+    k = F.col("job")
+    patches = jobs.filter("status <> 'pending'").select("job", F.when(k % 2 == 0, "done").when(k % 3 == 0, "running").alias("status"), F.when(k % 5 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).alias("finished_at"), F.lit("ignored").alias("last_seen"))
+    latest = table(spark, d, "events").agg(F.max("ts").alias("as_of"))
+    return filters.patched(jobs.crossJoin(F.broadcast(latest)), patches, key="job", as_of=F.col("as_of")).select("job", "status", "finished_at", "last_seen")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as fx
-from pagemill.operators import merge
+from pagemill.operators import filters, listing, merge, ordered
 from pagemill.operators.ordered import keep_first
 from pagemill.plans.contract import register
 from pagemill.sources.tables import table
@@ -20,14 +20,14 @@ def _catalogue(spark, d):
 def _feed(spark, d):
     o = table(spark, d, "orders")
     k, n = F.col("o_custkey"), F.col("o_orderkey")
-    return o.filter("o_custkey % 3 = 0").select(
+    return o.select(
         n.alias("seq"), F.when(k % 2 == 0, F.concat(F.lit("K"), k)).alias("kid"), F.when((k % 2 == 1) & (k % 4 == 1), F.concat(F.lit("S"), k)).alias("sid"), F.concat(F.lit("Customer#"), F.lpad((k + F.when(n % 5 == 0, 100000).otherwise(0)).cast("string"), 9, "0")).alias("title"), F.col("o_orderpriority").alias("author"), F.when(n % 4 == 0, n % 100).alias("progress")
     )
 
 
 _FEED_SQL = """cat AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'K' || c_custkey END AS kid, CASE WHEN c_custkey % 2 = 1 THEN 'S' || c_custkey END AS sid, c_name AS title, c_mktsegment AS author, c_custkey % 90 AS progress FROM customer),
 feed AS (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 2 = 0 THEN 'K' || o_custkey END AS kid, CASE WHEN o_custkey % 4 = 1 THEN 'S' || o_custkey END AS sid,
- 'Customer#' || lpad(CAST(o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 100000 ELSE 0 END AS VARCHAR), 9, '0') AS title, o_orderpriority AS author, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 100 END AS progress FROM orders WHERE o_custkey % 3 = 0),
+ 'Customer#' || lpad(CAST(o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 100000 ELSE 0 END AS VARCHAR), 9, '0') AS title, o_orderpriority AS author, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 100 END AS progress FROM orders),
 m AS (SELECT f.*, coalesce((SELECT min(id) FROM cat WHERE cat.kid = f.kid), (SELECT min(id) FROM cat WHERE cat.sid = f.sid), (SELECT min(id) FROM cat WHERE cat.title = f.title AND cat.author = f.author)) AS matched FROM feed f),
 t AS (SELECT *, coalesce('id' || matched, 'k' || kid, 's' || sid, 't' || title || chr(1) || author) AS target FROM m),
 b AS (SELECT target, any_value(matched) AS matched, count(*) AS n, min(seq) AS first, arg_max(CASE WHEN kid IS NULL THEN '' ELSE kid END, seq) AS kid, arg_max(sid, seq) AS sid, arg_max(title, seq) AS title, arg_max(author, seq) AS author, arg_max(progress, seq) FILTER (WHERE progress IS NOT NULL) AS progress FROM t GROUP BY target)"""
@@ -39,12 +39,12 @@ b AS (SELECT target, any_value(matched) AS matched, count(*) AS n, min(seq) AS f
 UNION ALL SELECT (SELECT max(id) FROM cat) + first + 1, nullif(kid, ''), sid, title, author, progress FROM b WHERE matched IS NULL""",
 )
 def catalogue_upsert(spark, d):
-    return merge.upsert_catalogue(_catalogue(spark, d), _feed(spark, d), id="id", keys=[["kid"], ["sid"], ["title", "author"]], order="seq", keep_old=["sid", "progress"], never=["kid"])[0]
+    return merge.upsert_catalogue(_catalogue(spark, d), _feed(spark, d), id="id", keys=[["kid"], ["sid"], ["title", "author"]], order="seq", keep_old=["sid", "progress"], never=["kid"], blank=["author"])[0]
 
 
 @register("upsert_counts", f"WITH {_FEED_SQL} SELECT count(*) FILTER (WHERE matched IS NULL) AS inserted, CAST(sum(n) - count(*) FILTER (WHERE matched IS NULL) AS BIGINT) AS updated FROM b")
 def upsert_counts(spark, d):
-    return merge.upsert_catalogue(_catalogue(spark, d), _feed(spark, d), id="id", keys=[["kid"], ["sid"], ["title", "author"]], order="seq", keep_old=["sid", "progress"], never=["kid"])[1]
+    return merge.upsert_catalogue(_catalogue(spark, d), _feed(spark, d), id="id", keys=[["kid"], ["sid"], ["title", "author"]], order="seq", keep_old=["sid", "progress"], never=["kid"], blank=["author"])[1]
 
 
 @register(
@@ -57,25 +57,22 @@ def clean_feed(spark, d):
         k, F.when(k % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("c_name"), F.lit(" "))).alias("title"), F.concat((k % 50).cast("string"), F.when(k % 4 == 0, "%").otherwise("")).alias("progress"), F.when(k % 3 == 0, True).alias("web"), F.when(k % 5 == 0, "lent").otherwise("").alias("status"), F.when(k % 2 == 0, F.concat(F.lit("K"), k)).alias("kid"), F.concat(F.lit("S"), k).alias("sid")
     )
     clean = merge.clean_feed(raw, texts=["title", "kid", "sid"], ints=["progress"], flags=["web"], title="title", status="status", default_status="available")
-    return clean.withColumn("kid", F.coalesce("kid", "sid")).drop("sid")
+    return clean.withColumn("kid", filters.first_given(F.col("kid"), F.col("sid"))).drop("sid")
 
 
-@register("book_master", "SELECT coalesce(n.s_suppkey, o.s_suppkey) AS s_suppkey, CASE WHEN n.s_suppkey IS NOT NULL THEN n.s_name ELSE o.s_name END AS s_name, coalesce(n.s_nationkey, o.s_nationkey) AS s_nationkey FROM (SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0) o FULL JOIN (SELECT s_suppkey, upper(s_name) AS s_name, CASE WHEN s_nationkey > 12 THEN s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) n ON n.s_suppkey = o.s_suppkey")
+@register("book_master", "SELECT coalesce(n.s_suppkey, o.s_suppkey) AS s_suppkey, CASE WHEN n.s_suppkey IS NOT NULL THEN n.s_name ELSE o.s_name END AS s_name, coalesce(n.s_nationkey, o.s_nationkey) AS s_nationkey FROM (SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_acctbal > 0) o FULL JOIN (SELECT s_suppkey, upper(s_name) AS s_name, CASE WHEN s_nationkey > 12 THEN s_nationkey END AS s_nationkey FROM supplier WHERE s_acctbal < 5000) n ON n.s_suppkey = o.s_suppkey")
 def book_master(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    new = s.filter("s_suppkey % 2 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"), F.when(F.col("s_nationkey") > 12, F.col("s_nationkey")).alias("s_nationkey"))
-    return merge.merge_master(s.filter("s_suppkey % 3 <> 0"), new, key="s_suppkey", keep_old=["s_nationkey"])
+    s, columns = table(spark, d, "supplier"), ["s_suppkey", "s_name", "s_nationkey"]
+    new = s.filter("s_acctbal < 5000").select("s_suppkey", F.upper("s_name").alias("s_name"), F.when(F.col("s_nationkey") > 12, F.col("s_nationkey")).alias("s_nationkey"))
+    return merge.merge_master(s.filter("s_acctbal > 0").select(columns), new, key="s_suppkey", keep_old=["s_nationkey"])
 
 
-_OLD = "SELECT source, doc_id, text FROM documents WHERE doc_id % 3 <> 0"
-_NEW = "SELECT source, doc_id, 'new ' || left(text, 20) AS text FROM documents WHERE doc_id % 2 = 0"
-
-
-@register("page_upsert", f"SELECT source, doc_id, text FROM (SELECT * FROM ({_NEW}) UNION ALL SELECT * FROM ({_OLD}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_NEW})))")
+@register("page_upsert", "SELECT source, doc_id, CASE WHEN q IS NOT NULL THEN 'reviewed ' || q || ': ' || text ELSE text END AS text FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)")
 def page_upsert(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "text")
-    new = docs.filter("doc_id % 2 = 0").withColumn("text", F.concat(F.lit("new "), F.left("text", F.lit(20))))
-    return merge.upsert_pages(docs.filter("doc_id % 3 <> 0"), new, keys=["source", "doc_id"])
+    marks = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q is not null")
+    new = docs.join(marks, "doc_id").select("source", "doc_id", F.concat(F.lit("reviewed "), F.col("q"), F.lit(": "), F.col("text")).alias("text"))
+    return merge.upsert_pages(docs, new, keys=["source", "doc_id"])
 
 
 @register("pages_to_do", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 500))")
@@ -84,30 +81,29 @@ def pages_to_do(spark, d):
     return merge.to_do(docs.select("doc_id"), table(spark, d, "labels"), docs.filter("n_chars > 500"), key="doc_id")
 
 
-@register("done_and_wanted", "SELECT count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@register("done_and_wanted", "SELECT count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 500)")
 def done_and_wanted(spark, d):
-    wanted = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id")
-    return table(spark, d, "labels").join(wanted, "doc_id", "left_semi").agg(F.count("*").alias("n"))
+    return merge.count_in_both(table(spark, d, "labels"), table(spark, d, "documents").filter("n_chars > 500"), key="doc_id")
 
 
-@register("resume_summaries", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'redone' ELSE 'kept ' || quality END AS summary FROM labels UNION ALL SELECT doc_id, 'redone' FROM documents WHERE doc_id % 4 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@register("resume_summaries", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000) THEN 'redone' ELSE 'kept ' || quality END AS summary FROM labels UNION ALL SELECT doc_id, 'redone' FROM documents WHERE n_chars > 1000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_summaries(spark, d):
     old = table(spark, d, "labels").select("doc_id", F.concat(F.lit("kept "), F.col("quality")).alias("summary"))
-    new = table(spark, d, "documents").filter("doc_id % 4 = 0").select("doc_id", F.lit("redone").alias("summary"))
+    new = table(spark, d, "documents").filter("n_chars > 1000").select("doc_id", F.lit("redone").alias("summary"))
     return merge.upsert_pages(old, new, keys=["doc_id"])
 
 
 @register("extras_without_page", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
 def extras_without_page(spark, d):
     cards = table(spark, d, "documents").filter("n_chars > 1000")
-    return table(spark, d, "labels").select("doc_id", "quality").join(cards, "doc_id", "left_anti")
+    return merge.without_page(table(spark, d, "labels").select("doc_id", "quality"), cards, key="doc_id")
 
 
 @register("digest_reuse", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'digest ' || quality END), ''), 'new') AS body FROM labels")
 def digest_reuse(spark, d):
     chapters = table(spark, d, "labels").select("doc_id")
-    old = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("digest "), F.col("quality"))).alias("old"))
-    return chapters.join(old, "doc_id", "left").select("doc_id", F.coalesce(F.nullif(F.trim("old"), F.lit("")), F.lit("new")).alias("body"))
+    old = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("digest "), F.col("quality"))).alias("body"))
+    return merge.reused(chapters, old, key="doc_id", body="body", fresh="new")
 
 
 @register("settings_overlay", "SELECT coalesce(a.n_nationkey, b.c_nationkey) AS nation, CASE WHEN coalesce(a.n_nationkey, b.c_nationkey) % 2 = 0 THEN coalesce(nullif(v, ''), n_name) ELSE coalesce(v, n_name) END AS value FROM nation a FULL JOIN (SELECT c_nationkey, min(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END) AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1) b ON n_nationkey = c_nationkey")
@@ -137,11 +133,12 @@ def external_ids(spark, d):
     return merge.external_ids(c.select(named.alias("slug")), books, slug="slug", id="kid", title_slug=fx.slug(F.col("title")))
 
 
-@register("containing_titles", "SELECT DISTINCT a, b FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS b FROM part UNION SELECT DISTINCT p_name || ' ' || p_type FROM part WHERE p_size > 40) ON contains(a, b) OR contains(b, a)")
+@register("containing_titles", "WITH x AS (SELECT DISTINCT a, lower(regexp_replace(a, '[^A-Za-z0-9]', '', 'g')) AS na FROM (SELECT p_name AS a FROM part UNION SELECT ' - ')), y AS (SELECT DISTINCT b, lower(regexp_replace(b, '[^A-Za-z0-9]', '', 'g')) AS nb FROM (SELECT upper(split_part(p_name, ' ', 1)) AS b FROM part UNION SELECT p_name || ': ' || p_type FROM part UNION SELECT '!')) SELECT a, b FROM x JOIN y ON nb <> '' AND (contains(na, nb) OR contains(nb, na))")
 def containing_titles(spark, d):
     part = table(spark, d, "part")
-    other = part.select(F.split("p_name", " ")[0].alias("b")).union(part.filter("p_size > 40").select(F.concat_ws(" ", "p_name", "p_type")))
-    return merge.containing_titles(part.select(F.col("p_name").alias("a")), other, a="a", b="b")
+    one = table(spark, d, "region").agg(F.count("*").alias("n"))
+    other = part.select(F.upper(F.split("p_name", " ")[0]).alias("b")).union(part.select(F.concat_ws(": ", "p_name", "p_type"))).union(one.select(F.lit("!")))
+    return merge.containing_titles(part.select(F.col("p_name").alias("a")).union(one.select(F.lit(" - "))), other, a="a", b="b")
 
 
 @register("log_ring", "SELECT event_id FROM events WHERE event_id >= (SELECT max(event_id) FROM events) - 5000")
@@ -177,33 +174,44 @@ def insert_if_absent(spark, d):
 
 @register("batch_union", "SELECT count(*) AS n, count(DISTINCT doc_id) AS n_pages FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels)")
 def batch_union(spark, d):
-    both = table(spark, d, "documents").select("doc_id").unionByName(table(spark, d, "labels").select("doc_id"))
+    both = merge.all_batches([table(spark, d, name).select("doc_id") for name in ("documents", "labels")])
     return both.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_pages"))
 
 
-@register("natural_order", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(n, '(\\d+)', 1), '') AS BIGINT), 999999), n, p_partkey) AS INTEGER) AS place FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_size || '.png' END AS n FROM part)")
+@register("natural_order", "SELECT p_partkey, row_number() OVER (ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(n, '(\\d+)', 1), '') AS BIGINT), 999999), n, p_partkey) AS place FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_size || '.png' END AS n FROM part)")
 def natural_order(spark, d):
-    from pyspark.sql import Window as W
-
     key = F.col("p_partkey")
     name = F.concat("p_name", F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("p_size"), F.lit(".png"))))
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(W.orderBy(*fx.natural_rank(name), "p_partkey")).alias("place"))
+    number, whole = fx.natural_rank(name)
+    return ordered.place_overall(table(spark, d, "part").select("p_partkey", number.alias("number"), whole.alias("name")), ["number", "name", "p_partkey"]).select("p_partkey", "place")
+
+
+_FILES = "f AS (SELECT p_brand, p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '.txt' WHEN 1 THEN 'scan' || p_size || p_name || '.JPG' WHEN 2 THEN p_size || '_' || p_partkey || '.webp' WHEN 3 THEN p_name || '.png' ELSE 'no name ' || p_partkey END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'image/png' ELSE 'text/plain' END AS type FROM part)"
+
+
+def _files(spark, d):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    named = F.when(k % 5 == 0, F.concat(name, F.lit(".txt"))).when(k % 5 == 1, F.concat(F.lit("scan"), "p_size", name, F.lit(".JPG"))).when(k % 5 == 2, F.concat("p_size", F.lit("_"), k, F.lit(".webp"))).when(k % 5 == 3, F.concat(name, F.lit(".png"))).otherwise(F.concat(F.lit("no name "), k))
+    return table(spark, d, "part").select("p_brand", k, named.alias("name"), F.when(k % 2 == 0, "image/png").otherwise("text/plain").alias("type"))
 
 
 @register(
     "upload_manifest",
-    "SELECT p_partkey, num FROM (SELECT p_partkey, p_type, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_name, p_partkey) AS INTEGER) AS num FROM part) WHERE p_type IN ('ECONOMY', 'STANDARD')",
+    f"WITH {_FILES}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(name, '(\\d+)', 1), '') AS BIGINT), 999999), name) AS INTEGER) AS num FROM f), k AS (SELECT *, lower(regexp_extract(name, '\\.([A-Za-z]+)$', 1)) AS ext FROM n) SELECT p_brand, name, num, 'page_' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(num AS VARCHAR))) AS INTEGER), '0') || CASE WHEN ext IN ('jpg', 'jpeg') THEN '.jpg' WHEN ext = 'webp' THEN '.webp' ELSE '.png' END AS file FROM k WHERE type LIKE 'image/%' OR ext IN ('png', 'jpg', 'jpeg', 'webp')",
 )
 def upload_manifest(spark, d):
-    from pyspark.sql import Window as W
+    files = _files(spark, d).select("p_brand", "name", "type")
+    return listing.upload_manifest(files, by=["p_brand"], name="name", content_type="type").select("p_brand", "name", "num", "file")
+
 
-    numbered = table(spark, d, "part").withColumn("num", F.row_number().over(W.partitionBy("p_brand").orderBy("p_size", "p_name", "p_partkey")))
-    return numbered.filter(F.col("p_type").isin("ECONOMY", "STANDARD")).select("p_partkey", "num")
+@register("image_lists", f"WITH {_FILES}, k AS (SELECT *, list_position(['png', 'jpg', 'jpeg', 'webp'], lower(regexp_extract(name, '\\.([A-Za-z]+)$', 1))) AS r FROM f) SELECT p_brand, name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY r, name) AS INTEGER) AS place FROM k WHERE r > 0")
+def image_lists(spark, d):
+    return listing.files_by_kind(_files(spark, d).select("p_brand", "name"), by=["p_brand"], name="name")
 
 
 @register("distinct_customers", "SELECT o_custkey, list_aggregate(list_sort(list_distinct(list(o_orderpriority))), 'string_agg', ',') AS kinds FROM orders GROUP BY 1")
 def distinct_customers(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("kinds"))
+    return merge.sorted_distinct(table(spark, d, "orders"), by="o_custkey", value="o_orderpriority", out="kinds")
 
 
 @register("placeholder_pages", "SELECT d.doc_id, l.doc_id IS NOT NULL AS has_text FROM documents d LEFT JOIN labels l USING (doc_id)")

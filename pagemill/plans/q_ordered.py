@@ -124,12 +124,12 @@ def first_last_pages(spark, d):
     return ordered.first_and_last(_pages(spark, d).select("book", "page"), ["book"], ["page"], 6, 2)
 
 
-_CRAWL = "c AS (SELECT o_orderkey, o_orderkey // 25 AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS is_new FROM orders), n AS (SELECT page, count(*) FILTER (WHERE is_new) AS added FROM c GROUP BY page)"
+_CRAWL = "c AS (SELECT o_custkey AS feed, o_orderkey // 25 AS page, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1 AS is_new FROM orders), n AS (SELECT feed, page, count(*) FILTER (WHERE is_new) AS added FROM c GROUP BY 1, 2)"
 
 
 def _crawl(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 25).alias("page"), "o_custkey")
-    return ordered.crawl_new(rows, F.col("o_custkey"), ["o_orderkey"]).groupBy("page").agg(F.count_if("is_new").alias("added"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("feed"), F.floor(F.col("o_orderkey") / 25).alias("page"), "o_orderpriority")
+    return ordered.crawl_new(rows, F.struct("feed", "o_orderpriority"), ["o_orderkey"]).groupBy("feed", "page").agg(F.count_if("is_new").alias("added"))
 
 
 @register("crawl_added", f"WITH {_CRAWL} SELECT * FROM n")
@@ -139,12 +139,11 @@ def crawl_added(spark, d):
 
 @register(
     "crawl_stop",
-    f"""WITH {_CRAWL}, a AS (SELECT page, added, added // 3 AS few FROM n), e AS (SELECT *, CASE WHEN few = 0 AND lag(few, 1) OVER (ORDER BY page) = 0 AND lag(few, 2) OVER (ORDER BY page) = 0 AND lag(few, 3) OVER (ORDER BY page) = 0 THEN 1 ELSE 0 END AS hit FROM a)
-SELECT page, few FROM (SELECT *, sum(hit) OVER (ORDER BY page) AS stop FROM e) WHERE stop = 0""",
+    f"""WITH {_CRAWL}, e AS (SELECT *, CASE WHEN added = 0 AND lag(added, 1) OVER w = 0 AND lag(added, 2) OVER w = 0 AND lag(added, 3) OVER w = 0 THEN 1 ELSE 0 END AS hit FROM n WINDOW w AS (PARTITION BY feed ORDER BY page))
+SELECT feed, page, added FROM (SELECT *, sum(hit) OVER (PARTITION BY feed ORDER BY page) AS stop FROM e) WHERE stop = 0""",
 )
 def crawl_stop(spark, d):
-    counts = _crawl(spark, d).select(F.lit(0).alias("feed"), "page", F.floor(F.col("added") / 3).alias("few"))
-    return ordered.crawl_stop(counts, ["feed"], "page", "few").drop("feed")
+    return ordered.crawl_stop(_crawl(spark, d), ["feed"], "page", "added")
 
 
 @register("stop_after_error", "SELECT user_id, event_id, event_type FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM events) WHERE f = 0")

@@ -42,11 +42,16 @@ def same_page_signatures(spark, d):
     return marked.select("vec_id", "label", F.round("diff", 6).alias("diff"), "same")
 
 
-@register("distinct_frames")
+@register(
+    "distinct_frames",
+    f"""WITH RECURSIVE {_HASH}, t AS (SELECT label, vec_id, b, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM h),
+r AS (SELECT label, vec_id, n, b AS last, true AS keep FROM t WHERE n = 1
+ UNION ALL SELECT label, vec_id, n, CASE WHEN d > 28 THEN b ELSE last END, d > 28 FROM (SELECT t.*, r.last, len(list_filter(list_zip(t.b, r.last), lambda z: z[1] <> z[2])) AS d FROM r JOIN t ON t.label = r.label AND t.n = r.n + 1))
+SELECT label, vec_id FROM r WHERE keep""",
+)
 def distinct_frames(spark, d):
-    hashed = signatures.average_hashes(_grey(spark, d), values="v")
-    frames = hashed.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("seq"), F.col("hash").alias("h")))).alias("frames"))
-    return frames.select("label", F.explode(ordered.greedy_frames(F.col("frames"), 28)).alias("f")).select("label", F.col("f.seq").alias("vec_id"))
+    hashed = signatures.average_hashes(_grey(spark, d), values="v").select("label", "vec_id", "hash")
+    return ordered.distinct_frames(hashed, ["label"], "vec_id", "hash", 28).select("label", "vec_id")
 
 
 _PIXELS = "x AS (SELECT l_partkey AS image, l_linenumber AS x, l_suppkey % 10 AS y, l_orderkey * 7 % 256 AS r, l_orderkey * 13 % 256 AS g, l_orderkey * 29 % 256 AS b FROM lineitem)"
@@ -209,21 +214,43 @@ def code_totals(spark, d):
 
 
 def _overview(spark, d):
-    n = F.col("n_nationkey")
-    body = F.struct(F.array(F.col("n_name"), F.lit(" ")).alias("key_topics"), F.array(F.struct(F.col("n_name").alias("term"), F.lit("d").alias("desc")), F.struct(F.lit("").alias("term"), F.lit("e").alias("desc"))).alias("key_terms"), F.array(F.struct(F.when(n % 2 == 0, n).alias("page"), F.lit("w").alias("why"))).alias("must_read_pages"), F.array(F.struct(n.alias("num"), F.lit("t").alias("title"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.when(n % 3 == 0, "").otherwise("b").alias("body"))).alias("chapter_digests"))
-    return table(spark, d, "nation").select(n, F.to_json(body).alias("json"))
+    n, chars = F.col("doc_id"), F.col("n_chars")
+    body = F.struct(F.array(F.col("lang"), F.lit(" ")).alias("key_topics"), F.array(F.struct(F.col("source").alias("term"), F.lit("d").alias("desc")), F.struct(F.lit("").alias("term"), F.lit("e").alias("desc"))).alias("key_terms"), F.array(F.struct(F.when(chars > 1000, n).alias("page"), F.lit("w").alias("why"))).alias("must_read_pages"), F.array(F.struct(n.alias("num"), F.lit("t").alias("title"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.when(chars > 500, "b").otherwise("").alias("body"))).alias("chapter_digests"))
+    return table(spark, d, "documents").select(n, F.to_json(body).alias("json"))
 
 
-@register("overview_clean", "SELECT n_nationkey, n_name AS topics, n_name AS terms, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS must_read, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END AS digests FROM nation")
+@register("overview_clean", "SELECT doc_id, lang AS topics, source AS terms, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS must_read, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS digests FROM documents")
 def overview_clean(spark, d):
-    o = reshape.clean_overview(_overview(spark, d), book="n_nationkey", json="json")
-    return o.select("n_nationkey", F.array_join("topics", ",").alias("topics"), F.array_join(F.transform("terms", lambda t: t["term"]), ",").alias("terms"), F.size("must_read").alias("must_read"), F.size("digests").alias("digests"))
+    o = reshape.clean_overview(_overview(spark, d), book="doc_id", json="json")
+    return o.select("doc_id", F.array_join("topics", ",").alias("topics"), F.array_join(F.transform("terms", lambda t: t["term"]), ",").alias("terms"), F.size("must_read").alias("must_read"), F.size("digests").alias("digests"))
 
 
-@register("table_cells", "SELECT n_nationkey, 0 AS \"row\", c AS col, CASE c WHEN 0 THEN 'name' WHEN 1 THEN 'region' END AS header, CASE c WHEN 0 THEN n_name WHEN 1 THEN CAST(n_regionkey AS VARCHAR) ELSE 'x' END AS value FROM nation, (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS c)")
+@register("table_cells", "SELECT doc_id, 0 AS \"row\", c AS col, CASE c WHEN 0 THEN 'name' WHEN 1 THEN 'region' END AS header, CASE c WHEN 0 THEN lang WHEN 1 THEN source ELSE 'x' END AS value FROM documents, (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS c)")
 def table_cells(spark, d):
-    payload = F.struct(F.array(F.lit("name"), F.lit("region")).alias("headers"), F.array(F.array(F.col("n_name"), F.col("n_regionkey").cast("string"), F.lit("x"))).alias("rows"))
-    return reshape.table_cells(table(spark, d, "nation").select("n_nationkey", F.to_json(payload).alias("json")), id="n_nationkey", json="json")
+    payload = F.struct(F.array(F.lit("name"), F.lit("region")).alias("headers"), F.array(F.array("lang", "source", F.lit("x"))).alias("rows"))
+    return reshape.table_cells(table(spark, d, "documents").select("doc_id", F.to_json(payload).alias("json")), id="doc_id", json="json")
+
+
+@register(
+    "section_items",
+    """WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part)
+SELECT p_partkey, 0 AS section, p_brand AS title, CAST(NULL AS VARCHAR) AS sub, 'point' AS kind, 0 AS pos, p_name AS text, false AS core FROM p
+UNION ALL SELECT p_partkey, 0, p_brand, NULL, 'tag', i, CASE i WHEN 0 THEN p_type ELSE 'second' END, i = 0 AND p_size > 20 FROM p, (SELECT CAST(unnest(range(0, 2)) AS INTEGER) AS i)
+UNION ALL SELECT p_partkey, 0, p_brand, 'more', 'point', 0, 'deep ' || p_name, false FROM p""",
+)
+def section_items(spark, d):
+    tags = F.array(F.struct(F.col("p_type").alias("text"), F.when(F.col("p_size") > 20, True).alias("core")), F.struct(F.lit("second").alias("text"), F.lit(False).alias("core")))
+    subs = F.array(F.struct(F.lit("more").alias("heading"), F.array(F.concat(F.lit("deep "), "p_name")).alias("points")))
+    sections = F.array(F.struct(F.col("p_brand").alias("title"), F.array("p_name").alias("points"), tags.alias("tags"), subs.alias("subsections")))
+    return reshape.section_items(table(spark, d, "part").select("p_partkey", F.to_json(sections).alias("json")), id="p_partkey", json="json")
+
+
+@register("block_replies", "SELECT c_custkey, CAST(i AS INTEGER) AS idx, CASE WHEN i = 0 THEN 'python' ELSE 'C#' END AS lang, c_name AS title, CASE WHEN i = 0 THEN 'x = 1' ELSE 'y' END AS code FROM customer, (SELECT unnest(range(0, 2)) AS i) WHERE c_custkey % 5 > 0")
+def block_replies(spark, d):
+    block = lambda lang, code: F.struct(F.lit(lang).alias("lang"), F.col("c_name").alias("title"), F.lit(code).alias("code"))
+    body = F.to_json(F.struct(F.array(block("python", "x = 1"), block("C#", "y"), block("C#", " ")).alias("blocks")))
+    reply = F.when(F.col("c_custkey") % 5 == 0, "no code here").when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Blocks: "), body))
+    return reshape.block_replies(table(spark, d, "customer").select("c_custkey", reply.alias("reply")), page="c_custkey", reply="reply")
 
 
 @register("topic_tags", "SELECT c_mktsegment AS topic, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1")

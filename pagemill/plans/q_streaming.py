@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.plans.contract import register
-from pagemill.plans.q_logs import _PINGS
+from pagemill.plans.q_logs import _LIMITED, _PINGS
 from pagemill.plans.q_text import _agent, _ip, _UA_SQL
 from pagemill.sources.storage import shared_folder
 from pagemill.streaming import logs
@@ -28,26 +28,30 @@ def stream_workers(spark, d):
 
 @register(
     "stream_beacons",
-    f"WITH u AS ({_UA_SQL}) SELECT event_id, ts, CASE WHEN regexp_matches(ua, 'iPhone|iPad|Android|Mobile') THEN 'mobile' ELSE 'desktop' END AS device, CASE WHEN event_id % 3 = 0 THEN ip ELSE '172.17.0.1' END AS ip, CASE WHEN event_id % 3 = 0 THEN ip IN ('10.1.2.3', '172.16.9.9', '192.168.0.7', '127.0.0.1', '169.254.1.1', 'fe80::1') ELSE true END AS lan FROM u",
+    f"WITH u AS ({_UA_SQL}) SELECT event_id, ts, CASE WHEN regexp_matches(ua, 'iPhone|iPad|Android|Mobile') THEN 'mobile' ELSE 'desktop' END AS device, CASE WHEN event_id % 3 = 0 THEN ip ELSE '172.17.0.1' END AS ip, CASE WHEN contains(ua, 'Windows NT 10') THEN 'Windows 10/11' WHEN contains(ua, 'Windows NT') THEN 'Windows' WHEN contains(ua, 'Mac OS X') OR contains(ua, 'Macintosh') THEN 'macOS ' || replace(regexp_extract(ua, 'Mac OS X (\\d+[_.]\\d+)', 1), '_', '.') WHEN contains(ua, 'iPhone') THEN 'iOS/iPadOS' WHEN contains(ua, 'Android') THEN 'Android' WHEN contains(ua, 'Linux') THEN 'Linux' ELSE 'unknown' END AS os, CASE WHEN contains(ua, 'Edg/') THEN 'Edge' WHEN contains(ua, 'Opera') THEN 'Opera' WHEN contains(ua, 'Chrome/') AND NOT contains(ua, 'Chromium') THEN 'Chrome' WHEN contains(ua, 'Firefox/') THEN 'Firefox' WHEN contains(ua, 'Safari/') AND NOT contains(ua, 'Chrome') THEN 'Safari' ELSE 'unknown' END AS browser, CASE WHEN event_id % 3 = 0 THEN ip IN ('10.1.2.3', '172.16.9.9', '192.168.0.7', '127.0.0.1', '169.254.1.1', 'fe80::1') ELSE true END AS lan FROM u",
 )
 def stream_beacons(spark, d):
     key = F.col("event_id")
     rows = logs.beacons(_events(spark, d), agent=_agent(key), forwarded=F.when(key % 3 == 0, _ip(key)).otherwise(""), real=F.lit(None).cast("string"), peer=F.lit("172.17.0.1"))
-    return _local(logs.drain(rows.drop("os", "browser"), shared_folder(spark, "beacons")))
+    return _local(logs.drain(rows, shared_folder(spark, "beacons")))
 
 
-@register("stream_limiter")
+@register("stream_limiter", _LIMITED)
 def stream_limiter(spark, d):
     tries = _events(spark, d).filter("event_type = 'error'").select("event_id", "user_id", "ts")
     return _local(logs.drain(logs.limiter(tries, ip="user_id", ts="ts", order="event_id", window=600_000), shared_folder(spark, "limiter")))
 
 
-@register("stream_windows")
+@register("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     return _local(logs.drain(logs.windowed_counts(_events(spark, d), ts="ts", by="event_type", late=None), shared_folder(spark, "windows"), mode="complete"))
 
 
-@register("stream_lost_jobs")
+@register(
+    "stream_lost_jobs",
+    """WITH b AS (SELECT event_id // 6 AS job, ts FROM events), s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS opens FROM b WINDOW w AS (PARTITION BY job ORDER BY ts)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY job ORDER BY ts) AS session FROM s) SELECT job, count(*) AS beats, max(ts) AS last_beat, max(ts) + INTERVAL 600 SECONDS AS lost_at FROM n GROUP BY job, session""",
+)
 def stream_lost_jobs(spark, d):
     beats = _events(spark, d).select("ts", F.floor(F.col("event_id") / 6).alias("job"))
     return _local(logs.drain(logs.silent_spans(beats, ts="ts", by="job", late=None), shared_folder(spark, "lost"), mode="complete"))

@@ -11,9 +11,9 @@ from pagemill.plans.contract import register
 from pagemill.sources.tables import table
 
 
-@register("normal_title", "SELECT doc_id, lower(regexp_replace(left(text, 200), '[^\\p{L}\\p{N}\\p{M}]+', '', 'g')) AS title FROM documents")
+@register("normal_title", "SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', '', 'g')) AS title FROM documents")
 def normal_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", fx.normal_title(F.left("text", F.lit(200))).alias("title"))
+    return table(spark, d, "documents").select("doc_id", fx.normal_title(F.col("text")).alias("title"))
 
 
 @register("slugs", "SELECT p_partkey, regexp_replace(trim(regexp_replace('[' || p_brand || '] ' || p_name, '^\\s*\\[[^\\]]*\\]\\s*', '')), '\\s+', '_', 'g') AS slug, replace(regexp_replace(p_name, '\\s+', '_', 'g'), '_', ' ') AS title FROM part")
@@ -70,10 +70,10 @@ def progress_lines(spark, d):
     return read.select("l_orderkey", "l_linenumber", "p.cur", "p.total", fx.percent_done(F.lit(3), F.lit(7), F.col("p.cur"), F.col("p.total")).alias("percent"))
 
 
-@register("masked_names", "SELECT c_custkey, CASE WHEN length(s) > 12 THEN left(s, 7) || '...' || right(s, 4) ELSE '***' END AS masked, left(regexp_replace(c_name, '[^A-Za-z0-9_-]', '', 'g'), 30) AS tag FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS s FROM customer)")
+@register("masked_names", "SELECT c_custkey, CASE WHEN length(s) > 12 THEN left(s, 7) || '...' || right(s, 4) ELSE '***' END AS masked, regexp_replace(left('요약 ' || c_name || ' v½!' || c_mktsegment, 30), '[^\\p{L}\\p{N}_-]', '', 'g') AS tag FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS s FROM customer)")
 def masked_names(spark, d):
     value = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("c_mktsegment"))
-    return table(spark, d, "customer").select("c_custkey", fx.masked_secret(value).alias("masked"), fx.safe_tag(F.col("c_name")).alias("tag"))
+    return table(spark, d, "customer").select("c_custkey", fx.masked_secret(value).alias("masked"), fx.safe_tag(F.concat(F.lit("요약 "), "c_name", F.lit(" v½!"), "c_mktsegment")).alias("tag"))
 
 
 @register(
@@ -95,10 +95,10 @@ def link_ids(spark, d):
 
 @register(
     "text_numbers",
-    "SELECT doc_id, length(text) AS n_chars, left(text, 300) AS head, 'page_' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS path, CASE WHEN len(regexp_extract_all(text, '\\p{L}')) > 0 THEN len(regexp_extract_all(text, '[à-ÿ]')) / len(regexp_extract_all(text, '\\p{L}')) ELSE 0 END AS accents FROM documents",
+    "SELECT doc_id, length(coalesce(text, '')) AS n_chars, left(text, 300) AS head, 'page_' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS path, CASE WHEN len(regexp_extract_all(text, '\\p{L}')) > 0 THEN len(regexp_extract_all(text, '[à-ÿ]')) / len(regexp_extract_all(text, '\\p{L}')) ELSE 0 END AS accents FROM documents",
 )
 def text_numbers(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.left("text", F.lit(300)).alias("head"), fx.page_path(F.col("doc_id")).alias("path"), fx.script_ratio(F.col("text"), "à-ÿ").alias("accents"))
+    return table(spark, d, "documents").select("doc_id", fx.n_chars(F.col("text")).alias("n_chars"), fx.cut_text(F.col("text"), 300).alias("head"), fx.page_path(F.col("doc_id")).alias("path"), fx.script_ratio(F.col("text"), "à-ÿ").alias("accents"))
 
 
 @register("number_texts", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 101 ELSE 0 END AS shown, CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 101 END AS strict FROM customer")
@@ -173,7 +173,7 @@ def client_info(spark, d):
 @register("error_messages", "SELECT event_id, coalesce(nullif(CASE WHEN event_type = 'error' THEN props ELSE '' END, ''), 'heartbeat lost') AS error FROM events")
 def error_messages(spark, d):
     given = F.when(F.col("event_type") == "error", F.col("props")).otherwise("")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.nullif(given, F.lit("")), F.lit("heartbeat lost")).alias("error"))
+    return table(spark, d, "events").select("event_id", fx.message_or(given, "heartbeat lost").alias("error"))
 
 
 @register(
@@ -185,3 +185,27 @@ def code_pages(spark, d):
     extra = F.when(key % 7 == 0, "\nimport numpy\ndef run(x): print(x)").when(key % 7 == 1, " using  OpenCvSharp;").otherwise("")
     made = table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("t"))
     return made.select("doc_id", pages.code_score(F.col("t")).alias("score")).filter("score >= 2")
+
+
+@register(
+    "progress_records",
+    """SELECT l_orderkey, l_linenumber, json_object('stage', l_linenumber % 4 + 1, 'stage_total', 4, 'stage_name', 'ocr', 'current', CAST(l_quantity AS BIGINT), 'total', CASE WHEN l_linenumber % 4 = 3 THEN 0 ELSE 50 END,
+'pct', round((l_linenumber % 4 + CASE WHEN l_linenumber % 4 = 3 THEN 0 ELSE CAST(l_quantity AS BIGINT) / 50 END) / 4 * 100, 1), 'msg', left(repeat(l_returnflag || ' page ', 40), 200)) AS record FROM lineitem""",
+)
+def progress_records(spark, d):
+    n, cur = F.col("l_linenumber") % 4, F.col("l_quantity").cast("bigint")
+    record = fx.progress_record(n + 1, F.lit(4), F.lit("ocr"), cur, F.when(n == 3, 0).otherwise(50), F.repeat(F.concat("l_returnflag", F.lit(" page ")), F.lit(40)))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", record.alias("record"))
+
+
+@register(
+    "client_records",
+    f"""WITH u AS ({_UA_SQL}) SELECT event_id, json_object('ip', CASE WHEN event_id % 3 = 0 THEN ip ELSE '172.17.0.1' END, 'peer_ip', '172.17.0.1', 'x_forwarded_for', CASE WHEN event_id % 3 = 0 THEN ip || ', 10.9.9.9' ELSE '' END,
+'os', CASE WHEN contains(ua, 'Windows NT 10') THEN 'Windows 10/11' WHEN contains(ua, 'Windows NT') THEN 'Windows' WHEN contains(ua, 'Mac OS X') OR contains(ua, 'Macintosh') THEN 'macOS ' || replace(regexp_extract(ua, 'Mac OS X (\\d+[_.]\\d+)', 1), '_', '.') WHEN contains(ua, 'iPhone') THEN 'iOS/iPadOS' WHEN contains(ua, 'Android') THEN 'Android' WHEN contains(ua, 'Linux') THEN 'Linux' ELSE 'unknown' END,
+'browser', CASE WHEN contains(ua, 'Edg/') THEN 'Edge' WHEN contains(ua, 'Opera') THEN 'Opera' WHEN contains(ua, 'Chrome/') AND NOT contains(ua, 'Chromium') THEN 'Chrome' WHEN contains(ua, 'Firefox/') THEN 'Firefox' WHEN contains(ua, 'Safari/') AND NOT contains(ua, 'Chrome') THEN 'Safari' ELSE 'unknown' END, 'lang', 'ko-KR', 'mac', NULL, 'user_agent', left(ua || repeat(' more', 60), 300)) AS record FROM u""",
+)
+def client_records(spark, d):
+    key = F.col("event_id")
+    forwarded = F.when(key % 3 == 0, F.concat(_ip(key), F.lit(", 10.9.9.9"))).otherwise("")
+    agent = F.concat(_agent(key), F.lit(" more" * 60))
+    return table(spark, d, "events").select(key, web.client_record(forwarded=forwarded, real=F.lit(None).cast("string"), peer=F.lit("172.17.0.1"), agent=agent, language=F.lit("ko-KR,ko;q=0.9")).alias("record"))

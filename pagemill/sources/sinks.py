@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import safe_tag
+from pagemill.functions.text import n_chars, safe_tag
+from pagemill.operators.costs import analysis_history
+from pagemill.operators.listing import batch_label
+from pagemill.operators.merge import merge_master, upsert_pages
 
 
 def write_version(df: DataFrame, path: str, version: str) -> str:
@@ -15,9 +19,9 @@ def write_version(df: DataFrame, path: str, version: str) -> str:
     return folder
 
 
-def overwrite_books(df: DataFrame, path: str, *, book: str = "book") -> None:
+def overwrite_books(df: DataFrame, path: str, *, book: str = "book", format: str = "parquet") -> None:
     """Replaces the partitions of the books in df and leaves other books as they are."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book).format(format).save(path)
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
@@ -26,8 +30,57 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\t", *columns).alias("value")).write.mode("append").text(path)
 
 
+def restart_ledger(rows: DataFrame, path: str, *, book: str = "book") -> None:
+    """Ledgers of a new run: those of the books in rows start anew with these lines, others stay."""
+    columns = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("stage", "model", "tokens_in", "tokens_out", "usd", "ts")]
+    overwrite_books(rows.select(book, F.concat_ws("\t", *columns).alias("value")), path, book=book, format="text")
+
+
+def append_rows(df: DataFrame, path: str, *, key: list[str]) -> None:
+    """Appends rows to a log or queue table. The id of a row is a hash of its key, so that a row that is
+    appended again after a lost task or a second try has the id it had."""
+    df.withColumn("id", F.xxhash64(*key)).write.mode("append").parquet(path)
+
+
+def append_history(runs: DataFrame, path: str, *, by: str, order: list[str], usd: str = "cost_usd") -> None:
+    """Appends analysis records with the cost of all runs so far."""
+    analysis_history(runs, by=by, order=order, usd=usd).write.mode("append").parquet(path)
+
+
+def write_batches(pages: DataFrame, path: str, *, book: str, page: str, size: int = 5) -> None:
+    """Pages in JSON arrays of `size` pages in order, one file each, named by book and first page. A
+    batch that is written again replaces itself."""
+    fields = [c for c in pages.columns if c != book]
+    nth = F.row_number().over(W.partitionBy(book).orderBy(page)) - 1
+    grouped = pages.withColumn("_batch", F.floor(nth / size)).groupBy(book, "_batch").agg(F.min(page).alias("_first"), F.array_sort(F.collect_list(F.struct(page, *(c for c in fields if c != page)))).alias("_pages"))
+    rows = grouped.select(book, F.concat(batch_label(F.col("_first")), F.lit(".json")).alias("file"), F.to_json("_pages").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book, "file").text(path)
+
+
+def write_chapters(chapters: DataFrame, path: str, *, scaffold: bool = False) -> None:
+    """Chapter ranges of each book as a JSON array in order; those of a scaffold go to a target of their own."""
+    fields = F.struct("start", *(c for c in chapters.columns if c not in ("book", "start")))
+    arrays = chapters.groupBy("book").agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("value"))
+    arrays.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").text(f"{path}/{'chapters_scaffold' if scaffold else 'chapters'}.json")
+
+
+def save_corpus(master: DataFrame, pages: DataFrame, path: str, *, version: str, before: str | None = None, keep_old: tuple[str, ...] = ("category", "field", "pub_date", "revision_date", "description")) -> None:
+    """A new version of the corpus tables book_master (slug, ...) and book_pages (book_slug, page_num,
+    ocr_text): the version before, if there is one, with these books and pages put in."""
+    spark = master.sparkSession
+    counts = pages.groupBy(F.col("book_slug").alias("slug")).agg(F.count("*").alias("page_count"))
+    books = master.join(counts, "slug", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0).cast("bigint")))
+    texts = pages.withColumn("ocr_text", F.coalesce("ocr_text", F.lit(""))).withColumn("char_count", n_chars(F.col("ocr_text")))
+    if before is not None:
+        books = merge_master(spark.read.parquet(f"{path}/book_master/version={before}"), books, key="slug", keep_old=[c for c in books.columns if c in keep_old])
+        texts = upsert_pages(spark.read.parquet(f"{path}/book_pages/version={before}"), texts, keys=["book_slug", "page_num"])
+    write_version(books, f"{path}/book_master", version)
+    write_version(texts, f"{path}/book_pages", version)
+
+
 def write_pages_data(tree: DataFrame, pages: DataFrame, path: str) -> None:
-    """One JSON object a book: its chapter tree and its pages in order."""
+    """One JSON object a book: its chapter tree and its pages in order. An object holds a whole book, which
+    is what its reader asks for: pages are summaries, a book has some thousands."""
     objects = pages.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("num", *[c for c in pages.columns if c not in ("book", "num")]))).alias("pages"))
     tree.join(objects, "book").write.mode("overwrite").partitionBy("book").json(path)
 
@@ -37,5 +90,5 @@ def write_requests(requests: DataFrame, path: str) -> None:
 
 
 def snapshot_name(spark: SparkSession, stamp: str, tag: str) -> str:
-    """Name of a snapshot: its time stamp and a cleaned tag."""
-    return spark.range(1).select(F.concat_ws("-", F.lit(stamp), safe_tag(F.lit(tag))).alias("n")).first()["n"]
+    """Name of a snapshot: its time stamp, and a cleaned tag if anything of it is left."""
+    return spark.range(1).select(F.concat_ws("_", F.lit(stamp), F.nullif(safe_tag(F.lit(tag)), F.lit(""))).alias("n")).first()["n"]

@@ -79,6 +79,20 @@ def limiter(tries: DataFrame, *, ip: str, ts: str, order: str, window: int = FAI
     return tries.withWatermark(ts, LATE).groupBy(ip).applyInPandasWithState(decide, schema, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def drain_files(spark: SparkSession, source: str, folder: str, work, *, every: int = 5) -> DataFrame:
+    """Work through the text files below source that no earlier call has done, `every` at a time, and
+    return all results. work gets (path, value) rows. The stream's checkpoint is the manifest of files
+    that are done: after each batch it and the batch's results stand, and a batch that was cut off is
+    done again and replaces what it left."""
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", every).text(source, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def batch_done(batch: DataFrame, n: int) -> None:
+        work(batch).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/done/version={n}")
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/manifest").trigger(availableNow=True).foreachBatch(batch_done).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/done").drop("version")
+
+
 def drain(stream: DataFrame, folder: str, *, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a folder, and read it. Append writes files as they
     come; complete keeps the version of the last batch."""

@@ -10,30 +10,56 @@ def one_book(spark, values, column="v"):
     return spark.createDataFrame([("b", i, v) for i, v in enumerate(values, 1)], f"book string, seq long, {column} {'string' if any(isinstance(v, str) for v in values) else 'long'}")
 
 
+def kept_pages(spark, values):
+    return sorted(r.seq for r in ordered.keep_apart(spark.createDataFrame([("b", v) for v in values], "book string, seq long"), ["book"], "seq").collect())
+
+
 def test_greedy_gap_compares_with_last_kept(spark):
     for values, want in (([3, 5, 7], [3, 7]), ([3, 5, 7, 20, 21], [3, 7, 20]), ([], [])):
-        got = spark.range(1).select(ordered.greedy_gap(F.array(*map(F.lit, values)).cast("array<bigint>")).alias("k")).first().k
-        assert got == want
+        assert kept_pages(spark, values) == want
+
+
+def greedy_frames(frames, bits=8):
+    last, want = None, []
+    for seq, h in frames:
+        if last is None or (h ^ last).bit_count() > bits:
+            want.append(seq)
+            last = h
+    return want
 
 
 def test_greedy_loops_on_random_input(spark):
     rng = random.Random(1)
-    for _ in range(5):
+    for _ in range(3):
         values = sorted(rng.sample(range(60), rng.randint(1, 25)))
         kept = []
         for v in values:
             if not kept or v - kept[-1] > 2:
                 kept.append(v)
-        assert spark.range(1).select(ordered.greedy_gap(F.array(*map(F.lit, values)).cast("array<bigint>")).alias("k")).first().k == kept
-        hashes = [rng.getrandbits(63) for _ in range(3)]
-        frames = [(i, rng.choice(hashes) ^ (1 << rng.randrange(63))) for i in range(20)]
-        last, want = None, []
-        for seq, h in frames:
-            if last is None or (h ^ last).bit_count() > 8:
-                want.append(seq)
-                last = h
-        column = F.array(*(F.struct(F.lit(s).cast("bigint").alias("seq"), F.lit(h).cast("bigint").alias("h")) for s, h in frames))
-        assert [k.seq for k in spark.range(1).select(ordered.greedy_frames(column).alias("k")).first().k] == want
+        assert kept_pages(spark, values) == kept
+    hashes = [rng.getrandbits(63) for _ in range(3)]
+    films = {film: [(i, rng.choice(hashes) ^ (1 << rng.randrange(63))) for i in range(40)] for film in "abc"}
+    rows = spark.createDataFrame([(film, *f) for film, frames in films.items() for f in frames], "film string, seq long, h long")
+    got = ordered.distinct_frames(rows, ["film"], "seq", "h").collect()
+    assert sorted((r.film, r.seq) for r in got) == [(film, seq) for film in "abc" for seq in greedy_frames(films[film])]
+    assert ordered.distinct_frames(rows, ["film"], "seq", "h", cap=2).count() == 6
+
+
+def test_more_frames_than_a_video_has_are_all_kept(spark):
+    rng = random.Random(3)
+    frames = [(i, rng.getrandbits(63)) for i in range(5000)]
+    got = ordered.distinct_frames(spark.createDataFrame([("f", *f) for f in frames], "film string, seq long, h long"), ["film"], "seq", "h")
+    want = greedy_frames(frames)
+    assert len(want) > ordered.FRAME_CAP and sorted(r.seq for r in got.collect()) == want
+
+
+def test_places_run_over_the_whole_table(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 20)) for i in range(500)]
+    got = ordered.place_overall(spark.createDataFrame(rows, "i long, v long"), [F.desc("v"), "i"]).collect()
+    assert [r.i for r in sorted(got, key=lambda r: r.place)] == [i for i, v in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert sorted(r.place for r in got) == list(range(1, 501))
+    assert ordered.place_overall(spark.createDataFrame([], "i long, v long"), ["v", "i"]).count() == 0
 
 
 def test_false_chapters_drop(spark):
