@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import dropped, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _state(links)
     while before[0]:
-        links = stored(_small_star(_large_star(links).distinct()).distinct(), "links")
+        older, links = links, stored(_small_star(_large_star(links).distinct()).distinct(), "links")
+        dropped(older)
         now = _state(links)
         if now == before:
             break

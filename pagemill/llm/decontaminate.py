@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import free_name, stored
+from pagemill.llm.common import dropped, free_name, stored
 
 #: Words of a window; share of hit words (one in SHARE) from which a document counts as contaminated.
 WINDOW, SHARE = 13, 20
@@ -135,6 +135,7 @@ def judged(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
     named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("doc"), words_of(F.col(text)).alias("w"))
     found = stored(shingle_occurrences(named, parts.select("size", "h", "gram").distinct()).distinct(), "occurrences")
     hits = stored(window_hits(parts, found).distinct(), "hits")
+    dropped(found)
     covered = hits.select("doc_id", "doc", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("doc_id", "doc").agg(F.count("*").alias("n_hit"))
     named_windows = owners.join(parts.select("words", "wid").distinct(), "words").select("wid", "item_id")
     held = hits.select("doc_id", "doc", "wid").distinct().join(named_windows, "wid").groupBy("doc_id", "doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Polynomial, buckets_for, dropped, mix, runs, stored, text_bytes, word_hash, word_spans
+from pagemill.llm.common import Polynomial, buckets_for, mix, runs, stored, text_bytes, word_hash, word_spans
 from pagemill.llm.exchange import LAST, KeyLists, Later, Shared, named, shared_keys
 
 #: Fixed value: words of a window.
