@@ -18,17 +18,18 @@ def _kind(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z]+)$", 1))
 
 
-def files_by_kind(files: DataFrame, *, by: list[str], name: str, kinds: tuple[str, ...] = IMAGE_KINDS, out: str = "place") -> DataFrame:
-    """Files of the kinds, numbered within `by`: kind after kind, by name within one. Others are left out."""
+def files_by_kind(files: DataFrame, *, by: list[str], name: str, then: list[str] = (), kinds: tuple[str, ...] = IMAGE_KINDS, out: str = "place") -> DataFrame:
+    """Files of the kinds, numbered within `by`: kind after kind, by name (and then as told) within one.
+    Others are left out."""
     rank = F.array_position(F.array(*map(F.lit, kinds)), _kind(F.col(name)))
     ranked = files.withColumn("_rank", rank).filter("_rank > 0")
-    return ranked.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy("_rank", name))).drop("_rank")
+    return ranked.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy("_rank", name, *then))).drop("_rank")
 
 
-def upload_manifest(files: DataFrame, *, by: list[str], name: str, content_type: str) -> DataFrame:
+def upload_manifest(files: DataFrame, *, by: list[str], name: str, content_type: str, then: list[str] = ()) -> DataFrame:
     """Uploaded images with the number and name they are kept under. Numbers are given in natural order
-    before other files are left out, which leaves gaps."""
-    numbered = files.withColumn("num", F.row_number().over(W.partitionBy(*by).orderBy(*natural_rank(F.coalesce(name, F.lit(""))))))
+    (and then as told) before other files are left out, which leaves gaps."""
+    numbered = files.withColumn("num", F.row_number().over(W.partitionBy(*by).orderBy(*natural_rank(F.coalesce(name, F.lit(""))), *then)))
     kind = _kind(F.col(name))
     image = F.coalesce(F.lower(content_type).startswith("image/"), F.lit(False)) | F.coalesce(kind.isin(*IMAGE_KINDS), F.lit(False))
     extension = F.when(kind.isin("jpg", "jpeg"), ".jpg").when(kind == "webp", ".webp").otherwise(".png")

@@ -197,16 +197,15 @@ def _files(spark, d):
 
 @register(
     "upload_manifest",
-    f"WITH {_FILES}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(name, '(\\d+)', 1), '') AS BIGINT), 999999), name) AS INTEGER) AS num FROM f), k AS (SELECT *, lower(regexp_extract(name, '\\.([A-Za-z]+)$', 1)) AS ext FROM n) SELECT p_brand, name, num, 'page_' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(num AS VARCHAR))) AS INTEGER), '0') || CASE WHEN ext IN ('jpg', 'jpeg') THEN '.jpg' WHEN ext = 'webp' THEN '.webp' ELSE '.png' END AS file FROM k WHERE type LIKE 'image/%' OR ext IN ('png', 'jpg', 'jpeg', 'webp')",
+    f"WITH {_FILES}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(name, '(\\d+)', 1), '') AS BIGINT), 999999), name, p_partkey) AS INTEGER) AS num FROM f), k AS (SELECT *, lower(regexp_extract(name, '\\.([A-Za-z]+)$', 1)) AS ext FROM n) SELECT p_brand, p_partkey, name, num, 'page_' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(num AS VARCHAR))) AS INTEGER), '0') || CASE WHEN ext IN ('jpg', 'jpeg') THEN '.jpg' WHEN ext = 'webp' THEN '.webp' ELSE '.png' END AS file FROM k WHERE type LIKE 'image/%' OR ext IN ('png', 'jpg', 'jpeg', 'webp')",
 )
 def upload_manifest(spark, d):
-    files = _files(spark, d).select("p_brand", "name", "type")
-    return listing.upload_manifest(files, by=["p_brand"], name="name", content_type="type").select("p_brand", "name", "num", "file")
+    return listing.upload_manifest(_files(spark, d), by=["p_brand"], name="name", content_type="type", then=["p_partkey"]).select("p_brand", "p_partkey", "name", "num", "file")
 
 
-@register("image_lists", f"WITH {_FILES}, k AS (SELECT *, list_position(['png', 'jpg', 'jpeg', 'webp'], lower(regexp_extract(name, '\\.([A-Za-z]+)$', 1))) AS r FROM f) SELECT p_brand, name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY r, name) AS INTEGER) AS place FROM k WHERE r > 0")
+@register("image_lists", f"WITH {_FILES}, k AS (SELECT *, list_position(['png', 'jpg', 'jpeg', 'webp'], lower(regexp_extract(name, '\\.([A-Za-z]+)$', 1))) AS r FROM f) SELECT p_brand, p_partkey, name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY r, name, p_partkey) AS INTEGER) AS place FROM k WHERE r > 0")
 def image_lists(spark, d):
-    return listing.files_by_kind(_files(spark, d).select("p_brand", "name"), by=["p_brand"], name="name")
+    return listing.files_by_kind(_files(spark, d).drop("type"), by=["p_brand"], name="name", then=["p_partkey"])
 
 
 @register("distinct_customers", "SELECT o_custkey, list_aggregate(list_sort(list_distinct(list(o_orderpriority))), 'string_agg', ',') AS kinds FROM orders GROUP BY 1")
