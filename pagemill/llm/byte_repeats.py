@@ -1,20 +1,20 @@
 """Repeated byte strings: every byte of a WINDOW-byte string that also starts elsewhere.
 
-The method asked for is a suffix array by a difference cover. One whole level of it moves
-two thirds of all positions with their names and places, sixteen bytes each: over ten bytes
-for each byte of text, where the shuffle space given is about two. So the positions are
-sampled by content instead of by place (the sample is a synchronising set, which equal
-strings share, where a difference cover shares one offset for each pair): positions of the
-sample are named by their first PREFIX bytes, equal names are brought together, and only
-stretches all of whose sampled prefixes occur twice go on. There
-
-1. windows that start at a denser sample are compared by all WINDOW bytes;
+Places are sampled by content, so that equal strings are sampled alike wherever they stand. Sampled
+places are named by their first PREFIX bytes, equal names are brought together, and only stretches
+all of whose sampled prefixes occur twice go on. There
+
+1. texts are parsed into phrases between sampled places, and the suffixes of the parse are sorted by a
+   difference cover (see suffix_sort): sampled triples are sorted and named, names of names in turn,
+   and the remaining suffixes merged; neighbours in that order are compared by their first WINDOW
+   bytes, which tells the windows that start a phrase and occur elsewhere;
 2. a text asks about every other start, unless repeated starts on both sides of it, at most
    WINDOW apart, already cover its window; it asks by the first sampled prefix in the window,
    which a string equal to it has at the same place;
 3. the windows of all texts at prefixes that some text asks about are compared.
 
-The result is that of comparing every window with every other one.
+The result is that of comparing every window with every other one. Sorting the suffixes of all bytes
+instead of those of the parse would move some tens of bytes for each byte of text.
 
 Defined results: a null text is empty; repeated rows repeat each other, whatever their ids
 (null ids too); strings are judged on the input; an empty table gives an empty result.
@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Polynomial, buckets_for, mix, runs, stored, text_bytes
+from pagemill.llm.common import Polynomial, buckets_for, dropped, runs, stored, text_bytes
 from pagemill.llm.exchange import Asked, KeyLists, Shared, named, shared_keys
+from pagemill.llm.suffix_sort import neighbours, ranks, sample_names
 
 #: Fixed value: bytes of a string that counts as repeated.
 WINDOW = 200
 #: Bytes by which a position is chosen, bytes by which it is named; one position in SPARSE, and of
-#: starts one in DENSE, is of the sample (SPARSE is a multiple of DENSE).
-SEED, PREFIX, SPARSE, DENSE = 16, 64, 16, 8
+#: starts one in PARSE, is of the sample.
+SEED, PREFIX, SPARSE, PARSE = 16, 64, 16, 32
 _PICK, _NAME, _PLACE, _KEY = Polynomial(21), Polynomial(22), Polynomial(23), Polynomial(24)
 
 
@@ -82,15 +83,15 @@ def free_starts(flagged: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(free)
 
 
-def candidates(data, offsets, batch, a, b):
+def candidates(data, offsets, batch, a, b, picked=None):
     """Starts of windows all of whose sampled prefixes are shared (or that have none), which of
-    them are of the dense sample, and the sampled prefixes."""
-    picked = picks(data)
+    them start a phrase, and the sampled prefixes."""
+    picked = picks(data) if picked is None else picked
     at, name = prefixes(data, offsets, picked)
     unshared = np.zeros(len(data), bool)
     unshared[at[~KeyLists(batch.column("keys").slice(a, b - a), np.uint32).has(_rows(offsets, at), name)]] = True
     starts = free_starts(unshared, offsets)
-    return starts, (picked[starts] & np.uint64(DENSE - 1)) == 0, at, name
+    return starts, (picked[starts] & np.uint64(PARSE - 1)) == 0, at, name
 
 
 def _prefix_keys(data, offsets, batch, a, b):
@@ -98,10 +99,79 @@ def _prefix_keys(data, offsets, batch, a, b):
     return _rows(offsets, at), name, name
 
 
-def _sampled_windows(data, offsets, batch, a, b):
-    starts, sampled, _, _ = candidates(data, offsets, batch, a, b)
+_PHRASES = "uid long, part int, k int, pos int, phrase binary, key long"
+
+
+def _binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as a binary array."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(starts - at[:-1], size) + np.arange(int(at[-1]))]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def phrases(data, offsets, batch, a, b):
+    """The parse of what candidate windows cover: for each phrase its row, part (a stretch without gap),
+    place in it, start, bytes, and the key of the window that starts there if it is a candidate.
+
+    A phrase goes from one sampled place to SEED bytes behind the next one, the bytes that make that a
+    sampled place. So no phrase begins another, and phrases in order of their bytes put suffixes of the
+    parse in order of theirs. What WINDOW bytes do not reach is cut off."""
+    picked = picks(data)
+    starts, sampled, _, _ = candidates(data, offsets, batch, a, b, picked)
     starts = starts[sampled]
-    return _rows(offsets, starts), *window_keys(data, starts)
+    cover = np.zeros(len(data) + 1, np.int32)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + WINDOW, -1)
+    inside = np.cumsum(cover[:-1]) > 0
+    every = chosen(picked, PARSE)
+    row = _rows(offsets, every)
+    last = offsets[row + 1]
+    after = np.append(every[1:], np.iinfo(np.int64).max)
+    after = np.where(np.append(row[1:] == row[:-1], False), after, last) if len(every) else every
+    ends = np.minimum(np.minimum(after + SEED, last), every + WINDOW)
+    kept = inside[every] if len(every) else np.zeros(0, bool)
+    x, row, ends = every[kept], row[kept], ends[kept]
+    gaps = np.cumsum(~inside)[x] if len(x) else x
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (gaps[1:] != gaps[:-1])
+    part = np.cumsum(fresh) - 1
+    k = np.arange(len(x)) - np.flatnonzero(fresh)[part] if len(x) else x
+    asks = np.isin(x, starts, assume_unique=True)
+    key = np.zeros(len(x), np.uint64)
+    key[asks] = _KEY.spans(_KEY.prefix(data), x[asks], x[asks] + WINDOW)
+    return row, part, k, x - offsets[row], _binary(data, x, ends), pa.array(key.view(np.int64), mask=~asks)
+
+
+def _parse(batches):
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        uid = batch.column("uid").to_numpy()
+        for a, b in runs(offsets):
+            row, part, k, pos, phrase, key = phrases(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch, a, b)
+            if len(row):
+                yield pa.RecordBatch.from_pydict({"uid": uid[a + row], "part": part.astype(np.int32), "k": k.astype(np.int32), "pos": pos.astype(np.int32), "phrase": phrase, "key": key})
+
+
+def _packed(batches):
+    """Lists of keys as the packed ones that KeyLists reads."""
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"name": batch.column("name"), "keys": pa.array([np.array(k, np.int64).tobytes() for k in batch.column("keys").to_pylist()], pa.binary())})
+
+
+def repeated_phrases(some: DataFrame) -> DataFrame:
+    """(name, keys binary): of each text the keys of windows that start a phrase and occur elsewhere, found
+    by a suffix sort of the parse: windows are compared with their neighbours in that order."""
+    parsed = stored(some.select("uid", "text", "keys").mapInArrow(_parse, _PHRASES), "phrases")
+    symbols = ranks(parsed.select("phrase").distinct(), "symbol").select(F.xxhash64("phrase").alias("h"), F.col("symbol").cast("bigint").alias("symbol"))
+    rows = parsed.select("uid", "part", "k", "pos", "key", F.xxhash64("phrase").alias("h")).join(symbols, "h").drop("h")
+    sorted_rows = sample_names(stored(rows, "symbols"), depth=WINDOW)
+    twice = stored(neighbours(sorted_rows, "key"), "neighbours")
+    met = parsed.select("uid", "key").filter("key is not null").join(twice, "key", "left_semi")
+    listed = some.select("uid", "name").join(met, "uid").groupBy("name").agg(F.collect_set("key").alias("keys"))
+    found = stored(listed.mapInArrow(_packed, "name long, keys binary"), "sampled")
+    dropped(parsed, sorted_rows, twice)
+    return found
 
 
 def _first_prefix(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -188,8 +258,8 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     sampled = buckets_for(spark, size / SPARSE)
     shared = shared_keys(texts, _prefix_keys, Shared(), sampled, key_type=np.uint32)
     wanted = shared.join(every.filter("open").select("name").distinct(), "name", "full_outer")
-    some = stored(texts.join(wanted, "name"), "candidates")
-    found = stored(shared_keys(some, _sampled_windows, Shared(), sampled, extra=("keys",)), "sampled")
+    some = stored(texts.join(wanted, "name").withColumn("uid", F.monotonically_increasing_id()), "candidates")  # stored, so that a row keeps its number
+    found = repeated_phrases(some)
     both = some.join(found.withColumnRenamed("keys", "found"), "name", "left")
     asked = stored(shared_keys(both, _asked_prefixes, Asked(), sampled, key_type=np.uint32, extra=("keys", "found")), "asked")
     both = some.join(asked.withColumnRenamed("keys", "asked"), "name", "left")
