@@ -36,6 +36,7 @@ def slug_title(name: Column) -> Column:
 def chapter_id(section: Column, intro: Column) -> Column:
     """chs-part-N or chs-chapter-N from a section id, else from the title of its intro; '' if neither has a number."""
     sid, title = F.trim(F.coalesce(section, F.lit(""))), F.coalesce(intro, F.lit(""))
+    # fixed values: the patterns below
 
     def named(kind, text, pattern, applies):
         number = F.regexp_extract(text, pattern, 1)
@@ -52,12 +53,14 @@ def chapter_id(section: Column, intro: Column) -> Column:
 
 def page_number(name: Column, position: Column) -> Column:
     """Page number in an image's file name; its position where there is none or it is zero."""
+    # fixed value: the pattern
     found = F.regexp_extract(name, r"_(\d{3,5})\.(?:png|jpg|jpeg)$", 1).try_cast("bigint")
     return F.coalesce(F.nullif(found, F.lit(0)), position)
 
 
 def reading_position(text: Column) -> Column:
     """Page of '49%(251/508p)' or '251/508p'."""
+    # fixed values: the two patterns
     first = F.regexp_extract(text, r"(\d+)%.*?(\d+)/(\d+)p", 2)
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.regexp_extract(text, r"(\d+)/(\d+)p", 1), F.lit(""))).try_cast("bigint")
 

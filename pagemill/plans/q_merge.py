@@ -217,3 +217,10 @@ def distinct_customers(spark, d):
 def placeholder_pages(spark, d):
     texts = keep_first(table(spark, d, "labels").select("doc_id", F.lit(True).alias("t")), ["doc_id"], ["t"])
     return table(spark, d, "documents").select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.col("t").isNotNull().alias("has_text"))
+
+
+@register("price_lookup", "SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 1.0 WHEN 'STANDARD' THEN 2.0 ELSE 3.0 END AS price_in, CASE p_type WHEN 'ECONOMY' THEN 5.0 WHEN 'STANDARD' THEN 10.0 ELSE 15.0 END AS price_out FROM (SELECT p_partkey, p_type FROM part)")
+def price_lookup(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_type")
+    prices = part.select("p_type").distinct().filter("p_type in ('ECONOMY', 'STANDARD')").select(F.col("p_type").alias("model"), F.when(F.col("p_type") == "ECONOMY", 1.0).otherwise(2.0).alias("price_in"), F.when(F.col("p_type") == "ECONOMY", 5.0).otherwise(10.0).alias("price_out"))
+    return merge.lookup(part, prices, on="p_type", key="model", values={"price_in": 3.0, "price_out": 15.0})

@@ -56,7 +56,9 @@ def beacons(events: DataFrame, *, agent: Column, forwarded: Column, real: Column
 
 def limiter(tries: DataFrame, *, ip: str, ts: str, order: str, window: int = FAIL_WINDOW, limit: int = FAIL_MAX) -> DataFrame:
     """Tries with `blocked`; state is the at most `limit` counted failures of each address, and goes
-    when none is left in the window at the watermark."""
+    when none is left in the window at the watermark. Tries are judged in order within a micro-batch
+    and once: a late one within the watermark comes after younger ones of earlier batches, and those
+    keep their verdict (the batch form judges all in order)."""
     schema = ", ".join(f"{name} {kind}" for name, kind in tries.dtypes) + ", blocked boolean"
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

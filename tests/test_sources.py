@@ -63,3 +63,26 @@ def test_streamed_limiter_equals_batch_over_several_files(spark, tmp_path):
     got = logs.drain(logs.limiter(stream, ip="user_id", ts="ts", order="event_id"), str(tmp_path / "out"))
     want = batch.rate_limited(spark.createDataFrame(rows, schema).select("event_id", "user_id", "ts"), ip="user_id", ts="ts", order="event_id")
     assert {(r.event_id, r.blocked) for r in got.collect()} == {(r.event_id, r.blocked) for r in want.collect()}
+
+
+def test_snapshot_names(spark):
+    assert sinks.snapshot_name(spark, "20240101_000000", "요약 v1!/x_-½" + "y" * 40) == "20240101_000000_요약v1x_-½" + "y" * 20
+    assert sinks.snapshot_name(spark, "20240101_000000", " !") == "20240101_000000"
+
+
+def test_empty_feed_is_refused(spark, tmp_path):
+    (tmp_path / "f.json").write_text("\n[]\n{}\n")
+    with pytest.raises(ValueError, match="empty"):
+        readers.read_feed(spark, str(tmp_path / "f.json"), known=["title"])
+
+
+def test_files_are_worked_through_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(7):
+        (tmp_path / "in" / f"page_{n}.txt").write_text(f"text {n}\nmore")
+    work = lambda rows: rows.select(F.length("value").alias("n"), F.monotonically_increasing_id().alias("i"))
+    first = logs.drain_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), work)
+    assert first.count() == 7 and first.select("batch").distinct().count() == 2
+    (tmp_path / "in" / "page_9.txt").write_text("late")
+    again = logs.drain_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), work)
+    assert again.count() == 8 and again.filter("batch = 2").count() == 1
