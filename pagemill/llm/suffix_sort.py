@@ -24,16 +24,35 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import dropped, stored
 
 
+def in_ranges(distinct: DataFrame, order: list[str]) -> DataFrame:
+    """distinct, dealt to ranges of an order (column _part); stored, as sampled ranges differ from run to run."""
+    return stored(distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def ranks(distinct: DataFrame, out: str) -> DataFrame:
     """distinct rows with their place, from 1, in the order of all their columns."""
     columns = distinct.columns
-    dealt = stored(distinct.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ranges")
+    dealt = in_ranges(distinct, columns)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     first = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row a range
     within = F.row_number().over(W.partitionBy("_part").orderBy(*columns))
     return dealt.withColumn(out, within).join(F.broadcast(first), "_part").select(*columns, (F.col(out) + F.col("_first")).alias(out))
 
 
+def equal_to_next(distinct: DataFrame, order: list[str], same: list[str]) -> DataFrame:
+    """distinct with `_met`: are the columns `same` those of the next row in the order, also where that is
+    the first row of the next range?"""
+    dealt, row = in_ranges(distinct, order), F.struct(*order)
+    heads = dealt.groupBy("_part").agg(F.min(row).alias("_head"))
+    behind = heads.select("_part", F.lead("_head").over(W.orderBy("_part")).alias("_behind"))  # a row a range
+    near = F.coalesce(F.lead(row).over(W.partitionBy("_part").orderBy(*order)), F.col("_behind"))
+    ahead = dealt.join(F.broadcast(behind), "_part").withColumn("_next", near)
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & (F.col(c) == F.col("_next")[c])
+    return ahead.withColumn("_met", F.coalesce(equal, F.lit(False))).drop("_part", "_behind", "_next")
+
+
 def named(rows: DataFrame, keys: list[Column], out: str) -> DataFrame:
     """rows with the rank of their keys among all distinct ones."""
     names = [f"_key{i}" for i in range(len(keys))]
@@ -83,7 +102,6 @@ def neighbours(rows: DataFrame, value: str) -> DataFrame:
     for classes, (a, b) in lists:
         # equal places are one row with a count; the rest is compared with the next one in order
         one = ahead.filter(classes).groupBy("symbol", a.alias("_a"), b.alias("_b"), value).agg(F.count("*").alias("_n"))
-        order = W.partitionBy("symbol").orderBy("_a", "_b", value)
-        same = one.withColumn("_next", F.lead(value).over(order)).filter((F.col("_n") > 1) | (F.col("_next") == F.col(value))).select(value)
+        same = equal_to_next(one, ["symbol", "_a", "_b", value], ["symbol", value]).filter("_n > 1 or _met").select(value)
         found = same if found is None else found.union(same)
     return found.distinct()
