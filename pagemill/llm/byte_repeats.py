@@ -163,14 +163,18 @@ def repeated_phrases(some: DataFrame) -> DataFrame:
     """(name, keys binary): of each text the keys of windows that start a phrase and occur elsewhere, found
     by a suffix sort of the parse: windows are compared with their neighbours in that order."""
     parsed = stored(some.select("uid", "text", "keys").mapInArrow(_parse, _PHRASES), "phrases")
-    symbols = ranks(parsed.select("phrase").distinct(), "symbol").select(F.xxhash64("phrase").alias("h"), F.col("symbol").cast("bigint").alias("symbol"))
-    rows = parsed.select("uid", "part", "k", "pos", "key", F.xxhash64("phrase").alias("h")).join(symbols, "h").drop("h")
-    sorted_rows = sample_names(stored(rows, "symbols"), depth=WINDOW)
-    twice = stored(neighbours(sorted_rows, "key"), "neighbours")
+    used: list[DataFrame] = []
+    symbols = ranks(parsed.select("phrase").distinct(), "symbol", used).select(F.xxhash64("phrase").alias("h"), F.col("symbol").cast("bigint").alias("symbol"))
+    rows = parsed.select("uid", "part", "k", "pos", "key", F.xxhash64("phrase").alias("h")).join(symbols.hint("shuffle_hash"), "h").drop("h")
+    numbered = stored(rows, "symbols")
+    dropped(*used)
+    sorted_rows = sample_names(numbered, depth=WINDOW)
+    twice = neighbours(sorted_rows, "key")
+    dropped(numbered, sorted_rows)
     met = parsed.select("uid", "key").filter("key is not null").join(twice, "key", "left_semi")
     listed = some.select("uid", "name").join(met, "uid").groupBy("name").agg(F.collect_set("key").alias("keys"))
     found = stored(listed.mapInArrow(_packed, "name long, keys binary"), "sampled")
-    dropped(parsed, sorted_rows, twice)
+    dropped(parsed, twice)
     return found
 
 

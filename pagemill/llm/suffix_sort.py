@@ -24,25 +24,27 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import dropped, stored
 
 
-def in_ranges(distinct: DataFrame, order: list[str]) -> DataFrame:
-    """distinct, dealt to ranges of an order (column _part); stored, as sampled ranges differ from run to run."""
-    return stored(distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+def in_ranges(distinct: DataFrame, order: list[str], used: list[DataFrame]) -> DataFrame:
+    """distinct, dealt to ranges of an order (column _part); stored, as sampled ranges differ from run to
+    run. used gets the stored table, for deleting it when what is made of it is stored in turn."""
+    used.append(stored(distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges"))
+    return used[-1]
 
 
-def ranks(distinct: DataFrame, out: str) -> DataFrame:
+def ranks(distinct: DataFrame, out: str, used: list[DataFrame]) -> DataFrame:
     """distinct rows with their place, from 1, in the order of all their columns."""
     columns = distinct.columns
-    dealt = in_ranges(distinct, columns)
+    dealt = in_ranges(distinct, columns, used)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     first = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row a range
     within = F.row_number().over(W.partitionBy("_part").orderBy(*columns))
     return dealt.withColumn(out, within).join(F.broadcast(first), "_part").select(*columns, (F.col(out) + F.col("_first")).alias(out))
 
 
-def equal_to_next(distinct: DataFrame, order: list[str], same: list[str]) -> DataFrame:
+def equal_to_next(distinct: DataFrame, order: list[str], same: list[str], used: list[DataFrame]) -> DataFrame:
     """distinct with `_met`: are the columns `same` those of the next row in the order, also where that is
     the first row of the next range?"""
-    dealt, row = in_ranges(distinct, order), F.struct(*order)
+    dealt, row = in_ranges(distinct, order, used), F.struct(*order)
     heads = dealt.groupBy("_part").agg(F.min(row).alias("_head"))
     behind = heads.select("_part", F.lead("_head").over(W.orderBy("_part")).alias("_behind"))  # a row a range
     near = F.coalesce(F.lead(row).over(W.partitionBy("_part").orderBy(*order)), F.col("_behind"))
@@ -53,11 +55,10 @@ def equal_to_next(distinct: DataFrame, order: list[str], same: list[str]) -> Dat
     return ahead.withColumn("_met", F.coalesce(equal, F.lit(False))).drop("_part", "_behind", "_next")
 
 
-def named(rows: DataFrame, keys: list[Column], out: str) -> DataFrame:
-    """rows with the rank of their keys among all distinct ones."""
-    names = [f"_key{i}" for i in range(len(keys))]
-    keyed = rows.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
-    return keyed.join(ranks(keyed.select(names).distinct(), out), names).drop(*names)
+def named(rows: DataFrame, keys: list[str], out: str, used: list[DataFrame]) -> DataFrame:
+    """rows with the rank of their keys among all distinct ones, for the keys. Names are hashed, as there
+    are fewer of them than rows; neither side is sorted."""
+    return rows.join(ranks(rows.select(keys).distinct(), out, used).hint("shuffle_hash"), keys).drop(*keys)
 
 
 def _after(column: str, n: int) -> Column:
@@ -72,18 +73,18 @@ def sample_names(rows: DataFrame, *, depth: int) -> DataFrame:
     """rows (uid, part, k, pos, symbol, ...) with `name` at places of the sample (null elsewhere): names
     are in the order of suffixes and differ for suffixes that differ within depth of their place; pos
     says how far a place is along its sequence."""
-    step, column = 1, "symbol"
+    step, column, columns = 1, "symbol", rows.columns
     while True:
-        near = rows.withColumn("_x", F.col(column)).withColumn("_y", _after(column, step)).withColumn("_z", _after(column, 2 * step))
-        sample, rest = near.filter("k % 3 <> 0"), near.filter("k % 3 = 0").withColumn("_name", F.lit(None).cast("bigint"))
-        told = named(sample, [F.col("_x"), F.col("_y"), F.col("_z")], "_name").unionByName(rest).withColumn("name", F.col("_name").cast("bigint")).drop("_x", "_y", "_z", "_name")
-        before, rows = rows, stored(told, "suffixes")
-        if column == "name":
-            dropped(before)
+        used: list[DataFrame] = []
         reach = F.lead("pos", 3 * step).over(W.partitionBy(*SEQ).orderBy("k")) - F.col("pos")
-        short = rows.select(reach.alias("reach")).filter(F.col("reach") < depth)
-        if not short.take(1):
-            return rows
+        near = rows.select(*columns, F.col(column).alias("_x"), _after(column, step).alias("_y"), _after(column, 2 * step).alias("_z"), reach.alias("_reach"))
+        near = stored(near, "triples")
+        rest = near.filter("k % 3 = 0").select(*columns, "_reach", F.lit(None).cast("bigint").alias("name"))
+        told = named(near.filter("k % 3 <> 0"), ["_x", "_y", "_z"], "name", used).select(*columns, "_reach", F.col("name").cast("bigint").alias("name"))
+        before, rows = rows, stored(told.unionByName(rest), "suffixes")
+        dropped(near, *used, *([before] if column == "name" else []))
+        if not rows.filter(F.col("_reach") < depth).select("_reach").take(1):
+            return rows.drop("_reach")
         step, column = (3, "name") if column == "symbol" else (3 * step, "name")
 
 
@@ -92,7 +93,7 @@ def neighbours(rows: DataFrame, value: str) -> DataFrame:
     rows (uid, part, k, symbol, name, value) are as sample_names leaves them; places without value have no say."""
     ahead = rows.withColumn("_s1", _after("symbol", 1)).withColumn("_n1", _after("name", 1)).withColumn("_n2", _after("name", 2)).filter(F.col(value).isNotNull())
     ahead = stored(ahead.select("symbol", "_s1", "_n1", "_n2", "name", (F.col("k") % 3).alias("_class"), value), "merge")
-    none = F.lit(0).cast("bigint")
+    none, used = F.lit(0).cast("bigint"), [ahead]
     lists = (
         ("_class <> 2", [F.col("_n1").cast("bigint"), none]),
         ("_class <> 1", [F.col("_s1").cast("bigint"), F.col("_n2").cast("bigint")]),
@@ -102,6 +103,8 @@ def neighbours(rows: DataFrame, value: str) -> DataFrame:
     for classes, (a, b) in lists:
         # equal places are one row with a count; the rest is compared with the next one in order
         one = ahead.filter(classes).groupBy("symbol", a.alias("_a"), b.alias("_b"), value).agg(F.count("*").alias("_n"))
-        same = equal_to_next(one, ["symbol", "_a", "_b", value], ["symbol", value]).filter("_n > 1 or _met").select(value)
+        same = equal_to_next(one, ["symbol", "_a", "_b", value], ["symbol", value], used).filter("_n > 1 or _met").select(value)
         found = same if found is None else found.union(same)
-    return found.distinct()
+    twice = stored(found.distinct(), "neighbours")
+    dropped(*used)
+    return twice
