@@ -37,7 +37,7 @@ from pagemill.llm.suffix_sort import neighbours, ranks, sample_names
 WINDOW = 200
 #: Bytes by which a position is chosen, bytes by which it is named; one position in SPARSE, and of
 #: starts one in PARSE, is of the sample.
-SEED, PREFIX, SPARSE, PARSE = 16, 64, 16, 32
+SEED, PREFIX, SPARSE, PARSE = 16, 64, 16, 64
 _PICK, _NAME, _PLACE, _KEY = Polynomial(21), Polynomial(22), Polynomial(23), Polynomial(24)
 
 
