@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import byte_repeats, decontaminate, language, near_dup, packing, quality, scoring, search, secrets, word_repeats
+from pagemill.llm import byte_repeats, decontaminate, language, merkle, near_dup, packing, quality, scoring, search, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -58,6 +58,11 @@ def op10_language(spark, sf_dir):
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op11_manifest(spark, sf_dir):
+    stripped = F.when(remainder("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.tamper_report(table(spark, sf_dir, "documents"), stripped)
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -102,6 +107,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_LEAF = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_LEAF.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of an id's decimal digits, from its polynomial.
+_CRC_TABLE = "t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS MATERIALIZED (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM (SELECT doc_id, source, lang, n_chars, text, {_CRC} AS crc FROM documents, t)),
+l AS MATERIALIZED (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("other")} AS seen FROM d),
+f AS MATERIALIZED (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM l)),
+p AS MATERIALIZED (SELECT doc_id, leaf, seen, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source),
+up AS (SELECT g, 0 AS lvl, pos, leaf AS h, n FROM p UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM up WHERE n > 1 GROUP BY g, lvl, pos // 3),
+s AS (SELECT g, h AS subroot FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, g AS pos, subroot AS h, count(*) OVER () AS n FROM s UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY lvl, pos // 3),
+r AS (SELECT h AS root FROM top WHERE n = 1),
+k AS (SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS rgt FROM up a JOIN up b ON a.g = b.g AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+kt AS (SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS rgt FROM top a JOIN top b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+fold AS (SELECT doc_id, leaf, g, pos AS own, 0 AS lvl, pos, seen AS h, '' AS proof FROM p UNION ALL SELECT doc_id, leaf, fold.g, own, fold.lvl + 1, fold.pos // 3, sha256(lft || h || rgt), proof || lft || rgt FROM fold JOIN k ON k.g = fold.g AND k.lvl = fold.lvl AND k.pos = fold.pos),
+up_to AS (SELECT g, own, doc_id, leaf, max_by(h, lvl) AS h, max_by(proof, lvl) AS proof FROM fold GROUP BY ALL),
+ft AS (SELECT g, own, doc_id, leaf, 0 AS lvl, g AS pos, h, proof FROM up_to UNION ALL SELECT g, own, doc_id, leaf, ft.lvl + 1, ft.pos // 3, sha256(lft || h || rgt), proof || lft || rgt FROM ft JOIN kt ON kt.lvl = ft.lvl AND kt.pos = ft.pos),
+e AS (SELECT g, own, doc_id, leaf, max_by(h, lvl) AS folded_root, max_by(proof, lvl) AS proof FROM ft GROUP BY ALL)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM e JOIN s USING (g), r
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op3_word_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op3_word_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_manifest": OP11_SQL}
