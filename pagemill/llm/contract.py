@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import byte_repeats, decontaminate, language, merkle, near_dup, packing, quality, scoring, search, secrets, word_repeats
+from pagemill.llm import ann, byte_repeats, decontaminate, language, merkle, near_dup, packing, quality, scoring, search, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -63,6 +63,10 @@ def op11_manifest(spark, sf_dir):
     return merkle.tamper_report(table(spark, sf_dir, "documents"), stripped)
 
 
+def op12_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
