@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, byte_repeats, decontaminate, language, merkle, near_dup, packing, quality, scoring, search, secrets, word_repeats
+from pagemill.llm import ann, byte_repeats, collocations, decontaminate, language, merkle, near_dup, packing, quality, scoring, search, secrets, word_repeats
 from pagemill.llm.common import remainder, table
 
 
@@ -67,6 +67,10 @@ def op12_nearest(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -141,6 +145,21 @@ e AS (SELECT g, own, doc_id, leaf, max_by(h, lvl) AS folded_root, max_by(proof,
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM e JOIN s USING (g), r
 """
 
+OP13_SQL = rf"""
+WITH p AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x{{20}}\x{{09}}]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD.format("text")}, '[.,;:!?\x{{0A}}-\x{{0D}}]')) AS piece FROM documents)),
+g AS (SELECT lang, k, w[s:s + k - 1] AS w FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, w, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, w, f AS a FROM f WHERE k > 1 AND f >= 30),
+s AS (SELECT lang, w[i:i + m - 1] AS w, max(a) AS more FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+o AS (SELECT c.* FROM c LEFT JOIN s USING (lang, w) WHERE more IS NULL OR 100 * more < 80 * a),
+u AS (SELECT o.lang, o.k, o.w, a, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score, i FROM (SELECT *, unnest(range(1, k)) AS i FROM o) o
+      JOIN f x ON x.lang = o.lang AND x.w = o.w[1:i] JOIN f y ON y.lang = o.lang AND y.w = o.w[i + 1:]),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, i) = 1),
+t AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score FROM b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op3_word_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_manifest": OP11_SQL}
+    return {"op3_word_repeats": OP3_SQL, "op5_topk": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_manifest": OP11_SQL, "op13_collocations": OP13_SQL}
