@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import dropped, stored
 
 #: Fixed value: consecutive nodes that become one.
 FANOUT = 3
@@ -53,10 +53,10 @@ def path_digest(path: Column) -> Column:
     return F.sha2(F.array_join(F.transform(path, lambda step: F.concat(step["left"], step["right"])), "").cast("binary"), 256)
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
-    """rows (family, id, hash, ...) with `g`, the first place of their family in the order of all, `pos`
-    from 0 within it, and `n`, its rows; and the largest n. Ranges of the whole order are numbered each by itself and
-    raised by what stands before, so no family is in one task."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """(g, pos, n, hash, more) of rows (family, id, hash, more): `g` is the first place of their family
+    in the order of all, `pos` the place within it from 0, `n` its rows. Ranges of the whole order are
+    numbered each by itself and raised by what stands before, so no family is in one task."""
     order = [F.col(c).asc_nulls_first() for c in ("family", "id", "hash", "row")]
     ranged = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -66,58 +66,68 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
     before = parts.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     blocks = blocks.join(before, "part").select("part", "family", "before", (F.col("before") + F.col("low")).alias("first"), "size")
     families = blocks.groupBy("family").agg(F.min("first").alias("g"), F.sum("size").alias("n"))
-    most = families.agg(F.max("n")).first()[0] or 0
     known = blocks.alias("b").join(families.alias("f"), F.col("b.family").eqNullSafe(F.col("f.family"))).select("b.part", F.col("b.family").alias("of"), "b.before", "f.g", "f.n")
     joined = dealt.join(known.withColumnRenamed("part", "p"), (F.col("part") == F.col("p")) & F.col("family").eqNullSafe(F.col("of")))
-    return joined.select("g", (F.col("i") + F.col("before") - F.col("g")).alias("pos"), "n", "hash", "more"), most
-
-
-def _levels(n: int, fanout: int) -> int:
-    levels = 0
-    while n > 1:
-        n, levels = -(-n // fanout), levels + 1
-    return levels
-
-
-def _grow(nodes: DataFrame, most: int, fanout: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Pivots of each level (g, parent, c0.., n), and the nodes (g, hash) at which trees end, level
-    by level. nodes has g, pos, n (at most `most`), hash and `more`, what a leaf carries along."""
-    pivots, tops = [], [nodes.filter("n = 1").select("g", "hash", "more")]
-    for level in range(_levels(most, fanout)):
-        child = F.struct("hash", "more") if level == 0 else F.struct("hash")
-        slots = [F.max(F.when(F.col("pos") % fanout == k, child)).alias(f"c{k}") for k in range(fanout)]
-        pivot = nodes.filter("n > 1").groupBy("g", F.floor(F.col("pos") / fanout).alias("parent")).agg(*slots, F.max("n").alias("n"))
-        pivots.append(stored(pivot, "pivot"))
-        together = digest(*(F.coalesce(F.col(f"c{k}.hash"), F.lit("")) for k in range(fanout)))
-        nodes = pivots[-1].select("g", F.col("parent").alias("pos"), F.ceil(F.col("n") / fanout).alias("n"), together.alias("hash"))
-        tops.append(nodes.filter("n = 1").select("g", "hash"))
-    return pivots, tops
-
-
-def _descend(pivots: list[DataFrame], tops: list[DataFrame], above: DataFrame, fanout: int) -> DataFrame:
-    """(leaf fields of `more`, hash, carried columns of above, path): all leaves with the siblings on
-    their way up. above has g, path and what to carry down."""
-    carried = [c for c in above.columns if c not in ("g", "path")]
-
-    def crowned(level: int) -> DataFrame:
-        """Nodes of this level at which trees end; those of level 0 carry `more`."""
-        found = tops[level].join(above, "g")
-        return found.select("g", F.lit(0).cast("long").alias("pos"), *carried, "path", *(["hash", "more"] if level == 0 else []))
-
-    nodes = crowned(len(pivots))
-    for level in range(len(pivots) - 1, -1, -1):
-        sides = []
-        for k in range(fanout):
-            digests = [F.coalesce(F.col(f"c{j}.hash"), F.lit("")) for j in range(fanout)]
-            step = F.struct(F.concat(F.lit(""), *digests[:k]).alias("left"), F.concat(F.lit(""), *digests[k + 1 :]).alias("right"))
-            fields = [F.lit(k).alias("slot"), step.alias("step")] + ([F.col(f"c{k}").alias("leaf")] if level == 0 else [])
-            sides.append(F.when(F.col(f"c{k}").isNotNull(), F.struct(*fields)))
-        parents = nodes.select("g", F.col("pos").alias("parent"), *carried, "path")
-        met = pivots[level].drop("n").join(parents, ["g", "parent"]).withColumn("at", F.explode(F.array_compact(F.array(*sides))))
-        path = F.concat(F.array("at.step"), "path").cast(_PATH).alias("path")
-        own = [F.col("at.leaf.hash").alias("hash"), F.col("at.leaf.more").alias("more")] if level == 0 else []
-        nodes = met.select("g", (F.col("parent") * fanout + F.col("at.slot")).alias("pos"), *carried, path, *own).unionByName(crowned(level))
-    return nodes.select("hash", "more", *carried, "path")
+    placed = stored(joined.select("g", (F.col("i") + F.col("before") - F.col("g")).alias("pos"), "n", "hash", "more"), "placed")
+    dropped(dealt)
+    return placed
+
+
+class _Trees:
+    """The trees of placed leaves: pivots by level, stored, as high as the largest tree."""
+
+    def __init__(self, leaves: DataFrame, fanout: int):
+        self.leaves, self.fanout, self.pivots = leaves, fanout, []
+        most = leaves.agg(F.max("n")).first()[0] or 0
+        nodes = leaves
+        while most > 1:
+            level = len(self.pivots)
+            child = F.struct("hash", "more") if level == 0 else F.struct("hash")
+            slots = [F.max(F.when(F.col("pos") % fanout == k, child)).alias(f"c{k}") for k in range(fanout)]
+            pivot = nodes.filter("n > 1").groupBy("g", F.floor(F.col("pos") / fanout).alias("parent")).agg(*slots, F.max("n").alias("n"))
+            self.pivots.append(stored(pivot, "pivot"))
+            nodes, most = self.parents(level), -(-most // fanout)
+
+    def parents(self, level: int) -> DataFrame:
+        together = digest(*(F.coalesce(F.col(f"c{k}.hash"), F.lit("")) for k in range(self.fanout)))
+        return self.pivots[level].select("g", F.col("parent").alias("pos"), F.ceil(F.col("n") / self.fanout).alias("n"), together.alias("hash"))
+
+    def ends(self) -> DataFrame:
+        """(g, hash, height): the node at which each tree ends, and its level."""
+        found = self.leaves.filter("n = 1").select("g", "hash", F.lit(0).alias("height"))
+        for level in range(len(self.pivots)):
+            found = found.union(self.parents(level).filter("n = 1").select("g", "hash", F.lit(level + 1).alias("height")))
+        return found
+
+    def paths(self, above: DataFrame) -> DataFrame:
+        """(hash, more, carried columns of above, path): all leaves with the siblings on their way up.
+        above is a stored table of g, height, path, and what to carry down."""
+        carried = [c for c in above.columns if c not in ("g", "height", "path")]
+
+        def crowned(level: int) -> DataFrame:
+            return above.filter(F.col("height") == level).select("g", F.lit(0).cast("long").alias("pos"), *carried, "path")
+
+        def met(level: int, nodes: DataFrame) -> DataFrame:
+            sides, digests = [], [F.coalesce(F.col(f"c{j}.hash"), F.lit("")) for j in range(self.fanout)]
+            for k in range(self.fanout):
+                step = F.struct(F.concat(F.lit(""), *digests[:k]).alias("left"), F.concat(F.lit(""), *digests[k + 1 :]).alias("right"))
+                fields = [F.lit(k).alias("slot"), step.alias("step")] + ([F.col(f"c{k}").alias("leaf")] if level == 0 else [])
+                sides.append(F.when(F.col(f"c{k}").isNotNull(), F.struct(*fields)))
+            parents = nodes.select("g", F.col("pos").alias("parent"), *carried, "path")
+            return self.pivots[level].drop("n").join(parents, ["g", "parent"]).withColumn("at", F.explode(F.array_compact(F.array(*sides)))).withColumn("path", F.concat(F.array("at.step"), "path").cast(_PATH))
+
+        nodes, older = crowned(len(self.pivots)), None
+        for level in range(len(self.pivots) - 1, 0, -1):
+            nodes = met(level, nodes).select("g", (F.col("parent") * self.fanout + F.col("at.slot")).alias("pos"), *carried, "path").union(crowned(level))
+            if level % 4 == 1 and level > 1:  # short plans; a table has few rows beside those of the levels below it
+                nodes, before = stored(nodes, "paths"), older
+                if before is not None:
+                    dropped(before)
+                older = nodes
+        alone = self.leaves.filter("n = 1").join(above.filter("height = 0"), "g").select("hash", "more", *carried, "path")
+        if not self.pivots:
+            return alone
+        return met(0, nodes).select(F.col("at.leaf.hash").alias("hash"), F.col("at.leaf.more").alias("more"), *carried, "path").union(alone)
 
 
 def manifest(rows: DataFrame, *, key: str, group: str, columns: tuple[str, ...], fanout: int = FANOUT, also: dict[str, Column] | None = None) -> DataFrame:
@@ -126,16 +136,13 @@ def manifest(rows: DataFrame, *, key: str, group: str, columns: tuple[str, ...],
     leaves to keep, computed from the rows."""
     also = also or {}
     leaves = rows.select(F.col(group).alias("family"), F.col(key).alias("id"), leaf_of(*map(F.col, columns)).alias("hash"), F.struct(F.col(key).alias("id"), *(c.alias(name) for name, c in also.items())).alias("more"))
-    pivots, tops = _grow(*_placed(leaves), fanout)
-    subroots = tops[0].select("g", "hash")
-    for more in tops[1:]:
-        subroots = subroots.union(more.select("g", "hash"))
-    # The order of families is that of their first places, and a tree of one family of subroots follows.
-    upper, ends = _grow(*_placed(subroots.select(F.lit(0).alias("family"), F.col("g").alias("id"), "hash", F.struct(F.col("g").alias("id")).alias("more"))), fanout)
-    root = ends[-1].select(F.lit(0).cast("long").alias("g"), F.col("hash").alias("root"), F.array().cast(_PATH).alias("path"))
-    above = _descend(upper, ends, root, fanout)
-    above = stored(above.select(F.col("more.id").alias("g"), F.col("hash").alias("subroot"), "root", "path"), "above")
-    found = _descend(pivots, tops, above, fanout)
+    lower = _Trees(_placed(leaves), fanout)
+    # The order of families is that of their first places; their subroots are the leaves of one more tree.
+    crown = lower.ends().select(F.lit(0).alias("family"), F.col("g").alias("id"), "hash", F.struct(F.col("g").alias("id"), "height").alias("more"))
+    upper = _Trees(_placed(crown), fanout)
+    root = stored(upper.ends().select("g", "height", F.col("hash").alias("root"), F.array().cast(_PATH).alias("path")), "root")
+    above = stored(upper.paths(root).select(F.col("more.id").alias("g"), "more.height", F.col("hash").alias("subroot"), "root", "path"), "above")
+    found = lower.paths(above)
     return found.select(F.col("more.id").alias(key), F.col("hash").alias("leaf"), "subroot", "root", "path", *(F.col(f"more.{name}").alias(name) for name in also))
 
 
