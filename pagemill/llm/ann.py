@@ -40,6 +40,8 @@ SAMPLE, LIST, LISTS = 65_536, 128, 4096
 CLOSURE, COPIES = 1.02, 4
 #: Share of true neighbours on the sample that the ratio of the lists read has to find.
 TARGET = 0.97
+#: Share of the true neighbours of one query that counts as found.
+EACH = 0.9
 #: Postings of a shard and queries of a block, about.
 SHARD, BLOCK = 32_768, 8192
 #: Links of a centroid to near ones, and far ones; entries; nodes that a search opens at least.
@@ -124,9 +126,10 @@ class Centroids:
         return row, node
 
     def fit_ratio(self, points: np.ndarray, k: int, target: float, n: int = 512, block: int = 64) -> None:
-        """Least ratio that finds `target` of the k best others of n of the points."""
-        row, node = self.postings_of(points)
-        starts = np.searchsorted(row, np.arange(len(points) + 1))
+        """Least ratio that finds `target` of the k best others of n of the points, and EACH of those of
+        `target` of the n, as points of one region may all be harder to find."""
+        if len(points) < 2:
+            return
         asks = np.linspace(0, len(points) - 1, min(n, len(points))).astype(int)
         needed = []
         for a in range(0, len(asks), block):
@@ -138,8 +141,13 @@ class Centroids:
             asked = np.concatenate([points[some] * scale, np.zeros((len(some), 1))], axis=1)
             far = np.sqrt(np.maximum((asked**2).sum(axis=1)[:, None] - 2 * asked @ self.at.T + (self.at**2).sum(axis=1), 0))
             far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
-            needed += [far[i, node[starts[j] : starts[j + 1]]].min() for i in range(len(some)) for j in best[i]]
-        self.ratio = float(np.quantile(needed, target)) * (1 + 1e-6) if needed else 1.0
+            wanted, own = np.unique(best, return_inverse=True)
+            row, node = self.postings_of(points[wanted])
+            starts = np.searchsorted(row, np.arange(len(wanted) + 1))
+            needed += [far[i, node[starts[j] : starts[j + 1]]].min() for i, found in enumerate(own.reshape(best.shape)) for j in found]
+        needed = np.sort(np.array(needed).reshape(len(asks), -1), axis=1)
+        most = needed[:, int(np.ceil(EACH * needed.shape[1])) - 1]
+        self.ratio = max(float(np.quantile(needed, target)), float(np.quantile(most, target))) * (1 + 1e-6)
 
     def postings_of(self, points: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.postings(points[a : a + block]) for a in range(0, len(points), block)]
@@ -172,17 +180,14 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _HITS = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
 
-def _search_shard(dim: int, k: int):
-    def best(points: np.ndarray, sizes: np.ndarray, asked: np.ndarray, asked_sizes: np.ndarray):
-        """(query, point, score) of the k best points of each query, and all that tie with them."""
-        rough = asked @ points.T
-        rough[asked_sizes[:, None] != sizes[None]] = -np.inf
-        margin = 1e-9 * np.sqrt((asked**2).sum(axis=1)) * np.sqrt((points**2).sum(axis=1).max())
-        least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(asked), -np.inf)
-        q, p = np.nonzero((rough >= (least - margin)[:, None]) & (rough > -np.inf))
-        return q, p, _in_order(asked[q], points[p])
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([chunk.value_lengths().to_numpy() for chunk in column.chunks])
+
 
+def _search_shard(dim: int, k: int):
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
+        """The k best of each query in its lists of the shard. Products in single precision leave out what is
+        surely below the k-th of a list read before; the rest is worked out in double precision."""
         found = [[], [], [], []]
         if points.num_rows and queries.num_rows:
             lists, vectors, numbers = points["list"].to_numpy(), matrix(points["v"], dim), points["vid"].to_numpy()
@@ -190,29 +195,43 @@ def _search_shard(dim: int, k: int):
             members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
             edges, inner = members.offsets.to_numpy(), members.values
             ids, rows = inner.field("vec_id").to_numpy(), inner.field("row").to_numpy()
-            sizes = points["v"].combine_chunks()
-            sizes = (sizes.chunk(0) if isinstance(sizes, pa.ChunkedArray) else sizes).value_lengths().to_numpy()
-            order = np.argsort(lists, kind="stable")
             asked, asked_ids = matrix(queries["v"], dim), queries["query"].to_numpy()
-            asked_sizes = queries["v"].combine_chunks()
-            asked_sizes = (asked_sizes.chunk(0) if isinstance(asked_sizes, pa.ChunkedArray) else asked_sizes).value_lengths().to_numpy()
+            sizes, asked_sizes = _sizes(points["v"]), _sizes(queries["v"])
+            mixed = len(np.unique(np.append(sizes, asked_sizes))) > 1
+            # Both are brought to lengths of at most 1, which keeps single precision in range.
+            longest, lengths = np.sqrt((vectors**2).sum(axis=1).max()), np.sqrt((asked**2).sum(axis=1))
+            rough_vectors, rough_asked = (vectors / longest).astype(np.float32), (asked / lengths[:, None]).astype(np.float32)
+            margin = np.float32(dim * 2e-7 + 1e-6)
             wants = [np.frombuffer(x, np.int32) for x in queries["lists"].to_pylist()]
             who = np.repeat(np.arange(len(wants)), [len(x) for x in wants])
             wants = np.concatenate(wants)
             by = np.argsort(wants, kind="stable")
+            wants, who = wants[by], who[by]
+            order = np.argsort(lists, kind="stable")
             names, first = np.unique(lists[order], return_index=True)
             last = np.append(first[1:], len(order))
+            least = np.full(len(asked), -np.inf, np.float32)
             hits = []
             for name, a, b in zip(names.tolist(), first.tolist(), last.tolist(), strict=True):
-                lo, hi = np.searchsorted(wants[by], [name, name + 1])
-                some, own = who[by[lo:hi]], order[a:b]
-                for c in range(0, len(some), 256):
-                    q, p, score = best(vectors[own], sizes[own], asked[some[c : c + 256]], asked_sizes[some[c : c + 256]])
-                    hits.append((some[c : c + 256][q], own[p], score))
-            if hits:
-                q, p, score = (np.concatenate(x) for x in zip(*hits, strict=True))
-                _, once = np.unique(np.stack([q, numbers[p]]), axis=1, return_index=True)  # a vector may be in several lists
-                q, p, score = q[once], p[once], score[once]
+                own = order[a:b]
+                lo, hi = np.searchsorted(wants, [name, name + 1])
+                for c in range(lo, hi, 1024):
+                    some = who[c : min(c + 1024, hi)]
+                    rough = rough_asked[some] @ rough_vectors[own].T
+                    if mixed:
+                        rough[asked_sizes[some][:, None] != sizes[own][None]] = -np.inf
+                    if len(own) > k:
+                        least[some] = np.maximum(least[some], np.partition(rough, -k, axis=1)[:, -k] - margin)
+                    q, p = np.nonzero(rough >= least[some][:, None])
+                    hits.append((some[q], own[p], rough[q, p]))
+            q, p, rough = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, int),) * 3
+            keep = (rough >= least[q]) & (rough > -np.inf)
+            q, p = q[keep], p[keep]
+            if len(q):
+                _, which = np.unique(numbers, return_inverse=True)
+                _, once = np.unique(q * len(numbers) + which[p], return_index=True)  # a vector may be in several lists
+                q, p = q[once], p[once]
+                score = _in_order(asked[q], vectors[p])
                 many = np.diff(edges)[p]
                 at = np.repeat(edges[:-1][p] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 q, score = np.repeat(q, many), np.repeat(score, many)
