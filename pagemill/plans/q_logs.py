@@ -186,9 +186,12 @@ def worker_versions(spark, d):
 _JOBS = "j AS (SELECT event_id // 6 AS job, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'error' THEN 'cancel' ELSE CASE WHEN event_id % 2 = 0 THEN 'finish' ELSE 'fail' END END AS kind FROM events), f AS (SELECT job, max(ts) FILTER (WHERE kind = 'claim') AS cl, max(ts) FILTER (WHERE kind = 'cancel') AS ca, max(ts) FILTER (WHERE kind IN ('finish', 'fail')) AS en, arg_max(kind, ts) FILTER (WHERE kind IN ('finish', 'fail')) AS how, max(ts) AS last_seen FROM j GROUP BY job), s AS (SELECT job, last_seen, CASE WHEN en IS NOT NULL AND cl IS NOT NULL THEN CASE WHEN ca < en THEN 'cancelled' WHEN how = 'finish' THEN 'done' ELSE 'failed' END WHEN ca IS NOT NULL AND cl IS NOT NULL AND cl < ca THEN 'cancelling' WHEN ca IS NOT NULL THEN 'cancelled' WHEN cl IS NOT NULL THEN 'running' ELSE 'pending' END AS status FROM f)"
 
 
+def job_kind():
+    return F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "error", "cancel").when(F.col("event_id") % 2 == 0, "finish").otherwise("fail")
+
+
 def _jobs(spark, d):
-    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "error", "cancel").when(F.col("event_id") % 2 == 0, "finish").otherwise("fail")
-    rows = table(spark, d, "events").select(F.floor(F.col("event_id") / 6).alias("job"), "ts", "event_id", kind.alias("kind"))
+    rows = table(spark, d, "events").select(F.floor(F.col("event_id") / 6).alias("job"), "ts", "event_id", job_kind().alias("kind"))
     return logs.latest_jobs(rows, job="job", ts=["ts", "event_id"], kind="kind")
 
 
@@ -222,13 +225,13 @@ def rate_limited(spark, d):
     return logs.rate_limited(tries, ip="user_id", ts="ts", order="event_id", window=600_000)
 
 
-@register(
-    "throttled_progress",
-    """WITH RECURSIVE t AS (SELECT user_id, event_id, ts, event_type, epoch_us(ts) AS us, event_type IN ('signup', 'purchase') AS sure, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+_THROTTLED = """WITH RECURSIVE t AS (SELECT user_id, event_id, ts, event_type, epoch_us(ts) AS us, event_type IN ('signup', 'purchase') AS sure, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, event_id, ts, event_type, n, us AS last, true AS sent FROM t WHERE n = 1
  UNION ALL SELECT t.user_id, t.event_id, t.ts, t.event_type, t.n, CASE WHEN t.sure OR t.us - r.last >= 86400000000 THEN t.us ELSE r.last END, t.sure OR t.us - r.last >= 86400000000 FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)
-SELECT user_id, event_id, ts, event_type FROM r WHERE sent""",
-)
+SELECT user_id, event_id, ts, event_type FROM r WHERE sent"""
+
+
+@register("throttled_progress", _THROTTLED)
 def throttled_progress(spark, d):
     lines = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
     return logs.throttled(lines, by="user_id", ts="ts", order="event_id", always=F.col("event_type").isin("signup", "purchase"), gap=86_400.0)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.operators import logs as batch
 from pagemill.plans.contract import register
-from pagemill.plans.q_logs import _LIMITED, _PINGS
+from pagemill.plans.q_logs import _LIMITED, _PINGS, _THROTTLED, job_kind
 from pagemill.plans.q_text import _agent, _ip, _UA_SQL
 from pagemill.sources.storage import shared_folder
-from pagemill.streaming import logs
+from pagemill.sources.tables import table
+from pagemill.streaming import logs, ordered
 
 
 def _events(spark, d):
@@ -36,10 +38,53 @@ def stream_beacons(spark, d):
     return _local(logs.drain(rows, shared_folder(spark, "beacons")))
 
 
+def _to_end(spark, d, label, build, **options):
+    return _local(ordered.drain_to_end(spark, f"{d}/events.parque[t]", shared_folder(spark, label), build, **options))
+
+
 @register("stream_limiter", _LIMITED)
 def stream_limiter(spark, d):
-    tries = _events(spark, d).filter("event_type = 'error'").select("event_id", "user_id", "ts")
-    return _local(logs.drain(logs.limiter(tries, ip="user_id", ts="ts", order="event_id", window=600_000), shared_folder(spark, "limiter")))
+    return _to_end(spark, d, "limiter", lambda events: ordered.limiter(events.filter("event_type = 'error' or event_id is null").select("event_id", "user_id", "ts"), ip="user_id", ts="ts", order="event_id", window=600_000))
+
+
+@register("stream_throttle", _THROTTLED)
+def stream_throttle(spark, d):
+    sure = F.col("event_type").isin("signup", "purchase")
+    return _to_end(spark, d, "throttle", lambda events: ordered.throttled(events.select("user_id", "event_id", "ts", "event_type"), by="user_id", ts="ts", order="event_id", always=sure, gap=86_400.0))
+
+
+#: Jobs in order of their events: a job that falls silent for 600 s while it runs is lost, and begins anew.
+_LOST = """WITH RECURSIVE j AS (SELECT event_id // 6 AS job, ts, row_number() OVER (PARTITION BY event_id // 6 ORDER BY ts, event_id) AS n, lead(ts) OVER (PARTITION BY event_id // 6 ORDER BY ts, event_id) AS after,
+ CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'error' THEN 'cancel' ELSE CASE WHEN event_id % 2 = 0 THEN 'finish' ELSE 'fail' END END AS kind FROM events),
+e AS (SELECT *, coalesce(after > ts + INTERVAL 600 SECONDS, {last}) AS silent FROM j),
+r AS (SELECT job, ts, n, silent, CASE WHEN kind = 'claim' THEN n ELSE 0 END AS cl, CASE WHEN kind = 'cancel' THEN n ELSE 0 END AS ca, CASE WHEN kind IN ('finish', 'fail') THEN n ELSE 0 END AS en FROM e WHERE n = 1
+ UNION ALL SELECT job, ts, n, silent, CASE WHEN kind = 'claim' THEN n WHEN gone THEN 0 ELSE cl END, CASE WHEN kind = 'cancel' THEN n WHEN gone THEN 0 ELSE ca END, CASE WHEN kind IN ('finish', 'fail') THEN n WHEN gone THEN 0 ELSE en END
+ FROM (SELECT e.job, e.ts, e.n, e.silent, e.kind, r.cl, r.ca, r.en, r.silent AND (r.cl > 0 OR r.ca > 0) AS gone FROM r JOIN e ON e.job = r.job AND e.n = r.n + 1))
+SELECT job, ts AS last_seen, ts + INTERVAL 600 SECONDS AS lost_at FROM r WHERE silent AND cl > 0 AND en = 0 AND (ca = 0 OR cl < ca)"""
+
+
+def _jobs_of(events):
+    return events.select("ts", "event_id", F.floor(F.col("event_id") / 6).alias("job"), job_kind().alias("kind"))
+
+
+@register("stream_reaper", _LOST.format(last="true"))
+def stream_reaper(spark, d):
+    return _to_end(spark, d, "reaper", lambda events: ordered.lost_jobs(_jobs_of(events), job="job", ts="ts", order="event_id", kind="kind"))
+
+
+@register("lost_jobs", _LOST.format(last="ts + INTERVAL 600 SECONDS < (SELECT max(ts) FROM events)"))
+def lost_jobs(spark, d):
+    events = table(spark, d, "events")
+    latest = events.agg(F.max("ts").alias("as_of"))
+    return _local(batch.lost_jobs(_jobs_of(events).crossJoin(F.broadcast(latest)), job="job", ts="ts", order="event_id", kind="kind", as_of=F.col("as_of")))
+
+
+@register("stream_sessions", "SELECT user_id, event_id, ts AS opened, ts + CASE WHEN event_type = 'view' THEN INTERVAL 600 SECONDS ELSE INTERVAL 28800 SECONDS END AS expires FROM events WHERE ts + CASE WHEN event_type = 'view' THEN INTERVAL 600 SECONDS ELSE INTERVAL 28800 SECONDS END < (SELECT max(ts) FROM events)")
+def stream_sessions(spark, d):
+    """Sessions that have expired by the last event: those that `valid_sessions` rejects."""
+    life = F.when(F.col("event_type") == "view", 600).otherwise(28_800)
+    late = table(spark, d, "events").agg(F.max("ts") + F.expr(f"interval {ordered.LATE}")).first()[0]
+    return _to_end(spark, d, "sessions", lambda events: ordered.expired_sessions(events, by="user_id", id="event_id", ts="ts", lifetime=life), end=str(late))
 
 
 @register("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

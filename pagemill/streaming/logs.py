@@ -1,4 +1,4 @@
-"""Streaming forms of the log operators.
+"""Streaming forms of the log operators that need no order (see `ordered` for those that do).
 
 Event time is the events' own; state is bounded by a watermark, after which late rows are
 dropped (an extension: the batch forms see every row). Sinks are folders on shared storage.
@@ -6,15 +6,11 @@ dropped (an extension: the batch forms see every row). Sinks are folders on shar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.functions import web
-from pagemill.operators.logs import FAIL_MAX, FAIL_WINDOW, LOST_AFTER, worker_rollup
+from pagemill.operators.logs import LOST_AFTER, worker_rollup
 from pagemill.schemas import EVENTS
 
 LATE = "10 minutes"
@@ -54,33 +50,6 @@ def beacons(events: DataFrame, *, agent: Column, forwarded: Column, real: Column
     return events.select("event_id", "ts", web.operating_system(agent).alias("os"), web.browser(agent).alias("browser"), web.device(agent).alias("device"), ip.alias("ip"), web.is_local(ip).alias("lan"))
 
 
-def limiter(tries: DataFrame, *, ip: str, ts: str, order: str, window: int = FAIL_WINDOW, limit: int = FAIL_MAX) -> DataFrame:
-    """Tries with `blocked`; state is the at most `limit` counted failures of each address, and goes
-    when none is left in the window at the watermark. Tries are judged in order within a micro-batch
-    and once: a late one within the watermark comes after younger ones of earlier batches, and those
-    keep their verdict (the batch form judges all in order)."""
-    schema = ", ".join(f"{name} {kind}" for name, kind in tries.dtypes) + ", blocked boolean"
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values([ts, order])
-        kept = list(state.get[0]) if state.exists else []
-        blocked = []
-        for at in rows[ts]:
-            now = at.timestamp()
-            kept = [t for t in kept if now - t < window]
-            blocked.append(len(kept) >= limit)
-            if not blocked[-1]:
-                kept.append(now)
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(int((max(kept, default=0) + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(blocked=blocked)
-
-    return tries.withWatermark(ts, LATE).groupBy(ip).applyInPandasWithState(decide, schema, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def drain_files(spark: SparkSession, source: str, folder: str, work, *, every: int = 5) -> DataFrame:
     """Work through the text files below source that no earlier call has done, `every` at a time, and
     return all results. work gets (path, value) rows. The stream's checkpoint is the manifest of files

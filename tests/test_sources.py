@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import logs as batch
 from pagemill.sources import readers, sinks
-from pagemill.streaming import logs
+from pagemill.streaming import logs, ordered
 
 
 def test_page_texts_and_batches(spark, tmp_path):
@@ -59,8 +59,8 @@ def test_streamed_limiter_equals_batch_over_several_files(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     for part in range(3):
         spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
-    stream = logs.event_stream(spark, str(tmp_path / "e"), files=1).select("event_id", "user_id", "ts")
-    got = logs.drain(logs.limiter(stream, ip="user_id", ts="ts", order="event_id"), str(tmp_path / "out"))
+    build = lambda rows: ordered.limiter(rows.select("event_id", "user_id", "ts"), ip="user_id", ts="ts", order="event_id")
+    got = ordered.drain_to_end(spark, str(tmp_path / "e"), str(tmp_path / "out"), build, files=1)
     want = batch.rate_limited(spark.createDataFrame(rows, schema).select("event_id", "user_id", "ts"), ip="user_id", ts="ts", order="event_id")
     assert {(r.event_id, r.blocked) for r in got.collect()} == {(r.event_id, r.blocked) for r in want.collect()}
 
