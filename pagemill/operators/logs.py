@@ -19,6 +19,17 @@ def worker_rollup(pings: DataFrame, *, keys: list[str], ts: str, platform: str)
     return pings.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("ping_count"), F.max_by(platform, F.when(F.col(platform).isNotNull(), F.col(ts))).alias("platform"))
 
 
+def worker_marks(pings: DataFrame, *, keys: list[str], ts: str, platform: str) -> DataFrame:
+    """The roll-up with the time of the platform, which is what it takes to merge two of them."""
+    known = F.when(F.col(platform).isNotNull(), F.col(ts))
+    return pings.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("ping_count"), F.max_by(platform, known).alias("platform"), F.max(known).alias("platform_at"))
+
+
+def merge_marks(old: DataFrame, new: DataFrame, *, keys: list[str]) -> DataFrame:
+    """Roll-up of the pings of both."""
+    return old.unionByName(new).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("ping_count").alias("ping_count"), F.max_by("platform", "platform_at").alias("platform"), F.max("platform_at").alias("platform_at"))
+
+
 def alive_workers(rollup: DataFrame, *, as_of: Column, within: int = ALIVE_WITHIN) -> DataFrame:
     """Workers with their age in seconds and whether they are alive."""
     age = F.round((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))) / 1e6, 1)

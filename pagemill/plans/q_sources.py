@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as fx
 from pagemill.operators import chapters as ch
-from pagemill.operators import costs, listing, reshape
+from pagemill.operators import costs, listing, merge, reshape
 from pagemill.plans.contract import register
 from pagemill.plans.q_chapters import _RANGE_SQL, _TREE_SQL, _ranges, chapter_rows
 from pagemill.sources import readers, sinks
 from pagemill.sources.storage import shared_folder
 from pagemill.sources.tables import table
+from pagemill.sources.versions import VersionedTable
 from pagemill.streaming import logs
 
 
@@ -178,8 +179,22 @@ def corpus_versions(spark, d):
     books = lambda rows, title, category: rows.select(F.col("book_slug").alias("slug")).distinct().select("slug", F.lit(title).alias("title"), F.lit(category).cast("string").alias("category"))
     sinks.save_corpus(books(texts, "first", "kept"), texts, folder, version="1")
     sinks.save_corpus(books(again, "second", None), again, folder, version="2", before="1")
-    master = spark.read.parquet(f"{folder}/book_master/version=2").withColumnRenamed("slug", "book_slug")
-    return spark.read.parquet(f"{folder}/book_pages/version=2").join(master, "book_slug").select("book_slug", "page_num", "char_count", "page_count", "title", "category")
+    saved = sinks.corpus_tables(spark, folder)
+    master = saved["book_master"].read("2").withColumnRenamed("slug", "book_slug")
+    return saved["book_pages"].read("2").join(master, "book_slug").select("book_slug", "page_num", "char_count", "page_count", "title", "category")
+
+
+@register("version_folders", "SELECT v AS version, count(*) AS n, CAST(sum(CASE WHEN c_custkey % 6 = v THEN 1 ELSE 0 END) AS BIGINT) AS fresh FROM customer, (SELECT unnest([1, 3, 4, 5]) AS v) WHERE c_custkey % 6 <= v GROUP BY v")
+def version_folders(spark, d):
+    """Six versions of a table, of which retention leaves the newest three and one that is named."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    saved = VersionedTable(spark, shared_folder(spark, "versions"), keys=["c_custkey"], parts=8)
+    for v in range(6):
+        rows = customers.filter(F.col("c_custkey") % 6 == v).withColumn("since", F.lit(v))
+        saved.upsert(rows, str(v), lambda old, new: merge.upsert_pages(old, new, keys=["c_custkey"]))
+    left = saved.retain(3, always=("1",))
+    counts = [saved.read(v).agg(F.lit(int(v)).alias("version"), F.count("*").alias("n"), F.count_if(F.col("since") == int(v)).alias("fresh")) for v in left]
+    return merge.all_batches(counts)
 
 
 @register("feed_rows", "SELECT c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS author, CASE WHEN c_custkey % 3 = 0 THEN '{\"extra\":\"' || c_nationkey || '\"}' WHEN c_custkey % 3 = 1 THEN 'given' END AS meta FROM customer")

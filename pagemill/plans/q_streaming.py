@@ -47,6 +47,17 @@ def stream_limiter(spark, d):
     return _to_end(spark, d, "limiter", lambda events: ordered.limiter(events.filter("event_type = 'error' or event_id is null").select("event_id", "user_id", "ts"), ip="user_id", ts="ts", order="event_id", window=600_000))
 
 
+@register("stream_upsert", f"WITH {_PINGS} SELECT * FROM w")
+def stream_upsert(spark, d):
+    pings = _events(spark, d).select((F.col("user_id") % 40).alias("ip"), F.col("event_type").alias("host"), "ts", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("os"), F.col("event_id") % 5)).alias("platform"))
+    return _local(logs.upsert_workers(pings, shared_folder(spark, "upsert"), keys=["ip", "host"], ts="ts", platform="platform", parts=8).read().drop("platform_at"))
+
+
+@register("stream_ring", "SELECT event_id, ts FROM events WHERE event_id >= (SELECT max(event_id) FROM events) - 5000")
+def stream_ring(spark, d):
+    return _local(logs.keep_ring(_events(spark, d).select("event_id", "ts"), shared_folder(spark, "ring"), id="event_id").read())
+
+
 @register("stream_throttle", _THROTTLED)
 def stream_throttle(spark, d):
     sure = F.col("event_type").isin("signup", "purchase")

@@ -10,6 +10,7 @@ from pagemill.functions.text import n_chars, safe_tag
 from pagemill.operators.costs import analysis_history
 from pagemill.operators.listing import batch_label
 from pagemill.operators.merge import merge_master, upsert_pages
+from pagemill.sources.versions import VersionedTable
 
 
 def write_version(df: DataFrame, path: str, version: str) -> str:
@@ -66,16 +67,24 @@ def write_chapters(chapters: DataFrame, path: str, *, scaffold: bool = False) ->
 
 def save_corpus(master: DataFrame, pages: DataFrame, path: str, *, version: str, before: str | None = None, keep_old: tuple[str, ...] = ("category", "field", "pub_date", "revision_date", "description")) -> None:
     """A new version of the corpus tables book_master (slug, ...) and book_pages (book_slug, page_num,
-    ocr_text): the version before, if there is one, with these books and pages put in."""
+    ocr_text): the version before, if there is one, with these books and pages put in. Parts of the
+    tables that hold none of these books are taken over as they are."""
     spark = master.sparkSession
     counts = pages.groupBy(F.col("book_slug").alias("slug")).agg(F.count("*").alias("page_count"))
     books = master.join(counts, "slug", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0).cast("bigint")))
     texts = pages.withColumn("ocr_text", F.coalesce("ocr_text", F.lit(""))).withColumn("char_count", n_chars(F.col("ocr_text")))
-    if before is not None:
-        books = merge_master(spark.read.parquet(f"{path}/book_master/version={before}"), books, key="slug", keep_old=[c for c in books.columns if c in keep_old])
-        texts = upsert_pages(spark.read.parquet(f"{path}/book_pages/version={before}"), texts, keys=["book_slug", "page_num"])
-    write_version(books, f"{path}/book_master", version)
-    write_version(texts, f"{path}/book_pages", version)
+    tables = corpus_tables(spark, path)
+    if before is None:
+        tables["book_master"].write(books, version)
+        tables["book_pages"].write(texts, version)
+        return
+    tables["book_master"].upsert(books, version, lambda old, new: merge_master(old, new, key="slug", keep_old=[c for c in new.columns if c in keep_old]), before=before)
+    tables["book_pages"].upsert(texts, version, lambda old, new: upsert_pages(old, new, keys=["book_slug", "page_num"]), before=before)
+
+
+def corpus_tables(spark: SparkSession, path: str) -> dict[str, VersionedTable]:
+    """The corpus tables at a path, both in parts by book."""
+    return {"book_master": VersionedTable(spark, f"{path}/book_master", keys=["slug"]), "book_pages": VersionedTable(spark, f"{path}/book_pages", keys=["book_slug"])}
 
 
 def write_pages_data(tree: DataFrame, pages: DataFrame, path: str) -> None:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import web
-from pagemill.operators.logs import LOST_AFTER, worker_rollup
+from pagemill.operators.logs import LOST_AFTER, merge_marks, worker_marks, worker_rollup
 from pagemill.schemas import EVENTS
+from pagemill.sources.versions import PARTS, RING, RingTable, VersionedTable
 
 LATE = "10 minutes"
 
@@ -27,6 +28,26 @@ def heartbeats(pings: DataFrame, *, keys: list[str], ts: str, platform: str) ->
     return worker_rollup(pings, keys=keys, ts=ts, platform=platform)
 
 
+def upsert_workers(pings: DataFrame, folder: str, *, keys: list[str], ts: str, platform: str, parts: int = PARTS) -> VersionedTable:
+    """Each worker's roll-up in a table that every batch upserts: only the parts of its workers are
+    written anew. A batch that is replayed starts from the version before it, and leaves the same."""
+    table = VersionedTable(pings.sparkSession, f"{folder}/workers", keys=keys, parts=parts)
+
+    def merge(batch: DataFrame, n: int) -> None:
+        table.upsert(worker_marks(batch, keys=keys, ts=ts, platform=platform), str(n), lambda old, new: merge_marks(old, new, keys=keys))
+        table.retain(2)
+
+    pings.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return table
+
+
+def keep_ring(rows: DataFrame, folder: str, *, id: str, keep: int = RING) -> RingTable:
+    """The newest rows of a stream, as a log that is compacted while it grows."""
+    ring = RingTable(rows.sparkSession, f"{folder}/ring", id=id, keep=keep)
+    rows.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(ring.append).start().awaitTermination()
+    return ring
+
+
 def _marked(events: DataFrame, ts: str, late: str | None) -> DataFrame:
     return events if late is None else events.withWatermark(ts, late)
 
