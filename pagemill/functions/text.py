@@ -123,8 +123,17 @@ def html_escaped(text: Column) -> Column:
     return out
 
 
+#: Fixed value: white space at the ends of a text, as prompts and reports strip it.
+ENDS = r"^[\s\p{Z}\x0B\x1C-\x1F\x85]+|[\s\p{Z}\x0B\x1C-\x1F\x85]+$"
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, ENDS, "")
+
+
 def without_tags(html: Column) -> Column:
-    return F.trim(F.regexp_replace(html, r"<[^>]+>", " "))
+    return stripped(F.regexp_replace(html, r"<[^>]+>", " "))
 
 
 def squeezed(text: Column) -> Column:

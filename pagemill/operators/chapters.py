@@ -12,7 +12,7 @@ from pagemill.operators.ordered import keep_first
 from pagemill.sources.storage import stored
 
 #: Labels of the tree, lengths of texts, gates on located chapters, title length.
-OTHER, ALL_PAGES = "기타", "전체 페이지"
+OTHER, ALL_PAGES, POINTS = "기타", "전체 페이지", " / 핵심: "
 CHAPTER_CHARS, HEAD_CHARS, TITLE_CHARS, LONG_TITLE = 6000, 400, 4, 40
 SPREAD_LEAST, FIRST_MOST, COVER_FIRST, COVER_HOLES = 0.30, 0.6, 2, 2
 
@@ -70,12 +70,41 @@ def flat_tree(tree: DataFrame) -> DataFrame:
     return pages.select("book", "chapter", F.when(F.col("section") != F.col("chapter"), F.col("section")).alias("section"), F.col("p.num").alias("page"), F.col("p.label").alias("label"))
 
 
-def chapter_texts(pages: DataFrame, chapters: DataFrame, *, text: str, limit: int = CHAPTER_CHARS) -> DataFrame:
-    """Text of each chapter: its pages' texts without tags, a line each, in page order, cut to limit.
-    Ranges meet pages through the pages they cover, an equi join on book and page. Only as many
-    pages as can fill the limit are gathered."""
-    covered = chapters.select("book", "num", F.explode(F.sequence("start", "end")).alias("page"))
-    lines = pages.select("book", "page", without_tags(F.col(text)).alias("line")).join(covered, ["book", "page"])
+def chapters_of_pages(pages: DataFrame, chapters: DataFrame, *, front: bool = False) -> DataFrame:
+    """pages (book, page, ...) with `num` of the range that holds them; with `front`, pages before the
+    first start of a book have number 0; other pages outside the ranges go.
+
+    Ranges of a book must not overlap; where they do, the one that starts last counts. Starts and
+    pages are merged in one order of (book, page), and the last start is carried forward: within ranges
+    of that order, and to a range from those before it. So nothing is made for ids between start and
+    end, and a large book is in many tasks."""
+    kinds, names = dict(pages.dtypes), [c for c in pages.columns if c not in ("book", "page")]
+    span = F.struct(F.col("num").cast("long").alias("num"), F.col("end").cast("long").alias("end"))
+    starts = chapters.select("book", F.col("start").cast("long").alias("page"), F.lit(0).alias("_kind"), span.alias("_span"), *(F.lit(None).cast(kinds[c]).alias(c) for c in names))
+    rows = pages.select("book", F.col("page").cast("long").alias("page"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(starts.dtypes)["_span"]).alias("_span"), *names)
+    dealt = stored(starts.unionByName(rows).repartitionByRange("book", "page", "_kind").withColumn("_part", F.spark_partition_id()), "merged")
+    # A row for each book in each range of the order, with the last start of those before.
+    own = F.max_by("_span", F.when(F.col("_kind") == 0, F.struct("page", "_span.num")))
+    before = F.last("_own", ignorenulls=True).over(W.partitionBy("book").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    blocks = dealt.groupBy("_part", "book").agg(own.alias("_own")).select(F.col("_part").alias("_p"), F.col("book").alias("_b"), before.alias("_before"))
+    here = F.last("_span", ignorenulls=True).over(W.partitionBy("_part", "book").orderBy("page", "_kind", "_span.num").rowsBetween(W.unboundedPreceding, 0))
+    met = dealt.join(blocks, (F.col("_part") == F.col("_p")) & F.col("book").eqNullSafe(F.col("_b"))).withColumn("_held", F.coalesce(here, F.col("_before"))).filter("_kind = 1")
+    inside = met.filter(F.col("page") <= F.col("_held.end")).withColumn("num", F.col("_held.num"))
+    if front:
+        first = met.filter(F.col("_held").isNull() & (F.col("page") >= 1)).join(chapters.select("book").distinct(), "book", "left_semi")
+        inside = inside.unionByName(first.withColumn("num", F.lit(0).cast("long")))
+    return inside.select("book", "page", F.col("num").cast(dict(chapters.dtypes)["num"]).alias("num"), *names)
+
+
+def chapter_texts(pages: DataFrame, chapters: DataFrame, *, text: str, points: str | None = None, limit: int = CHAPTER_CHARS) -> DataFrame:
+    """Text of each chapter: a line for each of its pages in order, cut to limit. A line is the page's label
+    and its text without tags, and its points, if it has any, without tags and joined by "; ". Only as
+    many pages as can fill the limit are gathered."""
+    line = F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit("] "), without_tags(F.coalesce(F.col(text), F.lit(""))))
+    if points is not None:
+        told = F.array_join(F.transform(points, without_tags), "; ", "")
+        line = F.concat(line, F.when(F.size(points) > 0, F.concat(F.lit(POINTS), told)).otherwise(""))
+    lines = chapters_of_pages(pages.select("book", "page", line.alias("line")), chapters)
     used = F.sum(F.length("line") + 1).over(W.partitionBy("book", "num").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
     first = lines.withColumn("_used", F.coalesce(used, F.lit(0))).filter(F.col("_used") < limit)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.left("line", F.lit(limit)).alias("line")))), lambda p: p["line"]), "\n")
@@ -83,12 +112,18 @@ def chapter_texts(pages: DataFrame, chapters: DataFrame, *, text: str, limit: in
 
 
 def pages_in_chapters(chapters: DataFrame) -> DataFrame:
-    """(book, num, page) of ranges, pages before the first chapter being its front matter (num 0)."""
+    """(book, num, page) of ranges, where no table of pages is at hand; pages before the first chapter are
+    its front matter (num 0). With a table of pages, `chapters_of_pages` does not make any."""
     own = chapters.select("book", "num", F.explode(F.sequence("start", "end")).alias("page"))
     front = chapters.groupBy("book").agg(F.min("start").alias("first")).filter("first > 1")
     return own.union(front.select("book", F.lit(0).alias("num"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("first") - 1)).alias("page")))
 
 
+def chapter_report(rows: DataFrame) -> DataFrame:
+    """Per chapter of `chapter_rows`: its pages, sections and the page that introduces it."""
+    return rows.groupBy("book", "chapter_no", "chapter", "chapter_id").agg(F.count("*").alias("pages"), F.countDistinct("section_no").alias("sections"), F.min(F.when(F.col("is_intro"), F.col("page"))).alias("intro_page"))
+
+
 #: How a page head names its chapter: by number, in English, or as an appendix.
 HEADINGS = (r"(?mU)^\s*(?:제\s*)?(\d+)\s*장\b", r"(?iU)\bchapter\s*0*(\d+)\b", r"(?mU)^\s*부록\s*(\d+)\b")
 

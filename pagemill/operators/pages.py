@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.operators import ordered
@@ -12,6 +13,8 @@ from pagemill.operators import ordered
 #: Characters under which a page is a divider; kilobytes under which an image is blank;
 #: least width in pixels; share of pages that may be off the main dimension, and how many at least.
 DIVIDER_CHARS, BLANK_KB, MIN_WIDTH, OFF_SHARE, OFF_LEAST = 40, 80, 1400, 0.05, 3
+#: Sizes of whole screens, which pages do not have.
+SCREENS = ("2560x1440", "2560x1600", "1920x1080", "3456x2234")
 #: Patterns of source code in two languages.
 CODE_PATTERNS = (
     r"Cv2\.|using\s+OpenCvSharp|Console\.|new\s+Mat|videoWriter\.|namespace\s|ColorConversion",
@@ -88,30 +91,56 @@ def quality_rules(json: Column) -> Column:
     return F.struct(*(F.coalesce(F.try_element_at(given, F.lit(name)).try_cast("double"), F.lit(value)).alias(name) for name, value in RULES.items()))
 
 
-def quality_report(images: DataFrame, *, book: str, seq: str, digest: str, dim: str) -> DataFrame:
-    """Per book: images, distinct digests, duplicate groups and images in them, dimensions, the main
-    dimension (most frequent, first seen on ties), images off it, and whether all is well."""
+def suspect_images(images: DataFrame, *, dim: str, n_bytes: str | None = None, limit: int = BLANK_KB, screens: tuple[str, ...] = SCREENS) -> DataFrame:
+    """(..., kind, detail): images of a whole screen's size, and images that are blank by their bytes; an
+    image may be both."""
+    kb = F.floor(F.col(n_bytes) / 1024) if n_bytes is not None else F.lit(None).cast("long")
+    screen = F.when(F.col(dim).isin(*screens), F.struct(F.lit("screen").alias("kind"), F.col(dim).cast("string").alias("detail")))
+    blank = F.when(kb < limit, F.struct(F.lit("blank").alias("kind"), F.concat(kb.cast("string"), F.lit("KB")).alias("detail")))
+    return images.withColumn("_s", F.explode(F.array_compact(F.array(screen, blank)))).select(*images.columns, "_s.kind", "_s.detail")
+
+
+def quality_report(images: DataFrame, *, book: str, seq: str, digest: str, dim: str, n_bytes: str | None = None, limit: int = BLANK_KB, screens: tuple[str, ...] = SCREENS) -> DataFrame:
+    """Per book: images, distinct digests, duplicate groups and images in them, dimensions with their
+    images in order of appearance, the main dimension (most frequent, first seen on ties), images off
+    it, images of a screen's size, blank ones, a flag for each thing that is wrong with the first three
+    images of it, and whether all is well. Blank images are told by n_bytes, if there is such a column."""
     by_digest = images.groupBy(book, digest).agg(F.count("*").alias("n")).groupBy(book).agg(
         F.sum("n").alias("n_images"), F.count("*").alias("n_distinct"), F.count_if(F.col("n") > 1).alias("dup_groups"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("dup_images")
     )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(dim).alias("dim"), "n"))), lambda d: F.concat(d["dim"], F.lit(": "), d["n"].cast("string")))
     by_dim = images.groupBy(book, dim).agg(F.count("*").alias("n"), F.min(seq).alias("first")).groupBy(book).agg(
-        F.count("*").alias("n_dims"), F.max_by(dim, F.struct("n", (-F.col("first")).alias("f"))).alias("main_dim"), F.max("n").alias("n_main")
+        F.count("*").alias("n_dims"), F.max_by(dim, F.struct("n", (-F.col("first")).alias("f"))).alias("main_dim"), F.max("n").alias("n_main"), listed.alias("dims")
     )
+    place = F.row_number().over(W.partitionBy(book, "kind").orderBy(seq, "detail"))
+    found = suspect_images(images.select(book, seq, dim, *([n_bytes] if n_bytes is not None else [])), dim=dim, n_bytes=n_bytes, limit=limit, screens=screens)
+    counts = found.groupBy(book, "kind").agg(F.count("*").alias("n"))
+    firsts = found.withColumn("_n", place).filter("_n <= 3").groupBy(book, "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat(F.col(seq).cast("string"), F.lit(" "), F.col("detail")).alias("t")))), lambda x: x["t"]), ", ").alias("first"))
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    suspects = counts.join(firsts, [book, "kind"]).groupBy(book).agg(pick("screen", "n").alias("n_screen"), pick("screen", "first").alias("_screen"), pick("blank", "n").alias("n_blank"), pick("blank", "first").alias("_blank"))
     off = F.col("n_images") - F.col("n_main")
     many = off > F.greatest(F.lit(float(OFF_LEAST)), F.col("n_images") * OFF_SHARE)
-    return by_digest.join(by_dim, book).select(
-        book, "n_images", "n_distinct", "dup_groups", "dup_images", "n_dims", "main_dim", off.alias("n_off"), many.alias("many_off"), (~many & (F.col("dup_groups") == 0)).alias("ok")
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("n_screen") > 0, F.concat(F.lit("screen size: "), F.col("n_screen"), F.lit(" images, first "), F.col("_screen"))),
+            F.when(F.col("n_blank") > 0, F.concat(F.lit("blank: "), F.col("n_blank"), F.lit(f" images below {limit}KB, first "), F.col("_blank"))),
+            F.when(F.col("dup_groups") > 0, F.concat(F.lit("duplicates: "), F.col("dup_images"), F.lit(" images in "), F.col("dup_groups"), F.lit(" groups"))),
+            F.when(F.col("many_off"), F.concat(F.lit("off size: "), F.col("n_off"), F.lit(" images off "), F.col("main_dim"))),
+        )
     )
+    report = by_digest.join(by_dim, book).join(suspects, book, "left").withColumn("n_off", off).withColumn("many_off", many)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return report.withColumn("flags", flags).select(book, "n_images", "n_distinct", "dup_groups", "dup_images", "n_dims", "dims", "main_dim", "n_off", "many_off", zero("n_screen"), zero("n_blank"), "flags", (F.size("flags") == 0).alias("ok"))
 
 
 def report_text(report: DataFrame, *, book: str) -> DataFrame:
-    """One text per book of a quality report: header, counts, flags."""
+    """One text per book of a quality report: header, distribution of dimensions, and a line for each flag
+    or one that says that all is well."""
     lines = F.concat_ws(
         "\n",
-        F.concat(F.lit("book "), F.col(book), F.lit(": "), F.col("n_images"), F.lit(" images, "), F.col("n_distinct"), F.lit(" distinct")),
-        F.concat(F.lit("main dimension "), F.col("main_dim"), F.lit(", off it "), F.col("n_off")),
-        F.when(F.col("dup_groups") > 0, F.concat(F.lit("duplicates: "), F.col("dup_images"), F.lit(" in "), F.col("dup_groups"), F.lit(" groups"))),
-        F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("check")),
+        F.concat(F.lit("book "), F.col(book), F.lit(": "), F.col("n_images"), F.lit(" images, "), F.col("n_distinct"), F.lit(" distinct, main dimension "), F.col("main_dim")),
+        F.concat(F.lit("dimensions: "), F.array_join("dims", ", ")),
+        F.when(F.col("ok"), F.lit("ok: no screen sizes, blanks, duplicates or other sizes")).otherwise(F.array_join("flags", "\n")),
     )
     return report.select(book, lines.alias("report"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import stripped
 from pagemill.operators.ordered import first_and_last
 from pagemill.schemas import BLOCKS, OVERVIEW, PAGE, PAGES_DATA, SECTIONS, TABLE
 
@@ -18,9 +19,10 @@ def reply_json(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def page_requests(pages: DataFrame, *, page: str, text: str, hint: str, limit: int = BLOB_CHARS) -> DataFrame:
-    """One request text a page: its number, its text (or a mark that it is empty), and a hint if there is one."""
-    body = F.coalesce(F.nullif(F.trim(F.left(F.col(text), F.lit(limit))), F.lit("")), F.lit("(empty)"))
+def page_requests(pages: DataFrame, *, page: str, text: str, hint: str) -> DataFrame:
+    """One request text a page: its number, its whole text (or a mark that it is empty or white space
+    only), and a hint if there is one."""
+    body = F.coalesce(F.nullif(stripped(F.col(text)), F.lit("")), F.lit("(empty)"))
     lines = F.concat_ws("\n", F.concat(F.lit("page "), F.col(page).cast("string")), body, F.when(F.col(hint).isNotNull(), F.concat(F.lit("intro: "), F.col(hint))))
     return pages.select(page, lines.alias("request"))
 

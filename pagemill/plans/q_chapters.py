@@ -51,10 +51,37 @@ def _ranges(spark, d):
     return ordered.renumber(ended, ["book"], ["start"])
 
 
-@register("chapter_texts", f"WITH {_RANGE_SQL} SELECT book, num, left(string_agg(trim(regexp_replace(text, '<[^>]+>', ' ', 'g'), ' '), chr(10) ORDER BY doc_id), 6000) AS text FROM r JOIN documents ON source = book AND doc_id BETWEEN start AND \"end\" GROUP BY 1, 2")
+_ENDS = r"^[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+|[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+$"
+
+
+def _bare(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '<[^>]+>', ' ', 'g'), '{_ENDS}', '', 'g')"
+
+
+_TEXT_SQL = f"""{_RANGE_SQL}, l AS (SELECT book, num, doc_id, '[p.' || doc_id || '] ' || {_bare("coalesce(text, '')")} || CASE WHEN doc_id % 3 = 0 THEN ' / 핵심: ' || lang || '; of  ' || {_bare("source")} ELSE '' END AS line FROM r JOIN documents ON source = book AND doc_id BETWEEN start AND "end"),
+t AS (SELECT book, num, left(string_agg(line, chr(10) ORDER BY doc_id), 6000) AS text FROM l GROUP BY 1, 2)"""
+
+
+def texts_of_chapters(spark, d):
+    points = F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("<b>"), "lang", F.lit("</b>")), F.concat(F.lit("of <i>"), "source", F.lit("</i>\u3000")))).otherwise(F.array().cast("array<string>"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text", points.alias("points"))
+    return ch.chapter_texts(docs, _ranges(spark, d), text="text", points="points")
+
+
+@register("chapter_texts", f"WITH {_TEXT_SQL} SELECT * FROM t")
 def chapter_texts(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
-    return ch.chapter_texts(docs, _ranges(spark, d), text="text")
+    return texts_of_chapters(spark, d)
+
+
+@register("pages_of_chapters", f'WITH {_RANGE_SQL}, f AS (SELECT book, min(start) AS first FROM r GROUP BY book) SELECT source AS book, doc_id AS page, num FROM documents JOIN r ON source = book AND doc_id BETWEEN start AND "end" UNION ALL SELECT source, doc_id, 0 FROM documents JOIN f ON source = book AND doc_id < first AND doc_id >= 1')
+def pages_of_chapters(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"))
+    return ch.chapters_of_pages(docs, _ranges(spark, d), front=True)
+
+
+@register("chapter_report", f"WITH {_TREE_SQL} SELECT book, chapter_no, chapter, chapter_id, count(*) AS pages, count(DISTINCT section_no) AS sections, min(page) FILTER (WHERE is_intro) AS intro_page FROM t GROUP BY ALL")
+def chapter_report(spark, d):
+    return ch.chapter_report(chapter_rows(spark, d))
 
 
 @register("chapter_pages", "WITH r AS (SELECT o_custkey AS book, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS num, o_orderkey % 1000 AS start, o_orderkey % 1000 + 5 AS \"end\" FROM orders) SELECT book, num, unnest(range(start, \"end\" + 1)) AS page FROM r UNION ALL SELECT book, 0, unnest(range(1, first)) FROM (SELECT book, min(start) AS first FROM r GROUP BY book) WHERE first > 1")

@@ -40,30 +40,25 @@ def corpus_stats(spark, d):
     return pages.corpus_stats(table(spark, d, "documents"), book="source", chars="n_chars")
 
 
-@register(
-    "quality_report",
-    """WITH i AS (SELECT source AS book, doc_id AS seq, md5(text) AS digest, lang AS dim FROM documents),
+_QUALITY = """WITH i AS (SELECT source AS book, doc_id AS seq, md5(text) AS digest, CASE WHEN doc_id % 97 = 0 THEN '1920x1080' WHEN lang = 'de' THEN '1500x2100' ELSE '1400x2000' END AS dim, n_chars * 400 // 1024 AS kb FROM documents),
 g AS (SELECT book, CAST(sum(n) AS BIGINT) AS n_images, count(*) AS n_distinct, count(*) FILTER (WHERE n > 1) AS dup_groups, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS dup_images FROM (SELECT book, digest, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY book),
-m AS (SELECT book, count(*) AS n_dims, arg_max(dim, (n, -first)) AS main_dim, max(n) AS n_main FROM (SELECT book, dim, count(*) AS n, min(seq) AS first FROM i GROUP BY 1, 2) GROUP BY book)
-SELECT book, n_images, n_distinct, dup_groups, dup_images, n_dims, main_dim, n_images - n_main AS n_off, n_images - n_main > greatest(3, n_images * 0.05) AS many_off, NOT (n_images - n_main > greatest(3, n_images * 0.05)) AND dup_groups = 0 AS ok FROM g JOIN m USING (book)""",
-)
-def quality_report(spark, d):
-    return pages.quality_report(_images(spark, d), book="book", seq="seq", digest="digest", dim="dim")
+m AS (SELECT book, count(*) AS n_dims, arg_max(dim, (n, -first)) AS main_dim, max(n) AS n_main, list(dim || ': ' || n ORDER BY first) AS dims FROM (SELECT book, dim, count(*) AS n, min(seq) AS first FROM i GROUP BY 1, 2) GROUP BY book),
+s AS (SELECT book, count(*) FILTER (WHERE dim = '1920x1080') AS n_screen, count(*) FILTER (WHERE kb < 80) AS n_blank, array_to_string((list(seq || ' ' || dim ORDER BY seq) FILTER (WHERE dim = '1920x1080'))[1:3], ', ') AS fs, array_to_string((list(seq || ' ' || kb || 'KB' ORDER BY seq) FILTER (WHERE kb < 80))[1:3], ', ') AS fb FROM i GROUP BY book),
+o AS (SELECT *, n_images - n_main AS n_off, n_images - n_main > greatest(3, n_images * 0.05) AS many_off FROM g JOIN m USING (book) JOIN s USING (book)),
+q AS (SELECT *, list_filter([CASE WHEN n_screen > 0 THEN 'screen size: ' || n_screen || ' images, first ' || fs END, CASE WHEN n_blank > 0 THEN 'blank: ' || n_blank || ' images below 80KB, first ' || fb END, CASE WHEN dup_groups > 0 THEN 'duplicates: ' || dup_images || ' images in ' || dup_groups || ' groups' END, CASE WHEN many_off THEN 'off size: ' || n_off || ' images off ' || main_dim END], lambda x: x IS NOT NULL) AS flags FROM o)"""
 
 
-def _images(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("seq"), F.md5("text").alias("digest"), F.col("lang").alias("dim"))
+@register("quality_report", f"{_QUALITY} SELECT book, n_images, n_distinct, dup_groups, dup_images, n_dims, dims, main_dim, n_off, many_off, n_screen, n_blank, flags, len(flags) = 0 AS ok FROM q")
+def quality_report(spark, d):
+    key = F.col("doc_id")
+    dim = F.when(key % 97 == 0, "1920x1080").when(F.col("lang") == "de", "1500x2100").otherwise("1400x2000")
+    images = table(spark, d, "documents").select(F.col("source").alias("book"), key.alias("seq"), F.md5("text").alias("digest"), dim.alias("dim"), (F.col("n_chars") * 400).alias("bytes"))
+    return pages.quality_report(images, book="book", seq="seq", digest="digest", dim="dim", n_bytes="bytes")
 
 
-@register(
-    "quality_text",
-    """WITH i AS (SELECT source AS book, doc_id AS seq, md5(text) AS digest, lang AS dim FROM documents),
-g AS (SELECT book, CAST(sum(n) AS BIGINT) AS n, count(*) AS nd, count(*) FILTER (WHERE n > 1) AS dg, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS di FROM (SELECT book, digest, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY book),
-m AS (SELECT book, arg_max(dim, (n, -first)) AS md, max(n) AS nm FROM (SELECT book, dim, count(*) AS n, min(seq) AS first FROM i GROUP BY 1, 2) GROUP BY book)
-SELECT book, concat_ws(chr(10), 'book ' || book || ': ' || n || ' images, ' || nd || ' distinct', 'main dimension ' || md || ', off it ' || (n - nm), CASE WHEN dg > 0 THEN 'duplicates: ' || di || ' in ' || dg || ' groups' END, CASE WHEN NOT (n - nm > greatest(3, n * 0.05)) AND dg = 0 THEN 'ok' ELSE 'check' END) AS report FROM g JOIN m USING (book)""",
-)
+@register("quality_text", f"{_QUALITY} SELECT book, 'book ' || book || ': ' || n_images || ' images, ' || n_distinct || ' distinct, main dimension ' || main_dim || chr(10) || 'dimensions: ' || array_to_string(dims, ', ') || chr(10) || CASE WHEN len(flags) = 0 THEN 'ok: no screen sizes, blanks, duplicates or other sizes' ELSE array_to_string(flags, chr(10)) END AS report FROM q")
 def quality_text(spark, d):
-    return pages.report_text(pages.quality_report(_images(spark, d), book="book", seq="seq", digest="digest", dim="dim"), book="book")
+    return pages.report_text(quality_report(spark, d), book="book")
 
 
 @register("duplicate_pages", "SELECT source AS book, md5(text) AS digest, count(*) AS n_pages, min(doc_id) AS first_page FROM documents GROUP BY 1, 2 HAVING count(*) > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import code_language
 from pagemill.operators import devices, markup, ordered, reshape, signatures
 from pagemill.plans.contract import register
+from pagemill.plans.q_chapters import _ENDS
 from pagemill.sources.tables import table
 
 _GREY = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 0.5) * 255) AS DOUBLE)) AS v FROM embeddings)"
@@ -157,10 +158,10 @@ def selector_vote(spark, d):
     return markup.selector_vote(table(spark, d, "pages"), html="html", patterns=["<li>", "<p>", "<card>"])
 
 
-@register("page_requests", "SELECT doc_id, 'page ' || doc_id || chr(10) || coalesce(nullif(trim(left(CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END, 9000), ' '), ''), '(empty)') || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'intro: ' || source ELSE '' END AS request FROM documents")
+@register("page_requests", f"SELECT doc_id, 'page ' || doc_id || chr(10) || coalesce(nullif(regexp_replace(CASE WHEN doc_id % 9 = 0 THEN chr(10) || chr(9) || chr(12288) ELSE text END, '{_ENDS}', '', 'g'), ''), '(empty)') || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'intro: ' || source ELSE '' END AS request FROM documents")
 def page_requests(spark, d):
     k = F.col("doc_id")
-    docs = table(spark, d, "documents").select(k, F.when(k % 9 == 0, "").otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, F.col("source")).alias("hint"))
+    docs = table(spark, d, "documents").select(k, F.when(k % 9 == 0, "\n\t\u3000").otherwise(F.col("text")).alias("text"), F.when(k % 5 == 0, F.col("source")).alias("hint"))
     return reshape.page_requests(docs, page="doc_id", text="text", hint="hint")
 
 

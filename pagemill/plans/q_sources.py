@@ -9,7 +9,7 @@ from pagemill.functions import text as fx
 from pagemill.operators import chapters as ch
 from pagemill.operators import costs, listing, merge, reshape
 from pagemill.plans.contract import register
-from pagemill.plans.q_chapters import _RANGE_SQL, _TREE_SQL, _ranges, chapter_rows
+from pagemill.plans.q_chapters import _ENDS, _RANGE_SQL, _TEXT_SQL, _TREE_SQL, _ranges, chapter_rows, texts_of_chapters
 from pagemill.sources import readers, sinks
 from pagemill.sources.storage import shared_folder
 from pagemill.sources.tables import table
@@ -143,7 +143,7 @@ def pages_data_files(spark, d):
     return flat("object").union(flat("list"))
 
 
-@register("request_files", "SELECT doc_id, 'page ' || doc_id || chr(10) || coalesce(nullif(trim(left(text, 9000), ' '), ''), '(empty)') AS request FROM documents")
+@register("request_files", f"SELECT doc_id, 'page ' || doc_id || chr(10) || coalesce(nullif(regexp_replace(text, '{_ENDS}', '', 'g'), ''), '(empty)') AS request FROM documents")
 def request_files(spark, d):
     folder = shared_folder(spark, "requests")
     sinks.write_requests(reshape.page_requests(table(spark, d, "documents").withColumn("hint", F.lit(None).cast("string")), page="doc_id", text="text", hint="hint"), folder)
@@ -206,11 +206,10 @@ def feed_rows(spark, d):
     return readers.read_feed(spark, folder, known=["title", "author"])
 
 
-@register("chapter_requests", f"WITH {_RANGE_SQL}, t AS (SELECT book, num, left(string_agg(trim(regexp_replace(text, '<[^>]+>', ' ', 'g'), ' '), chr(10) ORDER BY doc_id), 6000) AS text FROM r JOIN documents ON source = book AND doc_id BETWEEN start AND \"end\" GROUP BY 1, 2) SELECT book, num, 'book: ' || book || chr(10) || 'chapter ' || num || ': part ' || num || ' (p.' || start || '-' || \"end\" || ')' || chr(10) || 'about: ' || chr(10) || 'pages:' || chr(10) || coalesce(text, '') AS request FROM r LEFT JOIN t USING (book, num)")
+@register("chapter_requests", f"WITH {_TEXT_SQL} SELECT book, num, 'book: ' || book || chr(10) || 'chapter ' || num || ': part ' || num || ' (p.' || start || '-' || \"end\" || ')' || chr(10) || 'about: ' || chr(10) || 'pages:' || chr(10) || coalesce(text, '') AS request FROM r LEFT JOIN t USING (book, num)")
 def chapter_requests(spark, d):
     ranges = _ranges(spark, d).withColumn("title", F.concat(F.lit("part "), "num")).withColumn("summary", F.lit(None).cast("string"))
-    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
-    return reshape.chapter_requests(ranges.withColumn("name", F.col("book")), ch.chapter_texts(docs, ranges, text="text"), title="name")
+    return reshape.chapter_requests(ranges.withColumn("name", F.col("book")), texts_of_chapters(spark, d), title="name")
 
 
 @register("book_requests", f"WITH {_RANGE_SQL} SELECT book, 'book: ' || book || chr(10) || 'chapters:' || chr(10) || string_agg(num || '. part ' || num || ' (p.' || start || '-' || \"end\" || '): s', chr(10) ORDER BY start) AS request FROM r GROUP BY book")

@@ -65,4 +65,36 @@ def test_dates_of_imprint_pages(spark):
 def test_chapter_text_is_cut(spark):
     pages = spark.createDataFrame([("b", i, "<p>" + "x" * 30 + "</p>") for i in range(1, 50)], "book string, page long, text string")
     chapters = spark.createDataFrame([("b", 1, 2, 40)], "book string, num int, start long, end long")
-    assert ch.chapter_texts(pages, chapters, text="text", limit=65).first().text == "\n".join(["x" * 30] * 3)[:65]
+    assert ch.chapter_texts(pages, chapters, text="text", limit=65).first().text == "\n".join(f"[p.{i}] " + "x" * 30 for i in (2, 3))[:65]
+
+
+def test_chapter_text_has_labels_and_points(spark):
+    rows = [("b", 3, " <b>One</b>\u3000two\n", ["<i>first</i>", " second\t"]), ("b", 4, None, []), ("b", 5, "end", None), ("c", 3, "other", ["x"])]
+    pages = spark.createDataFrame(rows, "book string, page long, text string, points array<string>")
+    chapters = spark.createDataFrame([("b", 7, 3, 9)], "book string, num int, start long, end long")
+    got = ch.chapter_texts(pages, chapters, text="text", points="points").collect()
+    assert [(r.book, r.num, r.text) for r in got] == [("b", 7, "[p.3] One \u3000two / 핵심: first; second\n[p.4] \n[p.5] end")]
+
+
+def test_pages_meet_ranges_by_an_ordered_merge(spark):
+    rng = random.Random(5)
+    starts, pages = [], []
+    for book in ("a", "b", "big", None):
+        edges = sorted(rng.sample(range(1, 4000), 30 if book == "big" else 5))
+        starts += [(book, n, s, (e - 1) if n % 4 else min(s + 2, e - 1)) for n, (s, e) in enumerate(zip(edges, [*edges[1:], 4100], strict=True), 1)]
+        pages += [(book, p) for p in rng.sample(range(0, 4200), 3000 if book == "big" else 60)]
+    pages += [("unknown", 5), ("a", 17), ("a", 17)]
+    chapters = spark.createDataFrame(starts, "book string, num int, start int, end int")
+    found = ch.chapters_of_pages(spark.createDataFrame(pages, "book string, page int"), chapters, front=True)
+    firsts = {b: min(s for x, _, s, _ in starts if x == b) for b, *_ in starts}
+    want = [(b, p, n) for b, p in pages for x, n, s, e in starts if x == b and s <= p <= e]
+    want += [(b, p, 0) for b, p in pages if b is not None and 1 <= p < firsts.get(b, 0)]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ch.chapters_of_pages(spark.createDataFrame([], "book string, page int"), chapters).count() == 0
+
+
+def test_report_of_chapters(spark):
+    rows = [("b", 1, "1장", "T"), ("b", 2, "1.1", "S"), ("b", 3, "", None), ("b", 4, "1.2", "S2"), ("b", 5, "2장", None)]
+    tree = ch.chapter_rows(spark.createDataFrame(rows, "book string, page int, sid string, title string"), book="book", page="page", section="sid", title="title")
+    assert [(r.chapter, r.pages, r.sections, r.intro_page) for r in ch.chapter_report(tree).orderBy("chapter_no").collect()] == [("T", 4, 2, 1), ("2장", 1, 0, 5)]

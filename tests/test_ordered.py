@@ -107,6 +107,21 @@ def test_quality_report_flags(spark):
     assert got["tie"].main_dim == "2x2"
 
 
+def test_quality_flags_of_screens_blanks_and_sizes(spark):
+    clean = [("clean", i, f"m{i}", "1400x2000", 90 * 1024) for i in range(5)]
+    screen = [("screen", i, f"s{i}", "1400x2000" if i < 4 else "2560x1440", 90 * 1024) for i in range(5)]
+    blank = [("blank", i, f"b{i}", "1400x2000", 79 * 1024 + 1023 if i else 80 * 1024) for i in range(6)]
+    off = [("off", i, f"o{i}", "1x1" if i < 4 else "1400x2000", None) for i in range(20)]
+    images = spark.createDataFrame(clean + screen + blank + off, "book string, seq long, digest string, dim string, bytes long")
+    got = {r.book: r for r in pages.quality_report(images, book="book", seq="seq", digest="digest", dim="dim", n_bytes="bytes").collect()}
+    assert got["clean"].ok and got["clean"].flags == [] and got["clean"].dims == ["1400x2000: 5"]
+    assert got["screen"].flags == ["screen size: 1 images, first 4 2560x1440"] and not got["screen"].ok
+    assert got["blank"].flags == ["blank: 5 images below 80KB, first 1 79KB, 2 79KB, 3 79KB"] and got["blank"].n_blank == 5
+    assert got["off"].flags == ["off size: 4 images off 1400x2000"] and got["off"].dims == ["1x1: 4", "1400x2000: 16"]
+    text = {r.book: r.report for r in pages.report_text(pages.quality_report(images, book="book", seq="seq", digest="digest", dim="dim", n_bytes="bytes"), book="book").collect()}
+    assert text["clean"].endswith("duplicates or other sizes") and text["screen"].split("\n")[1:] == ["dimensions: 1400x2000: 4, 2560x1440: 1", got["screen"].flags[0]]
+
+
 def test_contents_block(spark):
     toc = "\n".join(f"Chapter {i} title of it .... {i * 10}" for i in range(1, 7))
     rows = [("b", 1, "Some prose.\nMore prose."), ("b", 2, toc), ("b", 3, toc), ("p", 1, "prose\nprose 1999 was"), ("p", 2, None)]
