@@ -104,7 +104,8 @@ def chapter_texts(pages: DataFrame, chapters: DataFrame, *, text: str, points: s
     if points is not None:
         told = F.array_join(F.transform(points, without_tags), "; ", "")
         line = F.concat(line, F.when(F.size(points) > 0, F.concat(F.lit(POINTS), told)).otherwise(""))
-    lines = chapters_of_pages(pages.select("book", "page", line.alias("line")), chapters)
+    placed = chapters_of_pages(pages.select("book", "page").distinct(), chapters)  # texts stay out of the merge
+    lines = pages.select(F.col("book").alias("_book"), F.col("page").cast("long").alias("_page"), line.alias("line")).join(placed, F.col("_book").eqNullSafe(F.col("book")) & (F.col("_page") == F.col("page")))
     used = F.sum(F.length("line") + 1).over(W.partitionBy("book", "num").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
     first = lines.withColumn("_used", F.coalesce(used, F.lit(0))).filter(F.col("_used") < limit)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.left("line", F.lit(limit)).alias("line")))), lambda p: p["line"]), "\n")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import normal_title
 from pagemill.operators.folds import walk_in_order
 from pagemill.operators.ordered import keep_first
-from pagemill.sources.storage import stored
+from pagemill.sources.storage import discard, stored
 
 
 def clean_feed(feed: DataFrame, *, texts: list[str], ints: list[str], flags: list[str], title: str, status: str, default_status: str) -> DataFrame:
@@ -33,20 +33,25 @@ def clean_feed(feed: DataFrame, *, texts: list[str], ints: list[str], flags: lis
 
 
 def linked_groups(rows: DataFrame) -> DataFrame:
-    """(node, group) of rows (node, tokens): nodes with a token in common are of one group, which is
-    named by its least node. Rounds of minima over tokens, each shortened by following the names."""
-    links = stored(rows.select("node", F.explode("tokens").alias("token")).distinct(), "tokens")
-    groups = links.groupBy("node").agg(F.min("node").alias("group"))
+    """(node, group) of rows (node, tokens): nodes with a token in common, over any chain, are of one group,
+    which is named by its least node.
+
+    A token of one node links nothing; each other one links its nodes to its least. From then on only
+    links count: in a round every node hangs its greater neighbours and itself on the least neighbour,
+    until all hang on the least of their group. A round is stored once, and the one before deleted."""
+    spread = rows.select("node", F.explode("tokens").alias("token"))
+    ends = spread.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token", "low")
+    links = stored(spread.join(ends, "token").filter("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "links")
     before = None
-    while True:
-        least = links.join(groups, "node").groupBy("token").agg(F.min("group").alias("group"))
-        near = stored(links.join(least, "token").groupBy("node").agg(F.min("group").alias("group")), "groups")
-        far = near.select(F.col("node").alias("_n"), F.col("group").alias("_g"))
-        groups = stored(near.join(far, F.col("group") == F.col("_n")).select("node", F.col("_g").alias("group")), "groups")
-        now = groups.agg(F.sum(F.xxhash64("node", "group").cast("decimal(20,0)"))).first()[0]
-        if now == before:
-            return groups
-        before = now
+    while (now := tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())) != before and now[0]:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        greater = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        down = greater.groupBy("a").agg(F.min("b").alias("low"))
+        hung = greater.join(down, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(down.select("a", F.col("low").alias("b")))
+        older, links, before = links, stored(hung.distinct(), "links"), now
+        discard(older)
+    return rows.select("node").distinct().join(links.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("group"))
 
 
 def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: list[list[str]], order: str, keep_old: list[str], never: list[str], blank: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -58,19 +63,20 @@ def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: li
     equals empty in the key columns `blank`, other null keys match nothing.
 
     Rows that can meet over any chain of keys form a group; a group's rows stream by in order, and
-    only its entries are held. Entries that no feed row can meet pass by unread.
+    only its entries are held: a feed in which one chain of keys runs through most rows is one group,
+    whose entries one task holds. Entries that no feed row can meet pass by unread.
     """
     values = [c for c in catalogue.columns if c != id]
     key = lambda cols: F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in blank else F.col(c).cast("string") for c in cols))
     given = lambda cols: reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in cols if c not in blank))
     token = F.array(*(F.when(given(cols), F.concat(F.lit(f"{n}\u0001"), key(cols))) for n, cols in enumerate(keys)))
-    old = catalogue.select(F.concat(F.lit("c"), F.col(id).cast("string")).alias("node"), F.lit(0).alias("side"), F.col(id).cast("bigint").alias("at"), *values, token.alias("keys"))
-    new = feed.select(F.concat(F.lit("f"), F.col(order).cast("string")).alias("node"), F.lit(1).alias("side"), F.col(order).cast("bigint").alias("at"), *values, token.alias("keys"))
+    old = catalogue.select((F.col(id).cast("bigint") * 2).alias("node"), F.lit(0).alias("side"), F.col(id).cast("bigint").alias("at"), *values, token.alias("keys"))
+    new = feed.select((F.col(order).cast("bigint") * 2 + 1).alias("node"), F.lit(1).alias("side"), F.col(order).cast("bigint").alias("at"), *values, token.alias("keys"))
     asked = new.select(F.explode("keys").alias("_t")).filter("_t is not null").distinct()
     touched = old.select("node", F.explode("keys").alias("_t")).join(asked, "_t", "left_semi").select("node").distinct()
     rows = old.join(touched, "node").unionByName(new)
-    alone = F.array(F.concat(F.lit("\u0001"), F.col("node")))  # a row without any key is a group of its own
-    groups = linked_groups(rows.select("node", F.array_union(F.array_compact("keys"), alone).alias("tokens")))
+    # Keys go by their hashes here: two that share one only make a larger group.
+    groups = linked_groups(rows.select("node", F.transform(F.array_compact("keys"), lambda k: F.xxhash64(k)).alias("tokens")))
     placed = rows.join(groups, "node").crossJoin(F.broadcast(catalogue.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("high"))))
     kept = [values.index(c) for c in values if c in keep_old]
     fixed = [values.index(c) for c in values if c in never]
@@ -89,7 +95,7 @@ def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: li
     schema = f"`{id}` bigint, {', '.join(f'`{c}` {kinds[c]}' for c in values)}, _new boolean, _updates bigint"
     changed = stored(walk_in_order(placed, by=["group"], order=["side", "at"], columns=["group", "side", "at", "high", *values], schema=schema, walk=walk), "entries")
     stats = changed.agg(F.count_if("_new").alias("inserted"), F.coalesce(F.sum("_updates"), F.lit(0)).alias("updated"))
-    unread = catalogue.join(touched.select(F.substring("node", 2, 40).cast("bigint").alias(id)), id, "left_anti").withColumn(id, F.col(id).cast("bigint"))
+    unread = catalogue.join(touched.select((F.col("node") / 2).cast("bigint").alias(id)), id, "left_anti").withColumn(id, F.col(id).cast("bigint"))
     return unread.select(id, *values).unionByName(changed.select(id, *values)), stats
 
 
@@ -187,21 +193,25 @@ def external_ids(slugs: DataFrame, books: DataFrame, *, slug: str, id: str, titl
 
 def containing_titles(left: DataFrame, right: DataFrame, *, a: str, b: str, gram: int = 3) -> DataFrame:
     """Pairs of titles one of which contains the other when both are normalised; a left title that is empty
-    then meets every right one that is not. Titles meet through the rarest of the shorter one's character
-    grams, not pair by pair; titles under `gram` characters meet through their first one."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(gram))))
-    singles = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    raw_x, raw_y = left.select(a, normal_title(F.col(a)).alias("x")).distinct(), right.select(b, normal_title(F.col(b)).alias("y")).filter("y <> ''").distinct()
-    x, y = raw_x.select("x").filter("x <> ''").distinct(), raw_y.select("y").distinct()
-    spread = lambda df, c: df.select(c, F.explode(F.array_union(grams(c), singles(c))).alias("g"))
-    often = spread(x, "x").select("g").union(spread(y, "y").select("g")).groupBy("g").agg(F.count("*").alias("n"))
-
-    def one_way(short, s, long, l):
-        own = short.select(s, F.explode(F.when(F.length(s) >= gram, grams(s)).otherwise(singles(s))).alias("g")).join(often, "g")
-        rare = own.groupBy(s).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-        return rare.join(spread(long, l), "g").filter(F.col(l).contains(F.col(s))).select("x", "y")
-
-    pairs = one_way(x, "x", y, "y").union(one_way(y, "y", x, "x")).union(y.select(F.lit("").alias("x"), "y")).distinct()
+    then meets every right one that is not: all pairs of these, as the rule says.
+
+    Titles of both sides are one table of normalised titles with the sides they are of. They meet
+    through the rarest of the shorter one's character grams, not pair by pair; titles under `gram`
+    characters meet through their rarest character, which many titles may have."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - gram + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(gram))))
+    singles = F.array_distinct(F.filter(F.split("t", ""), lambda c: c != ""))
+    raw_x = left.select(a, normal_title(F.col(a)).alias("x")).distinct()
+    raw_y = right.select(b, normal_title(F.col(b)).alias("y")).filter("y <> ''").distinct()
+    sides = raw_x.filter("x <> ''").select(F.col("x").alias("t"), F.lit(1).alias("side")).unionByName(raw_y.select(F.col("y").alias("t"), F.lit(2).alias("side")))
+    titles = stored(sides.groupBy("t").agg(F.max(F.col("side") == 1).alias("in_x"), F.max(F.col("side") == 2).alias("in_y")), "titles")
+    spread = titles.select("t", "in_x", "in_y", F.explode(F.array_union(grams, singles)).alias("g"))
+    often = spread.groupBy("g").agg(F.count("*").alias("n"))
+    own = titles.select("t", "in_x", "in_y", F.explode(F.when(F.length("t") >= gram, grams).otherwise(singles)).alias("g"))
+    rare = own.join(often, "g").groupBy("t", "in_x", "in_y").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    met = rare.select(F.col("t").alias("s"), F.col("in_x").alias("sx"), F.col("in_y").alias("sy"), "g").join(spread, "g").filter(F.col("t").contains(F.col("s")))
+    up = met.filter("sx and in_y").select(F.col("s").alias("x"), F.col("t").alias("y"))
+    down = met.filter("in_x and sy").select(F.col("t").alias("x"), F.col("s").alias("y"))
+    pairs = up.unionByName(down).unionByName(titles.filter("in_y").select(F.lit("").alias("x"), F.col("t").alias("y"))).distinct()
     return raw_x.join(pairs, "x").join(raw_y, "y").select(a, b)
 
 
