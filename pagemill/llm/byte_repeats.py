@@ -196,6 +196,7 @@ def _asked_prefixes(data, offsets, batch, a, b):
         ends = (after > 0) & (after < len(known))
         low, high = np.maximum(after - 1, 0), np.minimum(after, len(known) - 1)
         needed = ~(ends & (known[high] - known[low] <= WINDOW) & (row[low] == row[high]))
+    needed &= ~batch.column("copied").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)[_rows(offsets, starts)]  # repeated anyway
     first = _first_prefix(at, starts)
     asked, there = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, bool)
     asked[first[needed]], there[first] = 1, True
@@ -254,24 +255,34 @@ def _remove(batches):
 
 
 def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of every row (name, id, n_bytes, kept_sha256 of all bytes); and of each name that loses
-    bytes, the removed spans, their total and the kept bytes."""
+    """Of every row (name, mark, id, n_bytes, kept_sha256 of all bytes); and of each row that loses
+    bytes, the removed spans, their total and the kept bytes.
+
+    Rows of one text (by its SHA-256) of WINDOW bytes or more lose all bytes; the first of them goes on
+    to be compared with other texts, but has nothing to ask itself."""
     spark, texts = docs.sparkSession, named(docs, key, text)
-    every = stored(texts.select("name", "mark", "id", F.arrow_udf(_whole, _WHOLE)("text").alias("w")).select("name", "mark", "id", "w.n_bytes", "w.kept_sha256", "w.open"), "bytes")
+    hashed = stored(texts.select("name", "mark", "id", F.arrow_udf(_whole, _WHOLE)("text").alias("w")).select("name", "mark", "id", "w.n_bytes", "w.kept_sha256", "w.open"), "bytes")
+    copied = hashed.filter(F.col("n_bytes") >= WINDOW).groupBy("kept_sha256").agg(F.count("*").alias("_n"), F.min(F.struct("name", "mark")).alias("_first")).filter("_n > 1")
+    one = F.col("_first").isNull() | (F.struct("name", "mark") == F.col("_first"))
+    every = stored(hashed.join(copied, "kept_sha256", "left").select("name", "mark", "id", "n_bytes", "kept_sha256", "open", F.col("_n").isNotNull().alias("copied"), one.alias("goes_on")), "rows")
+    dropped(hashed)
     size = every.agg(F.sum("n_bytes")).first()[0] or 0
     sampled = buckets_for(spark, size / SPARSE)
     shared = shared_keys(texts, _prefix_keys, Shared(), sampled, key_type=np.uint32)
     wanted = shared.join(every.filter("open").select("name").distinct(), "name", "full_outer")
-    some = stored(texts.join(wanted, "name").withColumn("uid", F.monotonically_increasing_id()), "candidates")  # stored, so that a row keeps its number
+    wanted = every.filter("goes_on").select("name", "mark", "copied").distinct().join(wanted, "name")
+    some = stored(texts.join(wanted, ["name", "mark"]).withColumn("uid", F.monotonically_increasing_id()), "candidates")  # stored, so that a row keeps its number
     found = repeated_phrases(some)
     both = some.join(found.withColumnRenamed("keys", "found"), "name", "left")
-    asked = stored(shared_keys(both, _asked_prefixes, Asked(), sampled, key_type=np.uint32, extra=("keys", "found")), "asked")
+    asked = stored(shared_keys(both, _asked_prefixes, Asked(), sampled, key_type=np.uint32, extra=("keys", "found", "copied")), "asked")
     both = some.join(asked.withColumnRenamed("keys", "asked"), "name", "left")
     rest = stored(shared_keys(both, _other_windows, Shared(), sampled, extra=("keys", "asked")), "starts")
     repeats = found.join(rest.withColumnRenamed("keys", "more"), "name", "full_outer")
     repeats = repeats.select("name", F.concat(F.coalesce("keys", F.lit(b"")), F.coalesce("more", F.lit(b""))).alias("keys"))
-    removed = some.select("name", "mark", "text").join(repeats, "name").dropDuplicates(["name", "mark"]).mapInArrow(_remove, _REMOVED)
-    return every.drop("open"), removed
+    removed = some.filter("not copied").select("name", "mark", "text").join(repeats, "name").dropDuplicates(["name", "mark"]).mapInArrow(_remove, _REMOVED)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("n")))
+    gone = every.filter("copied").dropDuplicates(["name", "mark"]).select("name", "mark", whole.alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(b"").alias("kept"))
+    return every.select("name", "mark", "id", "n_bytes", "kept_sha256"), removed.unionByName(gone)
 
 
 def byte_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

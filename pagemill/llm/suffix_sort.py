@@ -6,7 +6,8 @@ as of any two places one offset of 0, 1 or 2 leads to the sample from both.
 
 1. The sampled triples are sorted and named by their ranks (`named`).
 2. The names are a string over the sample again, of which triples are named in turn, each round three
-   times as deep, until names reach as deep as is asked.
+   times as deep, until names reach as deep as is asked. After WHOLE_ROUNDS rounds only places whose
+   names are not deep enough yet go on, so a few sequences of very short symbols cost the others nothing.
 3. The remaining suffixes take part through the offset that a pair of classes has in common: places of
    classes 0 and 1 are sorted by their symbol and the name after it, those of 0 and 2 by two symbols
    and the name after them, those of 1 and 2 by their names (`neighbours`).
@@ -56,9 +57,11 @@ def equal_to_next(distinct: DataFrame, order: list[str], same: list[str], used:
 
 
 def named(rows: DataFrame, keys: list[str], out: str, used: list[DataFrame]) -> DataFrame:
-    """rows with the rank of their keys among all distinct ones, for the keys. Names are hashed, as there
-    are fewer of them than rows; neither side is sorted."""
-    return rows.join(ranks(rows.select(keys).distinct(), out, used).hint("shuffle_hash"), keys).drop(*keys)
+    """rows with the rank of their keys among all distinct ones, for the keys, and `_least`, the least
+    `_reach` of places of that name. Names are hashed, as there are fewer of them than rows; neither side
+    is sorted."""
+    distinct = rows.groupBy(keys).agg(F.min("_reach").alias("_least"))
+    return rows.join(ranks(distinct, out, used).hint("shuffle_hash"), keys).drop(*keys)
 
 
 def _after(column: str, n: int) -> Column:
@@ -69,23 +72,65 @@ def _after(column: str, n: int) -> Column:
 SEQ = ("uid", "part")
 
 
+#: Rounds that name all places of the sample; later ones only name those that are not deep enough.
+WHOLE_ROUNDS = 2
+
+
 def sample_names(rows: DataFrame, *, depth: int) -> DataFrame:
     """rows (uid, part, k, pos, symbol, ...) with `name` at places of the sample (null elsewhere): names
     are in the order of suffixes and differ for suffixes that differ within depth of their place; pos
     says how far a place is along its sequence."""
-    step, column, columns = 1, "symbol", rows.columns
+    step, column, columns, n = 1, "symbol", rows.columns, 0
     while True:
         used: list[DataFrame] = []
-        reach = F.lead("pos", 3 * step).over(W.partitionBy(*SEQ).orderBy("k")) - F.col("pos")
-        near = rows.select(*columns, F.col(column).alias("_x"), _after(column, step).alias("_y"), _after(column, 2 * step).alias("_z"), reach.alias("_reach"))
-        near = stored(near, "triples")
-        rest = near.filter("k % 3 = 0").select(*columns, "_reach", F.lit(None).cast("bigint").alias("name"))
-        told = named(near.filter("k % 3 <> 0"), ["_x", "_y", "_z"], "name", used).select(*columns, "_reach", F.col("name").cast("bigint").alias("name"))
+        near = stored(_triples(rows, columns, column, step), "triples")
+        rest = near.filter("k % 3 = 0").select(*columns, F.lit(None).cast("bigint").alias("name"), F.lit(None).cast("bigint").alias("_least"))
+        told = named(near.filter("k % 3 <> 0"), ["_x", "_y", "_z"], "name", used).select(*columns, F.col("name").cast("bigint").alias("name"), F.col("_least").cast("bigint").alias("_least"))
         before, rows = rows, stored(told.unionByName(rest), "suffixes")
         dropped(near, *used, *([before] if column == "name" else []))
-        if not rows.filter(F.col("_reach") < depth).select("_reach").take(1):
-            return rows.drop("_reach")
-        step, column = (3, "name") if column == "symbol" else (3 * step, "name")
+        n, step, column = n + 1, 3 * step, "name"
+        if not rows.filter(F.col("_least") < depth).select("_least").take(1):
+            return rows.drop("_least")
+        if n >= WHOLE_ROUNDS and (finer := _refined(rows, columns, step, depth)) is not None:
+            dropped(rows)
+            return finer
+
+
+def _triples(rows: DataFrame, columns: list[str], column: str, step: int, *more: str) -> DataFrame:
+    """Three symbols or names from each place, and how far they reach."""
+    reach = F.lead("pos", 3 * step).over(W.partitionBy(*SEQ).orderBy("k")) - F.col("pos")
+    return rows.select(*columns, *more, F.col(column).alias("_x"), _after(column, step).alias("_y"), _after(column, 2 * step).alias("_z"), reach.alias("_reach"))
+
+
+def _refined(rows: DataFrame, columns: list[str], step: int, depth: int) -> DataFrame | None:
+    """rows, as a whole round leaves them, with names that are deep enough: places whose names are not are
+    named anew, in order within their old name, which needs their sequences only. A new name is the
+    old one, moved by some bits, and the place in that order; all other names are moved at the end.
+    None if that does not fit: then another whole round follows."""
+    shallow = (F.col("k") % 3 != 0) & (F.col("_least") < depth)
+    open_ones = stored(rows.filter(shallow).select(*SEQ).distinct(), "open")
+    some = stored(rows.join(open_ones.hint("shuffle_hash"), list(SEQ), "left_semi"), "some")
+    largest, moved = rows.agg(F.max("name")).first()[0], 0
+    while some.filter(shallow).select("k").take(1):
+        used: list[DataFrame] = []
+        near = stored(_triples(some, columns, "name", step, "_least"), "triples")
+        placed = ranks(near.filter(shallow).groupBy("_x", "_y", "_z").agg(F.min("_reach").alias("_new")), "_place", used)
+        finer = stored(placed.withColumn("_place", F.col("_place") - F.min("_place").over(W.partitionBy("_x")) + 1), "finer")
+        bits = int(finer.agg(F.max("_place")).first()[0]).bit_length()
+        dropped(*used)
+        if largest.bit_length() + moved + bits > 62:
+            dropped(near, finer, some, open_ones)
+            return None
+        moved += bits
+        told = near.filter(shallow).join(finer.hint("shuffle_hash"), ["_x", "_y", "_z"]).select(*columns, (F.shiftleft("_x", bits) + F.col("_place")).alias("name"), F.col("_new").cast("bigint").alias("_least"))
+        rest = near.filter(~F.coalesce(shallow, F.lit(False))).select(*columns, F.shiftleft("_x", bits).alias("name"), "_least")
+        before, some = some, stored(told.unionByName(rest), "some")
+        dropped(near, finer, before)
+        step *= 3
+    others = rows.join(open_ones.hint("shuffle_hash"), list(SEQ), "left_anti").select(*columns, F.shiftleft("name", moved).alias("name"))
+    out = stored(some.select(*columns, "name").unionByName(others), "suffixes")
+    dropped(some, open_ones)
+    return out
 
 
 def neighbours(rows: DataFrame, value: str) -> DataFrame:
