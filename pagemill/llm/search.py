@@ -224,7 +224,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, *, key: str = "vec_
     def reach(batches):
         """Queries with each shard of the regions where their bound reaches the k-th score they have."""
         for batch in batches:
-            least = batch.column("least").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            least = batch.column("least").cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
             at, region = regions.reached(_padded(batch.column("v"), dim), least)
             at, to = np.repeat(at, parts), np.repeat(region, parts) * parts + np.tile(np.arange(parts), len(region))
             other = to != batch.column("home").to_numpy()[at]
