@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +68,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    made = _MADE.get()
+    if made is not None:
+        made.append(out)
+    return out
+
+
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch():
+    """The list of tables that are stored inside, for deleting those that nothing outside reads."""
+    made: list[DataFrame] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that no later step reads."""
+    """Delete stored tables that no later step reads; one that is gone already is no error."""
     for df in tables:
-        spark = df.sparkSession
-        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

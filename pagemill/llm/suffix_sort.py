@@ -90,7 +90,9 @@ def sample_names(rows: DataFrame, *, depth: int) -> DataFrame:
         dropped(near, *used, *([before] if column == "name" else []))
         n, step, column = n + 1, 3 * step, "name"
         if not rows.filter(F.col("_least") < depth).select("_least").take(1):
-            return rows.drop("_least")
+            out = rows.drop("_least")
+            out.stored_in = rows.stored_in
+            return out
         if n >= WHOLE_ROUNDS and (finer := _refined(rows, columns, step, depth)) is not None:
             dropped(rows)
             return finer

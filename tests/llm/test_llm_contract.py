@@ -1,4 +1,5 @@
 import os
+from pathlib import Path
 
 import pytest
 
@@ -14,6 +15,22 @@ def test_each_operator_is_registered_once():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_pipeline_takes_very_long_texts_and_leaves_little_behind(spark, tmp_path):
+    """Long texts go through every stage whole; of the tables of the stages only the last one's input stays."""
+    prose = "the house and the garden stand alone near the old river where people walk in the evening "
+    rows = [(i, f"{prose}{i} " * n, "en", "s", 1) for i, n in ((1, 1), (2, 4000), (3, 4000))] + [(i, "das alte Haus steht allein am Fluss und im Garten ist niemand " * 3 + str(i), "de", "s", 1) for i in range(10, 14)]
+    rows += [(20, prose * 2000 + "token = abcdefgh12345", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    found = out.groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {2, 20} & {r[0] for r in found} and max(r[1] for r in found) > 30_000
+    left = {p.name.split("-")[1] for p in set(shared.iterdir()) - before}
+    assert not left & {"language", "near_duplicates", "decontamination", "windows", "shingles", "occurrences", "hits", "links", "words"}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="tables are not there")
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
