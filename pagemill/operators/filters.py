@@ -38,6 +38,11 @@ def newest(df: DataFrame, *, date: str, id: str, limit: int) -> DataFrame:
     return df.orderBy(F.coalesce(F.col(date).cast("string"), F.lit("")).desc(), F.desc(id)).limit(limit)
 
 
+def split_counts(df: DataFrame, flag: Column) -> DataFrame:
+    """One row: how many rows have the flag, and how many have it not; rows where it is null are in neither."""
+    return df.agg(F.count_if(flag).alias("yes"), F.count_if(~flag).alias("no"))
+
+
 def oldest(df: DataFrame, *, waiting: Column, date: str, id: str) -> DataFrame:
     """The row that has waited longest, the one of least id on ties."""
     return df.filter(waiting).orderBy(date, id).limit(1)

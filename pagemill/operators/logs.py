@@ -36,6 +36,12 @@ def alive_workers(rollup: DataFrame, *, as_of: Column, within: int = ALIVE_WITHI
     return rollup.withColumn("age", age).withColumn("alive", F.col("age") < within)
 
 
+def login_status(events: DataFrame, *, user: str, status: str, order: str, ts: str, as_of: Column) -> DataFrame:
+    """Per user: the status of the last event, and its age in seconds."""
+    state = events.groupBy(user).agg(F.max_by(status, order).alias("status"), F.max(ts).alias("last_seen"), F.max(as_of).alias("_as_of"))
+    return alive_workers(state, as_of=F.col("_as_of")).select(user, "status", "age")
+
+
 def latest_jobs(events: DataFrame, *, job: str, ts: list, kind: str) -> DataFrame:
     """Latest state of each job from its events: create, claim, heartbeat, cancel, finish, fail.
     A cancelled pending job is over; a cancelled running one is cancelling until it ends."""

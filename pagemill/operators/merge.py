@@ -156,6 +156,12 @@ def union_if_absent(first: DataFrame, second: DataFrame, *, keys: list[str]) ->
     return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))
 
 
+def with_text_marks(pages: DataFrame, texts: DataFrame, *, key: str) -> DataFrame:
+    """pages with has_text; a page without text is a placeholder that waits for one."""
+    marks = texts.select(key).distinct().withColumn("_t", F.lit(True))
+    return pages.join(marks, key, "left").withColumn("has_text", F.col("_t").isNotNull()).drop("_t")
+
+
 def to_do(wanted: DataFrame, *done: DataFrame, key: str) -> DataFrame:
     """Wanted rows that are not in every one of the done tables."""
     finished = done[0].select(key)

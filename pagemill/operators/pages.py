@@ -59,6 +59,11 @@ def contamination(pages: DataFrame, patterns: DataFrame, *, keys: list, text: st
     return pages.withColumn("evidence", F.coalesce(*tests) if tests else F.lit(None).cast("string")).withColumn("contaminated", F.col("evidence").isNotNull())
 
 
+def clean_counts(judged: DataFrame) -> DataFrame:
+    """One row: pages that are clean and may go on, and pages that are skipped."""
+    return judged.agg(F.count_if(~F.col("contaminated")).alias("clean"), F.count_if("contaminated").alias("skipped"))
+
+
 def code_score(text: Column) -> Column:
     """Matches of code patterns; two or more make a code page."""
     return reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(p)) for p in CODE_PATTERNS))

@@ -88,6 +88,16 @@ def code_map_rows(rows: DataFrame, *, book: str, json: str) -> DataFrame:
     return flat.filter(F.trim("b.code") != "").select(book, "page", "idx", "b.lang", "b.title", "b.code")
 
 
+def code_totals(blocks: DataFrame, *, book: str, page: str) -> DataFrame:
+    """Per book: pages with code, and blocks."""
+    return blocks.groupBy(book).agg(F.countDistinct(page).alias("pages"), F.count("*").alias("blocks"))
+
+
+def topic_counts(pages: DataFrame, *, topics: str = "topics") -> DataFrame:
+    """Each topic of the pages and how often it is named."""
+    return pages.select(F.explode(topics).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
 def languages_of_pages(blocks: DataFrame, *, by: list[str], label: Column) -> DataFrame:
     """Languages of each page in order of first sight, joined."""
     named = blocks.withColumn("_l", label).groupBy(*by, "_l").agg(F.min("idx").alias("_i"))

@@ -79,7 +79,7 @@ def contamination_evidence(spark, d):
 
 @register("clean_pages", f"SELECT count(*) FILTER (WHERE evidence IS NULL) AS clean, count(*) FILTER (WHERE evidence IS NOT NULL) AS skipped FROM ({_MARKS})")
 def clean_pages(spark, d):
-    return contamination_evidence(spark, d).agg(F.count_if(~F.col("contaminated")).alias("clean"), F.count_if("contaminated").alias("skipped"))
+    return pages.clean_counts(contamination_evidence(spark, d))
 
 
 @register("resolution_gate", "SELECT p_partkey, list_filter([CASE WHEN w >= h THEN 'landscape' END, CASE WHEN w < 1400 THEN 'low resolution' END], lambda x: x IS NOT NULL) AS warnings, w < h AND w >= 1400 AS ok, (w, h) IN ((1500, 1450), (1200, 1700)) AS suspect FROM (SELECT p_partkey, p_size * 50 AS w, CASE WHEN p_partkey % 2 = 0 THEN 1450 ELSE 1700 END AS h FROM part)")
@@ -138,8 +138,7 @@ def log_tail(spark, d):
 
 @register("web_view_split", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS yes, count(*) FILTER (WHERE o_orderstatus <> 'F') AS no FROM orders")
 def web_view_split(spark, d):
-    seen = F.col("o_orderstatus") == "F"
-    return table(spark, d, "orders").agg(F.count_if(seen).alias("yes"), F.count_if(~seen).alias("no"))
+    return filters.split_counts(table(spark, d, "orders"), F.col("o_orderstatus") == "F")
 
 
 _PINGS = "p AS (SELECT user_id % 40 AS ip, event_type AS host, ts, CASE WHEN event_id % 3 = 0 THEN 'os' || (event_id % 5) END AS platform FROM events), w AS (SELECT ip, host, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS ping_count, arg_max(platform, ts) FILTER (WHERE platform IS NOT NULL) AS platform FROM p GROUP BY 1, 2)"
@@ -235,8 +234,7 @@ def throttled_progress(spark, d):
 @register("login_status", "SELECT user_id, arg_max(event_type, event_id) AS status, round(date_diff('microsecond', max(ts), (SELECT max(ts) FROM events)) / 1e6, 1) AS age FROM events GROUP BY user_id")
 def login_status(spark, d):
     latest = table(spark, d, "events").agg(F.max("ts").alias("as_of"))
-    state = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.max("ts").alias("last_seen"))
-    return logs.alive_workers(state.crossJoin(F.broadcast(latest)), as_of=F.col("as_of")).select("user_id", "status", "age")
+    return logs.login_status(table(spark, d, "events").crossJoin(F.broadcast(latest)), user="user_id", status="event_type", order="event_id", ts="ts", as_of=F.col("as_of"))
 
 
 @register("valid_sessions", "SELECT event_id, ts + CASE WHEN event_type = 'view' THEN INTERVAL 600 SECONDS ELSE INTERVAL 28800 SECONDS END >= (SELECT max(ts) FROM events) AS valid FROM events")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as fx
 from pagemill.operators import filters, listing, merge, ordered
-from pagemill.operators.ordered import keep_first
 from pagemill.plans.contract import register
 from pagemill.sources.tables import table
 
@@ -215,8 +214,7 @@ def distinct_customers(spark, d):
 
 @register("placeholder_pages", "SELECT d.doc_id, l.doc_id IS NOT NULL AS has_text FROM documents d LEFT JOIN labels l USING (doc_id)")
 def placeholder_pages(spark, d):
-    texts = keep_first(table(spark, d, "labels").select("doc_id", F.lit(True).alias("t")), ["doc_id"], ["t"])
-    return table(spark, d, "documents").select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.col("t").isNotNull().alias("has_text"))
+    return merge.with_text_marks(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), key="doc_id")
 
 
 @register("price_lookup", "SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 1.0 WHEN 'STANDARD' THEN 2.0 ELSE 3.0 END AS price_in, CASE p_type WHEN 'ECONOMY' THEN 5.0 WHEN 'STANDARD' THEN 10.0 ELSE 15.0 END AS price_out FROM (SELECT p_partkey, p_type FROM part)")

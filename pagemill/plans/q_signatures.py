@@ -63,12 +63,12 @@ def _pixels(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("image"), F.col("l_linenumber").alias("x"), (F.col("l_suppkey") % 10).alias("y"), (n * 7 % 256).alias("r"), (n * 13 % 256).alias("g"), (n * 29 % 256).alias("b"))
 
 
-_COLOUR = f"{_PIXELS}, c AS (SELECT image, CASE WHEN NOT (least(r, g, b) > 225 OR greatest(r, g, b) < 55) THEN (r // 24 * 24 + 12, g // 24 * 24 + 12, b // 24 * 24 + 12) END AS colour, count(*) AS n FROM x GROUP BY 1, 2), t AS (SELECT image, coalesce(max(n) FILTER (WHERE colour IS NOT NULL) / sum(n), 0) AS share FROM c GROUP BY image)"
+_COLOUR = f"{_PIXELS}, c AS (SELECT image, CASE WHEN NOT (least(r, g, b) > 225 OR greatest(r, g, b) < 55) THEN (r // 24 * 24 + 12, g // 24 * 24 + 12, b // 24 * 24 + 12) END AS colour, count(*) AS n FROM x GROUP BY 1, 2), t AS (SELECT image, coalesce(max(n) FILTER (WHERE colour IS NOT NULL) / sum(n), 0) AS share, max((n, colour)) FILTER (WHERE colour IS NOT NULL) AS top FROM c GROUP BY image)"
 
 
-@register("dominant_colours", f"WITH {_COLOUR} SELECT image, share FROM t")
+@register("dominant_colours", f"WITH {_COLOUR} SELECT image, share, CAST(top[2][1] AS BIGINT) AS r, CAST(top[2][2] AS BIGINT) AS g, CAST(top[2][3] AS BIGINT) AS b FROM t")
 def dominant_colours(spark, d):
-    return signatures.dominant_colour(_pixels(spark, d), image="image").select("image", "share")
+    return signatures.dominant_colour(_pixels(spark, d), image="image").select("image", "share", "colour.r", "colour.g", "colour.b")
 
 
 @register(
@@ -102,9 +102,9 @@ def _displays(spark, d):
     return devices.evaluate_displays(s, width="width", scale="scale")
 
 
-@register("display_specs", f"WITH {_DISPLAY} SELECT id, CAST(width * scale AS INTEGER) AS backing, CAST(page_px AS INTEGER) AS page_px, page_px >= 1400 AS meets, CASE WHEN page_px >= 1400 THEN 'spread' WHEN single_px >= 1400 THEN 'single' END AS best_layout FROM v")
+@register("display_specs", f"WITH {_DISPLAY} SELECT id, CAST(width * scale AS INTEGER) AS backing, CAST(page_px AS INTEGER) AS page_px, CAST(single_px AS INTEGER) AS single_px, page_px >= 1400 AS meets, single_px >= 1400 AS meets_single, CASE WHEN page_px >= 1400 THEN 'spread' WHEN single_px >= 1400 THEN 'single' END AS best_layout FROM v")
 def display_specs(spark, d):
-    return _displays(spark, d).select("id", "backing", "page_px", "meets", "best_layout")
+    return _displays(spark, d).select("id", "backing", "page_px", "single_px", "meets", "meets_single", "best_layout")
 
 
 @register(
@@ -211,7 +211,7 @@ def page_languages(spark, d):
 
 @register("code_totals", f"WITH {_BLOCKS} SELECT p_brand, count(DISTINCT page) AS pages, count(*) AS blocks FROM b WHERE trim(code) <> '' GROUP BY 1")
 def code_totals(spark, d):
-    return code_blocks(spark, d).groupBy("p_brand").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("blocks"))
+    return reshape.code_totals(code_blocks(spark, d), book="p_brand", page="page")
 
 
 def _overview(spark, d):
@@ -257,7 +257,7 @@ def block_replies(spark, d):
 @register("topic_tags", "SELECT c_mktsegment AS topic, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1")
 def topic_tags(spark, d):
     good, _ = reshape.page_replies(_replies(spark, d), page="c_custkey", reply="reply")
-    return good.select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    return reshape.topic_counts(good)
 
 
 @register("publish_gate", "SELECT source, count(*) >= 40 AS enough_cards, max(lang) <> 'es' AS has_overview, min(n_chars) > 100 AS full_digests, count(*) >= 40 AND max(lang) <> 'es' AND min(n_chars) > 100 AS published FROM documents GROUP BY source")
