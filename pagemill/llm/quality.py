@@ -9,7 +9,7 @@ expression, so scoring is a projection without Python.
 Defined results: null and empty texts have all-zero statistics and a score like any other;
 statistics without a value are zero; with fewer than two labels to learn from, the score is
 the share of label 1 (one half without any); repeated rows repeat their result; labels that
-are null are not learnt from; an empty table gives an empty result.
+are null are not learnt from, and of two different ones the larger counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ alike wherever they stand: in WINDOW words without an inner run, every cut betwe
 MARGIN and WINDOW - MARGIN after LEVELS pair rounds depends on those words only, and there
 is one at least. The words around each cut are exchanged; a window can repeat only if all
 its certain cuts are shared, which leaves out almost all unique text. The windows that remain
-(and those with an inner run, which have no certain cut) are compared by their whole 13 words.
+(and those with an inner run, which have no certain cut) are compared by 64-bit keys of their 13
+words, within hash buckets.
 
 Defined results: a null text has no words; a row without id neither removes from others
 nor loses words; rows of one id do not remove from each other; windows are judged on the
