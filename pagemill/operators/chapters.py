@@ -99,7 +99,7 @@ def chapters_of_pages(pages: DataFrame, chapters: DataFrame, *, front: bool = Fa
 def chapter_texts(pages: DataFrame, chapters: DataFrame, *, text: str, points: str | None = None, limit: int = CHAPTER_CHARS) -> DataFrame:
     """Text of each chapter: a line for each of its pages in order, cut to limit. A line is the page's label
     and its text without tags, and its points, if it has any, without tags and joined by "; ". Only as
-    many pages as can fill the limit are gathered."""
+    many pages as can fill the limit are gathered, with the one that the line end before it belongs to."""
     line = F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit("] "), without_tags(F.coalesce(F.col(text), F.lit(""))))
     if points is not None:
         told = F.array_join(F.transform(points, without_tags), "; ", "")
@@ -107,7 +107,7 @@ def chapter_texts(pages: DataFrame, chapters: DataFrame, *, text: str, points: s
     placed = chapters_of_pages(pages.select("book", "page").distinct(), chapters)  # texts stay out of the merge
     lines = pages.select(F.col("book").alias("_book"), F.col("page").cast("long").alias("_page"), line.alias("line")).join(placed, F.col("_book").eqNullSafe(F.col("book")) & (F.col("_page") == F.col("page")))
     used = F.sum(F.length("line") + 1).over(W.partitionBy("book", "num").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
-    first = lines.withColumn("_used", F.coalesce(used, F.lit(0))).filter(F.col("_used") < limit)
+    first = lines.withColumn("_used", F.coalesce(used, F.lit(0))).filter(F.col("_used") <= limit)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.left("line", F.lit(limit)).alias("line")))), lambda p: p["line"]), "\n")
     return first.groupBy("book", "num").agg(F.left(joined, F.lit(limit)).alias("text"))
 

@@ -98,3 +98,11 @@ def test_report_of_chapters(spark):
     rows = [("b", 1, "1장", "T"), ("b", 2, "1.1", "S"), ("b", 3, "", None), ("b", 4, "1.2", "S2"), ("b", 5, "2장", None)]
     tree = ch.chapter_rows(spark.createDataFrame(rows, "book string, page int, sid string, title string"), book="book", page="page", section="sid", title="title")
     assert [(r.chapter, r.pages, r.sections, r.intro_page) for r in ch.chapter_report(tree).orderBy("chapter_no").collect()] == [("T", 4, 2, 1), ("2장", 1, 0, 5)]
+
+
+def test_chapter_texts_whose_line_end_is_the_last_character(spark):
+    """A first line one short of the limit: the line end before the next page is the last character."""
+    pages = spark.createDataFrame([("b", 1, "x" * 14), ("b", 2, "y"), ("b", 3, "z" * 15), ("b", 4, "y"), ("b", 5, "x" * 14)], "book string, page long, text string")
+    chapters = spark.createDataFrame([("b", 1, 1, 2), ("b", 2, 3, 4), ("b", 3, 5, 5)], "book string, num int, start long, end long")
+    got = {r.num: r.text for r in ch.chapter_texts(pages, chapters, text="text", limit=21).collect()}
+    assert got == {1: "[p.1] " + "x" * 14 + "\n", 2: "[p.3] " + "z" * 15, 3: "[p.5] " + "x" * 14}
