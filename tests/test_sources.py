@@ -3,7 +3,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.operators import chapters as ch
 from pagemill.operators import logs as batch
+from pagemill.operators import reshape
 from pagemill.sources import readers, sinks
 from pagemill.streaming import logs, ordered
 
@@ -86,3 +88,10 @@ def test_files_are_worked_through_once(spark, tmp_path):
     (tmp_path / "in" / "page_9.txt").write_text("late")
     again = logs.drain_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), work)
     assert again.count() == 8 and again.filter("batch = 2").count() == 1
+
+
+def test_chapter_request_keeps_a_line_end_at_the_limit(spark):
+    pages = spark.createDataFrame([("b", 1, "x" * 5993), ("b", 2, "y")], "book string, page long, text string")
+    chapters = spark.createDataFrame([("b", 1, "t", 1, 2, None)], "book string, num int, title string, start long, end long, summary string")
+    got = reshape.chapter_requests(chapters, ch.chapter_texts(pages, chapters, text="text"), title="book").first().request
+    assert got.endswith("pages:\n[p.1] " + "x" * 5993 + "\n")
