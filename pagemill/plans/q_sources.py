@@ -19,11 +19,11 @@ from pagemill.streaming import logs
 
 def _files(df, folder, *named):
     """One text file a row of (named columns, value), in folders of those columns."""
-    df.write.partitionBy(*named).mode("append").text(folder)
+    sinks.write_files(df, folder, named=list(named), value="value")
 
 
 def _line(column):
-    """A file's text without the line end that the text sink sets."""
+    """A file's text without the line end that the sink sets."""
     return F.regexp_replace(column, r"\n$", "")
 
 

@@ -95,3 +95,11 @@ def test_chapter_request_keeps_a_line_end_at_the_limit(spark):
     chapters = spark.createDataFrame([("b", 1, "t", 1, 2, None)], "book string, num int, title string, start long, end long, summary string")
     got = reshape.chapter_requests(chapters, ch.chapter_texts(pages, chapters, text="text"), title="book").first().request
     assert got.endswith("pages:\n[p.1] " + "x" * 5993 + "\n")
+
+
+def test_files_are_written_by_name_and_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x.png", "1"), ("b/c", "x.png", "2"), (None, "y.png", None)], "book string, file string, value string")
+    for _ in range(2):
+        sinks.write_files(rows, f"file://{tmp_path}/f", named=["book", "file"], value="value")
+    found = {str(p.relative_to(tmp_path / "f")): p.read_text() for p in (tmp_path / "f").rglob("*") if p.is_file()}
+    assert found == {"a/x.png": "1\n", "b%2Fc/x.png": "2\n", "__HIVE_DEFAULT_PARTITION__/y.png": "\n"}
