@@ -40,8 +40,11 @@ def read_image_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = files.select(_named(F.col("path")).alias("path"), F.col("length").alias("bytes"), F.md5("content").alias("digest"))
     named = named.select(F.regexp_extract("path", r"/([^/]+)/(?:source_raws/)?[^/]+$", 1).alias("book"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes", "digest")
-    raw, page = named.filter(F.col("file").startswith("raw_")), named.filter(F.col("file").startswith("page_"))
-    return raw.union(page.join(raw.select("book").distinct(), "book", "left_anti").select(raw.columns))
+    is_raw = F.col("file").startswith("raw_")
+    # Contents are read once: which books have raw images is told by the paths.
+    with_raw = named.filter(is_raw).select("book").distinct().withColumn("_raw", F.lit(True))
+    images = named.filter(is_raw | F.col("file").startswith("page_")).join(with_raw, "book", "left")
+    return images.filter(is_raw | F.col("_raw").isNull()).select(named.columns)
 
 
 def read_page_images(spark: SparkSession, path: str) -> DataFrame:

@@ -103,3 +103,11 @@ def test_files_are_written_by_name_and_replaced(spark, tmp_path):
         sinks.write_files(rows, f"file://{tmp_path}/f", named=["book", "file"], value="value")
     found = {str(p.relative_to(tmp_path / "f")): p.read_text() for p in (tmp_path / "f").rglob("*") if p.is_file()}
     assert found == {"a/x.png": "1\n", "b%2Fc/x.png": "2\n", "__HIVE_DEFAULT_PARTITION__/y.png": "\n"}
+
+
+def test_image_contents_are_read_once(spark, tmp_path):
+    for name in ("a/source_raws/raw_1.png", "a/page_001.png", "b/page_001.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    plan = readers.read_image_files(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
