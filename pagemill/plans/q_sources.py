@@ -138,9 +138,9 @@ def pages_data_files(spark, d):
     rows, folder = chapter_rows(spark, d), shared_folder(spark, "pages-data")
     pages = rows.select("book", F.col("page").alias("num"), F.col("label").alias("summary"))
     sinks.write_pages_data(ch.chapter_tree(rows), pages, f"{folder}/object")
-    pages.groupBy("book").agg(F.to_json(F.array_sort(F.collect_list(F.struct("num", "summary")))).alias("value")).write.partitionBy("book").text(f"{folder}/list")
-    flat = lambda form: reshape.read_pages_data(spark.read.text(f"{folder}/{form}"), json="value").select(F.col("book").cast("bigint").alias("book"), F.explode("pages").alias("p"), F.lit(form).alias("form")).select("book", "p.num", "form")
-    return flat("object").union(flat("list"))
+    pages.groupBy("book").agg(F.to_json(F.array_sort(F.collect_list(F.struct("num", "summary", "book")))).alias("value")).select("value").write.text(f"{folder}/list")
+    flat = lambda form, book: reshape.read_pages_data(spark.read.text(f"{folder}/{form}"), json="value").select(F.get_json_object("value", book).cast("bigint").alias("book"), F.explode("pages").alias("p"), F.lit(form).alias("form")).select("book", "p.num", "form")
+    return flat("object", "$.book").union(flat("list", "$[0].book"))
 
 
 @register("request_files", f"SELECT doc_id, 'page ' || doc_id || chr(10) || coalesce(nullif(regexp_replace(text, '{_ENDS}', '', 'g'), ''), '(empty)') AS request FROM documents")

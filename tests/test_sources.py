@@ -111,3 +111,12 @@ def test_image_contents_are_read_once(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     plan = readers.read_image_files(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1
+
+
+def test_books_of_page_data_share_files(spark, tmp_path):
+    rows = spark.createDataFrame([(b, p, "", "") for b in range(40) for p in (1, 2)], "book long, num long, sid string, title string")
+    tree = ch.chapter_tree(ch.chapter_rows(rows, book="book", page="num", section="sid", title="title"))
+    sinks.write_pages_data(tree, rows.select("book", "num", F.lit("s").alias("summary")), str(tmp_path / "d"))
+    assert 0 < len(list((tmp_path / "d").rglob("*.json"))) < 40
+    back = reshape.read_pages_data(spark.read.text(str(tmp_path / "d")), json="value")
+    assert {(int(r.book), len(r.pages)) for r in back.select(F.get_json_object("value", "$.book").alias("book"), "pages").collect()} == {(b, 2) for b in range(40)}
