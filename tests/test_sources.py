@@ -120,3 +120,11 @@ def test_books_of_page_data_share_files(spark, tmp_path):
     assert 0 < len(list((tmp_path / "d").rglob("*.json"))) < 40
     back = reshape.read_pages_data(spark.read.text(str(tmp_path / "d")), json="value")
     assert {(int(r.book), len(r.pages)) for r in back.select(F.get_json_object("value", "$.book").alias("book"), "pages").collect()} == {(b, 2) for b in range(40)}
+
+
+def test_a_batch_is_one_file(spark, tmp_path):
+    pages = spark.createDataFrame([("a", n, f"s{n}") for n in range(1, 8)] + [("b", 3, None)], "book string, num int, summary string")
+    sinks.write_batches(pages, f"file://{tmp_path}/b", book="book", page="num")
+    assert {str(p.relative_to(tmp_path / "b")) for p in (tmp_path / "b").rglob("*.json") if p.is_file()} == {"a/batch_001.json", "a/batch_006.json", "b/batch_003.json"}
+    good, bad = readers.read_batches(spark, str(tmp_path / "b"))
+    assert good.count() == 8 and bad.count() == 0
