@@ -45,3 +45,19 @@ def test_addresses(spark):
     assert column(spark, local + other, web.is_local) == [True] * len(local) + [False] * len(other)
     frame = spark.createDataFrame([(0, "1.1.1.1, 2.2.2.2", "3.3.3.3", "9.9.9.9"), (1, "", "3.3.3.3", "9.9.9.9"), (2, None, None, "9.9.9.9")], "i int, f string, r string, p string")
     assert [r.x for r in frame.select("i", web.real_ip(F.col("f"), F.col("r"), F.col("p")).alias("x")).orderBy("i").collect()] == ["1.1.1.1", "3.3.3.3", "9.9.9.9"]
+
+
+def test_addresses_by_networks(spark):
+    """As ipaddress has them; an address is worked out once, however it is made."""
+    import ipaddress
+    import random
+
+    rng = random.Random(7)
+    edge = [0, 9, 10, 11, 15, 16, 31, 32, 99, 100, 126, 127, 128, 168, 169, 172, 192, 199, 200, 249, 250, 254, 255]
+    v4 = [".".join(str(rng.choice(edge)) for _ in range(4)) for _ in range(4000)] + [f"{a}.{b}.3.4" for a in (10, 127, 169, 172, 192) for b in range(256)]
+    nets = [ipaddress.ip_network(n) for n in ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16")]
+    want = [any(ipaddress.ip_address(a) in n for n in nets) for a in v4]
+    odd = {"010.1.1.1": True, "10.256.1.1": False, "10.1.1": False, "::1": True, "::11": False, "FE80::1": True, "fec0::1": False, "FD00::": True, "x10.1.1.1": False, "10.1.1.1 ": False}
+    assert column(spark, v4 + list(odd), web.is_local) == want + list(odd.values())
+    frame = spark.range(1).select(web.is_local(F.upper(F.col("id").cast("string"))).alias("x"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("upper(") == 1
