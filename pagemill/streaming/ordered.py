@@ -2,9 +2,11 @@
 
 A rule that depends on what it decided before needs the rows of a key in order of time, but a
 stream brings them late and mixed. Rows wait in list state until the watermark has passed them and
-are then judged in order; one event-time timer a key says when to look again, be it for the next
-row or for something that falls due without one. State of a key goes when nothing waits and the
-rule keeps nothing. Rows later than the watermark are dropped.
+are then judged in order; an event-time timer says when to look again, be it for the next
+row or for something that falls due without one. Keys are dealt by hash to a fixed number of shards,
+which wait, wake and are judged as one: a shard's few calls to the state store serve all its keys,
+and a key has calls of its own only for the state that its rule keeps. That goes when the rule keeps
+nothing. A task holds the waiting rows of one shard. Rows later than the watermark are dropped.
 
 The rules are those of the batch forms (`operators.logs`), so a stream gives what the batch gives
 over all rows up to the watermark. `drain_to_end` closes a stream of finite input: after it has run
@@ -25,8 +27,8 @@ from pagemill.operators.logs import FAIL_MAX, FAIL_WINDOW, LOST_AFTER, Lost, lim
 from pagemill.schemas import EVENTS
 from pagemill.streaming.logs import LATE, drain, event_stream
 
-#: Rows handed to list state at once.
-CHUNK = 5000
+#: Rows handed to list state at once; shards of keys.
+CHUNK, SHARDS = 5000, 2048
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: State that holds lists and timers is kept by this provider.
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,8 +52,8 @@ class Flags:
 
 
 class _InOrder(StatefulProcessor):
-    """Rows are (at, order..., values..., row...); a rule's answer to a row is given with the row, what
-    falls due without one is given with the key alone."""
+    """Rows are (key, at, order..., values..., row...), keys as text; a rule's answer to a row is given with
+    the row, what falls due without one is given with the key alone."""
 
     def __init__(self, rule, schema: StructType, n_order: int, n_values: int, out: list[str], with_row: bool):
         self.rule, self.schema, self.n_order, self.n_values, self.out, self.with_row = rule, schema, n_order, n_values, out, with_row
@@ -59,11 +61,12 @@ class _InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", self.schema)
-        self.state = handle.getValueState("state", "json string")
+        self.kept = handle.getMapState("kept", "key string", "json string")
+        self.state = handle.getValueState("state", "json string")  # [due, key] of each key for which something falls due
         self.timer = handle.getValueState("timer", "at long")
 
     def _wake(self, at: int | None, always: bool = False) -> None:
-        """One timer a key, in milliseconds: at the earliest of what it waits for."""
+        """One timer a shard, in milliseconds: at the earliest of what it waits for."""
         old = self.timer.get()[0] if self.timer.exists() else None
         if at is None or (not always and old is not None and old <= at):
             return
@@ -73,10 +76,11 @@ class _InOrder(StatefulProcessor):
         self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues):
-        held, first = [], None
+        held, first, places = [], None, None
         for row in rows:
-            held.append(tuple(row[name] for name in self.schema.names))
-            first = held[-1][0] if first is None else min(first, held[-1][0])
+            places = places or [row.__fields__.index(name) for name in self.schema.names]
+            held.append(tuple([row[i] for i in places]))
+            first = held[-1][1] if first is None else min(first, held[-1][1])
             if len(held) == CHUNK:
                 self.rows.appendList(held)
                 held = []
@@ -89,38 +93,59 @@ class _InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        waiting = list(self.rows.get()) if self.rows.exists() else []
-        ready = sorted((row for row in waiting if row[0] <= mark), key=lambda row: tuple(row[: 1 + self.n_order]))
-        rest = [tuple(row) for row in waiting if row[0] > mark]
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
-        told = []
-
-        def expire(until: int):
-            nonlocal state
-            while (due := self.rule.due(state)) is not None and due < until:
-                answers, state = self.rule.expire(state)
-                told.extend(answer for answer in answers)
-
-        values = slice(1 + self.n_order, 1 + self.n_order + self.n_values)
+        waiting = [tuple(row) for row in self.rows.get()] if self.rows.exists() else []
+        ready = sorted((row for row in waiting if row[1] <= mark), key=lambda row: row[: 2 + self.n_order])
+        rest = [row for row in waiting if row[1] > mark]
+        dues = json.loads(self.state.get()[0]) if self.state.exists() else []
+        any_kept = self.kept.exists()
+        kept: dict = {}
+        told: list[tuple] = []
+
+        def state_of(name: str):
+            found = self.kept.getValue((name,)) if any_kept and self.kept.containsKey((name,)) else None
+            return json.loads(found[0]) if found else None
+
+        def expire(name: str, until: int) -> None:
+            while (due := self.rule.due(kept[name][1])) is not None and due < until:
+                answers, kept[name][1] = self.rule.expire(kept[name][1])
+                told.extend((name, *answer) for answer in answers)
+
+        values = slice(2 + self.n_order, 2 + self.n_order + self.n_values)
         for row in ready:
-            expire(row[0])
-            answers, state = self.rule.step(state, row[0], tuple(row[values]))
-            told.extend((*tuple(row[values.stop :]), *answer) if self.with_row else answer for answer in answers)
-        expire(mark)
+            name = row[0]
+            if name not in kept:
+                state = state_of(name)
+                kept[name] = [state is not None, state]
+            expire(name, row[1])
+            answers, kept[name][1] = self.rule.step(kept[name][1], row[1], row[values])
+            told.extend((*row[values.stop :], *answer) if self.with_row else (name, *answer) for answer in answers)
+        for due, name in dues:
+            if due < mark and name not in kept:
+                kept[name] = [True, state_of(name)]
+        for name in kept:
+            expire(name, mark)
+        left = [[due, name] for due, name in dues if name not in kept]
+        for name, (was, state) in kept.items():
+            if state is not None:
+                self.kept.updateValue((name,), (json.dumps(state),))
+                if (due := self.rule.due(state)) is not None:
+                    left.append([due, name])
+            elif was:
+                self.kept.removeKey((name,))
         if rest:
             self.rows.put(rest)
         elif waiting:
             self.rows.clear()
-        if state is None:
+        if left:
+            self.state.update((json.dumps(left),))
+        elif dues:
             self.state.clear()
-        else:
-            self.state.update((json.dumps(state),))
-        due = self.rule.due(state)
-        times = [-(-min(row[0] for row in rest) // 1000)] if rest else []
-        times += [due // 1000 + 1] if due is not None else []
+        times = [-(-min(row[1] for row in rest) // 1000)] if rest else []
+        times += [min(due for due, _ in left) // 1000 + 1] if left else []
         self._wake(min(times, default=None), always=True)
+        answer_of = Row(*self.out)
+            yield answer_of(*answer)
         for answer in told:
-            yield Row(**dict(zip(self.out, answer, strict=True))) if self.with_row else Row(**dict(zip(self.out, (*key, *answer), strict=True)))
 
 
 def in_event_order(stream: DataFrame, *, by: list[str], ts: str, order: list[str], values: list[Column], rule, answer: str, with_row: bool = True, late: str = LATE) -> DataFrame:
@@ -132,18 +157,23 @@ def in_event_order(stream: DataFrame, *, by: list[str], ts: str, order: list[str
     rows = marked.select(ts, *(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), F.unix_micros(ts).alias("_at"), *(F.col(c).alias(n) for c, n in zip(order, given[0], strict=True)), *(v.alias(n) for v, n in zip(values, given[1], strict=True)), *(c.alias(n) for c, n in zip(plain, given[2], strict=False)))
     # A marker moves the watermark and is no row: its key is null. The condition names ts so that it stays above the watermark.
     rows = rows.filter(F.col("_key0").isNotNull() | F.col(ts).isNull())
-    schema = StructType([rows.schema[n] for n in ("_at", *given[0], *given[1], *given[2])])
+    keys = StructType([StructField(c, rows.schema[f"_key{i}"].dataType) for i, c in enumerate(by)])
+    named = F.to_json(F.struct(*(F.col(f"_key{i}").alias(c) for i, c in enumerate(by))))
+    rows = rows.select(ts, F.pmod(F.xxhash64(*(f"_key{i}" for i in range(len(by)))), F.lit(SHARDS)).alias("_key0"), named.alias("_name"), "_at", *given[0], *given[1], *given[2])
+    schema = StructType([rows.schema[n] for n in ("_name", "_at", *given[0], *given[1], *given[2])])
     told = StructType.fromDDL(answer)
     if with_row:
-        wanted = StructType([*schema.fields[1 + len(order) + len(values) :], *told])
+        wanted = StructType([*schema.fields[2 + len(order) + len(values) :], *told])
     else:
-        wanted = StructType([*(rows.schema[f"_key{i}"] for i in range(len(by))), *told])
+        wanted = StructType([rows.schema["_name"], *told])
     names = [f"c{i}" for i in range(len(wanted))]
     wanted = StructType([StructField(name, field.dataType) for name, field in zip(names, wanted, strict=True)])
     processor = _InOrder(rule, schema, len(order), len(values), names, with_row)
-    out = rows.groupBy(*(f"_key{i}" for i in range(len(by)))).transformWithState(processor, wanted, "append", "EventTime")
-    final = (list(stream.columns) if with_row else list(by)) + told.names
-    kinds = dict(stream.dtypes) if with_row else {}
+    out = rows.groupBy("_key0").transformWithState(processor, wanted, "append", "EventTime")
+    if not with_row:
+        out = out.withColumn("_keys", F.from_json("c0", keys))
+        return out.select(*(F.col("_keys")[c].alias(c) for c in by), *(F.col(n).alias(c) for n, c in zip(names[1:], told.names, strict=True)))
+    final, kinds = list(stream.columns) + told.names, dict(stream.dtypes)
     return out.select(*((F.timestamp_micros(n) if kinds.get(c) == "timestamp" and i < len(stream.columns) else F.col(n)).alias(c) for i, (n, c) in enumerate(zip(names, final, strict=True))))
 
 

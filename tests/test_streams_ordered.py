@@ -89,3 +89,16 @@ def test_rows_later_than_the_watermark_go(spark, tmp_path):
     got = _local(ordered.drain_to_end(spark, f"{tmp_path}/e.parque[t]", str(tmp_path / "s"), build, files=1))
     assert sorted(r.event_id for r in got.collect()) == [0, 1, 3]
     assert logs.LATE == "10 minutes"
+
+
+def test_keys_share_the_waiting_rows_and_timers_of_shards(spark, tmp_path, monkeypatch):
+    """Far more keys than shards: the store holds no entry a key but what the rule keeps."""
+    monkeypatch.setattr(ordered, "SHARDS", 4)
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = spark.range(600).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id)").alias("ts"), (F.col("id") % 300).alias("user_id"), F.lit("error").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/e.parquet")
+    build = lambda events: ordered.expired_sessions(events.filter("event_id is not null or user_id is null"), by="user_id", id="event_id", ts="ts", lifetime=F.lit(400))
+    got = ordered.drain_to_end(spark, f"{tmp_path}/e.parque[t]", str(tmp_path / "s"), build, end="2024-01-01 00:16:40")  # watermark at 00:06:40
+    assert sorted((r.user_id, r.event_id) for r in got.collect()) == []
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/s/state")
+    assert 0 < state("timer").count() <= 4 and 0 < state("state").count() <= 4
