@@ -15,6 +15,7 @@ over what is there, it runs once more over a marker row that moves the watermark
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -144,8 +145,8 @@ class _InOrder(StatefulProcessor):
         times += [min(due for due, _ in left) // 1000 + 1] if left else []
         self._wake(min(times, default=None), always=True)
         answer_of = Row(*self.out)
-            yield answer_of(*answer)
         for answer in told:
+            yield answer_of(*answer)
 
 
 def in_event_order(stream: DataFrame, *, by: list[str], ts: str, order: list[str], values: list[Column], rule, answer: str, with_row: bool = True, late: str = LATE) -> DataFrame:
@@ -198,18 +199,20 @@ def lost_jobs(events: DataFrame, *, job: str, ts: str, order: str, kind: str, af
 
 
 class Sessions:
-    """Live sessions of a key, as [expires, opened, id]; what expires is told once and forgotten."""
+    """Live sessions of a key, as a heap of [expires, opened, id]; what expires is told once and forgotten."""
 
     def step(self, state, at: int, values: tuple):
         name, seconds = values
-        return [], [*(state or []), [at + int(seconds * 1_000_000), at, name]]
+        state = state or []
+        heapq.heappush(state, [at + int(seconds * 1_000_000), at, name])
+        return [], state
 
     def due(self, state) -> int | None:
-        return min(state)[0] if state else None
+        return state[0][0] if state else None
 
     def expire(self, state):
-        gone = min(state)
-        return [(gone[2], gone[1], gone[0])], [s for s in state if s is not gone] or None
+        gone = heapq.heappop(state)
+        return [(gone[2], gone[1], gone[0])], state or None
 
 
 def expired_sessions(opened: DataFrame, *, by: str, id: str, ts: str, lifetime: Column, late: str = LATE) -> DataFrame:

@@ -102,3 +102,13 @@ def test_keys_share_the_waiting_rows_and_timers_of_shards(spark, tmp_path, monke
     assert sorted((r.user_id, r.event_id) for r in got.collect()) == []
     state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/s/state")
     assert 0 < state("timer").count() <= 4 and 0 < state("state").count() <= 4
+
+
+def test_sessions_of_one_key_expire_in_order():
+    rule, state, told = ordered.Sessions(), None, []
+    for n, (at, life) in enumerate(((0, 50), (1, 10), (2, 30), (3, 10))):
+        _, state = rule.step(state, at, (n, life / 1_000_000))
+    while rule.due(state) is not None:
+        answers, state = rule.expire(state)
+        told += answers
+    assert told == [(1, 1, 11), (3, 3, 13), (2, 2, 32), (0, 0, 50)] and state is None
