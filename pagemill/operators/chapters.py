@@ -14,6 +14,8 @@ from pagemill.sources.storage import stored
 #: Labels of the tree, lengths of texts, gates on located chapters, title length.
 OTHER, ALL_PAGES, POINTS = "기타", "전체 페이지", " / 핵심: "
 CHAPTER_CHARS, HEAD_CHARS, TITLE_CHARS, LONG_TITLE = 6000, 400, 4, 40
+#: Books of up to so many titles compare each of them with their pages; others go by grams.
+FEW_TITLES = 32
 SPREAD_LEAST, FIRST_MOST, COVER_FIRST, COVER_HOLES = 0.30, 0.6, 2, 2
 
 
@@ -142,8 +144,18 @@ def _grams(text: Column) -> Column:
 
 def title_hits(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """(book, pos, page): pages (book, page, text, normalised) that contain a title (book, pos, title,
-    normalised). A title meets pages through the one of its character grams that fewest pages have."""
+    normalised). The few titles that most books have are compared with each of the book's pages; a title of
+    another book meets pages through the one of its character grams that fewest pages have."""
     long = titles.filter(F.length("title") >= TITLE_CHARS).select("book", "pos", "title")
+    sizes = long.groupBy("book").agg(F.count("*").alias("n"))
+    few, many = (sizes.filter(c).select("book") for c in (F.col("n") <= FEW_TITLES, F.col("n") > FEW_TITLES))
+    direct = pages.join(long.join(few, "book", "left_semi"), "book").filter(F.col("text").contains(F.col("title"))).select("book", "pos", "page")
+    rest = title_hits_by_grams(pages.join(many, "book", "left_semi"), long.join(many, "book", "left_semi"))
+    return direct.unionByName(rest)
+
+
+def title_hits_by_grams(pages: DataFrame, long: DataFrame) -> DataFrame:
+    """`title_hits` for titles of at least TITLE_CHARS characters, through their rarest grams."""
     of_titles = long.select("book", "pos", F.explode(_grams(F.col("title"))).alias("gram"))
     of_pages = pages.filter(F.length("text") >= TITLE_CHARS).select("book", "page", F.explode(_grams(F.col("text"))).alias("gram"))
     met = stored(of_pages.join(of_titles.select("book", "gram").distinct(), ["book", "gram"], "left_semi"), "grams")

@@ -106,3 +106,19 @@ def test_chapter_texts_whose_line_end_is_the_last_character(spark):
     chapters = spark.createDataFrame([("b", 1, 1, 2), ("b", 2, 3, 4), ("b", 3, 5, 5)], "book string, num int, start long, end long")
     got = {r.num: r.text for r in ch.chapter_texts(pages, chapters, text="text", limit=21).collect()}
     assert got == {1: "[p.1] " + "x" * 14 + "\n", 2: "[p.3] " + "z" * 15, 3: "[p.5] " + "x" * 14}
+
+
+def test_titles_are_found_in_books_of_few_and_many(spark, monkeypatch):
+    """A title of a book with few titles meets no gram; both ways give all pages that contain a title."""
+    asked = []
+    by_grams = ch.title_hits_by_grams
+    monkeypatch.setattr(ch, "title_hits_by_grams", lambda pages, long: asked.append((pages, long)) or by_grams(pages, long))
+    monkeypatch.setattr(ch, "FEW_TITLES", 3)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    titles = [(b, p, word(rng.choice((3, 4, 5)))) for b, n in (("few", 3), ("many", 20)) for p in range(n)]
+    pages = [(b, p, word(rng.randrange(12))) for b in ("few", "many", "none") for p in range(60)]
+    got = ch.title_hits(spark.createDataFrame(pages, "book string, page long, text string"), spark.createDataFrame(titles, "book string, pos int, title string")).collect()
+    want = [(b, p, page) for b, p, t in titles for c, page, text in pages if b == c and len(t) >= 4 and t in text]
+    assert sorted(map(tuple, got)) == sorted(want) and {r.book for r in got} == {"few", "many"}
+    assert {r.book for df in asked[0] for r in df.select("book").distinct().collect()} == {"many"}
