@@ -34,12 +34,17 @@ def clean_feed(feed: DataFrame, *, texts: list[str], ints: list[str], flags: lis
 
 def linked_groups(rows: DataFrame) -> DataFrame:
     """(node, group) of rows (node, tokens): nodes with a token in common, over any chain, are of one group,
-    which is named by its least node.
+    which is named by its least node."""
+    links = _group_links(rows.select("node", F.explode("tokens").alias("token")))
+    return rows.select("node").distinct().join(links.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("group"))
+
+
+def _group_links(spread: DataFrame) -> DataFrame:
+    """(a, b): the least node b of the group of each node a that is not its own group's least, of (node, token).
 
     A token of one node links nothing; each other one links its nodes to its least. From then on only
     links count: in a round every node hangs its greater neighbours and itself on the least neighbour,
     until all hang on the least of their group. A round is stored once, and the one before deleted."""
-    spread = rows.select("node", F.explode("tokens").alias("token"))
     ends = spread.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token", "low")
     links = stored(spread.join(ends, "token").filter("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "links")
     before = None
@@ -51,7 +56,7 @@ def linked_groups(rows: DataFrame) -> DataFrame:
         hung = greater.join(down, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(down.select("a", F.col("low").alias("b")))
         older, links, before = links, stored(hung.distinct(), "links"), now
         discard(older)
-    return rows.select("node").distinct().join(links.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("group"))
+    return links
 
 
 def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: list[list[str]], order: str, keep_old: list[str], never: list[str], blank: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -65,19 +70,39 @@ def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: li
     Rows that can meet over any chain of keys form a group; a group's rows stream by in order, and
     only its entries are held: a feed in which one chain of keys runs through most rows is one group,
     whose entries one task holds. Entries that no feed row can meet pass by unread.
+
+    Every row and entry stands at its first given key, and the others link that key to further ones. Where the
+    first kind of key is never updated, a row that finds it in the catalogue asks for no other key: those
+    it brings link only if some row that may not be found so asks for them.
     """
     values = [c for c in catalogue.columns if c != id]
     key = lambda cols: F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in blank else F.col(c).cast("string") for c in cols))
-    given = lambda cols: reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in cols if c not in blank))
-    token = F.array(*(F.when(given(cols), F.concat(F.lit(f"{n}\u0001"), key(cols))) for n, cols in enumerate(keys)))
-    old = catalogue.select((F.col(id).cast("bigint") * 2).alias("node"), F.lit(0).alias("side"), F.col(id).cast("bigint").alias("at"), *values, token.alias("keys"))
-    new = feed.select((F.col(order).cast("bigint") * 2 + 1).alias("node"), F.lit(1).alias("side"), F.col(order).cast("bigint").alias("at"), *values, token.alias("keys"))
-    asked = new.select(F.explode("keys").alias("_t")).filter("_t is not null").distinct()
-    touched = old.select("node", F.explode("keys").alias("_t")).join(asked, "_t", "left_semi").select("node").distinct()
-    rows = old.join(touched, "node").unionByName(new)
-    # Keys go by their hashes here: two that share one only make a larger group.
-    groups = linked_groups(rows.select("node", F.transform(F.array_compact("keys"), lambda k: F.xxhash64(k)).alias("tokens")))
-    placed = rows.join(groups, "node").crossJoin(F.broadcast(catalogue.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("high"))))
+    given = lambda cols: reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in cols if c not in blank), F.lit(True))
+    # Keys go by their hashes: two that share one only make a larger group. Of a key whose columns an update mixes
+    # from the row and the entry, only columns that come together count, or one.
+    whole = lambda cols: set(cols) <= set(never) or not set(cols) & {*keep_old, *never}
+    linking = [cols if whole(cols) else [c for c in cols if c not in keep_old and c not in never] or cols[:1] for cols in keys]
+    tokens = F.array_compact(F.array(*(F.when(given(cols), F.xxhash64(F.lit(n), key(cols))) for n, cols in enumerate(linking))))
+    lasting = F.when(given(keys[0]), key(keys[0])) if set(keys[0]) <= set(never) else F.lit(None).cast("string")
+    at_key = F.coalesce(F.get("tokens", F.lit(0)), F.xxhash64(F.lit(-1), "side", "at")).alias("stand")
+    old = catalogue.select(F.lit(0).alias("side"), F.col(id).cast("bigint").alias("at"), *values, tokens.alias("tokens"), lasting.alias("lasting"))
+    new = feed.select(F.lit(1).alias("side"), F.col(order).cast("bigint").alias("at"), *values, tokens.alias("tokens"), lasting.alias("lasting"))
+    found = old.filter("lasting is not null").select("lasting").distinct().withColumn("bound", F.lit(True))
+    brought = new.select("tokens", "lasting").filter("size(tokens) > 0").distinct()
+    sure = brought.filter("lasting is not null").join(found, "lasting", "left").select("tokens", F.col("bound").isNotNull().alias("bound"))
+    met = stored(sure.unionByName(brought.filter("lasting is null").select("tokens", F.lit(False).alias("bound"))), "keys")
+    stand, others = F.get("tokens", F.lit(0)).alias("node"), F.explode(F.slice("tokens", 2, len(keys))).alias("token")
+    asked = stored(met.filter("not bound").select(F.explode("tokens").alias("token")).distinct(), "asked")
+    wanted = asked.unionByName(met.filter("bound").select(F.get("tokens", F.lit(0)).alias("token"))).distinct()
+    touched = stored(old.select("at", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").select("at").distinct(), "touched")
+    entries = old.join(touched, "at")
+    passive = met.filter("bound").select(stand, others).unionByName(entries.select(stand, others)).join(asked, "token", "left_semi").select("node", "token")
+    links = met.filter("not bound").select(stand, others).unionByName(passive)
+    # A key at which a row stands is a token of its own, for others that lead to it.
+    own = met.select(stand).unionByName(entries.select(stand)).select("node", F.col("node").alias("token"))
+    groups = _group_links(links.unionByName(own).distinct())
+    rows = entries.unionByName(new).select("side", "at", *values, at_key)
+    placed = rows.join(groups.withColumnRenamed("a", "stand"), "stand", "left").withColumn("group", F.coalesce("b", "stand")).crossJoin(F.broadcast(catalogue.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("high"))))
     kept = [values.index(c) for c in values if c in keep_old]
     fixed = [values.index(c) for c in values if c in never]
     parts = [[(values.index(c), c in blank) for c in cols] for cols in keys]
@@ -95,7 +120,7 @@ def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: li
     schema = f"`{id}` bigint, {', '.join(f'`{c}` {kinds[c]}' for c in values)}, _new boolean, _updates bigint"
     changed = stored(walk_in_order(placed, by=["group"], order=["side", "at"], columns=["group", "side", "at", "high", *values], schema=schema, walk=walk), "entries")
     stats = changed.agg(F.count_if("_new").alias("inserted"), F.coalesce(F.sum("_updates"), F.lit(0)).alias("updated"))
-    unread = catalogue.join(touched.select((F.col("node") / 2).cast("bigint").alias(id)), id, "left_anti").withColumn(id, F.col(id).cast("bigint"))
+    unread = catalogue.withColumn(id, F.col(id).cast("bigint")).join(touched.withColumnRenamed("at", id), id, "left_anti")
     return unread.select(id, *values).unionByName(changed.select(id, *values)), stats
 
 

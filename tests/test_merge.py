@@ -57,6 +57,25 @@ def test_upsert_of_nothing(spark):
     assert [tuple(r) for r in new.collect()] == [(6, "K1", "One")] and tuple(counts.first()) == (1, 0)
 
 
+def test_rows_found_by_a_lasting_key_are_not_chained_by_others(spark, monkeypatch):
+    """All rows bring one title, but find their entries by ids that are never updated: no row asks for the title."""
+    old = spark.createDataFrame([(i, f"K{i}", f"T{i}") for i in range(20)], "id long, kid string, title string")
+    feed = spark.createDataFrame([(seq, f"K{seq % 20}", "T") for seq in range(60)], "seq long, kid string, title string")
+    walked, walk = [], merge.walk_in_order
+    monkeypatch.setattr(merge, "walk_in_order", lambda df, **how: walked.append(df) or walk(df, **how))
+    new, counts = merge.upsert_catalogue(old, feed, id="id", keys=[["kid"], ["title"]], order="seq", keep_old=[], never=["kid"])
+    assert {tuple(r) for r in new.collect()} == {(i, f"K{i}", "T") for i in range(20)} and tuple(counts.first()) == (0, 60)
+    assert walked[0].select("group").distinct().count() == 20
+
+
+def test_upsert_by_a_key_of_a_new_title_and_a_kept_author(spark):
+    """After row 1 the entry is (U, a): its title of the row, its author its own. Row 2 finds it by them."""
+    old = spark.createDataFrame([(1, "K1", "T", "a")], "id long, kid string, title string, author string")
+    feed = spark.createDataFrame([(1, "K1", "U", None), (2, None, "U", "a")], "seq long, kid string, title string, author string")
+    new, counts = merge.upsert_catalogue(old, feed, id="id", keys=[["kid"], ["title", "author"]], order="seq", keep_old=["author"], never=["kid"], blank=["author"])
+    assert [tuple(r) for r in new.collect()] == [(1, "K1", "U", "a")] and tuple(counts.first()) == (0, 2)
+
+
 def test_retention_keeps_one_more_than_named(spark):
     log = spark.range(1, 5003).withColumnRenamed("id", "n")
     assert merge.ring_retention(log, id="n").count() == 5001
