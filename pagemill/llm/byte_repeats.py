@@ -38,7 +38,8 @@ WINDOW = 200
 #: Bytes by which a position is chosen, bytes by which it is named; one position in SPARSE, and of
 #: starts one in PARSE, is of the sample.
 SEED, PREFIX, SPARSE, PARSE = 16, 64, 16, 32
-_PICK, _NAME, _PLACE, _KEY = Polynomial(21), Polynomial(22), Polynomial(23), Polynomial(24)
+#: Positions are chosen, prefixes named and windows placed by spans of one hash; keys are of another one.
+_PLACE, _KEY = Polynomial(21), Polynomial(24)
 
 
 def _rows(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,24 +51,19 @@ def _inside(offsets: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return at[at + width <= offsets[_rows(offsets, at) + 1]]
 
 
-def picks(data: np.ndarray) -> np.ndarray:
-    """Hash of the SEED bytes at each position."""
-    return _PICK.windows(_PICK.prefix(data), SEED)
+def picks(data: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the SEED bytes at each position; sums are those of _PLACE, if they are at hand."""
+    return _PLACE.windows(_PLACE.prefix(data) if sums is None else sums, SEED)
 
 
 def chosen(picked: np.ndarray, one_in: int) -> np.ndarray:
     return np.flatnonzero((picked & np.uint64(one_in - 1)) == 0)
 
 
-def prefixes(data: np.ndarray, offsets: np.ndarray, picked: np.ndarray):
+def prefixes(data: np.ndarray, offsets: np.ndarray, picked: np.ndarray, sums: np.ndarray | None = None):
     """Sampled positions that PREFIX bytes of their row follow, with the name of those."""
     at = _inside(offsets, chosen(picked, SPARSE), PREFIX)
-    return at, _NAME.spans(_NAME.prefix(data), at, at + PREFIX)
-
-
-def window_keys(data: np.ndarray, starts: np.ndarray):
-    """Placing hash and key of the windows from starts on."""
-    return _PLACE.spans(_PLACE.prefix(data), starts, starts + WINDOW), _KEY.spans(_KEY.prefix(data), starts, starts + WINDOW)
+    return at, _PLACE.spans(_PLACE.prefix(data) if sums is None else sums, at, at + PREFIX)
 
 
 def free_starts(flagged: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,11 +79,11 @@ def free_starts(flagged: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(free)
 
 
-def candidates(data, offsets, batch, a, b, picked=None):
+def candidates(data, offsets, batch, a, b, sums, picked=None):
     """Starts of windows all of whose sampled prefixes are shared (or that have none), which of
     them start a phrase, and the sampled prefixes."""
-    picked = picks(data) if picked is None else picked
-    at, name = prefixes(data, offsets, picked)
+    picked = picks(data, sums) if picked is None else picked
+    at, name = prefixes(data, offsets, picked, sums)
     unshared = np.zeros(len(data), bool)
     unshared[at[~KeyLists(batch.column("keys").slice(a, b - a), np.uint32).has(_rows(offsets, at), name)]] = True
     starts = free_starts(unshared, offsets)
@@ -95,7 +91,8 @@ def candidates(data, offsets, batch, a, b, picked=None):
 
 
 def _prefix_keys(data, offsets, batch, a, b):
-    at, name = prefixes(data, offsets, picks(data))
+    sums = _PLACE.prefix(data)
+    at, name = prefixes(data, offsets, picks(data, sums), sums)
     return _rows(offsets, at), name, name
 
 
@@ -117,8 +114,9 @@ def phrases(data, offsets, batch, a, b):
     A phrase goes from one sampled place to SEED bytes behind the next one, the bytes that make that a
     sampled place. So no phrase begins another, and phrases in order of their bytes put suffixes of the
     parse in order of theirs. What WINDOW bytes do not reach is cut off."""
-    picked = picks(data)
-    starts, sampled, _, _ = candidates(data, offsets, batch, a, b, picked)
+    sums = _PLACE.prefix(data)
+    picked = picks(data, sums)
+    starts, sampled, _, _ = candidates(data, offsets, batch, a, b, sums, picked)
     starts = starts[sampled]
     cover = np.zeros(len(data) + 1, np.int32)
     np.add.at(cover, starts, 1)
@@ -186,7 +184,7 @@ def _first_prefix(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _asked_prefixes(data, offsets, batch, a, b):
     """The first prefixes of windows that are not of the sample, and whether a window there still needs comparing."""
-    starts, sampled, at, name = candidates(data, offsets, batch, a, b)
+    starts, sampled, at, name = candidates(data, offsets, batch, a, b, _PLACE.prefix(data))
     known, starts = starts[sampled], starts[~sampled]
     keys = _KEY.spans(_KEY.prefix(data), known, known + WINDOW)
     known = known[KeyLists(batch.column("found").slice(a, b - a)).has(_rows(offsets, known), keys)]
@@ -206,12 +204,18 @@ def _asked_prefixes(data, offsets, batch, a, b):
 
 def _other_windows(data, offsets, batch, a, b):
     """Windows that are not of the sample, at prefixes that some text asks about (or without one)."""
-    starts, sampled, at, name = candidates(data, offsets, batch, a, b)
+    sums = _PLACE.prefix(data)
+    starts, sampled, at, name = candidates(data, offsets, batch, a, b, sums)
     starts = starts[~sampled]
     asked = np.ones(len(at) + 1, bool)
     asked[:-1] = KeyLists(batch.column("asked").slice(a, b - a), np.uint32).has(_rows(offsets, at), name)
     starts = starts[asked[_first_prefix(at, starts)]]
-    return _rows(offsets, starts), *window_keys(data, starts)
+    return _rows(offsets, starts), _PLACE.spans(sums, starts, starts + WINDOW), _KEY.spans(_KEY.prefix(data), starts, starts + WINDOW)
+
+
+def asked_texts(some: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts whose windows `_other_windows` may report: those with asked prefixes, or with a window without one."""
+    return some.join(asked.withColumnRenamed("keys", "asked").hint("shuffle_hash"), "name", "left").filter("asked is not null or bare")
 
 
 _WHOLE = "struct<n_bytes:long,kept_sha256:string,open:boolean>"
@@ -270,12 +274,12 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     sampled = buckets_for(spark, size / SPARSE)
     shared = shared_keys(texts, _prefix_keys, Shared(), sampled, key_type=np.uint32)
     wanted = shared.join(every.filter("open").select("name").distinct(), "name", "full_outer")
-    wanted = every.filter("goes_on").select("name", "mark", "copied").distinct().join(wanted, "name")
-    some = stored(texts.join(wanted, ["name", "mark"]).withColumn("uid", F.monotonically_increasing_id()), "candidates")  # stored, so that a row keeps its number
+    wanted = every.filter("goes_on").select("name", "mark", "copied", F.col("open").alias("bare")).distinct().join(wanted, "name")
+    some = stored(texts.join(wanted.hint("shuffle_hash"), ["name", "mark"]).withColumn("uid", F.monotonically_increasing_id()), "candidates")  # stored, so that a row keeps its number
     found = repeated_phrases(some)
-    both = some.join(found.withColumnRenamed("keys", "found"), "name", "left")
+    both = some.join(found.withColumnRenamed("keys", "found").hint("shuffle_hash"), "name", "left")
     asked = stored(shared_keys(both, _asked_prefixes, Asked(), sampled, key_type=np.uint32, extra=("keys", "found", "copied")), "asked")
-    both = some.join(asked.withColumnRenamed("keys", "asked"), "name", "left")
+    both = asked_texts(some, asked)
     rest = stored(shared_keys(both, _other_windows, Shared(), sampled, extra=("keys", "asked")), "starts")
     repeats = found.join(rest.withColumnRenamed("keys", "more"), "name", "full_outer")
     repeats = repeats.select("name", F.concat(F.coalesce("keys", F.lit(b"")), F.coalesce("more", F.lit(b""))).alias("keys"))

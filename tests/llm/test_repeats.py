@@ -84,3 +84,10 @@ def test_recompression_cuts_equal_passages_alike():
         at = word_repeats.recompress(sequence, np.zeros(len(sequence), np.int64)) - lead
         cuts.append({int(a) for a in at if word_repeats.MARGIN <= a <= len(passage) - word_repeats.MARGIN})
     assert cuts[0] == cuts[1] and cuts[0]
+
+
+def test_texts_nobody_asks_about_are_not_read_again(spark):
+    """But those with a window that holds no sampled prefix are."""
+    some = spark.createDataFrame([(1, False), (2, False), (3, True)], "name long, bare boolean")
+    asked = spark.createDataFrame([(1, bytearray(b"1234"))], "name long, keys binary")
+    assert {(r.name, r.asked is None) for r in byte_repeats.asked_texts(some, asked).collect()} == {(1, False), (3, True)}
