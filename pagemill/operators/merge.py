@@ -67,61 +67,91 @@ def upsert_catalogue(catalogue: DataFrame, feed: DataFrame, *, id: str, keys: li
     plus one. keep_old columns take a value that is not null, `never` columns are not updated, null
     equals empty in the key columns `blank`, other null keys match nothing.
 
-    Rows that can meet over any chain of keys form a group; a group's rows stream by in order, and
-    only its entries are held: a feed in which one chain of keys runs through most rows is one group,
-    whose entries one task holds. Entries that no feed row can meet pass by unread.
+    Rows that can meet over any chain of keys form a group. A group is plain if all its rows have the same kind of
+    key as their first given one, and each finds that key in the catalogue or gives no other: nothing changes a key
+    that such rows go by, so those of a key are folded into one row before it meets its entry. The rows of each other group
+    stream by in order, and only its entries are held: a feed in which one chain of keys runs through most rows is
+    one group, whose entries one task holds, if it is not plain. Entries that no feed row can meet pass by unread.
 
     Every row and entry stands at its first given key, and the others link that key to further ones. Where the
     first kind of key is never updated, a row that finds it in the catalogue asks for no other key: those
     it brings link only if some row that may not be found so asks for them.
     """
     values = [c for c in catalogue.columns if c != id]
-    key = lambda cols: F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in blank else F.col(c).cast("string") for c in cols))
+    texts = lambda cols: [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in blank else F.col(c).cast("string") for c in cols]
     given = lambda cols: reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in cols if c not in blank), F.lit(True))
-    # Keys go by their hashes: two that share one only make a larger group. Of a key whose columns an update mixes
-    # from the row and the entry, only columns that come together count, or one.
+    hashed = lambda cols, *seeds: F.when(given(cols), F.xxhash64(*map(F.lit, seeds), *texts(cols)))
+    # Groups go by one hash of a key: two that share one only make a larger group; rows and entries meet by two. Of a key
+    # whose columns an update mixes from the row and the entry, only columns that come together count for groups, or one.
     whole = lambda cols: set(cols) <= set(never) or not set(cols) & {*keep_old, *never}
     linking = [cols if whole(cols) else [c for c in cols if c not in keep_old and c not in never] or cols[:1] for cols in keys]
-    tokens = F.array_compact(F.array(*(F.when(given(cols), F.xxhash64(F.lit(n), key(cols))) for n, cols in enumerate(linking))))
-    lasting = F.when(given(keys[0]), key(keys[0])) if set(keys[0]) <= set(never) else F.lit(None).cast("string")
-    at_key = F.coalesce(F.get("tokens", F.lit(0)), F.xxhash64(F.lit(-1), "side", "at")).alias("stand")
-    old = catalogue.select(F.lit(0).alias("side"), F.col(id).cast("bigint").alias("at"), *values, tokens.alias("tokens"), lasting.alias("lasting"))
-    new = feed.select(F.lit(1).alias("side"), F.col(order).cast("bigint").alias("at"), *values, tokens.alias("tokens"), lasting.alias("lasting"))
-    found = old.filter("lasting is not null").select("lasting").distinct().withColumn("bound", F.lit(True))
-    brought = new.select("tokens", "lasting").filter("size(tokens) > 0").distinct()
-    sure = brought.filter("lasting is not null").join(found, "lasting", "left").select("tokens", F.col("bound").isNotNull().alias("bound"))
-    met = stored(sure.unionByName(brought.filter("lasting is null").select("tokens", F.lit(False).alias("bound"))), "keys")
-    stand, others = F.get("tokens", F.lit(0)).alias("node"), F.explode(F.slice("tokens", 2, len(keys))).alias("token")
-    asked = stored(met.filter("not bound").select(F.explode("tokens").alias("token")).distinct(), "asked")
-    wanted = asked.unionByName(met.filter("bound").select(F.get("tokens", F.lit(0)).alias("token"))).distinct()
-    touched = stored(old.select("at", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").select("at").distinct(), "touched")
-    entries = old.join(touched, "at")
-    passive = met.filter("bound").select(stand, others).unionByName(entries.select(stand, others)).join(asked, "token", "left_semi").select("node", "token")
-    links = met.filter("not bound").select(stand, others).unionByName(passive)
-    # A key at which a row stands is a token of its own, for others that lead to it.
-    own = met.select(stand).unionByName(entries.select(stand)).select("node", F.col("node").alias("token"))
-    groups = _group_links(links.unionByName(own).distinct())
-    rows = entries.unionByName(new).select("side", "at", *values, at_key)
-    placed = rows.join(groups.withColumnRenamed("a", "stand"), "stand", "left").withColumn("group", F.coalesce("b", "stand")).crossJoin(F.broadcast(catalogue.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("high"))))
+    names = [f"_t{n}" for n in range(len(keys))]
+    tokens = [hashed(cols, n).alias(t) for n, (cols, t) in enumerate(zip(linking, names, strict=True))]
+    marks = [(hashed(cols, n), hashed(cols, "mark", n)) for n, cols in enumerate(keys)]
+    kind = F.coalesce(*(F.when(given(cols), F.lit(n)) for n, cols in enumerate(keys))).alias("kind")
+    first, mark = (F.coalesce(*c) for c in zip(*marks, strict=True))
+    single = (reduce(lambda x, y: x + y, (given(cols).cast("int") for cols in keys)) == 1).alias("single")
+    stand, every = F.coalesce(*names).alias("stand"), F.explode(F.array(*names)).alias("token")
+    old = catalogue.select(F.col(id).cast("bigint").alias("at"), *values, *tokens)
+    new = feed.select(F.col(order).cast("bigint").alias("at"), *values, *tokens, kind, first.alias("first"), mark.alias("mark"), single)
+    held = catalogue.select(F.col(id).cast("bigint").alias("at"), F.explode(F.array(*(F.struct(x.alias("first"), y.alias("mark")) for x, y in marks))).alias("k"))
+    found = held.filter("k.first is not null").groupBy("k.first", "k.mark").agg(F.min("at").alias("target"))
+    brought = new.filter("kind is not null").groupBy(*names, "kind", "first", "mark", "single").agg(F.count("*").alias("n"))
+    bound = (F.col("target").isNotNull() & (F.col("kind") == 0)) if set(keys[0]) <= set(never) else F.lit(False)
+    met = stored(brought.join(found, ["first", "mark"], "left").select(*names, "kind", "first", "mark", "target", "n", (F.col("target").isNotNull() | F.col("single")).alias("sure"), bound.alias("bound")), "keys")
+    asking = met.filter("not bound").select(stand, every).filter("token is not null")
+    asked = stored(asking.select("token").distinct(), "asked")
+    passive = met.filter("bound").select(stand, every).unionByName(old.select(stand, every)).filter("token is not null").join(asked, "token", "left_semi").select("stand", "token")
+    spread = stored(asking.unionByName(passive).select(F.col("stand").alias("node"), "token").distinct(), "spread")
+    groups = _group_links(spread)
+    kinds = met.groupBy(stand).agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min("sure").alias("sure"))
+    grouped = kinds.join(groups.withColumnRenamed("a", "stand"), "stand", "left").groupBy(F.coalesce("b", "stand").alias("group")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("sure").alias("sure"))
+    unlike = stored(grouped.filter("low <> high or not sure").select("group"), "unlike")
+    tangled = stored(groups.join(unlike, F.col("b") == F.col("group")).select(F.col("a").alias("stand"), "group").unionByName(unlike.select(F.col("group").alias("stand"), "group")), "tangled")
+    discard(asked, spread, unlike)
+    apart = lambda rows: rows.join(tangled.select(F.col("stand").alias("_stand")), F.coalesce(*names) == F.col("_stand"), "left_anti")
+
     kept = [values.index(c) for c in values if c in keep_old]
     fixed = [values.index(c) for c in values if c in never]
     parts = [[(values.index(c), c in blank) for c in cols] for cols in keys]
 
     def walk(rows):
         group, entries = None, _Entries(parts)
-        for name, side, at, high, *row in rows:
+        for name, side, at, high, n, *row in rows:
             if name != group:
                 yield from entries.rows()
                 group, entries = name, _Entries(parts)
-            entries.take(at, row) if side == 0 else entries.apply(high + at + 1, row, kept, fixed)
+            entries.take(at, row) if side == 0 else entries.apply(high + at + 1, row, kept, fixed, n)
         yield from entries.rows()
 
-    kinds = dict(catalogue.dtypes)
-    schema = f"`{id}` bigint, {', '.join(f'`{c}` {kinds[c]}' for c in values)}, _new boolean, _updates bigint"
-    changed = stored(walk_in_order(placed, by=["group"], order=["side", "at"], columns=["group", "side", "at", "high", *values], schema=schema, walk=walk), "entries")
-    stats = changed.agg(F.count_if("_new").alias("inserted"), F.coalesce(F.sum("_updates"), F.lit(0)).alias("updated"))
-    unread = catalogue.withColumn(id, F.col(id).cast("bigint")).join(touched.withColumnRenamed("at", id), id, "left_anti")
-    return unread.select(id, *values).unionByName(changed.select(id, *values)), stats
+    types = dict(catalogue.dtypes)
+    schema = f"`{id}` bigint, {', '.join(f'`{c}` {types[c]}' for c in values)}, _new boolean, _updates bigint"
+    high = F.broadcast(catalogue.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("high")))
+    in_groups = lambda rows: walk_in_order(rows.crossJoin(high), by=["group"], order=["side", "at"], columns=["group", "side", "at", "high", "n", *values], schema=schema, walk=walk)
+    entry = [F.lit(0).alias("side"), "at", F.lit(1).cast("bigint").alias("n"), *values]
+    row = [F.lit(1).alias("side"), "at", "n", *values]
+    folded = _folded(apart(new.filter("kind is not null")), values, keep_old, never).join(found, ["first", "mark"], "left").withColumnRenamed("first", "group")
+    targets = folded.filter("target is not null").select("group", F.col("target").alias("at"))
+    plain = in_groups(old.join(targets, "at").select("group", *entry).unionByName(folded.select("group", *row)))
+    changed = stored(in_groups(old.select(*entry, stand).unionByName(new.filter("kind is not null").withColumn("n", F.lit(1).cast("bigint")).select(*row, stand)).join(tangled, "stand")), "entries")
+
+    keyless = new.filter("kind is null")
+    unread = apart(old).join(met.filter("target is not null").select(F.col("target").alias("at")).distinct(), "at", "left_anti").withColumnRenamed("at", id)
+    added = keyless.crossJoin(high).select((F.col("high") + F.col("at") + 1).alias(id), *(F.col(c).cast(types[c]).alias(c) for c in values))
+    counts = apart(met).groupBy("first", "mark").agg(F.max(F.col("target").isNull().cast("bigint")).alias("inserted"), F.sum("n").alias("n")).select("inserted", (F.col("n") - F.col("inserted")).alias("updated"))
+    counts = counts.unionByName(changed.select(F.col("_new").cast("bigint").alias("inserted"), F.col("_updates").alias("updated"))).unionByName(keyless.select(F.lit(1).cast("bigint").alias("inserted"), F.lit(0).cast("bigint").alias("updated")))
+    stats = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("inserted", "updated")))
+    return reduce(lambda x, y: x.unionByName(y), (part.select(id, *values) for part in (unread, plain, changed, added))), stats
+
+
+def _folded(rows: DataFrame, values: list[str], keep_old: list[str], never: list[str]) -> DataFrame:
+    """One row for all of a key (first, mark) that go to one entry: what they leave of it if the first of them makes
+    it, which updates one that is there alike; with the order of the first row and their number."""
+    rest = [c for c in values if c not in keep_old and c not in never]
+    one = lambda how, columns: how(F.struct(F.lit(0).alias("_none"), *columns), "at")
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in values if c in keep_old and c not in never]
+    sums = rows.groupBy("first", "mark").agg(F.min("at").alias("at"), F.count("*").alias("n"), one(F.max_by, rest).alias("_last"), one(F.min_by, [c for c in values if c in never]).alias("_begun"), *last)
+    return sums.select("first", "mark", "at", "n", *(F.col(f"_begun.{c}").alias(c) if c in never else F.col(c) if c in keep_old else F.col(f"_last.{c}").alias(c) for c in values))
 
 
 class _Entries:
@@ -140,10 +170,12 @@ class _Entries:
         for key in self.keys(row):
             self.found.setdefault(key, set()).add(at)
 
-    def apply(self, fresh: int, row: list, kept: list[int], fixed: list[int]) -> None:
+    def apply(self, fresh: int, row: list, kept: list[int], fixed: list[int], n: int) -> None:
+        """Take a row that stands for n rows one after the other."""
         at = next((min(self.found[key]) for key in self.keys(row) if self.found.get(key)), None)
         if at is None:
             self.new.add(fresh)
+            self.updates[fresh] = n - 1
             return self.take(fresh, list(row))
         old = self.values[at]
         for key in self.keys(old):
@@ -153,7 +185,7 @@ class _Entries:
             merged[i] = old[i] if row[i] is None else row[i]
         for i in fixed:
             merged[i] = old[i]
-        self.updates[at] = self.updates.get(at, 0) + 1
+        self.updates[at] = self.updates.get(at, 0) + n
         self.take(at, merged)
 
     def rows(self):

@@ -68,6 +68,18 @@ def test_rows_found_by_a_lasting_key_are_not_chained_by_others(spark, monkeypatc
     assert walked[0].select("group").distinct().count() == 20
 
 
+def test_rows_of_one_key_that_nothing_changes_are_folded_before_they_meet_its_entry(spark, monkeypatch):
+    """Rows found by sid, chained by titles, and rows of a title alone: one row of each key is walked."""
+    old = [(i, None, f"S{i}", f"T{i}", "a", None) for i in range(1, 4)]
+    feed = [(seq, None, f"S{seq % 3 + 1}", f"T{seq % 5}", "ab"[seq % 2], [seq, None][seq % 2]) for seq in range(60)] + [(60 + seq, None, None, "U", ["", None][seq % 2], [None, 7, None][seq % 3]) for seq in range(20)]
+    walked, walk = [], merge.walk_in_order
+    monkeypatch.setattr(merge, "walk_in_order", lambda df, **how: walked.append(df) or walk(df, **how))
+    new, counts = merge.upsert_catalogue(spark.createDataFrame(old, "id long, kid string, sid string, title string, author string, progress int"), spark.createDataFrame(feed, "seq long, kid string, sid string, title string, author string, progress int"), id="id", keys=[["kid"], ["sid"], ["title", "author"]], order="seq", keep_old=["sid", "progress"], never=["kid"], blank=["author"])
+    want, sums = upsert_loop(old, feed)
+    assert {tuple(r) for r in new.collect()} == want and tuple(counts.first()) == sums == (1, 79)
+    assert sum(df.count() for df in walked) == 7
+
+
 def test_upsert_by_a_key_of_a_new_title_and_a_kept_author(spark):
     """After row 1 the entry is (U, a): its title of the row, its author its own. Row 2 finds it by them."""
     old = spark.createDataFrame([(1, "K1", "T", "a")], "id long, kid string, title string, author string")
