@@ -6,8 +6,8 @@ as of any two places one offset of 0, 1 or 2 leads to the sample from both.
 
 1. The sampled triples are sorted and named by their ranks (`named`).
 2. The names are a string over the sample again, of which triples are named in turn, each round three
-   times as deep, until names reach as deep as is asked. After WHOLE_ROUNDS rounds only places whose
-   names are not deep enough yet go on, so a few sequences of very short symbols cost the others nothing.
+   times as deep, until names reach as deep as is asked. After WHOLE_ROUNDS rounds only sequences with places
+   whose names are not deep enough yet go on, so a few of very short symbols cost the others nothing.
 3. The remaining suffixes take part through the offset that a pair of classes has in common: places of
    classes 0 and 1 are sorted by their symbol and the name after it, those of 0 and 2 by two symbols
    and the name after them, those of 1 and 2 by their names (`neighbours`).
@@ -106,32 +106,37 @@ def _triples(rows: DataFrame, columns: list[str], column: str, step: int, *more:
 
 def _refined(rows: DataFrame, columns: list[str], step: int, depth: int) -> DataFrame | None:
     """rows, as a whole round leaves them, with names that are deep enough: places whose names are not are
-    named anew, in order within their old name, which needs their sequences only. A new name is the
+    named anew, in order within their old name, which needs their sequences only. A round leaves apart the
+    sequences without such places, whose rows are not read again before the end. A new name is the
     old one, moved by some bits, and the place in that order; all other names are moved at the end.
     None if that does not fit: then another whole round follows."""
     shallow = (F.col("k") % 3 != 0) & (F.col("_least") < depth)
-    open_ones = stored(rows.filter(shallow).select(*SEQ).distinct(), "open")
-    some = stored(rows.join(open_ones.hint("shuffle_hash"), list(SEQ), "left_semi"), "some")
-    largest, moved = rows.agg(F.max("name")).first()[0], 0
+    going_on = F.coalesce(F.max(shallow).over(W.partitionBy(*SEQ).orderBy("k").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(False)).alias("_open")
+    largest, moved, some, apart = rows.agg(F.max("name")).first()[0], 0, rows, []
     while some.filter(shallow).select("k").take(1):
         used: list[DataFrame] = []
-        near = stored(_triples(some, columns, "name", step, "_least"), "triples")
+        near = _triples(some, columns, "name", step, "_least", going_on)
+        near = stored(near.select(*columns, "_least", "_open", "_x", *(F.when(F.col("_open"), F.col(c)).alias(c) for c in ("_y", "_z", "_reach"))), "triples")
+        apart.append((near, moved))
+        dropped(*([] if some is rows else [some]))
         placed = ranks(near.filter(shallow).groupBy("_x", "_y", "_z").agg(F.min("_reach").alias("_new")), "_place", used)
         finer = stored(placed.withColumn("_place", F.col("_place") - F.min("_place").over(W.partitionBy("_x")) + 1), "finer")
         bits = int(finer.agg(F.max("_place")).first()[0]).bit_length()
         dropped(*used)
         if largest.bit_length() + moved + bits > 62:
-            dropped(near, finer, some, open_ones)
+            dropped(finer, *(t for t, _ in apart))
             return None
         moved += bits
         told = near.filter(shallow).join(finer.hint("shuffle_hash"), ["_x", "_y", "_z"]).select(*columns, (F.shiftleft("_x", bits) + F.col("_place")).alias("name"), F.col("_new").cast("bigint").alias("_least"))
-        rest = near.filter(~F.coalesce(shallow, F.lit(False))).select(*columns, F.shiftleft("_x", bits).alias("name"), "_least")
-        before, some = some, stored(told.unionByName(rest), "some")
-        dropped(near, finer, before)
+        rest = near.filter("_open").filter(~F.coalesce(shallow, F.lit(False))).select(*columns, F.shiftleft("_x", bits).alias("name"), "_least")
+        some = stored(told.unionByName(rest), "some")
+        dropped(finer)
         step *= 3
-    others = rows.join(open_ones.hint("shuffle_hash"), list(SEQ), "left_anti").select(*columns, F.shiftleft("name", moved).alias("name"))
-    out = stored(some.select(*columns, "name").unionByName(others), "suffixes")
-    dropped(some, open_ones)
+    out = some.select(*columns, "name")
+    for near, then in apart:
+        out = out.unionByName(near.filter("not _open").select(*columns, F.shiftleft("_x", moved - then).alias("name")))
+    out = stored(out, "suffixes")
+    dropped(some, *(t for t, _ in apart))
     return out
 
 

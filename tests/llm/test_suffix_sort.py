@@ -22,6 +22,28 @@ def test_sample_names_are_in_suffix_order(spark):
         assert (x < y) if a < b else (x == y)
 
 
+def test_sequences_that_are_deep_enough_stay_apart_from_later_rounds(spark, monkeypatch):
+    """Sequence 0 has short symbols and goes on for some rounds, sequence 1 is done after the first of them."""
+    rng = random.Random(5)
+    sequences = [[1] * 150, [rng.randint(1, 2) for _ in range(40)], [1] * 4]
+    rows = [(i, 0, k, k if i == 0 else 10 * k, s) for i, seq in enumerate(sequences) for k, s in enumerate(seq)]
+    rounds, keep = [], suffix_sort.stored
+
+    def stored(df, label):
+        out = keep(df, label)
+        if label == "some":
+            rounds.append({r.uid for r in out.select("uid").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(suffix_sort, "stored", stored)
+    named = suffix_sort.sample_names(spark.createDataFrame(rows, "uid long, part int, k int, pos int, symbol long"), depth=120).collect()
+    assert len(rounds) > 1 and rounds[0] == {0, 1} and rounds[-1] == {0}
+    assert len(named) == len(rows)
+    sample = sorted((tuple(sequences[r.uid][r.k :]), r.name) for r in named if r.k % 3)
+    for (a, x), (b, y) in zip(sample, sample[1:]):
+        assert x <= y if a[:120] == b[:120] else x < y
+
+
 def test_names_reach_as_deep_as_asked(spark):
     sequences = [[1, 2, 3, 4, 5, 6, 7, 8, 9] * 4, [1, 2, 3, 4, 5, 6, 7, 8, 9] * 4]
     shallow = suffix_sort.sample_names(rows_of(spark, sequences), depth=10).collect()
